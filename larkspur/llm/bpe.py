@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
-#: Units that a worker's memo holds at most (about 150 MB); at that size it starts anew.
-MEMO_UNITS = 500_000
+#: Units that a worker's memo holds at most (about 80 MB); at that size it starts anew.
+MEMO_UNITS = 250_000
 #: Characters of a leaf.  Longer texts are halved until no part is longer.
 LEAF_CHARS = 32_768
 #: Tokens on either side of a join that the first window takes; it doubles until both sides agree.
@@ -261,7 +261,7 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def batches(batch: pa.RecordBatch, chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def batches(batch: pa.RecordBatch, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about that many bytes, so that very long texts don't meet in memory."""
     if batch.num_rows:
         n = max(1, int(batch.num_rows * chars / max(1, batch.nbytes)))
