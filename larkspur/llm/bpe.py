@@ -16,13 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
 
-#: Units that a worker's memo holds at most (about 80 MB); at that size it starts anew.
-MEMO_UNITS = 250_000
+#: Units that a worker's memo holds; at twice that (about 100 MB) the half that was not asked for lately goes.
+MEMO_UNITS = 180_000
 #: Characters of a leaf.  Longer texts are halved until no part is longer.
 LEAF_CHARS = 32_768
 #: Tokens on either side of a join that the first window takes; it doubles until both sides agree.
@@ -34,6 +35,8 @@ BLANK = re.compile(f"[{WHITE}]")
 OTHER = "\t\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 #: Begins the key of a unit that has its own white space.
 LITERAL = "\0"
+#: What a text must not have to be split at single blanks and line feeds.
+_ODD = ["  ", "\n\n", "\n ", " \n", *OTHER]
 #: Letters below this code point are letters in every version of Unicode that the libraries at hand know.
 PLAIN = 0x250
 
@@ -56,6 +59,7 @@ class Encoder:
         self.lib.no_padding()
         self.special = sorted((t.content for t in self.lib.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.tail = {c: self.whole(c) for c in ".,;:!?"}
         self._bytes: list[bytes] | None = None
 
@@ -67,69 +71,98 @@ class Encoder:
 
     def _learn(self, missing: set[str]) -> None:
         """Ask the library for units that the memo lacks: plain words many at a time, others one by one."""
-        memo, words, others = self.memo, [], []
+        memo, words, lines, marked = self.memo, {}, {}, []
         for u in missing:
             stem = u[:-1] if u[-1] in self.tail and len(u) > 1 else u
             if stem.isalpha():
-                words.append(stem)
+                words[stem] = None
+            elif stem[0] == "\n" and stem[1:].isalpha():
+                lines[stem] = None
             else:
-                others.append(u)
-        words = [w for w in dict.fromkeys(words) if w not in memo]
-        for at in range(0, len(words), 256):
-            part = words[at : at + 256]
-            e = self.lib.encode(" " + " ".join(part), add_special_tokens=False)
+                memo[u] = self.whole(u[1:] if u[0] == LITERAL and BLANK.match(u, 1) else u if u[0] == "\n" else " " + u)
+                continue
+            if stem is not u:
+                marked.append(u)
+        self._together([w for w in words if w not in memo], " ", 1)
+        self._together([w for w in lines if w not in memo], "", 2)
+        for u in marked:  # a plain word and a mark: a piece ends between them
+            memo[u] = memo[u[:-1]] + self.tail[u[-1]] if ord(u[-2]) < PLAIN else self.whole(u if u[0] == "\n" else " " + u)
+
+    def _together(self, units: list[str], before: str, pieces: int) -> None:
+        """Units of that many pieces each, encoded as one text."""
+        for at in range(0, len(units), 256):
+            part = units[at : at + 256]
+            e = self.lib.encode(before + before.join(part), add_special_tokens=False)
             piece = np.array(e.word_ids, dtype="<i8")
             first = np.flatnonzero(np.diff(piece, prepend=-1))
-            if len(first) == len(part):
-                ids = np.array(e.ids, dtype="<u4")
-                for w, got in zip(part, np.split(ids, first[1:]), strict=True):
-                    memo[w] = got.tobytes()
+            if len(first) == len(part) * pieces:
+                ids = np.array(e.ids, dtype="<u4").tobytes()
+                ends = [*(first[::pieces] * 4).tolist(), len(ids)]
+                for k, w in enumerate(part):
+                    self.memo[w] = ids[ends[k] : ends[k + 1]]
             else:  # the library knows other letters than Python
                 for w in part:
-                    memo[w] = self.whole(" " + w)
-        for u in others:
-            memo[u] = self.whole(u[1:] if u[0] == LITERAL and BLANK.match(u, 1) else u if u[0] == "\n" else " " + u)
-        for u in missing:
-            if u not in memo:  # a plain word and a mark: a piece ends between them
-                memo[u] = memo[u[:-1]] + self.tail[u[-1]] if ord(u[-2]) < PLAIN else self.whole(" " + u)
+                    self.memo[w] = self.whole(before + w)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO_UNITS:
-            self.memo.clear()
         out: list[bytes] = [b""] * len(texts)
-        get, open_docs, missing = self.memo.get, [], set()
-        for i, text in enumerate(texts):
-            if not text:
+        plain = []
+        for i, t in enumerate(texts):
+            if not t:
                 continue
-            units = text.replace("\n", " \n").split(" ")
-            if "\n\n" in text or "\n " in text or not all(units[1:]) or any(c in text for c in OTHER):
-                units = UNIT.findall(text)
-                if BLANK.match(units[0]):
-                    units.insert(0, "")
-                units = [units[0], *(u[1:] if u[0] == " " and len(u) > 1 and not BLANK.match(u[1]) else LITERAL + u for u in units[1:])]
-            found = list(map(get, units))
-            found[0] = self.whole(units[0]) if units[0] else b""
-            if None in found:
-                at, holes = -1, []
-                while True:
-                    try:
-                        at = found.index(None, at + 1)
-                    except ValueError:
-                        break
-                    holes.append(at)
-                    missing.add(units[at])
-                open_docs.append((i, units, found, holes))
+            if any(x in t for x in _ODD) or t[-1] == " ":
+                out[i] = self._by_units(t)
             else:
-                out[i] = b"".join(found)
-        if missing:
-            self._learn(missing)
-            memo = self.memo
-            for i, units, found, holes in open_docs:
-                for at in holes:
-                    found[at] = memo[units[at]]
-                out[i] = b"".join(found)
+                plain.append(i)
+        if plain:
+            for i, ids in zip(plain, self._plain([texts[i] for i in plain]), strict=True):
+                out[i] = ids
         return out
 
+    def _values(self, units: list[str]) -> list[bytes]:
+        """The ids of units, by the keys of the memo."""
+        if len(self.memo) > MEMO_UNITS:
+            self.older, self.memo = self.memo, {}
+        found = list(map(self.memo.get, units))
+        if None in found:
+            memo, older, holes = self.memo, self.older, []
+            for k, v in enumerate(found):
+                if v is None:
+                    u = units[k]
+                    if (v := older.get(u)) is None:
+                        holes.append(k)
+                    else:
+                        found[k] = memo[u] = v
+            if holes:
+                self._learn({units[k] for k in holes})
+                for k in holes:
+                    found[k] = memo[units[k]]
+        return found
+
+    def _by_units(self, text: str) -> bytes:
+        units = UNIT.findall(text)
+        first = b"" if BLANK.match(units[0]) else self.whole(units.pop(0))
+        return first + b"".join(self._values([u[1:] if u[0] == " " and len(u) > 1 and not BLANK.match(u[1]) else LITERAL + u for u in units]))
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Texts whose white space is single blanks and line feeds: split and counted by Arrow, put together by numpy."""
+        lists = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " \n"), " ")
+        at = lists.offsets.to_numpy()
+        coded = lists.values.dictionary_encode()
+        units, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
+        codes[at[:-1]] = np.arange(len(units), len(units) + len(texts))  # a text's first unit has no blank before it
+        firsts = [self.whole(units[c]) if units[c] else b"" for c in coded.indices.to_numpy()[at[:-1]].tolist()]
+        used = [u or "\n" for u in units]  # the empty unit stands at a text's start only
+        values = self._values(used) + firsts
+        size = np.fromiter(map(len, values), np.int32, len(values)) // 4
+        blob = np.frombuffer(b"".join(values), "<u4")
+        start = np.cumsum(size, dtype=np.int32) - size
+        n = size[codes]
+        upto = np.cumsum(n, dtype=np.int32)
+        ids = blob[np.repeat(start[codes] - (upto - n), n) + np.arange(upto[-1], dtype=np.int32)].tobytes()
+        ends = (np.concatenate([[0], upto])[at].astype(np.int64) * 4).tolist()
+        return [ids[ends[k] : ends[k + 1]] for k in range(len(texts))]
+
     def table(self) -> list[bytes]:
         """The bytes of every id, by the byte-level alphabet of the file."""
         if self._bytes is None:
@@ -261,7 +294,7 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def batches(batch: pa.RecordBatch, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def batches(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about that many bytes, so that very long texts don't meet in memory."""
     if batch.num_rows:
         n = max(1, int(batch.num_rows * chars / max(1, batch.nbytes)))

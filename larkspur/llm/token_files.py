@@ -57,16 +57,20 @@ def write_tokens(docs: DataFrame, path: str, vocab: str | None = None, end_id: i
     dealt.sortWithinPartitions("doc_id", "text").mapInArrow(rows, SCHEMA).write.options(**ORC).orc(path)
 
 
+def starts(spark: SparkSession, path: str) -> DataFrame:
+    """(part, before): the ids in all files before that file; as many rows as there are files."""
+    sums = spark.read.schema(SCHEMA).orc(path).groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    return sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("before"))
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): start counts the ids of all documents before it, over all files.
 
-    Files hold a running count of their own; what comes before a file is one sum for each file, so the join below is with
-    as many rows as there are files.
+    Files hold a running count of their own; what comes before a file is broadcast: one row of 12 bytes for each file, and
+    a writer's tasks, so its files, are bounded by its partitions.
     """
     t = spark.read.schema(SCHEMA).orc(path)
-    sums = t.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("before"))
-    return t.join(before, "part").select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids")
+    return t.join(F.broadcast(starts(spark, path)), "part").select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids")
 
 
 def token_digest(tokens: DataFrame) -> DataFrame:
