@@ -85,3 +85,23 @@ def components(edges: DataFrame, tag: str, rounds: int = 100) -> DataFrame:
             discard(both)
             return labels
     raise RuntimeError("components did not settle")
+
+
+#: Bits of the bitmap that only() broadcasts: 16 MB, whatever the number of keys.
+BITMAP_BITS = 1 << 27
+
+
+def only(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among *keys*, a left semi-join that deals out few of the others.
+
+    Keys are hashed into a bitmap of fixed size, summed up by task and broadcast.  Rows whose bit isn't set stop where they
+    are read; what passes, wanted rows and a few by chance, goes through the exact join.  With so many keys that all bits
+    are set the bitmap stops nothing, and the join alone decides.
+    """
+    h = F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS)) + 1
+    bits = keys.select(F.bitmap_bucket_number(h).alias("_bucket"), F.bitmap_bit_position(h).alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    place = F.bitmap_bit_position(h)
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_place div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    near = rows.withColumn("_bucket", F.bitmap_bucket_number(h)).withColumn("_place", place).join(F.broadcast(bits), "_bucket")
+    near = near.withColumn("_byte", byte).where(F.expr("(shiftright(_byte, cast(_place % 8 as int)) & 1) = 1"))
+    return near.select(*rows.columns).join(keys.select(key).distinct(), key, "left_semi")
