@@ -8,13 +8,15 @@ original vectors.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
-from .vectors import SAMPLE, as_matrix, distances, fingerprint, kmeans, mapped, met, sampled, units, valid
+from .vectors import SAMPLE, as_matrix, distances, fingerprint, kmeans, mapped, met, units, valid
 
 K = 5
 LISTS = 64
@@ -25,12 +27,13 @@ RECALL = 0.985
 
 
 class Index:
-    def __init__(self, ids: list[int], x: np.ndarray, k: int = K, lists: int = LISTS, recall: float = RECALL, seed: int = 0):
+    def __init__(self, ids: list[list[int]], raw: np.ndarray, k: int = K, lists: int = LISTS, recall: float = RECALL, seed: int = 0):
+        x = units(raw)
         dim = x.shape[1]
         rng = np.random.default_rng(seed)
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.centres = kmeans(x, min(lists, max(1, int(np.sqrt(len(x))))), seed)
-        self.sample, self.ids = x, np.array(ids)
+        self.sample, self.raw, self.ids = x, raw, ids
         self.probes = self._probes(x, k, recall)
 
     def _probes(self, x: np.ndarray, k: int, recall: float) -> int:
@@ -44,11 +47,12 @@ class Index:
         needed = np.sort(place[np.arange(len(q))[:, None], near[top]].ravel())
         return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
 
-    def bounds(self, x: np.ndarray, k: int) -> np.ndarray:
-        """Squared distance that k sample vectors besides its own copy are within; infinite for a small sample."""
+    def seeds(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k + 1 nearest of the sample, and the squared distance that k of it besides an own copy are within."""
         d = distances(x, self.sample)
+        near = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
         d[d < 1e-12] = np.inf
-        return np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(x), np.inf)
+        return near, np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(x), np.inf)
 
 
 def scan(rotated: np.ndarray, queries: np.ndarray, bound: np.ndarray, columns: int = COLUMNS, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
@@ -69,6 +73,11 @@ def scan(rotated: np.ndarray, queries: np.ndarray, bound: np.ndarray, columns: i
     return i, j
 
 
+def cosines(a: np.ndarray, b: np.ndarray, i: Sequence[int], j: Sequence[int]) -> np.ndarray:
+    """Cosines of rows i of a with rows j of b, pair by pair, so that equal vectors get equal scores."""
+    return np.array([np.dot(a[p], b[q]) / (np.linalg.norm(a[p]) * np.linalg.norm(b[q])) for p, q in zip(i, j, strict=True)])
+
+
 def nearest(rows: DataFrame, k: int = K, every: int = 50, vector: str = "embedding", key: str = "vec_id", sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row whose key is divisible by *every*.
 
@@ -97,9 +106,9 @@ def nearest(rows: DataFrame, k: int = K, every: int = 50, vector: str = "embeddi
 
 
 def _searched(one: DataFrame, k: int, sample: int) -> DataFrame:
-    """(fp, vec_id, score): of each asked vector the k + 1 best candidates of each block that it meets, itself included."""
-    ids, x = sampled(one, "v", "rep", sample)
-    held = one.sparkSession.sparkContext.broadcast(Index(ids, x, k))  # bounded by the sample
+    """(fp, vec_id, score): of each asked vector the k + 1 best candidates of the sample and of each block that it meets, itself included."""
+    got = one.select("rep", "ids", "v").orderBy(F.xxhash64("rep"), "rep").limit(sample).toArrow()
+    held = one.sparkSession.sparkContext.broadcast(Index(got["ids"].to_pylist(), as_matrix(got["v"]), k))  # bounded by the sample
     kind = dict(one.dtypes)["v"]
 
     def place(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -107,13 +116,18 @@ def _searched(one: DataFrame, k: int, sample: int) -> DataFrame:
         u = units(as_matrix(b.column(3)))
         order = np.argsort(distances(u, index.centres), axis=1, kind="stable")
         asked = b.column(4).is_valid().to_numpy(zero_copy_only=False)
-        bound = np.full(len(u), np.inf)
+        bound, seeds = np.full(len(u), np.inf), [[] for _ in u]
         if asked.any():
-            bound[asked] = index.bounds(u[asked], k)
+            raw = as_matrix(b.column(3))
+            near, bound[asked] = index.seeds(u[asked], k)
+            for i, js in zip(np.flatnonzero(asked).tolist(), near.tolist(), strict=True):
+                for j in js:
+                    score = float(cosines(raw[i : i + 1], index.raw[j : j + 1], [0], [0])[0])
+                    seeds[i] += [{"vec_id": v, "score": score} for v in index.ids[j]]
         lists = [o[: index.probes].astype(np.int32) if a else np.zeros(0, np.int32) for o, a in zip(order, asked, strict=True)]
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(order[:, 0], pa.int32()), pa.array(lists, pa.list_(pa.int32())), pa.array(bound)], ["fp", "rep", "ids", "v", "list", "probes", "bound"])
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(order[:, 0], pa.int32()), pa.array(lists, pa.list_(pa.int32())), pa.array(bound), pa.array(seeds, pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())])))], ["fp", "rep", "ids", "v", "list", "probes", "bound", "seeds"])
 
-    placed = saved(mapped(one.select("fp", "rep", "ids", "v", "asked"), place, f"fp string, rep long, ids array<long>, v {kind}, list int, probes array<int>, bound double"), "scan-placed")
+    placed = saved(mapped(one.select("fp", "rep", "ids", "v", "asked"), place, f"fp string, rep long, ids array<long>, v {kind}, list int, probes array<int>, bound double, seeds array<struct<vec_id:bigint,score:double>>"), "scan-placed")
     members = placed.select("list", "rep", "ids", "v")
     visitors = placed.select("fp", "rep", "v", "bound", F.explode("probes").alias("list"))
 
@@ -122,14 +136,13 @@ def _searched(one: DataFrame, k: int, sample: int) -> DataFrame:
         fps, out = v["fp"].to_pylist(), ([], [], [])
         mx, vx = as_matrix(m["v"]), as_matrix(v["v"])
         mu, vu = units(mx), units(vx)
-        mn, vn = np.linalg.norm(mx, axis=1), np.linalg.norm(vx, axis=1)
         ids, reps = m["ids"].to_pylist(), m["rep"].to_numpy()
         if len(mu) and len(vu):
             rm, rv, bound = mu @ index.rotation, vu @ index.rotation, v["bound"].to_numpy()
             for at in range(0, len(vu), 128):
                 i, j = scan(rm, rv[at : at + 128], bound[at : at + 128])
                 i = i + at
-                score = np.array([np.dot(vx[a], mx[b]) for a, b in zip(i, j, strict=True)]) / (vn[i] * mn[j]) if len(i) else np.zeros(0)
+                score = cosines(vx, mx, i, j)
                 order = np.lexsort((reps[j], -score, i))
                 i, j, score = i[order], j[order], score[order]
                 start = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.zeros(0, bool)
@@ -141,4 +154,6 @@ def _searched(one: DataFrame, k: int, sample: int) -> DataFrame:
                         out[2].append(s)
         return pa.table({"fp": pa.array(out[0], pa.string()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
-    return met(members, visitors, ["list"], "rep", "rep", go, "fp string, vec_id long, score double")
+    found = met(members, visitors, ["list"], "rep", "rep", go, "fp string, vec_id long, score double")
+    seeds = placed.select("fp", F.explode("seeds").alias("s")).select("fp", "s.vec_id", "s.score")
+    return found.unionByName(seeds).groupBy("fp", "vec_id").agg(F.max("score").alias("score"))
