@@ -24,8 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, _labels(spark, sf_dir))
     if model is None:
         return docs
-    rows = toxicity.scored(docs, model, docs.columns)
-    return rows.where(F.col("evidence") < model.threshold).select(*docs.columns)
+    own = "_evidence_of_text"  # the documents may have any other column
+    rows = toxicity.scored(docs, model, docs.columns, name=own)
+    return rows.where(F.col(own) < model.threshold).select(*docs.columns)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,12 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import batches, texts_of
-from .common import components, discard, saved, ship
+from .common import components, only, saved, ship
+from .vectors import met
 
 #: Words of a shingle, and the least similarity of a link.
 WORDS, SIMILARITY = 5, 0.8
 #: Bands and coordinates of a band: at similarity 0.8 a pair shares no band once in 20 million times.
 BANDS, ROWS = 32, 4
+#: Texts of either side that a task compares in a bucket of several components.
+PAIR_BLOCK = 512
 _WORD = re.compile(r"\w+")
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -36,11 +39,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str, words: int = WORDS) -> np.ndarray:
-    """Hashes of the text's runs of five words (lower case, marks dropped); all words of a shorter text are one shingle."""
+def shingles(own: list[str], words: int = WORDS) -> np.ndarray:
+    """Hashes of the runs of five words (lower case, marks dropped); all words of a shorter text are one shingle."""
     import xxhash
 
-    own = _WORD.findall(text.lower())
     if not own:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
@@ -104,45 +106,31 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out.view(np.int64)
 
 
-def fingerprinted(docs: DataFrame, counted: bool = False) -> DataFrame:
-    """(id long, fp string): texts with the same shingles in the same order share fp; null texts have none.
+def signed(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
+    """(id, fp, bands) of every row, in one pass over the texts.
 
-    A text without words has the fingerprint of its characters, so that only equal ones meet.
+    Texts with the same words in the same order share fp; a text without words has the fingerprint of its characters, so
+    that only equal ones meet, and no bands; a null text has neither.
     """
     ship(docs.sparkSession)
 
-    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def go(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for whole in it:
             for b in batches(whole):
-                got = []
+                fps, out, at = [], [], [0]
                 for t in b.column(1).to_pylist():
-                    own = None if t is None else " ".join(_WORD.findall(t.lower())) or "\n" + t
-                    got.append(None if own is None else xxhash.xxh3_128_digest(own.encode()))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["id", "fp"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(rows, "id long, fp binary")
-
-
-def signed(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
-    """(id, bands array<long>) of texts with words."""
-    ship(docs.sparkSession)
-
-    def go(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in it:
-            for b in batches(whole):
-                ids, out = [], []
-                for i, t in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
-                    s = shingles(t)
-                    if len(s):
-                        ids.append(i)
-                        out.append(bands(signature(*weighted(s, counted), n_bands * rows), rows))
+                    words = [] if t is None else _WORD.findall(t.lower())
+                    fps.append(None if t is None else xxhash.xxh3_128_digest((" ".join(words) if words else "\n" + t).encode()))
+                    if words:
+                        out.append(bands(signature(*weighted(shingles(words), counted), n_bands * rows), rows))
+                    at.append(at[-1] + (n_bands if words else 0))
                 flat = np.concatenate(out) if out else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * n_bands, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], ["id", "bands"])
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), lists], ["id", "fp", "bands"])
 
-    return docs.select("id", "text").mapInArrow(go, "id long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(go, "id long, fp binary, bands array<long>")
 
 
 def shingled(docs: DataFrame) -> DataFrame:
@@ -152,7 +140,7 @@ def shingled(docs: DataFrame) -> DataFrame:
     def go(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
             for b in batches(whole):
-                got = [np.unique((shingles(t) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in texts_of(b.column(1))]
+                got = [np.unique((shingles(_WORD.findall(t.lower())) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in texts_of(b.column(1))]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["id", "s"])
 
     return docs.select("id", "text").mapInArrow(go, "id long, s binary")
@@ -179,6 +167,57 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(go, "a long, b long")
 
 
+def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places (left, right) whose sets are similar: shared elements are counted by matrix products, some columns at a time."""
+    every, code = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    shared = np.bincount(code, minlength=len(every)) > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[code]
+    code, owner = column[code[keep]], owner[keep]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(code[-1]) + 1 if len(code) else 0, 4_096):
+        lo, hi = np.searchsorted(code, [at, at + 4_096])
+        m = np.zeros((len(sets), 4_096), np.float32)
+        m[owner[lo:hi], code[lo:hi] - at] = 1
+        both += m[left] @ m[right].T
+    size = np.array(list(map(len, sets)), np.float32)
+    return np.nonzero(both >= similarity * (size[left][:, None] + size[right][None] - both) - 1e-4)
+
+
+def links_across(open_: DataFrame, similarity: float) -> DataFrame:
+    """open_ (band, bucket, id, component, s): links (a, b) between components that meet in a bucket.
+
+    Blocks of a bucket meet in tasks of their own, and a task returns what joins components, at most one link for each:
+    nothing of the pairs that it compares leaves it."""
+
+    def go(key: tuple, m: pa.Table, v: pa.Table) -> pa.Table:
+        ids, comp = (np.concatenate([m[c].to_numpy(), v[c].to_numpy()]) for c in ("id", "component"))
+        sets = [np.frombuffer(x, np.uint32) for x in m["s"].to_pylist() + v["s"].to_pylist()]
+        n = m.num_rows
+        up: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            while (p := up.setdefault(i, i)) != i:
+                up[i] = i = up.setdefault(p, p)
+            return i
+
+        a, b = [], []
+        if n and len(sets) > n:
+            for x, y in zip(*block_links(sets, np.arange(n), np.arange(n, len(sets)), similarity), strict=True):
+                y += n
+                p, q = root(int(comp[x])), root(int(comp[y]))
+                if p != q:
+                    up[max(p, q)] = min(p, q)
+                    a.append(int(ids[x]))
+                    b.append(int(ids[y]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return met(open_, open_, ["band", "bucket"], "id", "id", go, "a long, b long", PAIR_BLOCK)
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, n_bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
     """(doc_id, class_id, text_id, keep) of every row of docs.
 
@@ -187,43 +226,37 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, n_bands: in
     least *similarity* that share a band.  Null texts and null doc_ids are classes of their own.  Rows that repeat a
     doc_id with the same text are rows of one class, all with its keep.
 
-    1. Equal texts collapse to their smallest doc_id (the min combines before the shuffle).
-    2. Each remaining text is signed once.  In each band bucket one member is the hub: the text with the largest buckets,
-       as the origin of many variants meets most of them; every other member is paired with it, so a bucket of n texts
-       makes n - 1 pairs.  Pairs are verified exactly and the links joined to components.
-    3. Buckets whose members are in several components go on: each component sends its members to meet those of
-       the others there that it isn't linked with, until no pair in any bucket is open.  So no link of a
-       bucket is lost, and a bucket inside one component costs nothing more.
+    1. One pass gives each row a fingerprint and the bands of its signature; the text is read again for candidates only.
+       Equal texts collapse to their smallest doc_id (the min combines before the shuffle).
+    2. In each band bucket one member is the hub: the text with the largest buckets, as the origin of many variants meets
+       most of them; every other member is paired with it, so a bucket of n texts makes n - 1 pairs.  Pairs are verified
+       exactly and the links joined to components.
+    3. Buckets inside one component are done.  In the others members of different components are compared, block by block
+       inside tasks that return only what joins components; so no link of a bucket is lost, and no pairs are shuffled.
     """
-    spark = docs.sparkSession
-    ids = saved(fingerprinted(docs, counted), "near-fp")
-    first = saved(ids.where("fp IS NOT NULL AND id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("text_id")), "near-first")
-    # one row of each text: the smallest doc_id; repeated rows of it collapse in the bucket's distinct
-    one = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(first.select(F.col("text_id").alias("id")), "id", "left_semi")
-    banded = signed(one, n_bands, rows, counted).select("id", F.posexplode("bands").alias("band", "bucket"))
-    placed = saved(banded.distinct(), "near-bands")
+    sig = saved(signed(docs, n_bands, rows, counted), "near-signed")
+    first = saved(sig.where("fp IS NOT NULL AND id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("text_id")), "near-first")
+    one = sig.select("id", "fp", "bands").join(first.withColumnRenamed("text_id", "id"), ["fp", "id"]).select("id", "bands")
+    one = saved(one, "near-bands")
+    placed = one.select("id", F.posexplode("bands").alias("band", "bucket"))
     sizes = placed.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
     crowded = saved(placed.join(sizes, ["band", "bucket"]), "near-crowded")
-    popular = crowded.groupBy("id").agg(F.sum(F.least("n", F.lit(1 << 40))).alias("weight"))
-    member = crowded.select("band", "bucket", "id").join(popular, "id")
-    hub = member.groupBy("band", "bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("neg"))).alias("h")).select("band", "bucket", (-F.col("h.neg")).alias("hub"))
+    popular = crowded.groupBy("id").agg(F.sum("n").alias("weight"))
+    hub = crowded.select("band", "bucket", "id").join(popular, "id").groupBy("band", "bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("neg"))).alias("h")).select("band", "bucket", (-F.col("h.neg")).alias("hub"))
     members = crowded.select("band", "bucket", "id")
     star = members.join(hub, ["band", "bucket"]).where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    sets = saved(shingled(one.join(popular.select("id"), "id", "left_semi")).dropDuplicates(["id"]), "near-sets")
-    tried = saved(star, "near-star")
-    links = saved(similar(tried, sets, similarity), "near-links")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    sets = saved(shingled(only(texts, popular.select("id"), "id")).dropDuplicates(["id"]), "near-sets")
+    links = saved(similar(star, sets, similarity), "near-links")
     label = components(links, "near")
     of = lambda x, label: x.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    # buckets that hold several components: all pairs across, without those tried
     placed2 = of(members, label)
     several = placed2.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "bucket")
-    open_ = saved(placed2.join(several, ["band", "bucket"]), "near-open")
-    across = open_.alias("x").join(open_.alias("y"), ["band", "bucket"]).where("x.component < y.component").select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    more = saved(similar(across.join(tried, ["a", "b"], "left_anti"), sets, similarity), "near-more")
+    open_ = saved(placed2.join(several, ["band", "bucket"]).join(sets, "id"), "near-open")
+    more = saved(links_across(open_, similarity), "near-more")
     if more.limit(1).count():
-        links = saved(links.unionByName(more), "near-links")
-        label = components(links, "near")
+        label = components(links.unionByName(more), "near")
     text_class = of(first.select(F.col("text_id").alias("id")).distinct(), label).select(F.col("id").alias("text_id"), "component")
     known = first.join(text_class, "text_id").select("fp", "text_id", F.col("component").alias("class_id"))
-    out = ids.join(known, "fp", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("text_id", "id").alias("text_id"))
+    out = sig.select("id", "fp").join(known, "fp", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("text_id", "id").alias("text_id"))
     return out.withColumn("keep", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))

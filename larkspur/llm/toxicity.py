@@ -162,11 +162,11 @@ def calibrated(bins: list[tuple[float, int, int]]) -> float:
     return best[1]
 
 
-def scored(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns of keep, with evidence double of the whole text."""
+def scored(docs: DataFrame, model: Model, keep: list[str], text: str = "text", name: str = "evidence") -> DataFrame:
+    """The columns of keep, with *name* double, the evidence of the whole text."""
     ship(docs.sparkSession)
     own = docs.select(*keep, F.col(text).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1]) + ", evidence double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1]) + f", {name} double"
     made: list[Scorer] = []
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +174,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -
         for whole in it:
             for b in batches(whole):
                 e = pa.array([s.evidence(t) for t in texts_of(b.column(b.num_columns - 1))], pa.float64())
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], e], [*b.schema.names[:-1], "evidence"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], e], [*b.schema.names[:-1], name])
 
     return own.mapInArrow(rows, schema)
 
