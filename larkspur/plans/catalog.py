@@ -443,3 +443,57 @@ def scale_ladder(spark, d):
     from ..operators import generate
 
     return generate.replicas(read(spark, d, "documents").select("doc_id", "text"), 4)
+
+
+# -- experiments -------------------------------------------------------------------------------------------------------
+
+
+@query(oracle.KNN + "SELECT query_id, atom_id, score FROM knn WHERE rank <= 0")
+def topk_parity(spark, d):
+    """The scan's results against native expressions on the same pairs: no row may differ."""
+    from . import experiments
+
+    e = read(spark, d, "embeddings").where("embedding IS NOT NULL")
+    top = knn(spark, d, 3).select("query_id", "atom_id", "score")
+    q, a = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select(F.col("vec_id").alias("atom_id"), F.col("embedding").alias("v"))
+    again = top.join(q, "query_id").join(a, "atom_id").select("query_id", "atom_id", F.round(vectors.cosine(F.col("q"), F.col("v")), 6).alias("score"))
+    return experiments.parity(top, again).select("query_id", "atom_id", "score")
+
+
+@query(oracle.CONTRIBUTIONS)
+def term_contributions(spark, d):
+    from . import experiments
+
+    rows = experiments.term_contributions(phrased(spark, d), "query_id", F.col("text"), F.array().cast("array<string>"), 10)
+    return rows.select("query_id", "source", "term", "weight", "occurrences", "total", "place")
+
+
+@query(oracle.KNN + "SELECT query_id, CAST(NULL AS DOUBLE) AS threshold, '' AS finding FROM knn WHERE rank <= 0")
+def sweep_invariants(spark, d):
+    from . import experiments
+
+    return experiments.sweep_findings(knn(spark, d, 10), GRID, 10)
+
+
+@query(oracle.KNN + "SELECT query_id, " + oracle.STRESS)
+def stress_reasons(spark, d):
+    j = metrics.judged(ranking(spark, d), relevance(spark, d))
+    g = j.groupBy("query_id").agg(F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("fr"), F.min_by("score", F.when(F.col("rel") == 1, F.col("rank"))).alias("fs"), F.count_if(F.col("rel") == 1).alias("found"))
+    n = relevance(spark, d).groupBy("query_id").agg(F.count("*").alias("n"))
+    return n.join(g, "query_id", "left").select("query_id", metrics.stress_reason(F.col("fr"), F.col("fs"), 3, F.col("n"), F.coalesce("found", F.lit(0))).alias("reason"))
+
+
+@query(oracle.PHRASED + "SELECT query_id AS id, FALSE AS exact_match, TRUE AS normalized_match, TRUE AS lexical_match FROM q")
+def key_strategies(spark, d):
+    """Marks and stop words around a query move the exact key only."""
+    from . import experiments
+
+    q = phrased(spark, d).select(F.col("query_id").alias("id"), F.col("text").alias("seed"), F.concat(F.lit("of the "), F.col("text"), F.lit(" !")).alias("query"))
+    return experiments.key_strategies(q)
+
+
+@query("SELECT p.page_id, p.grade, CASE WHEN grade >= 2 THEN 'E2' WHEN grade = 1 THEN 'E1' WHEN grade = 0 THEN 'C0' ELSE 'U' END AS judgment FROM (SELECT page_id, CASE WHEN page_id % 4 < 3 THEN page_id % 4 END AS grade FROM pages) p")
+def judgment_labels(spark, d):
+    pages = read(spark, d, "pages").select("page_id")
+    j = pages.where("page_id % 4 < 3").select("page_id", (F.col("page_id") % 4).alias("grade"), F.lit("EVIDENCE").alias("role"))
+    return metrics.judgment_label(pages, j, "page_id").select("page_id", "grade", "judgment")

@@ -243,3 +243,16 @@ POLICY = (
     "s AS (SELECT query_id, sample_id, CASE route WHEN 'FUSED' THEN 0.5 * t + 0.5 * a WHEN 'DEFERRED_TO_TRANSCRIPT' THEN t WHEN 'DEFERRED_TO_ACOUSTIC' THEN a END AS score, route FROM aligned JOIN r USING (query_id)) "
     "SELECT query_id, sample_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sample_id) AS rank, route FROM s WHERE score IS NOT NULL"
 )
+CONTRIBUTIONS = (
+    PHRASED
+    + f", t AS (SELECT query_id, 'ORIGINAL' AS source, unnest({tokens('norm')}) AS term, 1.0::DOUBLE AS weight FROM expanded "
+    f"UNION ALL SELECT query_id, 'EXPANSION', unnest({tokens(joined('exp'))}), 0.25::DOUBLE FROM expanded), "
+    "g AS (SELECT query_id, source, term, weight, count(*) AS occurrences, sum(weight) AS total FROM t GROUP BY ALL), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, source, term) AS place FROM g) SELECT * FROM r WHERE place <= 10"
+)
+STRESS = (
+    "CASE WHEN fr IS NULL THEN 'NOT_RETRIEVED' WHEN fs = 0 THEN 'ZERO_SIMILARITY_ONLY' WHEN fr > 3 THEN 'NOT_IN_TOP_K' WHEN fr > 1 THEN 'OUTRANKED' WHEN found < n THEN 'PARTIAL_RECALL' ELSE 'RESOLVED' END AS reason "
+    "FROM (SELECT a.vec_id AS query_id, count(*) AS n FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1) LEFT JOIN "
+    "(SELECT query_id, min(rank) AS fr, arg_min(score, rank) AS fs, count(*) AS found FROM (SELECT k.query_id, k.score, row_number() OVER (PARTITION BY k.query_id ORDER BY k.rank) AS rank, "
+    "a.label = b.label AS rel FROM knn k JOIN embeddings a ON a.vec_id = k.query_id JOIN embeddings b ON b.vec_id = k.atom_id WHERE k.rank <= 6 AND k.query_id <> k.atom_id) WHERE rel AND rank <= 5 GROUP BY 1) USING (query_id)"
+)
