@@ -24,7 +24,7 @@ SHARE = 1.5
 MOST = 2.0
 WORD = r"[^\x20\x09-\x0D]+"
 #: Undecided documents that one task balances at a time.
-BLOCK = 20_000
+BLOCK = 2_000
 _EPS = 1e-9
 
 
