@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
-#: Units that a worker's memo holds; at twice that (about 100 MB) the half that was not asked for lately goes.
-MEMO_UNITS = 180_000
+#: Units that a worker's memo holds; at twice that (about 170 MB) the half that was not asked for lately goes.
+MEMO_UNITS = 300_000
 #: Characters of a leaf.  Longer texts are halved until no part is longer.
 LEAF_CHARS = 32_768
 #: Tokens on either side of a join that the first window takes; it doubles until both sides agree.
