@@ -87,8 +87,8 @@ def components(edges: DataFrame, tag: str, rounds: int = 100) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-#: Bits of the bitmap that only() broadcasts: 16 MB, whatever the number of keys.
-BITMAP_BITS = 1 << 27
+#: Bits of the bitmap that only() broadcasts: 8 MB, whatever the number of keys.
+BITMAP_BITS = 1 << 26
 
 
 def only(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -104,4 +104,5 @@ def only(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_place div 8 as int) + 1, 1)")), 16, 10).cast("int")
     near = rows.withColumn("_bucket", F.bitmap_bucket_number(h)).withColumn("_place", place).join(F.broadcast(bits), "_bucket")
     near = near.withColumn("_byte", byte).where(F.expr("(shiftright(_byte, cast(_place % 8 as int)) & 1) = 1"))
-    return near.select(*rows.columns).join(keys.select(key).distinct(), key, "left_semi")
+    # an inner join with distinct keys: a left semi-join would be moved below the bitmap
+    return near.select(*rows.columns).join(keys.select(key).distinct(), key).select(*rows.columns)
