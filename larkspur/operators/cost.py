@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Usage kinds in order.
-KINDS = ["INPUT_TOKENS", "OUTPUT_TOKENS", "CACHE_READ_TOKENS", "CACHE_WRITE_TOKENS", "REASONING_TOKENS", "REQUESTS"]
+KINDS = ["INPUT_TOKENS", "CACHED_INPUT_TOKENS", "OUTPUT_TOKENS", "REASONING_TOKENS", "REQUESTS", "TOOL_CALLS"]
 
 
 def usage_totals(usage: DataFrame, *by: str) -> DataFrame:

@@ -11,11 +11,11 @@ EPS = 1e-12
 
 
 def min_max(scores: DataFrame, *by: str, score: str = "score") -> DataFrame:
-    """Adds normalized, 0 to 1 within *by*; all 0 and status CONSTANT where the scores are alike."""
+    """Adds normalized, 0 to 1 within *by*; all 0 and status CONSTANT_NO_DISCRIMINATION where the scores are alike."""
     w = Window.partitionBy(*by)
     lo, hi = F.min(score).over(w), F.max(score).over(w)
     t = scores.withColumn("_lo", lo).withColumn("_hi", hi)
-    return t.withColumn("normalized", F.when(F.col("_hi") == F.col("_lo"), 0.0).otherwise((F.col(score) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))).withColumn("status", F.when(F.col("_hi") == F.col("_lo"), "CONSTANT").otherwise("NORMALIZED")).drop("_lo", "_hi")
+    return t.withColumn("normalized", F.when(F.col("_hi") == F.col("_lo"), 0.0).otherwise((F.col(score) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))).withColumn("status", F.when(F.col("_hi") == F.col("_lo"), "CONSTANT_NO_DISCRIMINATION").otherwise("MIN_MAX")).drop("_lo", "_hi")
 
 
 def aligned(corpus: DataFrame, transcript: DataFrame, acoustic: DataFrame) -> DataFrame:
@@ -65,8 +65,24 @@ def outcome(before: Column, after: Column) -> Column:
     return F.when(after - before > EPS, "WIN").when(before - after > EPS, "REGRESS").otherwise("MAINTAIN")
 
 
-def disagreement(transcript_hit: Column, acoustic_hit: Column) -> Column:
-    return F.when(transcript_hit & acoustic_hit, "BOTH_HIT").when(transcript_hit, "TRANSCRIPT_ONLY").when(acoustic_hit, "ACOUSTIC_ONLY").otherwise("BOTH_MISS")
+def modality_outcome(transcript_hit: Column, acoustic_hit: Column) -> Column:
+    return F.when(transcript_hit & acoustic_hit, "BOTH_SUCCEED").when(transcript_hit, "TRANSCRIPT_ONLY").when(acoustic_hit, "ACOUSTIC_ONLY").otherwise("BOTH_FAIL")
+
+
+# Modality outcome, then what the fused ranking makes of it where it hits and where it misses.
+DISAGREEMENT = [
+    ("BOTH_SUCCEED", "BOTH_SUCCEED_RETAINED", "LOST_BOTH_SUCCEED"),
+    ("TRANSCRIPT_ONLY", "RECOVERED_ACOUSTIC_MISS", "LOST_TRANSCRIPT_WIN"),
+    ("ACOUSTIC_ONLY", "RECOVERED_TRANSCRIPT_MISS", "LOST_ACOUSTIC_WIN"),
+    ("BOTH_FAIL", "RECOVERED_BOTH_MISS", "BOTH_MISS_RETAINED"),
+]
+
+
+def disagreement(outcome: Column, hybrid_hit: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for name, hit, miss in DISAGREEMENT:
+        out = F.when(outcome == name, F.when(hybrid_hit, hit).otherwise(miss)).otherwise(out)
+    return out
 
 
 def diagnostics(rank: DataFrame, *by: str, score: str = "score", item: str = "sample_id") -> DataFrame:
@@ -76,6 +92,11 @@ def diagnostics(rank: DataFrame, *by: str, score: str = "score", item: str = "sa
     return t.groupBy(*by).agg(F.count("*").alias("results"), F.min(score).alias("min_score"), F.avg(score).alias("mean_score"), F.max(score).alias("max_score"), F.count_if(F.col("_prev") == F.col(score)).alias("ties"), F.max(F.when(F.col("_r") == 2, F.col("_prev") - F.col(score))).alias("top_gap"))
 
 
-def retrieval_status(sample: Column, rank: Column, score: Column, k: int, threshold: float) -> Column:
-    """What became of a relevant sample: by rules in order."""
-    return F.when(sample.isNull(), "MISSING_SAMPLE").when(score.isNull(), "MISSING_FEATURE_VECTOR").when(score < threshold, "SCORED_BELOW_THRESHOLD").when(rank <= k, "RETRIEVED_AT_K").otherwise("SCORED_BELOW_K")
+def candidate_status(sample: Column, dims: Column, wanted: Column, failed: Column) -> Column:
+    """What becomes of a stored vector: by rules in order.  failed: names of the filters that its sample fails."""
+    return F.when(sample.isNull(), "ORPHAN_VECTOR").when(dims != wanted, "INCOMPATIBLE_DIMENSIONS").when(F.size(failed) > 0, "METADATA_FILTERED").otherwise("SCORED")
+
+
+def retrieval_status(sample: Column, candidate: Column, rank: Column, k: int) -> Column:
+    """What became of a relevant sample, from its candidate_status() (null without a vector) and its rank."""
+    return F.when(sample.isNull(), "MISSING_SAMPLE").when(candidate.isNull(), "MISSING_VECTOR").when(candidate != "SCORED", candidate).when(rank <= k, "RETRIEVED_AT_K").otherwise("SCORED_BELOW_K")

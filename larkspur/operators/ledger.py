@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bytes of a record's payload at most.
+MAX_PAYLOAD = 1 << 20
+
+
 def effective(ledger: DataFrame, *scope: str) -> DataFrame:
     """Rows that no row of their scope supersedes."""
     gone = ledger.where(F.col("supersedes").isNotNull()).select(*scope, F.col("supersedes").alias("event_id")).distinct()
@@ -28,10 +32,10 @@ def recorded_prefix(ledger: DataFrame, at: Column, *scope: str) -> DataFrame:
 
 
 def sequence_findings(ledger: DataFrame, *scope: str) -> DataFrame:
-    """Rows where the sequence doesn't follow the one before: GAP or DUPLICATE."""
+    """Rows where the sequence doesn't follow the one before: SEQUENCE_GAP or DUPLICATE_SEQUENCE."""
     w = Window.partitionBy(*scope).orderBy("seq", "event_id")
     step = F.col("seq") - F.lag("seq").over(w)
-    return ledger.withColumn("step", step).where((F.col("step") != 1) & F.col("step").isNotNull()).select(*scope, "seq", "event_id", F.when(F.col("step") == 0, "DUPLICATE").otherwise("GAP").alias("finding"), "step")
+    return ledger.withColumn("step", step).where((F.col("step") != 1) & F.col("step").isNotNull()).select(*scope, "seq", "event_id", F.when(F.col("step") == 0, "DUPLICATE_SEQUENCE").otherwise("SEQUENCE_GAP").alias("finding"), "step")
 
 
 def history_page(ledger: DataFrame, after: int, high: int, size: int) -> DataFrame:
@@ -92,9 +96,26 @@ def success_ordinal(samples: DataFrame, *group: str, start: str = "start_seq") -
     return samples.withColumn("success_ordinal", F.when(F.col("label") == "SUCCESS", F.row_number().over(w)))
 
 
-def sample_label(status: Column, finished: Column, gates_ok: Column) -> Column:
-    """SUCCESS, FAILURE or UNLABELED of an execution."""
-    return F.when((status == "VALIDATED_ACCEPTED") & finished & gates_ok, "SUCCESS").when((status == "NOT_ACCEPTED") & finished, "FAILURE").otherwise("UNLABELED")
+def sample_reasons(status: Column, outcome: Column, origin: Column, result: Column, gates: Column) -> Column:
+    """Codes that keep an execution from being a labelled sample, in order.  gates: array<struct<ordinal, dimension, state>>."""
+    accepted = status.isin("VALIDATED_ACCEPTED", "ACCEPTED_UNVALIDATED")
+    gate = F.transform(F.array_sort(gates), lambda g: F.when(accepted & g["state"].isNull(), "GATE_MISSING").when(accepted & g["state"].isin("FAIL", "UNKNOWN"), F.concat(F.lit("GATE_"), g["state"])))
+    return F.array_compact(
+        F.concat(
+            F.array(
+                F.when(status == "PENDING", "OUTCOME_PENDING"),
+                F.when((status == "NOT_ACCEPTED") & (outcome == "CANCELLED"), "OUTCOME_CANCELLED"),
+                F.when((status != "PENDING") & (origin == "IMPORTED_CLAIM"), "OUTCOME_IMPORTED_CLAIM"),
+                F.when(accepted & result.isNull(), "ACCEPTED_ATTEMPT_UNFINISHED").when(accepted & (result != "COMPLETED"), "ACCEPTED_ATTEMPT_NOT_COMPLETED"),
+            ),
+            gate,
+        )
+    )
+
+
+def sample_label(status: Column, reasons: Column) -> Column:
+    """SUCCESS, FAILURE or UNLABELED of an execution: any reason leaves it unlabelled."""
+    return F.when(F.size(reasons) > 0, "UNLABELED").when(status == "NOT_ACCEPTED", "FAILURE").otherwise("SUCCESS")
 
 
 def eligibility(**codes: Column) -> Column:
@@ -198,11 +219,10 @@ def parse_framed(lines: DataFrame, column: str = "value") -> DataFrame:
     get = lambda k: F.get(p, F.lit(k))
     payload = get(4)
     finding = (
-        F.when(F.size(p) != 5, "FIELD_COUNT")
-        .when(get(0) != "MXL1", "MAGIC")
-        .when(~get(1).rlike(r"^[1-9]\d{0,17}$"), "SEQUENCE")
-        .when(F.octet_length(payload).cast("string") != get(2), "LENGTH")
-        .when(F.sha2(payload, 256) != get(3), "DIGEST")
+        F.when((F.size(p) != 5) | (get(0) != "MXL1") | ~get(1).rlike(r"^[1-9]\d{0,17}$"), "MALFORMED_RECORD")
+        .when(F.octet_length(payload).cast("string") != get(2), "MALFORMED_RECORD")
+        .when(F.octet_length(payload) > MAX_PAYLOAD, "OVERSIZED_RECORD")
+        .when(F.sha2(payload, 256) != get(3), "DIGEST_MISMATCH")
     )
     return lines.select(F.expr("try_cast(split(" + column + ", '\t', 5)[1] AS BIGINT)").alias("seq"), payload.alias("payload"), finding.alias("finding"))
 

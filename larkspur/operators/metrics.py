@@ -105,10 +105,10 @@ def label_transitions(before: DataFrame, after: DataFrame, *keys: str) -> DataFr
 
 
 def judgment_label(hits: DataFrame, judgments: DataFrame, *keys: str) -> DataFrame:
-    """Label of each hit by the greatest grade among its judgments: E2, E1, C0 (a confounder), U."""
-    j = judgments.groupBy(*keys).agg(F.max("grade").alias("grade"), F.bool_or(F.col("role") == "CONFOUNDER").alias("confounder"))
+    """Label of each hit by its strongest judgment: E and the greatest grade of evidence, C0 for a confounder, U for none."""
+    j = judgments.groupBy(*keys).agg(F.max(F.when(F.col("role") == "EVIDENCE", F.col("grade"))).alias("grade"), F.bool_or(F.col("role") != "EVIDENCE").alias("confounder"))
     g = F.col("grade")
-    return hits.join(j, list(keys), "left").withColumn("judgment", F.when(g >= 2, "E2").when(g == 1, "E1").when(F.col("confounder") | (g == 0), "C0").otherwise("U"))
+    return hits.join(j, list(keys), "left").withColumn("judgment", F.when(g > 0, F.concat(F.lit("E"), g.cast("string"))).when(F.col("confounder"), "C0").otherwise("U"))
 
 
 def hub_concentration(hits: DataFrame, cuts: Sequence[int] = (1, 3, 10), atom: str = "atom_id") -> DataFrame:
@@ -129,11 +129,11 @@ def jaccard(a: DataFrame, b: DataFrame, k: int, item: str = "atom_id") -> DataFr
     return t.select("query_id", F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect("x", "y")) / union).alias("jaccard"))
 
 
-def stress_reason(first_rank: Column, first_score: Column, deepest: int, n_relevant: Column, found: Column) -> Column:
-    """Why a stress query isn't resolved, by rules in order."""
+def stress_reason(first_rank: Column, best_score: Column, deepest: int, n_relevant: Column, found: Column) -> Column:
+    """Why a stress query isn't resolved, by rules in order.  found: relevant ones within *deepest* and above zero."""
     return (
         F.when(first_rank.isNull(), "NOT_RETRIEVED")
-        .when(first_score == 0, "ZERO_SIMILARITY_ONLY")
+        .when(best_score == 0, "ZERO_SIMILARITY_ONLY")
         .when(first_rank > deepest, "NOT_IN_TOP_K")
         .when(first_rank > 1, "OUTRANKED")
         .when(found < n_relevant, "PARTIAL_RECALL")
@@ -143,7 +143,53 @@ def stress_reason(first_rank: Column, first_score: Column, deepest: int, n_relev
 
 def key_transfer(expected_relevant: Column, key_matched: Column, moved: Column) -> Column:
     """Did feedback of one query reach another as it should?"""
-    return F.when(~key_matched, "ISOLATED").when(~moved, "SHARED_KEY_NO_MOVEMENT").when(expected_relevant, "INTENDED_TRANSFER").otherwise("CONTAMINATION")
+    return F.when(~key_matched, "ISOLATED_NO_TRANSFER").when(expected_relevant, "INTENDED_TRANSFER").when(moved, "CONTAMINATION").otherwise("SHARED_KEY_NO_MOVEMENT")
+
+
+def normalized_stress(equivalent: Column, key_matched: Column, moved: Column) -> Column:
+    """Class of a stress pair under normalized keys; equivalent texts must share a key."""
+    broken = F.raise_error(F.lit("equivalent stress pairs must share a key")).cast("string")
+    return (
+        F.when(equivalent & ~key_matched, broken)
+        .when(equivalent, "SAFE_EQUIVALENT_SHARING")
+        .when(~key_matched, "SAFE_ISOLATION")
+        .when(moved, "CONTAMINATION")
+        .otherwise("COLLISION_WITHOUT_MOVEMENT")
+    )
+
+
+def stress_decision(cases: DataFrame) -> DataFrame:
+    """One row of cases (relationship, key_matched, moved): any distinct pair with one key is a risk; a pass needs every
+    equivalent pair to share its key and one of them to move."""
+    equal = F.col("relationship") == "EQUIVALENT"
+    g = cases.agg(F.bool_or((F.col("relationship") == "DISTINCT") & F.col("key_matched")).alias("risk"), F.bool_and(~equal | F.col("key_matched")).alias("shared"), F.bool_or(equal & F.col("moved")).alias("moved"))
+    return g.select(F.when(F.col("risk"), "NORMALIZED_STRESS_RISK").when(F.col("shared") & F.col("moved"), "NORMALIZED_STRESS_PASS").otherwise("INCONCLUSIVE").alias("decision"))
+
+
+def book_failure(ranked: DataFrame, judgments: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, failure) by rules in order.
+
+    ranked (query_id, rank, key, ordinal), judgments (query_id, key, ordinal, grade, role), queries (query_id, answerable)."""
+    ev = judgments.where("role = 'EVIDENCE' AND grade > 0").select("query_id", "key", "ordinal").distinct()
+    conf = judgments.where("role = 'CONFOUNDER' OR grade = 0").select("query_id", "key").distinct().withColumn("_c", F.lit(True))
+    near = ev.select("query_id", F.explode(F.array(F.col("ordinal") - 1, F.col("ordinal") + 1)).alias("ordinal")).distinct().withColumn("_n", F.lit(True))
+    t = ranked.join(ev.select("query_id", "key").distinct().withColumn("_e", F.lit(True)), ["query_id", "key"], "left").join(conf, ["query_id", "key"], "left").join(near, ["query_id", "ordinal"], "left")
+    at = lambda c: F.min(F.when(F.col(c), F.col("rank"))).alias(c)
+    g = t.groupBy("query_id").agg(F.count("*").alias("n"), at("_e"), at("_c"), at("_n"), F.count_distinct(F.when(F.col("_e"), F.col("key"))).alias("found"))
+    want = ev.groupBy("query_id").agg(F.count_distinct("key").alias("want"))
+    q = queries.join(g, "query_id", "left").join(want, "query_id", "left")
+    first = F.col("_e")
+    rule = (
+        F.when(~F.col("answerable") & F.coalesce(F.col("n") > 0, F.lit(False)), "FALSE_POSITIVE")
+        .when(~F.col("answerable"), "ABSTAINED")
+        .when(first.isNull(), "NO_RELEVANT_RESULT")
+        .when(F.col("_c") < first, "DISTRACTOR")
+        .when(F.col("_n") < first, "CHUNK_BOUNDARY_GAP")
+        .when(first > 1, "WRONG_RANK")
+        .when(F.col("found") == F.col("want"), "NONE")
+        .otherwise("MULTI_EVIDENCE_GAP")
+    )
+    return q.select("query_id", rule.alias("failure"))
 
 
 def stratified(rows: DataFrame, stratum: str, key: str, n: int, seed: str) -> DataFrame:

@@ -118,7 +118,7 @@ def recall(atom_rows: DataFrame, queries: DataFrame, k: int = 10, threshold: flo
 
 
 class Query:
-    """resonate-style builder: Query(atoms, texts).top(5).threshold(0.1).run()"""
+    """Builder of a recall: Query(atoms, texts).top(5).threshold(0.1).run()"""
 
     def __init__(self, atom_rows: DataFrame, queries: DataFrame):
         self._atoms, self._queries, self._k, self._t = atom_rows, queries, 10, 0.0

@@ -255,7 +255,7 @@ def history_page(spark, d):
     return ledger.history_page(t, 100, 100000, 50).select("event_id", "user_id", "event_type")
 
 
-@query("WITH s AS (SELECT user_id, event_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM events) SELECT user_id, event_id, CASE WHEN step = 0 THEN 'DUPLICATE' ELSE 'GAP' END AS finding, step FROM s WHERE step <> 1")
+@query("WITH s AS (SELECT user_id, event_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM events) SELECT user_id, event_id, CASE WHEN step = 0 THEN 'DUPLICATE_SEQUENCE' ELSE 'SEQUENCE_GAP' END AS finding, step FROM s WHERE step <> 1")
 def sequence_gaps(spark, d):
     t = read(spark, d, "events").withColumn("seq", F.col("event_id"))
     return ledger.sequence_findings(t, "user_id").select("user_id", "event_id", "finding", "step")
@@ -279,7 +279,7 @@ def append_status(spark, d):
     return ledger.append_status(t.select("scope", "event_id", "payload"), stored).select("event_id", "status")
 
 
-@query("SELECT event_id + 1 AS seq, event_type || '|' || event_id AS payload, CASE event_id % 4 WHEN 1 THEN 'DIGEST' WHEN 2 THEN 'MAGIC' END AS finding FROM events")
+@query("SELECT event_id + 1 AS seq, event_type || '|' || event_id AS payload, CASE event_id % 4 WHEN 1 THEN 'DIGEST_MISMATCH' WHEN 2 THEN 'MALFORMED_RECORD' END AS finding FROM events")
 def ledger_frames(spark, d):
     line = ledger.framed(F.col("event_id") + 1, F.concat_ws("|", "event_type", F.col("event_id").cast("string")))
     bad = F.when(F.col("event_id") % 4 == 1, F.regexp_replace(line, "\t[0-9a-f]{64}\t", F.lit("\t" + "0" * 64 + "\t"))).when(F.col("event_id") % 4 == 2, F.concat(F.lit("X"), line)).otherwise(line)
@@ -295,7 +295,9 @@ def executions(spark: SparkSession, d: str) -> DataFrame:
     t = read(spark, d, "orders").join(lines, "o_orderkey", "left")
     dims = F.array(*(F.struct(F.lit(k).alias("ordinal"), F.lit(n).alias("dimension"), F.col(f"s{k}").alias("state")) for k, n in ((1, "BUILD"), (2, "TESTS"), (3, "REVIEW"))))
     origin = F.when(F.col("o_orderpriority").startswith("1"), "IMPORTED_CLAIM").otherwise("VALIDATED")
-    return t.select("o_orderkey", "o_custkey", ledger.acceptance(status, origin, F.when(F.col("ls") == "F", "COMPLETED").when(F.col("ls") == "O", "CANCELLED"), dims).alias("acc"), F.col("ls").isNotNull().alias("finished"))
+    result = F.when(F.col("ls") == "F", "COMPLETED").when(F.col("ls") == "O", "CANCELLED")
+    t = t.select("o_orderkey", "o_custkey", ledger.acceptance(status, origin, result, dims).alias("acc"), status.alias("outcome"), origin.alias("origin"), result.alias("result"), dims.alias("dims"))
+    return t.withColumn("why", ledger.sample_reasons(F.col("acc.status"), *map(F.col, ("outcome", "origin", "result", "dims"))))
 
 
 @query(oracle.EXECUTIONS + "SELECT o_orderkey, status, array_to_string(reasons, '; ') AS reasons FROM exec")
@@ -304,7 +306,7 @@ def acceptance_derive(spark, d):
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
-    return executions(spark, d).withColumn("label", ledger.sample_label(F.col("acc.status"), F.col("finished"), F.lit(True)))
+    return executions(spark, d).withColumn("label", ledger.sample_label(F.col("acc.status"), F.col("why")))
 
 
 @query(oracle.EXECUTIONS + f"SELECT o_orderkey, {oracle.LABEL} AS label FROM exec")
@@ -478,7 +480,7 @@ def sweep_invariants(spark, d):
 @query(oracle.KNN + "SELECT query_id, " + oracle.STRESS)
 def stress_reasons(spark, d):
     j = metrics.judged(ranking(spark, d), relevance(spark, d))
-    g = j.groupBy("query_id").agg(F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("fr"), F.min_by("score", F.when(F.col("rel") == 1, F.col("rank"))).alias("fs"), F.count_if(F.col("rel") == 1).alias("found"))
+    g = j.groupBy("query_id").agg(F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("fr"), F.max(F.when(F.col("rel") == 1, F.col("score"))).alias("fs"), F.count_if((F.col("rel") == 1) & (F.col("rank") <= 3) & (F.col("score") > 0)).alias("found"))
     n = relevance(spark, d).groupBy("query_id").agg(F.count("*").alias("n"))
     return n.join(g, "query_id", "left").select("query_id", metrics.stress_reason(F.col("fr"), F.col("fs"), 3, F.col("n"), F.coalesce("found", F.lit(0))).alias("reason"))
 
@@ -492,8 +494,8 @@ def key_strategies(spark, d):
     return experiments.key_strategies(q)
 
 
-@query("SELECT p.page_id, p.grade, CASE WHEN grade >= 2 THEN 'E2' WHEN grade = 1 THEN 'E1' WHEN grade = 0 THEN 'C0' ELSE 'U' END AS judgment FROM (SELECT page_id, CASE WHEN page_id % 4 < 3 THEN page_id % 4 END AS grade FROM pages) p")
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'C0' WHEN 1 THEN 'E1' WHEN 2 THEN 'E2' ELSE 'U' END AS judgment FROM pages")
 def judgment_labels(spark, d):
     pages = read(spark, d, "pages").select("page_id")
-    j = pages.where("page_id % 4 < 3").select("page_id", (F.col("page_id") % 4).alias("grade"), F.lit("EVIDENCE").alias("role"))
-    return metrics.judgment_label(pages, j, "page_id").select("page_id", "grade", "judgment")
+    j = pages.where("page_id % 4 < 3").select("page_id", (F.col("page_id") % 4).alias("grade"), F.when(F.col("page_id") % 4 == 0, "CONFOUNDER").otherwise("EVIDENCE").alias("role"))
+    return metrics.judgment_label(pages, j, "page_id").select("page_id", "judgment")

@@ -190,16 +190,16 @@ EXECUTIONS = (
     + ", ".join(f"max(CASE l_returnflag WHEN 'A' THEN 'PASS' WHEN 'R' THEN 'FAIL' ELSE 'UNKNOWN' END) FILTER (l_linenumber = {k}) AS s{k}" for k in (1, 2, 3))
     + ", min(l_linestatus) AS ls FROM lineitem GROUP BY 1), "
     "o AS (SELECT orders.*, li.* EXCLUDE (o_orderkey), CASE o_orderstatus WHEN 'O' THEN 'PENDING' WHEN 'F' THEN 'ACCEPTED' ELSE 'REJECTED' END AS st FROM orders LEFT JOIN li USING (o_orderkey)), "
-    "w AS (SELECT o_orderkey, o_custkey, st, ls IS NOT NULL AS finished, list_filter([CASE WHEN ls IS NULL THEN 'accepted attempt is not finished' WHEN ls = 'O' THEN 'accepted attempt is CANCELLED' END, "
+    "w AS (SELECT o_orderkey, o_custkey, st, starts_with(o_orderpriority, '1') AS imported, list_filter([CASE WHEN ls IS NULL THEN 'accepted attempt is not finished' WHEN ls = 'O' THEN 'accepted attempt is CANCELLED' END, "
     "CASE WHEN starts_with(o_orderpriority, '1') THEN 'outcome is an imported claim, not a validated outcome' END, "
     + ", ".join(f"CASE WHEN s{k} IS NULL THEN '{n}: no applicable evidence' WHEN s{k} IN ('FAIL', 'UNKNOWN') THEN '{n}: ' || s{k} END" for k, n in ((1, "BUILD"), (2, "TESTS"), (3, "REVIEW")))
     + "], lambda x: x IS NOT NULL) AS why FROM o), "
-    "exec AS (SELECT o_orderkey, o_custkey, finished, CASE WHEN st = 'PENDING' THEN 'PENDING' WHEN st <> 'ACCEPTED' THEN 'NOT_ACCEPTED' WHEN len(why) = 0 THEN 'VALIDATED_ACCEPTED' ELSE 'ACCEPTED_UNVALIDATED' END AS status, "
+    "exec AS (SELECT o_orderkey, o_custkey, imported, CASE WHEN st = 'PENDING' THEN 'PENDING' WHEN st <> 'ACCEPTED' THEN 'NOT_ACCEPTED' WHEN len(why) = 0 THEN 'VALIDATED_ACCEPTED' ELSE 'ACCEPTED_UNVALIDATED' END AS status, "
     "CASE WHEN st = 'PENDING' THEN [] WHEN st <> 'ACCEPTED' THEN ['outcome is ' || st] ELSE why END AS reasons FROM w) "
 )
-LABEL = "CASE WHEN status = 'VALIDATED_ACCEPTED' AND finished THEN 'SUCCESS' WHEN status = 'NOT_ACCEPTED' AND finished THEN 'FAILURE' ELSE 'UNLABELED' END"
+LABEL = "CASE WHEN status = 'VALIDATED_ACCEPTED' THEN 'SUCCESS' WHEN status = 'NOT_ACCEPTED' AND NOT imported THEN 'FAILURE' ELSE 'UNLABELED' END"
 USAGE = (
-    "WITH usage AS (SELECT l_suppkey, (['INPUT_TOKENS', 'OUTPUT_TOKENS', 'CACHE_READ_TOKENS', 'CACHE_WRITE_TOKENS', 'REASONING_TOKENS', 'REQUESTS'])[l_linenumber % 6 + 1] AS kind, CAST(l_quantity AS BIGINT) AS value, "
+    "WITH usage AS (SELECT l_suppkey, (['INPUT_TOKENS', 'CACHED_INPUT_TOKENS', 'OUTPUT_TOKENS', 'REASONING_TOKENS', 'REQUESTS', 'TOOL_CALLS'])[l_linenumber % 6 + 1] AS kind, CAST(l_quantity AS BIGINT) AS value, "
     "CASE WHEN l_returnflag = 'A' THEN 'REPORTED' WHEN l_returnflag = 'R' THEN 'ESTIMATED' WHEN l_linestatus = 'O' THEN 'UNKNOWN' END AS provenance FROM lineitem) "
 )
 PRICED = (
@@ -253,6 +253,6 @@ CONTRIBUTIONS = (
 STRESS = (
     "CASE WHEN fr IS NULL THEN 'NOT_RETRIEVED' WHEN fs = 0 THEN 'ZERO_SIMILARITY_ONLY' WHEN fr > 3 THEN 'NOT_IN_TOP_K' WHEN fr > 1 THEN 'OUTRANKED' WHEN found < n THEN 'PARTIAL_RECALL' ELSE 'RESOLVED' END AS reason "
     "FROM (SELECT a.vec_id AS query_id, count(*) AS n FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1) LEFT JOIN "
-    "(SELECT query_id, min(rank) AS fr, arg_min(score, rank) AS fs, count(*) AS found FROM (SELECT k.query_id, k.score, row_number() OVER (PARTITION BY k.query_id ORDER BY k.rank) AS rank, "
+    "(SELECT query_id, min(rank) AS fr, max(score) AS fs, count(*) FILTER (rank <= 3 AND score > 0) AS found FROM (SELECT k.query_id, k.score, row_number() OVER (PARTITION BY k.query_id ORDER BY k.rank) AS rank, "
     "a.label = b.label AS rel FROM knn k JOIN embeddings a ON a.vec_id = k.query_id JOIN embeddings b ON b.vec_id = k.atom_id WHERE k.rank <= 6 AND k.query_id <> k.atom_id) WHERE rel AND rank <= 5 GROUP BY 1) USING (query_id)"
 )

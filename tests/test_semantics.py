@@ -183,7 +183,7 @@ def test_pareto_cycle_is_unassessed(spark):
 
 def test_constant_arm_and_routes(spark):
     s = spark.createDataFrame([("q", "a", 2.0), ("q", "b", 2.0)], "query_id string, sample_id string, score double")
-    assert {(r.normalized, r.status) for r in fusion.min_max(s, "query_id").collect()} == {(0.0, "CONSTANT")}
+    assert {(r.normalized, r.status) for r in fusion.min_max(s, "query_id").collect()} == {(0.0, "CONSTANT_NO_DISCRIMINATION")}
     corpus = spark.createDataFrame([("q", x) for x in "abc"], "query_id string, sample_id string")
     t = fusion.min_max(spark.createDataFrame([("q", "a", 1.0), ("q", "b", 2.0)], s.schema), "query_id")
     a = fusion.min_max(spark.createDataFrame([("q", "a", 1.0)], s.schema), "query_id")
@@ -267,3 +267,33 @@ def test_streaming_appends_once(spark, tmp_path):
     ingest.append_once(ingest.events(spark, src), out, bad, cp).awaitTermination()
     assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == ["e1", "e2"]
     assert [r.payload for r in spark.read.parquet(bad).collect()] == ["other"]
+
+
+def test_book_failures(spark):
+    q = spark.createDataFrame([(k, k not in ("n1", "n2")) for k in ("a", "b", "c", "d", "e", "n1", "n2", "z")], "query_id string, answerable boolean")
+    j = spark.createDataFrame([(k, "E", 10, 2, "EVIDENCE") for k in "abcdez"] + [("e", "F", 30, 1, "EVIDENCE"), ("a", "X", 99, 0, "CONFOUNDER")], "query_id string, key string, ordinal int, grade int, role string")
+    r = [("a", 1, "X", 99), ("a", 2, "E", 10), ("b", 1, "N", 11), ("b", 2, "E", 10), ("c", 1, "Q", 50), ("c", 2, "E", 10), ("d", 1, "E", 10), ("e", 1, "E", 10), ("n1", 1, "E", 10), ("z", 1, "Q", 50)]
+    got = dict(map(tuple, metrics.book_failure(spark.createDataFrame(r, "query_id string, rank int, key string, ordinal int"), j, q).collect()))
+    assert got == {"a": "DISTRACTOR", "b": "CHUNK_BOUNDARY_GAP", "c": "WRONG_RANK", "d": "NONE", "e": "MULTI_EVIDENCE_GAP", "n1": "FALSE_POSITIVE", "n2": "ABSTAINED", "z": "NO_RELEVANT_RESULT"}
+
+
+def test_key_classes(spark):
+    t = spark.createDataFrame([("EVAL", True, True, True), ("EVAL", False, True, True), ("EVAL", False, True, False), ("EVAL", True, False, True)], "x string, intended boolean, matched boolean, moved boolean")
+    c = [F.col(n) for n in ("intended", "matched", "moved")]
+    assert [r[0] for r in t.select(metrics.key_transfer(*c)).collect()] == ["INTENDED_TRANSFER", "CONTAMINATION", "SHARED_KEY_NO_MOVEMENT", "ISOLATED_NO_TRANSFER"]
+    cases = spark.createDataFrame([("EQUIVALENT", True, True), ("DISTINCT", False, False)], "relationship string, key_matched boolean, moved boolean")
+    assert metrics.stress_decision(cases).first()[0] == "NORMALIZED_STRESS_PASS"
+    assert metrics.stress_decision(cases.withColumn("key_matched", F.lit(True))).first()[0] == "NORMALIZED_STRESS_RISK"
+
+
+def test_speech_classes(spark):
+    t = spark.createDataFrame([(True, False, True), (False, False, False)], "t boolean, a boolean, h boolean")
+    o = fusion.modality_outcome(F.col("t"), F.col("a"))
+    assert [r[0] for r in t.select(fusion.disagreement(o, F.col("h"))).collect()] == ["RECOVERED_ACOUSTIC_MISS", "BOTH_MISS_RETAINED"]
+    s = spark.createDataFrame([("s", 4, []), (None, 4, []), ("s", 3, []), ("s", 4, ["speaker"])], "s string, d int, f array<string>")
+    assert [r[0] for r in s.select(fusion.candidate_status(F.col("s"), F.col("d"), F.lit(4), F.col("f"))).collect()] == ["SCORED", "ORPHAN_VECTOR", "INCOMPATIBLE_DIMENSIONS", "METADATA_FILTERED"]
+
+
+def test_exclusions(spark):
+    df = spark.createDataFrame([("VALIDATED_ACCEPTED", 5, [(2, "TESTS", "FAIL"), (1, "BUILD", None)]), ("PENDING", None, [])], "s string, c long, g array<struct<ordinal:int,dimension:string,state:string>>")
+    assert [r[0] for r in df.select(compare.exclusions(*map(F.col, "scg"))).collect()] == [["GATE_MISSING", "GATE_FAIL"], ["NOT_VALIDATED_ACCEPTED"]]
