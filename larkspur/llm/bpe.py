@@ -20,10 +20,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import kept, ship
 
-#: Units that a worker's memo holds; at twice that (about 170 MB) the half that was not asked for lately goes.
-MEMO_UNITS = 300_000
+#: Units that a worker's memo holds; at twice that (about 120 MB) the half that was not asked for lately goes.
+MEMO_UNITS = 220_000
 #: Characters of a leaf.  Longer texts are halved until no part is longer.
 LEAF_CHARS = 32_768
 #: Tokens on either side of a join that the first window takes; it doubles until both sides agree.
@@ -257,14 +257,9 @@ class Encoder:
         return leaves[0] if leaves else np.zeros(0, "<u4")
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One encoder a worker and file; workers live on, and so does what they have learnt."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept(("bpe", path), lambda: Encoder(path))
 
 
 def halves(text: str, leaf: int) -> list[str]:

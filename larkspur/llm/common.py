@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +35,21 @@ def ship(spark: SparkSession) -> None:
     sc._larkspur_shipped = True
 
 
+_KEPT: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a worker keeps from task to task: one object at a time.  Workers outlive queries and stages, so the caches of
+    several operators would add up; the one before goes when another is asked for, and its memory is given back."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def work_dir(spark: SparkSession, tag: str) -> str:
     """A new folder name under the shared folder of spark.checkpoint.dir.
 

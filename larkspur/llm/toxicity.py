@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import batches, texts_of
-from .common import discard, saved, ship
+from .common import discard, kept, saved, ship
 
 #: Labelled rows of either class that the dictionaries and the threshold are fitted to, at most (by hash of doc_id).
 MAX_TRAINING_ROWS = 10_000
@@ -31,7 +31,7 @@ LOG_RATIO = 2.5
 LEVEL = 19
 CARRIER = b" carrier::window::0123456789 "
 #: Windows whose evidence a worker keeps.
-MEMO = 500_000
+MEMO = 250_000
 #: Longer words are compared by overlapping parts of this length.
 PART = 32
 STEEPNESS = 25.0
@@ -167,10 +167,9 @@ def scored(docs: DataFrame, model: Model, keep: list[str], text: str = "text", n
     ship(docs.sparkSession)
     own = docs.select(*keep, F.col(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1]) + f", {name} double"
-    made: list[Scorer] = []
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = _scorer(model, made)
+        s = kept(("toxicity", model.toxic, model.ordinary), lambda: Scorer(model))
         for whole in it:
             for b in batches(whole):
                 e = pa.array([s.evidence(t) for t in texts_of(b.column(b.num_columns - 1))], pa.float64())
@@ -179,18 +178,6 @@ def scored(docs: DataFrame, model: Model, keep: list[str], text: str = "text", n
     return own.mapInArrow(rows, schema)
 
 
-_SCORERS: dict[tuple, Scorer] = {}
-
-
-def _scorer(model: Model, made: list) -> Scorer:
-    """One scorer a worker and model; it outlives the task."""
-    key = (model.toxic, model.ordinary)
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(model)
-    return _SCORERS[key]
-
-
 def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None, fitted: bool = False) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) of every row of docs.
 
