@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, ship
+from .common import keep_one, ship
 
 #: Units that a worker's memo holds; at twice that (about 120 MB) the half that was not asked for lately goes.
 MEMO_UNITS = 220_000
@@ -259,7 +259,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """One encoder a worker and file; workers live on, and so does what they have learnt."""
-    return kept(("bpe", path), lambda: Encoder(path))
+    return keep_one(("bpe", path), lambda: Encoder(path))
 
 
 def halves(text: str, leaf: int) -> list[str]:

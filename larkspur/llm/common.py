@@ -38,7 +38,7 @@ def ship(spark: SparkSession) -> None:
 _KEPT: dict[Hashable, Any] = {}
 
 
-def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+def keep_one(key: Hashable, make: Callable[[], Any]) -> Any:
     """What a worker keeps from task to task: one object at a time.  Workers outlive queries and stages, so the caches of
     several operators would add up; the one before goes when another is asked for, and its memory is given back."""
     if key not in _KEPT:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import batches, texts_of
-from .common import discard, kept, saved, ship
+from .common import discard, keep_one, saved, ship
 
 #: Labelled rows of either class that the dictionaries and the threshold are fitted to, at most (by hash of doc_id).
 MAX_TRAINING_ROWS = 10_000
@@ -169,7 +169,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str], text: str = "text", n
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1]) + f", {name} double"
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = kept(("toxicity", model.toxic, model.ordinary), lambda: Scorer(model))
+        s = keep_one(("toxicity", model.toxic, model.ordinary), lambda: Scorer(model))
         for whole in it:
             for b in batches(whole):
                 e = pa.array([s.evidence(t) for t in texts_of(b.column(b.num_columns - 1))], pa.float64())
