@@ -30,6 +30,8 @@ LEAST_TEXTS, LEAST_SHARE = 3, 0.005
 LOG_RATIO = 2.5
 LEVEL = 19
 CARRIER = b" carrier::window::0123456789 "
+#: Stands before a dictionary's content, whose first bytes no match can reach.
+PAD = bytes(range(16))
 #: Windows whose evidence a worker keeps.
 MEMO = 250_000
 #: Longer words are compared by overlapping parts of this length.
@@ -63,7 +65,7 @@ class Scorer(dict):
         import zstandard as z
 
         def compressor(content: bytes) -> z.ZstdCompressor:
-            d = z.ZstdCompressionDict(content + CARRIER, dict_type=z.DICT_TYPE_RAWCONTENT)
+            d = z.ZstdCompressionDict(PAD + content + CARRIER, dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
             return z.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
 
