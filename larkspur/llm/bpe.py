@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -297,9 +297,20 @@ def batches(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pa.Record
             yield batch.slice(at, n)
 
 
-def encoded(docs: DataFrame, path: str, leaf: int = LEAF_CHARS, text: str = "text", key: str = "doc_id") -> DataFrame:
+def ids_column(enc: Encoder, ids: list[bytes]) -> dict[str, pa.Array]:
+    return {"ids": pa.array(ids, pa.binary())}
+
+
+def digest_columns(enc: Encoder, ids: list[bytes]) -> dict[str, pa.Array]:
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    return {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_sha256": pa.array(list(map(sha, ids)), pa.string()), "decoded_sha256": pa.array([sha(enc.decode(x)) for x in ids], pa.string())}
+
+
+def encoded(docs: DataFrame, path: str, leaf: int = LEAF_CHARS, text: str = "text", key: str = "doc_id", finish: Callable[[Encoder, list[bytes]], dict[str, pa.Array]] = ids_column, columns: str = "ids binary") -> DataFrame:
     """(doc_id, ids binary): the whole text's ids as little-endian unsigned 32-bit integers.  Null text: no ids.
 
+    *finish* makes other columns of the ids where they come about, so that a task needs one Python worker, not two.
+
     Texts up to *leaf* characters are encoded where they are read.  Longer ones are halved to leaves, which are dealt to
     all tasks and encoded there; each text's leaves then meet in one group of its own and are joined pair by pair.  Rows
     with the same doc_id stay rows of their own: a long row is told apart by its place in the scan.
@@ -313,7 +324,7 @@ def encoded(docs: DataFrame, path: str, leaf: int = LEAF_CHARS, text: str = "tex
         enc = encoder(path)
         for whole in rows:
             for b in batches(whole):
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(enc.encode(texts_of(b.column(1))), pa.binary())], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column(0)} | finish(enc, enc.encode(texts_of(b.column(1)))))
 
     def leaves(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special = encoder(path).special
@@ -338,33 +349,18 @@ def encoded(docs: DataFrame, path: str, leaf: int = LEAF_CHARS, text: str = "tex
         for s, ids in zip(group["segment"].to_pylist(), group["ids"].to_pylist(), strict=True):
             by.setdefault(s, []).append(np.frombuffer(ids, dtype="<u4"))
         ids = np.concatenate([enc.tree(by[s]) for s in sorted(by)]).astype("<u4").tobytes()
-        return pa.table({"doc_id": group["doc_id"][:1], "ids": pa.array([ids], pa.binary())})
+        return pa.table({"doc_id": group["doc_id"][:1]} | finish(enc, [ids]))
 
-    few = own.where(F.coalesce(F.length("text"), F.lit(0)) <= leaf).mapInArrow(short, f"doc_id {kind}, ids binary")
+    few = own.where(F.coalesce(F.length("text"), F.lit(0)) <= leaf).mapInArrow(short, f"doc_id {kind}, {columns}")
     long = own.where(F.length("text") > leaf).select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
     parts = long.mapInArrow(leaves, f"doc_id {kind}, row long, leaf int, segment int, text string").repartition("row", "leaf")
-    many = parts.mapInArrow(leaf_ids, f"doc_id {kind}, row long, leaf int, segment int, ids binary").groupBy("row").applyInArrow(joined, f"doc_id {kind}, ids binary")
+    many = parts.mapInArrow(leaf_ids, f"doc_id {kind}, row long, leaf int, segment int, ids binary").groupBy("row").applyInArrow(joined, f"doc_id {kind}, {columns}")
     return few.unionByName(many)
 
 
-def digests(ids: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded()."""
-    kind = dict(ids.dtypes)["doc_id"]
-
-    def rows(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        for whole in batches_:
-            for b in batches(whole):
-                got = b.column(1).to_pylist()
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in got], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in got]), pa.array([hashlib.sha256(enc.decode(x)).hexdigest() for x in got])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return ids.mapInArrow(rows, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
 def bpe_round_trip(docs: DataFrame, path: str | None = None, leaf: int = LEAF_CHARS) -> DataFrame:
     """Encode every whole text and decode it again: one row per input row (doc_id, n_tokens, ids_sha256, decoded_sha256).
 
     Null and empty texts have no ids; repeated rows give repeated rows; other columns of docs are ignored.
     """
-    path = path or vocabulary()
-    return digests(encoded(docs, path, leaf), path)
+    return encoded(docs, path or vocabulary(), leaf, finish=digest_columns, columns="n_tokens long, ids_sha256 string, decoded_sha256 string")
