@@ -1,13 +1,18 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model of characters, trained on trusted text.
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of words, trained on trusted text.
 
-Characters are mapped to a closed alphabet of 64 symbols, so that the model has at most 64**ORDER entries however large
-the corpus: that bound is what lets the finished model be broadcast.  Everything before it is counted and joined in
+Runs of one to three words are counted and joined in tables that grow with the corpus: counts combine where they are read,
+probabilities are put together by joins, and what documents ask for is joined to the finished table and summed by text.
+Words are open: one never seen has the probability of its spelling under a model of characters.
+
+In that model characters are mapped to a closed alphabet of 64 symbols, so that the model has at most 64**ORDER entries however large
+the corpus: that bound is what lets it be broadcast.  Everything before it is counted and joined in
 shards: n-gram counts are summed where they are read, then by n-gram; counts of counts, context totals and continuation
 counts are aggregates of the sharded count table, and joins by context put probabilities and back-off weights together.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import batches, texts_of
-from .common import discard, keep_one, only, saved, ship
+from .common import BITMAP_BITS, discard, keep_one, only, saved, ship
+from .dart_minhash import mixed
 
 #: Longest n-gram and bits of a symbol: 64**4 = 16.8 million entries of 4 bytes at most.
 ORDER, BITS = 4, 6
@@ -31,6 +37,13 @@ LEAST_DOCS = 20
 FOLDS = 5
 #: The symbols after blank (0) and unknown (1), lower case; the rest of 64 are classes.
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzäöüßéèêëàâáíîïóôúùûñç.,;:'\"-()"
+#: The most frequent runs of words, which every task holds (16 bytes each); all others are joined.
+HOT_RUNS = 1 << 20
+#: Words, and fingerprints of texts, that a worker remembers.
+MEMO = 250_000
+#: What stands before and behind a text's words.
+START, END = 1, 2
+_TOKEN = re.compile(r"\w+|[^\w\s]+")
 _DIGIT, _UPPER, _OTHER_LETTER, _MARK = (2 + len(SYMBOLS) + k for k in range(4))
 assert _MARK < 1 << BITS
 
@@ -185,23 +198,230 @@ def train(trusted: DataFrame) -> Model | None:
     return Model([(g[order == k].astype(np.int32), p[order == k], int(k)) for k in np.unique(order)])
 
 
-def perplexities(docs: DataFrame, model: Model, keep: list[str], text: str = "text", name: str = "log_ppl") -> DataFrame:
-    """The columns of keep, with *name* double, the log perplexity: mean negative log probability of the whole text's symbols; null without text."""
+# -- words ---------------------------------------------------------------------------------------------------------------
+
+
+def tokens(text: str) -> list[str]:
+    """Runs of letters and digits, and runs of other marks, as they are written."""
+    return _TOKEN.findall(text)
+
+
+def word_key(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """One 64-bit key of a run of three words; 0 stands for the words that a shorter run doesn't have."""
+    with np.errstate(over="ignore"):
+        return mixed(mixed(mixed(a.view(np.uint64)) + b.view(np.uint64)) + c.view(np.uint64)).view(np.int64)
+
+
+class Words(dict):
+    """word -> (hash, log probability of its spelling and the blank behind it under the model of characters)"""
+
+    def __init__(self, logp: np.ndarray):
+        super().__init__({"": (END, float(logp[0]))})
+        self.logp = logp
+
+    def know(self, ws: set[str]) -> None:
+        import xxhash
+
+        if len(self) > MEMO:
+            end = self[""]
+            self.clear()
+            self[""] = end
+        new = [w for w in ws if w not in self]
+        if not new:
+            return
+        gap = " " * (ORDER - 1)
+        code = np.frombuffer((gap + gap.join(new) + gap).encode("utf-32-le", "replace"), "<u4")
+        if not _TABLE:
+            _TABLE.append(_table())
+        lp = self.logp[grams(_TABLE[0][np.minimum(code, (1 << 16) - 1)])]
+        # symbol k of the text is lp[k - ORDER + 1]; a word's part ends with one blank, the other blanks count for nothing
+        size = np.array([len(w) for w in new])
+        start = np.concatenate([[0], np.cumsum(size + ORDER - 1)[:-1]])
+        cum = np.concatenate([[0.0], np.cumsum(lp, dtype=np.float64)])
+        for w, x in zip(new, (cum[start + size + 1] - cum[start]).tolist(), strict=True):
+            self[w] = (xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) - (1 << 63), x)
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the text's words behind two START and before END, and base log probabilities without the START."""
+        ws = tokens(text)
+        self.know(set(ws))
+        got = [self[w] for w in ws]
+        got.append(self[""])
+        return np.array([START, START, *(x[0] for x in got)], np.int64), np.array([x[1] for x in got])
+
+
+def word_counts(docs: DataFrame, chars: Model) -> DataFrame:
+    """(a, b, c long, n long, base double) of all runs of three words; sums combine before the shuffle."""
+    ship(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(chars)
+
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(held.value.dense())
+        for whole in it:
+            for b in batches(whole, 1_000_000):
+                got = [words.of(t) for t in texts_of(b.column(0)) if t and not t.isspace()]
+                if got:
+                    parts = [np.concatenate([h[k : len(h) - 2 + k] for h, _ in got]) for k in range(3)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, parts), pa.array(np.concatenate([x for _, x in got]))], ["a", "b", "c", "base"])
+
+    return docs.select("text").mapInArrow(rows, "a long, b long, c long, base double").groupBy("a", "b", "c").agg(F.count("*").alias("n"), F.max("base").alias("base"))
+
+
+def word_weights(t3: DataFrame) -> tuple[DataFrame, float]:
+    """(key long, w double, n long), one row per run of one to three words, and the log weight of the spelling.
+
+    Interpolated modified Kneser-Ney of words, whose lowest order backs off to the model of characters, so that a word never
+    seen has a probability too.  The log probability of a word is a sum of independent terms: its spelling, what
+    each run that ends in it adds to the order below, and the back-off weights of the runs before it.  So a text's is the sum
+    of w over all its runs, and runs that the model doesn't have add nothing: one join looks all orders up.
+    """
+    t2 = saved(t3.groupBy("b", "c").agg(F.count("*").alias("n"), F.max("base").alias("base")), "words-2")
+    t1 = saved(t2.groupBy("c").agg(F.count("*").alias("n"), F.max("base").alias("base")), "words-1")
+
+    def off(t: DataFrame) -> DataFrame:
+        cc = {r["n"]: r["c"] for r in t.where("n <= 4").groupBy("n").agg(F.count("*").alias("c")).collect()}
+        d = discounts([cc.get(j, 0) for j in (1, 2, 3, 4)])
+        return t.withColumn("d", F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2]))
+
+    def contexts(t: DataFrame, *by: str) -> DataFrame:
+        return t.groupBy(*by).agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("weight"))
+
+    t3, t2, t1 = off(t3), off(t2), off(t1)
+    whole = contexts(t1).first()
+    zero = F.lit(0).cast("long")
+    p1 = t1.select("c", "n", "base", ((F.col("n") - F.col("d")) / whole["total"] + whole["weight"] * F.exp("base")).alias("p"))
+    s2, s3 = contexts(t2, "b"), contexts(t3, "a", "b")
+    share = (F.col("n") - F.col("d")) / F.col("total")
+    p2 = t2.drop("base").join(s2, "b").join(p1.select("c", F.col("p").alias("low")), "c").select("b", "c", "n", (share + F.col("weight") * F.col("low")).alias("p"), (F.col("weight") * F.col("low")).alias("low"))
+    p2 = saved(p2, "words-p2")
+    p3 = t3.drop("base").join(s3, ["a", "b"]).join(p2.select("b", "c", F.col("p").alias("low")), ["b", "c"]).select("a", "b", "c", "n", (share + F.col("weight") * F.col("low")).alias("p"), (F.col("weight") * F.col("low")).alias("low"))
+    gain = F.log(F.col("p") / F.col("low")).alias("w")
+    parts = [
+        p3.select("a", "b", "c", gain, "n"),
+        p2.select(zero.alias("a"), "b", "c", gain, "n"),
+        p1.select(zero.alias("a"), zero.alias("b"), "c", (F.log("p") - F.log(F.lit(whole["weight"])) - F.col("base")).alias("w"), "n"),
+        s3.select(zero.alias("a"), F.col("a").alias("b"), F.col("b").alias("c"), F.log("weight").alias("w"), F.col("total").alias("n")),
+        s2.select(zero.alias("a"), zero.alias("b"), F.col("b").alias("c"), F.log("weight").alias("w"), F.col("total").alias("n")),
+    ]
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.unionByName(x)
+
+    def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            yield pa.RecordBatch.from_arrays([pa.array(word_key(*(b.column(k).to_numpy() for k in range(3)))), b.column(3), b.column(4)], ["key", "w", "n"])
+
+    out = saved(every.groupBy("a", "b", "c").agg(F.sum("w").alias("w"), F.max("n").alias("n")).mapInArrow(keyed, "key long, w double, n long"), "words-w")
+    for x in (t2, t1, p2):
+        discard(x)
+    return out, float(np.log(whole["weight"]))
+
+
+@dataclass
+class WordModel:
+    """What a task holds of the model of words, all of fixed size: the model of characters, the most frequent runs, and a
+    bitmap of the others' keys.  The others themselves stay in a table that grows with the corpus, and are joined."""
+
+    chars: Model
+    spelling: float
+    keys: np.ndarray
+    weights: np.ndarray
+    bits: np.ndarray
+
+
+def train_words(trusted: DataFrame, hot: int | None = None) -> tuple[WordModel, DataFrame] | None:
+    """The model of trusted documents' whole texts, and (key, w) of the runs that aren't among its *hot* most frequent ones."""
+    chars = train(trusted)
+    if chars is None:
+        return None
+    ship(trusted.sparkSession)
+    counts = saved(word_counts(trusted, chars), "words-3")
+    table, spelling = word_weights(counts)
+    discard(counts)
+    # the least count of a frequent run: as many runs as fit, all of the same count or none
+    hist = table.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("runs")).collect()  # at most 100,000 rows
+    least, room = 100_001, HOT_RUNS if hot is None else hot
+    for r in sorted(hist, key=lambda r: -r["n"]):
+        if (room := room - r["runs"]) < 0:
+            break
+        least = r["n"]
+    got = table.where(F.col("n") >= least).select("key", "w").toArrow()
+    keys, weights = got["key"].to_numpy(), got["w"].to_numpy()
+    at = np.argsort(keys)
+    tail = table.where(F.col("n") < least).select("key", "w")
+    place = F.pmod("key", F.lit(BITMAP_BITS)) + 1
+    bits = np.zeros(BITMAP_BITS // 8, np.uint8)
+    for r in tail.select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("bit")).groupBy("k").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+        part = np.frombuffer(r["bits"], np.uint8)  # 8 MB in all
+        bits[(r["k"] - 1) * len(part) : r["k"] * len(part)] = part
+    return WordModel(chars, spelling, keys[at], weights[at], bits), tail
+
+
+def fingerprint(text: str = "text") -> list[F.Column]:
+    """Two independent hashes of the text: what a score belongs to."""
+    return [F.when(F.col(text).isNotNull(), F.xxhash64(*x)).alias(name) for x, name in (((F.col(text),), "_h1"), ((F.lit(7), F.col(text)), "_h2"))]
+
+
+def text_scores(docs: DataFrame, model: WordModel, tail: DataFrame) -> DataFrame:
+    """(_h1, _h2, log_ppl) of each different text with words.
+
+    A task adds up spellings and frequent runs, and asks the tail for the other runs that the bitmap lets pass; answers are
+    summed by text.  A text that is asked for by several tasks has all its sums as many times, and the same mean.
+    """
     spark = docs.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(model)
-    own = docs.select(*keep, F.col(text).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1]) + f", {name} double"
     number = held._jbroadcast.id() if held._jbroadcast is not None else id(held)
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logp = keep_one(("kneser-ney", number), lambda: held.value.dense())
+        m = held.value
+        words = keep_one(("words", number), lambda: Words(m.chars.dense()))
+        seen: set[tuple[int, int]] = set()
         for whole in it:
-            for b in batches(whole):
-                got = [-float(logp[grams(symbols(t))].mean(dtype=np.float64)) if t and not t.isspace() else None for t in texts_of(b.column(b.num_columns - 1))]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.float64())], [*b.schema.names[:-1], name])
-
-    return own.mapInArrow(rows, schema)
+            for b in batches(whole, 1_000_000):
+                ids, own, asked, times = [], [], [], []
+                for h1, h2, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2)), strict=True):
+                    if not t or t.isspace() or (h1, h2) in seen:
+                        continue
+                    if len(seen) > MEMO:
+                        seen.clear()
+                    seen.add((h1, h2))
+                    h, base = words.of(t)
+                    a, b_, c, none = h[:-2], h[1:-1], h[2:], np.zeros(len(h) - 2, np.int64)
+                    # runs that end in a word, and runs of one and two words before a word: each run once an occurrence
+                    keys = np.concatenate([word_key(a, b_, c), word_key(none, a, b_), word_key(none[:1], b_[-1:], c[-1:]), word_key(none, none, b_), word_key(none[:1], none[:1], c[-1:])])
+                    total = base.sum() + len(base) * m.spelling
+                    if len(m.keys):
+                        at = np.minimum(np.searchsorted(m.keys, keys), len(m.keys) - 1)
+                        hit = m.keys[at] == keys
+                        total += m.weights[at[hit]].sum()
+                        keys = keys[~hit]
+                    bit = (keys & (BITMAP_BITS - 1)).astype(np.int64)
+                    keys, n = np.unique(keys[(m.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1], return_counts=True)
+                    ids.append((h1, h2, 1 + len(keys)))
+                    # the text's own row is dealt out by its hash
+                    asked += [np.array([h1]), keys]
+                    times += [np.array([0]), n]
+                    own.append((float(total), len(base)))
+                if not ids:
+                    continue
+                size = np.array([x[2] for x in ids])
+                first = np.concatenate([[0], np.cumsum(size)[:-1]])
+                score, count = np.zeros(size.sum()), np.zeros(size.sum(), np.int64)
+                score[first], count[first] = [x[0] for x in own], [x[1] for x in own]
+                hs = [np.repeat(np.array([x[k] for x in ids], np.int64), size) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, [*hs, np.concatenate(asked), np.concatenate(times).astype(np.int64), score, count])], ["_h1", "_h2", "key", "n", "score", "words"])
+
+    terms = docs.select(*fingerprint(), "text").mapInArrow(rows, "_h1 long, _h2 long, key long, n long, score double, words long")
+    met = terms.join(tail, "key", "left")
+    sums = met.groupBy("_h1", "_h2").agg(F.sum(F.col("score") + F.col("n") * F.coalesce("w", F.lit(0.0))).alias("score"), F.sum("words").alias("words"))
+    return sums.select("_h1", "_h2", (-F.col("score") / F.col("words")).alias("log_ppl"))
+
+
+def perplexities(docs: DataFrame, model: WordModel, tail: DataFrame, keep: list[str], name: str = "log_ppl") -> DataFrame:
+    """The columns of keep, with *name* double, the log perplexity: mean negative log probability of the whole text's words; null without words."""
+    found = text_scores(docs, model, tail).withColumnRenamed("log_ppl", name)
+    return docs.select(*keep, *fingerprint()).join(found, ["_h1", "_h2"], "left").select(*keep, name)
 
 
 def thresholds(held_out: DataFrame, quantile: float = QUANTILE, least: int = LEAST_DOCS, slack: float = SLACK) -> dict[str | None, float]:
@@ -230,26 +450,30 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if prepared is None:
         none = F.lit(None).cast("double")
         return own.select("doc_id", "lang", none.alias("perplexity"), none.alias("threshold"), (F.trim(F.coalesce("text", F.lit(""))) != "").alias("keep"))
-    model, limit = prepared
-    rows = perplexities(own, model, ["doc_id", "lang"])
+    model, tail, limit = prepared
+    rows = perplexities(own, model, tail, ["doc_id", "lang"])
     keep = F.coalesce(F.col("log_ppl") <= F.coalesce(limit, F.col("log_ppl")), F.lit(False))
     return rows.select("doc_id", "lang", F.exp("log_ppl").alias("perplexity"), F.exp(limit).alias("threshold"), keep.alias("keep"))
 
 
-def prepare(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> tuple[Model, F.Column] | None:
-    """The model and, by the column lang, the greatest log perplexity that is kept (null where nothing sets one)."""
+def prepare(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> tuple[WordModel, DataFrame, F.Column] | None:
+    """The model, its table of less frequent runs and, by the column lang, the greatest log perplexity that is kept (null where nothing sets one)."""
     good = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 AND t = 0").select("doc_id")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     trusted = docs.select("doc_id", "text", "lang")
     train_on, hold_out = (only(trusted.where(x), good.where(x), "doc_id") for x in (fold != 0, fold == 0))
-    model = train(train_on)
-    if model is None:
+    train_on = saved(train_on, "words-trusted")
+    trained = train_words(train_on)
+    discard(train_on)
+    if trained is None:
         return None
-    cut = thresholds(perplexities(hold_out, model, ["lang"]), quantile, slack=slack)
+    hold_out = saved(hold_out, "words-held-out")
+    cut = thresholds(perplexities(hold_out, *trained, ["lang"]), quantile, slack=slack)
+    discard(hold_out)
     limit = F.lit(cut.pop("", None)).cast("double")
     for lang, x in cut.items():
         limit = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(x)).otherwise(limit)
-    return model, limit
+    return *trained, limit
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -257,7 +481,7 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     prepared = prepare(docs, labels)
     if prepared is None:
         return docs.where(F.trim(F.coalesce("text", F.lit(""))) != "")
-    model, limit = prepared
+    model, tail, limit = prepared
     own = "_log_ppl_of_text"  # the documents may have any other column
-    rows = perplexities(docs, model, docs.columns, name=own)
+    rows = perplexities(docs, model, tail, docs.columns, name=own)
     return rows.where(F.col(own) <= F.coalesce(limit, F.col(own))).select(*docs.columns)

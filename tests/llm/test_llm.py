@@ -307,6 +307,61 @@ def test_quality(spark, corpus):
     assert ngram_quality.quality(df.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("hot", [0, 20, None])
+def test_words_equal_plain_kneser_ney(spark, hot):
+    texts = ["the cat sat on the mat.", "the dog sat", "a cat and a dog", "Zebra", "the cat sat on a dog"] * 2 + ["the dog and the cat"]
+    model, tail = ngram_quality.train_words(docs(spark, texts), hot=hot)
+    assert tail.count() + len(model.keys) > 50 and (hot is None or len(model.keys) <= hot)
+    chars = model.chars.dense().reshape(-1, 64)
+    grams = {k: {} for k in (1, 2, 3)}
+    for t in texts:
+        s = ["<", "<", *ngram_quality.tokens(t), ">"]
+        for g in zip(s, s[1:], s[2:]):
+            grams[3][g] = grams[3].get(g, 0) + 1
+    for k in (2, 1):
+        for g in grams[k + 1]:
+            grams[k][g[1:]] = grams[k].get(g[1:], 0) + 1
+    disc = {k: ngram_quality.discounts([sum(v == j for v in grams[k].values()) for j in (1, 2, 3, 4)]) for k in grams}
+
+    def spelling(w):
+        s = [0, 0, 0, *(ngram_quality.symbols(w).tolist()[3:] if w != ">" else []), 0]
+        return np.exp(sum(float(chars[(s[k - 3] << 12) | (s[k - 2] << 6) | s[k - 1], s[k]]) for k in range(3, len(s))))
+
+    def prob(g):
+        if not g:
+            raise AssertionError
+        k = len(g)
+        low = spelling(g[0]) if k == 1 else prob(g[1:])
+        seen = {h: n for h, n in grams[k].items() if h[:-1] == g[:-1]}
+        if not seen:
+            return low
+        total, off = sum(seen.values()), lambda n: disc[k][min(n, 3) - 1]
+        return ((seen[g] - off(seen[g])) / total if g in seen else 0) + sum(map(off, seen.values())) / total * low
+
+    asked = ["the cat sat", "a zebra sat on the dog", "the the the the", "$$$ cat", "Zebra", "the cat sat", None, " \n"]
+    got = ngram_quality.perplexities(docs(spark, asked), model, tail, ["doc_id"]).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        t = asked[r.doc_id]
+        if not t or t.isspace():
+            assert r.log_ppl is None
+            continue
+        s = ["<", "<", *ngram_quality.tokens(t), ">"]
+        want = -np.mean([np.log(prob(g)) for g in zip(s, s[1:], s[2:])])
+        assert abs(r.log_ppl - want) < 1e-4, t
+
+
+def test_quality_sees_the_order_of_words(spark, corpus):
+    r, text = corpus
+    # all words begin and end alike, so that no window of four characters sees which word stands before
+    known = [" ".join(f"zaaa{w}aaaz" for w in text(9).split()) for _ in range(40)]
+    whole = [" ".join(r.choice(known) for _ in range(8)) for _ in range(150)]
+    mixed = [" ".join(r.sample(t.split(), 72)) for t in whole[:20]]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.keep for x in ngram_quality.quality(docs(spark, whole + mixed), labels).collect()}
+    assert sum(got[i] for i in range(150)) >= 145 and not any(got[150 + i] for i in range(20))
+
+
 def test_toxicity_on_held_out_rows(spark, corpus):
     r, text = corpus
     rows, labels = [], []
