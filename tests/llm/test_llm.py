@@ -202,6 +202,17 @@ def test_components(spark):
     assert got == {v: root(v) for e in edges for v in e if e[0] != e[1]}
 
 
+def test_components_of_long_shuffled_paths(spark):
+    edges, want = [], {}
+    for k, n in enumerate((3000, 1000, 2)):
+        ids = list(range(k * 10_000, k * 10_000 + n))
+        random.Random(k).shuffle(ids)
+        edges += zip(ids, ids[1:])
+        want |= dict.fromkeys(ids, k * 10_000)
+    assert dict(map(tuple, common.components(spark.createDataFrame(edges, "a long, b long"), "t", rounds=20).collect())) == want
+    assert common.components(spark.createDataFrame([(1, 1)], "a long, b long"), "t").count() == 0
+
+
 def test_only(spark):
     a, k = spark.range(5000).withColumnRenamed("id", "doc_id"), spark.range(0, 9000, 7).withColumnRenamed("id", "doc_id")
     assert common.only(a, k, "doc_id").count() == 715
