@@ -111,10 +111,12 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", key:
 
 
 def filter_urls_joined(pages: DataFrame, rules: DataFrame, url: str = "url", key: str = "page_id", default: str = DEFAULT) -> DataFrame:
-    """The same for lists of any length, whose paths are empty or end in '/': distinct hosts and paths meet the rules in a join.
+    """The same for lists of any length: distinct hosts and paths meet the rules in a join.
 
-    Each distinct (host, path) asks for the suffixes of its host and the prefixes of its path; max_by keeps the longest.
-    Hot hosts are asked for once.
+    A rule is keyed by its host and its path up to the last '/'.  Each distinct (host, path) asks for the suffixes of its host
+    and the prefixes of its path that end there, and learns how long the rules of that place are; then it asks for its own
+    prefixes of those lengths, and the longest that exists is kept.  So many rules of one place cost a url their different
+    lengths at most.  Hot hosts are asked for once.
     """
     rest = F.when(F.instr(url, "://") > 0, F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)")).otherwise("")
     parts = pages.select(F.col(key), rest.alias("r")).select(
@@ -127,6 +129,11 @@ def filter_urls_joined(pages: DataFrame, rules: DataFrame, url: str = "url", key
     hosts = F.concat(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), ".")), F.array(F.lit("")))
     paths = F.concat(F.array(F.lit("")), F.filter(F.transform(F.sequence(F.lit(1), F.size(segments)), lambda k: F.when(k < F.size(segments), F.concat(F.array_join(F.slice(segments, 1, k), "/"), F.lit("/")))), lambda x: x.isNotNull()))
     keys = asked.withColumn("rh", F.explode(F.array_distinct(hosts))).withColumn("rp", F.explode(F.array_distinct(paths)))
-    known = rules.select(F.col("host").alias("rh"), F.col("path").alias("rp"), F.col("verdict").alias("v")).groupBy("rh", "rp").agg(F.max("v").alias("v"))
-    best = keys.join(known, ["rh", "rp"]).groupBy("host", "path").agg(F.max(F.struct(F.when(F.col("rh") == "", 0).otherwise(F.size(F.split("rh", r"\."))).alias("a"), F.length("rp").alias("b"), "rh", "rp", "v")).alias("m"))
-    return parts.join(best, ["host", "path"], "left").select(key, "host", "path", F.concat("m.rh", "m.rp").alias("rule"), F.coalesce("m.v", F.lit(default)).alias("verdict"))
+    stem = F.regexp_extract("path", r"(?s)^(.*/)?", 1)
+    # of rules for the same place, block wins
+    known = rules.groupBy("host", "path").agg(F.max("verdict").alias("v")).select(F.col("host").alias("rh"), stem.alias("rp"), F.col("path").alias("rule_path"), "v")
+    lengths = known.groupBy("rh", "rp").agg(F.collect_set(F.length("rule_path")).alias("lengths"))
+    tried = keys.join(lengths, ["rh", "rp"]).withColumn("n", F.explode("lengths")).where(F.length("path") >= F.col("n"))
+    fit = tried.withColumn("rule_path", F.substring("path", F.lit(1), F.col("n"))).join(known.drop("rp"), ["rh", "rule_path"])
+    best = fit.groupBy("host", "path").agg(F.max(F.struct(F.when(F.col("rh") == "", 0).otherwise(F.size(F.split("rh", r"\."))).alias("a"), F.length("rule_path").alias("b"), "rh", "rule_path", "v")).alias("m"))
+    return parts.join(best, ["host", "path"], "left").select(key, "host", "path", F.concat("m.rh", "m.rule_path").alias("rule"), F.coalesce("m.v", F.lit(default)).alias("verdict"))

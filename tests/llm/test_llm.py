@@ -119,6 +119,17 @@ def test_url_rules(spark):
     assert a[4][1:] == ("www.example.com", "/en/x", "www.example.com/en/", "allow")
 
 
+def test_joined_rules_with_any_path(spark, monkeypatch):
+    hosts = ["example.com", "a.example.com", "b.org"]
+    urls = [f"http://{h}{p}" for h in hosts for p in ("", "/", "/ads", "/adsense", "/ads/x", "/index.html", "/en/in", "/en/index.html?q", "/en/x", "/e")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [url_filter.Rule(*r) for r in [("block", "example.com", "/ads"), ("allow", "example.com", "/ads/"), ("block", "example.com", "/index.html"), ("block", "", "/en/in"), ("allow", "example.com", "/en/"), ("block", "b.org", "/e"), ("allow", "b.org", "/en/i"), ("allow", "a.example.com", "/ad"), ("block", "b.org", "/en/i")]]
+    want = sorted(map(tuple, url_filter.filter_urls(pages, rules).collect()))
+    monkeypatch.setattr(url_filter, "MAX_TRIE_RULES", 2)
+    assert sorted(map(tuple, url_filter.filter_urls(pages, rules).collect())) == want
+    assert (0 * 10 + 3, "example.com", "/adsense", "example.com/ads", "block") in want
+
+
 def test_trie_against_brute_force():
     r = random.Random(2)
     hosts = [".".join(p) for n in (1, 2, 3) for p in itertools.product("ab", repeat=n)]
