@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import in_blocks, saved
 from .vectors import SAMPLE, as_matrix, distances, fingerprint, kmeans, mapped, met, units, valid
 
 K = 5
@@ -91,8 +91,9 @@ def nearest(rows: DataFrame, k: int = K, every: int = 50, vector: str = "embeddi
     asked = own.where(F.col("id") % every == 0).groupBy("fp").agg(F.count("*").alias("asked"))
     one = saved(few.groupBy("fp").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids"), F.first("v").alias("v"), F.first("dim").alias("dim")).join(asked, "fp", "left"), "scan-distinct")
     out = None
-    for (dim,) in sorted(one.where("asked IS NOT NULL").select("dim").distinct().limit(1_000).collect()):
-        got = _searched(one.where(F.col("dim") == dim), k, sample)
+    # each length on its own
+    dims = sorted(n for (n,) in one.where("asked IS NOT NULL").select("dim").distinct().collect())
+    for got in in_blocks((_searched(one.where(F.col("dim") == dim), k, sample) for dim in dims), "scan-found"):
         out = got if out is None else out.unionByName(got)
     schema = "query_id long, rank int, vec_id long, score double"
     if out is None:

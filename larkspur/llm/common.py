@@ -8,7 +8,8 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from itertools import chain, islice
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,6 +81,23 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def in_blocks(parts: Iterable[DataFrame], tag: str, block: int = 32) -> Iterator[DataFrame]:
+    """The parts themselves where they fit one block; of more, the saved union of each block, so that no plan has them all."""
+    parts = iter(parts)
+    held = list(islice(parts, block))
+    more = next(parts, None)
+    if more is None:
+        yield from held
+        return
+    parts = chain([more], parts)
+    while held:
+        whole = held[0]
+        for x in held[1:]:
+            whole = whole.unionByName(x)
+        yield saved(whole, tag)
+        held = list(islice(parts, block))
+
+
 def components(edges: DataFrame, tag: str, rounds: int = 100) -> DataFrame:
     """Connected components of undirected edges (a long, b long): rows (id long, component long, the smallest id reached).
 

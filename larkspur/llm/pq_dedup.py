@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, saved
+from .common import components, discard, in_blocks, saved
 from .vectors import SAMPLE, as_matrix, distances, fingerprint, kmeans, mapped, met, sampled, units, valid
 
 COSINE = 0.93
@@ -71,8 +71,9 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, vector: str = "embeddi
     one = saved(good.groupBy("label", "fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")), "pq-distinct")
     r = math.sqrt(max(0.0, 2 - 2 * cosine))
     found = None
-    for (dim,) in sorted(one.select(F.size("v").alias("n")).distinct().limit(1_000).collect()):
-        found_here = _found(one.where(F.size("v") == dim), cosine, r, sample)
+    # each length on its own
+    dims = sorted(n for (n,) in one.select(F.size("v").alias("n")).distinct().collect())
+    for found_here in in_blocks((_found(one.where(F.size("v") == dim), cosine, r, sample) for dim in dims), "pq-found"):
         found = found_here if found is None else found.unionByName(found_here)
     if found is None:
         known = one.select("label", "fp", F.lit(0).cast("long").alias("n"), F.col("rep").alias("component"))

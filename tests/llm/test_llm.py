@@ -475,6 +475,25 @@ def test_scan_recall_and_order(spark):
     assert adaptive_scan.nearest(few.limit(0)).count() == 0
 
 
+def test_every_length_is_searched(spark, monkeypatch):
+    n = 1030
+    df = spark.createDataFrame([(50 * i, [1.0] * (i + 1), 1) for i in range(n)], "vec_id long, embedding array<float>, label int")
+    looked = []
+    for module, name in ((pq_dedup, "_found"), (adaptive_scan, "_searched")):
+        monkeypatch.setattr(module, name, lambda *_: looked.append(1))
+        monkeypatch.setattr(module, "in_blocks", lambda parts, tag: list(parts)[:0], raising=False)
+    assert pq_dedup.near_vectors(df).count() == n and len(looked) == n
+    looked.clear()
+    adaptive_scan.nearest(df)
+    assert len(looked) == n
+
+
+def test_blocks_hold_all_parts(spark):
+    for n, want in ((0, 0), (4, 4), (5, 2), (9, 3)):
+        got = list(common.in_blocks((spark.range(k, k + 1, 1, 1) for k in range(n)), "t", block=4))
+        assert len(got) == want and sorted(r.id for x in got for r in x.collect()) == list(range(n))
+
+
 # -- op10 ----------------------------------------------------------------------------------------------------------------
 
 
