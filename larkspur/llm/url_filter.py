@@ -13,6 +13,8 @@ from .common import ship
 
 #: Rules that a broadcast trie may hold (under 500 MB of a worker's memory); longer lists are joined by key instead.
 MAX_TRIE_RULES = 1_000_000
+#: The key under which a host's node holds its paths: no label of a host, empty ones included, equals it.
+PATHS = ("paths",)
 #: What a url gets that no rule fits.
 DEFAULT = "allow"
 
@@ -40,7 +42,7 @@ def url_parts(url: str | None) -> tuple[str, str]:
 
 
 class Trie:
-    """Nodes are dicts: host labels from the right, then path segments from the left under the key ''.
+    """Nodes are dicts: host labels from the right, then path segments from the left under the key PATHS.
 
     A rule's path that does not end in '/' may end inside a segment; its rest is kept at the node above it.
     """
@@ -51,7 +53,7 @@ class Trie:
             node = self.root
             for label in reversed(r.host.split(".")) if r.host else ():
                 node = node.setdefault(label, {})
-            node = node.setdefault("", {})
+            node = node.setdefault(PATHS, {})
             *whole, rest = r.path.split("/")
             for seg in whole:
                 node = node.setdefault(seg, {})
@@ -64,7 +66,7 @@ class Trie:
         segments = path.split("/")
         labels = host.split(".") if host else []
         for k in range(len(labels) + 1):
-            if under := node.get(""):
+            if under := node.get(PATHS):
                 best = self._path(under, segments) or best
             if k == len(labels) or (node := node.get(labels[-1 - k])) is None:
                 break
@@ -87,8 +89,9 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", key:
     """(key, host, path, rule, verdict), one row per input row.
 
     Null or unparsable urls have an empty host and path and get the default verdict unless a rule without host and path
-    exists.  The trie is broadcast inside the function up to MAX_TRIE_RULES; longer lists go to filter_urls_joined().
-    Only the two columns named are read.
+    exists.  The trie is broadcast up to MAX_TRIE_RULES; longer lists go to filter_urls_joined(), which gives the same rows.
+    Repeated rows and repeated keys give rows of their own, an empty table gives none, and other columns, whatever their
+    names, aren't read.
     """
     if len(rules) > MAX_TRIE_RULES:
         spark = pages.sparkSession
