@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, discard, in_blocks, saved
-from .vectors import SAMPLE, as_matrix, distances, fingerprint, kmeans, mapped, met, sampled, units, valid
+from .vectors import SAMPLE, as_matrix, distances, fingerprint, kmeans, mapped, met, sampled, units, is_valid
 
 COSINE = 0.93
 #: Coarse lists, sub-vectors and points of a codebook.
@@ -61,14 +61,16 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, vector: str = "embeddi
 
     Rows with a null label, or a vector that is null, empty, zero or has null or non-finite components, have no links and
     are components of their own.  Vectors of different length never link.  Equal vectors of a label are compared once, so
-    a third of all rows may be copies of one.  Rows that repeat a key count as vectors of their own in n_links.
+    a third of all rows may be copies of one.  Rows that repeat a key are vectors of their own: each has its links, and
+    counts in those of others; an empty table gives no rows, and other columns aren't read.
     """
     spark = rows.sparkSession
     lab = F.col(label).cast("string") if label else F.lit("")
     own = rows.select(F.col(key).cast("long").alias("id"), lab.alias("label"), F.col(vector).alias("v"))
-    good = valid(own.where("label IS NOT NULL AND id IS NOT NULL"), "v").withColumn("label", F.concat_ws("/", "label", F.size("v"))).withColumn("fp", fingerprint("v"))
+    usable = F.col("label").isNotNull() & F.col("id").isNotNull() & is_valid("v")
+    good = own.where(usable).withColumn("label", F.concat_ws("/", "label", F.size("v"))).withColumn("fp", fingerprint("v"))
     good = saved(good, "pq-rows")
-    one = saved(good.groupBy("label", "fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")), "pq-distinct")
+    one = saved(good.groupBy("label", "fp").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("v").alias("v")).withColumn("rep", F.xxhash64("label", "fp")), "pq-distinct")
     r = math.sqrt(max(0.0, 2 - 2 * cosine))
     found = None
     # each length on its own
@@ -76,15 +78,16 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, vector: str = "embeddi
     for found_here in in_blocks((_found(one.where(F.size("v") == dim), cosine, r, sample) for dim in dims), "pq-found"):
         found = found_here if found is None else found.unionByName(found_here)
     if found is None:
-        known = one.select("label", "fp", F.lit(0).cast("long").alias("n"), F.col("rep").alias("component"))
+        known = one.select("label", "fp", (F.col("copies") - 1).alias("n"), F.col("least").alias("component"))
     else:
         found = saved(found, "pq-found")
         counts = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
         label_of = components(found.where("b IS NOT NULL").select("a", "b"), "pq").select(F.col("id").alias("rep"), "component")
-        known = one.join(counts, "rep", "left").join(label_of, "rep", "left").select("label", "fp", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
+        known = one.join(counts, "rep", "left").join(label_of, "rep", "left").select("label", "fp", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
+        smallest = known.groupBy("c").agg(F.min("least").alias("component"))
+        known = known.join(smallest, "c").select("label", "fp", "n", "component")
     linked = good.join(known, ["label", "fp"]).select(F.col("id").alias(key), F.col("n").alias("n_links"), F.col("component").alias("component_id"))
-    usable = valid(own.where("label IS NOT NULL AND id IS NOT NULL"), "v").select("id").distinct()
-    alone = own.join(usable, "id", "left_anti").select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    alone = own.where(~usable).select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
 
