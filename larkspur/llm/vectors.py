@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import ship
 
 #: Vectors that lists and codebooks are fitted to, at most (by hash of id): what the driver holds.
-SAMPLE = 8_192
+SAMPLE = 32_768
 #: Vectors of either side that one task compares at a time.
 BLOCK = 4_096
 
@@ -27,11 +28,15 @@ def as_matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
-def valid(rows: DataFrame, vector: str, dim: int | None = None) -> DataFrame:
-    """Rows whose vector is not null, empty or zero and has finite components only."""
+def is_valid(vector: str) -> F.Column:
+    """Is the vector not null, empty or zero, and are all its components finite?"""
     x = F.col(vector)
     ok = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
-    return rows.where(F.coalesce(ok, F.lit(False)))
+    return F.coalesce(ok, F.lit(False))
+
+
+def valid(rows: DataFrame, vector: str) -> DataFrame:
+    return rows.where(is_valid(vector))
 
 
 def fingerprint(vector: str) -> F.Column:
@@ -54,6 +59,12 @@ def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None], 0)
 
 
+def list_count(rows: int, sample: int, least: int) -> int:
+    """Coarse lists for that many vectors: their square root, so that lists and their lengths grow alike; *least* at least,
+    and one for every 16 vectors of the sample at most."""
+    return max(1, min(max(least, int(math.sqrt(rows))), sample // 16))
+
+
 def kmeans(x: np.ndarray, k: int, seed: int = 0, rounds: int = 8) -> np.ndarray:
     """At most k centres; equal rows give equal centres once."""
     x = np.unique(x, axis=0)
@@ -63,8 +74,11 @@ def kmeans(x: np.ndarray, k: int, seed: int = 0, rounds: int = 8) -> np.ndarray:
     for _ in range(rounds):
         near = distances(x, c).argmin(1)
         n = np.bincount(near, minlength=k)
+        order = np.argsort(near, kind="stable")
         total = np.zeros_like(c)
-        np.add.at(total, near, x)
+        if len(x):
+            starts = np.flatnonzero(np.diff(near[order], prepend=-1))
+            total[near[order][starts]] = np.add.reduceat(x[order], starts, axis=0)
         c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
     return c
 
