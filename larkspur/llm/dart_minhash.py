@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import batches, texts_of
@@ -53,40 +53,49 @@ def shingles(own: list[str], words: int = WORDS) -> np.ndarray:
     return out
 
 
-def weighted(s: np.ndarray, counted: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles and their weights: 1 each, or how often they occur."""
+def weighted(s: np.ndarray, counted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles and their weights: how often they occur, or 1 each."""
     x, n = np.unique(s, return_counts=True)
-    return x, n.astype(np.int64) if counted else np.ones(len(x), np.int64)
+    return x, n.astype(np.float64) if counted else np.ones(len(x))
+
+
+def strips(elements: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(name, width) of the unit strips that make up each element's region; the last one of a region may be narrower."""
+    n = np.ceil(weights).astype(np.int64)
+    if len(elements) == 0 or n.max() <= 1:
+        return mixed(elements), weights
+    at = np.repeat(np.arange(len(elements)), n)
+    turn = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    return mixed(elements[at] ^ mixed(turn.astype(np.uint64))), np.minimum(weights[at] - turn, 1.0)
 
 
 def signature(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """The K earliest darts of a weighted set with whole weights (none empty).
+    """The K earliest darts of a set with positive real weights (not empty).
 
-    A strip of weight w is w strips of width one.  On each, gaps between darts are exponential; only those with a dart of
-    low enough rank go on to their next dart.  Should a coordinate stay empty, more ranks are thrown.
+    On each unit strip, gaps between darts are exponential; only strips with a dart of low enough rank go on to their next
+    dart.  A dart falls at a hashed place across its strip and misses the region where that is narrower.  Should a
+    coordinate stay empty, more ranks are thrown.
     """
-    if len(elements) and weights.max() > 1:
-        at = np.repeat(np.arange(len(elements)), weights)
-        turn = np.arange(len(at)) - np.repeat(np.cumsum(weights) - weights, weights)
-        strips = mixed(elements[at] ^ mixed(turn.astype(np.uint64)))
-    else:
-        strips = mixed(elements)
+    names, widths = strips(elements, weights)
+    narrow = bool((widths < 1).any())
     t = k * (np.log(k) + 3.0)
     while True:
-        limit = t / len(strips)
+        limit = t / weights.sum()
         ident = np.zeros(k, np.uint64)
         filled = np.zeros(k, bool)
         step = max(1, int(np.ceil(limit)) if limit >= 0.5 else 1)
-        live, rank, n = strips, np.zeros(len(strips)), 0
+        live, own, rank, n = names, widths, np.zeros(len(names)), 0
         ranks, darts = [], []
         while len(live):
             dart = mixed(live[:, None] + np.arange(n + 1, n + step + 1, dtype=np.uint64) * _GOLD)
             gap = -np.log((dart >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54)
             got = rank[:, None] + np.cumsum(gap, axis=1)
             below = got < limit
-            ranks.append(got[below])
-            darts.append(dart[below])
-            live, rank, n = live[below[:, -1]], got[below[:, -1], -1], n + step
+            hit = below & ((mixed(dart ^ _M1) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < own[:, None]) if narrow else below
+            ranks.append(got[hit])
+            darts.append(dart[hit])
+            on = below[:, -1]
+            live, own, rank, n = live[on], own[on], got[on, -1], n + step
         ranks, darts = np.concatenate(ranks), np.concatenate(darts)
         name = mixed(darts)
         coordinate = (name % np.uint64(k)).astype(np.int64)
@@ -106,11 +115,11 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out.view(np.int64)
 
 
-def signed(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
-    """(id, fp, bands) of every row, in one pass over the texts.
+def signed(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS, counted: bool = True) -> DataFrame:
+    """(id, h1, h2, fp, node, bands) of every row, in one pass over the texts.
 
-    Texts with the same words in the same order share fp; a text without words has the fingerprint of its characters, so
-    that only equal ones meet, and no bands; a null text has neither.
+    h1 and h2 hash the text as it is.  Texts with the same words in the same order share fp, and node, 64 bits of it; a text
+    without words has the fingerprint of its characters, so that only equal ones meet, and no bands; a null text has neither.
     """
     ship(docs.sparkSession)
 
@@ -120,7 +129,7 @@ def signed(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS, counted: boo
         for whole in it:
             for b in batches(whole):
                 fps, out, at = [], [], [0]
-                for t in b.column(1).to_pylist():
+                for t in b.column(3).to_pylist():
                     words = [] if t is None else _WORD.findall(t.lower())
                     fps.append(None if t is None else xxhash.xxh3_128_digest((" ".join(words) if words else "\n" + t).encode()))
                     if words:
@@ -128,19 +137,26 @@ def signed(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS, counted: boo
                     at.append(at[-1] + (n_bands if words else 0))
                 flat = np.concatenate(out) if out else np.zeros(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), lists], ["id", "fp", "bands"])
+                nodes = pa.array([None if f is None else int.from_bytes(f[:8], "little", signed=True) for f in fps], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(fps, pa.binary()), nodes, lists], ["id", "h1", "h2", "fp", "node", "bands"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), *(h.alias(n) for h, n in zip(text_hashes("text"), ("h1", "h2"), strict=True)), "text")
+    return own.mapInArrow(go, "id long, h1 long, h2 long, fp binary, node long, bands array<long>")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(go, "id long, fp binary, bands array<long>")
+def text_hashes(text: str) -> list[F.Column]:
+    """Two independent hashes of a text."""
+    return [F.xxhash64(F.col(text)), F.xxhash64(F.lit(7), F.col(text))]
 
 
-def shingled(docs: DataFrame) -> DataFrame:
-    """(id, s binary): the text's distinct shingles as sorted 32-bit hashes."""
+def shingled(docs: DataFrame, counted: bool = True) -> DataFrame:
+    """(id, s binary) of (id, text): the strips of the text's shingles as sorted 32-bit hashes."""
     ship(docs.sparkSession)
 
     def go(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
             for b in batches(whole):
-                got = [np.unique((shingles(_WORD.findall(t.lower())) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in texts_of(b.column(1))]
+                got = [np.unique((strips(*weighted(shingles(_WORD.findall(t.lower())), counted))[0] >> np.uint64(32)).astype(np.uint32)).tobytes() for t in texts_of(b.column(1))]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["id", "s"])
 
     return docs.select("id", "text").mapInArrow(go, "id long, s binary")
@@ -218,35 +234,58 @@ def links_across(open_: DataFrame, similarity: float) -> DataFrame:
     return met(open_, open_, ["band", "bucket"], "id", "id", go, "a long, b long", PAIR_BLOCK)
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, n_bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, n_bands: int = BANDS, rows: int = ROWS, counted: bool = True) -> DataFrame:
     """(doc_id, class_id, text_id, keep) of every row of docs.
 
     class_id is the smallest doc_id that links lead to, text_id the smallest of equal texts, keep whether the row is the
-    one of its class that stays.  Links: equal words in order, or five-word shingle sets with Jaccard similarity of at
-    least *similarity* that share a band.  Null texts and null doc_ids are classes of their own.  Rows that repeat a
-    doc_id with the same text are rows of one class, all with its keep.
+    one of its class that stays.  Links: equal words in order, or five-word shingles, weighted by their occurrences, with a
+    Jaccard similarity of at least *similarity* that share a band.  Null texts and null doc_ids are classes of their own and
+    stay.  Texts, not doc_ids, are what is compared: rows that repeat a doc_id with other texts are in the classes of their
+    texts, and of rows that repeat a doc_id and its text one stays.  Empty texts are equal texts.  An empty table gives no
+    rows; other columns aren't read.
 
     1. One pass gives each row a fingerprint and the bands of its signature; the text is read again for candidates only.
-       Equal texts collapse to their smallest doc_id (the min combines before the shuffle).
+       Equal texts collapse to one node (the min combines before the shuffle).
     2. In each band bucket one member is the hub: the text with the largest buckets, as the origin of many variants meets
        most of them; every other member is paired with it, so a bucket of n texts makes n - 1 pairs.  Pairs are verified
        exactly and the links joined to components.
     3. Buckets inside one component are done.  In the others members of different components are compared, block by block
        inside tasks that return only what joins components; so no link of a bucket is lost, and no pairs are shuffled.
     """
+    return _classes(docs, similarity, n_bands, rows, counted).select(F.col("id").alias("doc_id"), "class_id", "text_id", "keep")
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs, with all their columns, that near_duplicates() keeps: one of each class, and all rows without a
+    doc_id or a text.  Rows are told apart by doc_id and text; of rows alike in both, the one whose other columns have the
+    least hash stays."""
+    stays = _classes(docs, similarity, BANDS, ROWS, True).where("keep AND id IS NOT NULL AND fp IS NOT NULL").select("id", "h1", "h2").distinct()
+    alone = F.col("doc_id").isNull() | F.col("text").isNull()
+    other = [F.col(f"`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind]
+    h1, h2 = text_hashes("text")
+    own = docs.where(~alone).select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), h1.alias("h1"), h2.alias("h2"), (F.xxhash64(*other) if other else F.lit(0)).alias("place"))
+    turn = F.row_number().over(Window.partitionBy("id", "h1", "h2").orderBy("place"))
+    return own.join(stays, ["id", "h1", "h2"], "left_semi").withColumn("turn", turn).where("turn = 1").select("row.*").unionByName(docs.where(alone))
+
+
+def _classes(docs: DataFrame, similarity: float, n_bands: int, rows: int, counted: bool) -> DataFrame:
+    """(id, h1, h2, fp, class_id, text_id, keep) of every row."""
     sig = saved(signed(docs, n_bands, rows, counted), "near-signed")
-    first = saved(sig.where("fp IS NOT NULL AND id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("text_id")), "near-first")
-    one = sig.select("id", "fp", "bands").join(first.withColumnRenamed("text_id", "id"), ["fp", "id"]).select("id", "bands")
-    one = saved(one, "near-bands")
+    first = saved(sig.where("fp IS NOT NULL AND id IS NOT NULL").groupBy("fp", "node").agg(F.min(F.struct("id", "h1")).alias("m")).select("fp", "node", F.col("m.id").alias("text_id"), "m.h1"), "near-first")
+    # the bands of one row of each text: rows of one fp have the same
+    one = saved(sig.where("fp IS NOT NULL").select(F.col("id").alias("text_id"), "fp", "h1", "bands").join(first, ["fp", "text_id", "h1"]).dropDuplicates(["fp", "text_id", "h1"]).select(F.col("node").alias("id"), "bands"), "near-bands")
     placed = one.select("id", F.posexplode("bands").alias("band", "bucket"))
     sizes = placed.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
     crowded = saved(placed.join(sizes, ["band", "bucket"]), "near-crowded")
     popular = crowded.groupBy("id").agg(F.sum("n").alias("weight"))
-    hub = crowded.select("band", "bucket", "id").join(popular, "id").groupBy("band", "bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("neg"))).alias("h")).select("band", "bucket", (-F.col("h.neg")).alias("hub"))
+    hub = crowded.select("band", "bucket", "id").join(popular, "id").groupBy("band", "bucket").agg(F.max_by("id", F.struct("weight", "id")).alias("hub"))
     members = crowded.select("band", "bucket", "id")
     star = members.join(hub, ["band", "bucket"]).where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    sets = saved(shingled(only(texts, popular.select("id"), "id")).dropDuplicates(["id"]), "near-sets")
+    # of each candidate text one row is read again
+    wanted = first.join(popular.select(F.col("id").alias("node")), "node").select("node", F.xxhash64("text_id", "h1").alias("id"))
+    texts = docs.where("text IS NOT NULL").select(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"), "text")
+    again = shingled(only(texts, wanted.select("id"), "id"), counted)
+    sets = saved(again.join(wanted, "id").dropDuplicates(["id"]).select(F.col("node").alias("id"), "s"), "near-sets")
     links = saved(similar(star, sets, similarity), "near-links")
     label = components(links, "near")
     of = lambda x, label: x.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -256,7 +295,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, n_bands: in
     more = saved(links_across(open_, similarity), "near-more")
     if more.limit(1).count():
         label = components(links.unionByName(more), "near")
-    text_class = of(first.select(F.col("text_id").alias("id")).distinct(), label).select(F.col("id").alias("text_id"), "component")
-    known = first.join(text_class, "text_id").select("fp", "text_id", F.col("component").alias("class_id"))
-    out = sig.select("id", "fp").join(known, "fp", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("text_id", "id").alias("text_id"))
-    return out.withColumn("keep", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    text_class = of(first.select(F.col("node").alias("id"), "fp", "text_id"), label)
+    least = text_class.groupBy("component").agg(F.min("text_id").alias("class_id"))
+    known = text_class.join(least, "component").select("fp", "text_id", "class_id")
+    out = sig.select("id", "h1", "h2", "fp").join(known, "fp", "left")
+    free = F.col("id").isNull() | F.col("fp").isNull()
+    out = out.select("id", "h1", "h2", "fp", F.when(free, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(free, F.col("id")).otherwise(F.col("text_id")).alias("text_id"))
+    turn = F.row_number().over(Window.partitionBy("id", "class_id", F.col("fp").isNull()).orderBy("h1", "h2"))
+    return out.withColumn("turn", turn).withColumn("keep", free | ((F.col("id") == F.col("class_id")) & (F.col("turn") == 1))).drop("turn")
