@@ -54,11 +54,15 @@ def keep_one(key: Hashable, make: Callable[[], Any]) -> Any:
 def work_dir(spark: SparkSession, tag: str) -> str:
     """A new folder name under the shared folder of spark.checkpoint.dir.
 
-    Where the cluster names none (tests on one machine) the session's warehouse folder is used."""
+    Where the setting names none the session's warehouse folder is used, on one machine only: on a cluster executors need
+    not see it, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base in _UNSET:
         base = spark.sparkContext._conf.get("spark.checkpoint.dir", None)
     if base in _UNSET:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/larkspur-work"
     return f"{base.rstrip('/')}/larkspur-{tag}-{uuid.uuid4().hex}"
 

@@ -130,6 +130,14 @@ def test_joined_rules_with_any_path(spark, monkeypatch):
     assert (0 * 10 + 3, "example.com", "/adsense", "example.com/ads", "block") in want
 
 
+def test_empty_host_labels(spark):
+    rules = queries.URL_RULES
+    urls = ["http://a..com", "http://a..com/", "http://.com/x", "http://com", "http://com/", "http:///x", "http://net./es/"]
+    for found in (url_filter.filter_urls, lambda p, r: url_filter.filter_urls_joined(p, spark.createDataFrame([tuple(x) for x in r], "verdict string, host string, path string"))):
+        got = [r.rule for r in found(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).orderBy("page_id").collect()]
+        assert got == [None, "com/", "com/", None, "com/", None, None]
+
+
 def test_trie_against_brute_force():
     r = random.Random(2)
     hosts = [".".join(p) for n in (1, 2, 3) for p in itertools.product("ab", repeat=n)]
@@ -148,7 +156,8 @@ def test_trie_against_brute_force():
 def near_classes(texts, least=0.8):
     def sh(t):
         w = re.findall(r"\w+", t.lower())
-        return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset([("\n", t)])
+        runs = [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))] if w else [("\n", t)]
+        return frozenset((x, runs[:k].count(x)) for k, x in enumerate(runs))
 
     sets = {i: sh(t) for i, t in enumerate(texts) if t is not None}
     up = {i: i for i in range(len(texts))}
@@ -183,7 +192,20 @@ def test_near_duplicates_equal_brute_force(spark, corpus):
     assert all(x.keep == (x.doc_id == x.class_id) for x in got)
     assert dart_minhash.near_duplicates(df.limit(0)).count() == 0
     twice = dart_minhash.near_duplicates(docs(spark, ["a b c d e f"]).unionByName(docs(spark, ["a b c d e f"]))).collect()
-    assert [(x.doc_id, x.class_id, x.keep) for x in twice] == [(0, 0, True)] * 2
+    assert sorted((x.doc_id, x.class_id, x.keep) for x in twice) == [(0, 0, False), (0, 0, True)]
+
+
+def test_near_duplicates_of_repeated_doc_ids(spark):
+    """A doc_id with two texts: one a copy of another document's, one its own."""
+    a, b = "one two three four five six seven", "red green blue white black grey pink"
+    rows = [(1, a, "en", "s", 0), (2, a, "en", "s", 0), (2, b, "en", "s", 0), (2, b, "en", "s", 0), (3, None, "en", "s", 0), (3, None, "en", "s", 0), (None, a, "en", "s", 0)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("_row", F.lit(1)).withColumn("id", F.lit("x"))
+    got = sorted((str(x.doc_id), x.class_id, x.keep) for x in dart_minhash.near_duplicates(df).collect())
+    assert got == [("1", 1, True), ("2", 1, False), ("2", 2, False), ("2", 2, True), ("3", 3, True), ("3", 3, True), ("None", None, True)]
+    kept = dart_minhash.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted((str(x.doc_id), x.text) for x in kept.collect() if x.text) == [("1", a), ("2", b), ("None", a)]
+    assert dart_minhash.one_of_each(df.limit(0)).count() == 0
 
 
 def test_darts_estimate_weighted_jaccard():
@@ -191,7 +213,7 @@ def test_darts_estimate_weighted_jaccard():
     off = []
     for _ in range(40):
         u = rng.integers(0, 2**63, 60, dtype=np.uint64)
-        a, b = rng.integers(1, 6, 60), rng.integers(1, 6, 60)
+        a, b = (rng.integers(1, 6, 60).astype(float), rng.integers(1, 6, 60).astype(float)) if _ % 2 else (rng.random(60) * 3 + 0.05, rng.random(60) * 3 + 0.05)
         off.append((dart_minhash.signature(u, a, 256) == dart_minhash.signature(u, b, 256)).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum())
     assert abs(np.mean(off)) < 0.02 and np.std(off) < 0.06
 
@@ -407,6 +429,43 @@ def test_toxicity_on_held_out_rows(spark, corpus):
     assert toxicity.toxicity(df.limit(0), lab).count() == 0
 
 
+def test_evidence_is_a_difference_of_compressed_lengths(spark):
+    import zstandard as z
+
+    m = toxicity.Model(toxicity.trained([f" zhulker vorpsnik get out {k} ".encode() for k in range(50)], 1_024), toxicity.trained([f" plain words of {k} days out and get ".encode() for k in range(3_000)], 4_096), 0.1, frozenset({"get", "out"}))
+
+    def size(d, w):
+        own = z.ZstdCompressionDict(toxicity.PAD + d + toxicity.CARRIER, dict_type=z.DICT_TYPE_RAWCONTENT)
+        c = z.ZstdCompressor(dict_data=own, level=toxicity.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(c.compress(toxicity.CARRIER + f" {w} ".encode()))
+
+    def plain(text):
+        ws = [w for w in re.sub(r"[^\w\s]+", "", text.lower()).split() if w]
+        every = ws + [f"{a} {b}" for a, b in zip(ws, ws[1:]) if {a, b} <= m.phrase_words]
+        return max(((size(m.ordinary, w) - size(m.toxic, w)) / (len(w.encode()) + 2) for w in every), default=-1.0)
+
+    texts = ["Zhulker!", "plain words", "they get out, of days", "out of 12 days get", "VORPSNIK and words", "", "!!!", "get out get out"]
+    df = docs(spark, texts)
+    got = {r.doc_id: r.evidence for r in toxicity.scored(df, m, ["doc_id"]).collect()}
+    assert [got[k] for k in range(len(texts))] == [plain(t) for t in texts]
+    assert got[2] > got[3] and got[0] > got[1]
+
+
+def test_toxic_phrases_of_ordinary_words(spark, corpus):
+    r, text = corpus
+    rows, labels = [], []
+    for i in range(900):
+        w = text(40).split()
+        for x in (["mend", "fence"] if i % 3 else ["mend fence"]):
+            w.insert(r.randrange(len(w)), x)
+        rows.append((i, " ".join(w), "en", "s", 0))
+        labels.append((i, 1, int(i % 3 == 0)))
+    rows += rows[:30]  # repeated rows give repeated rows
+    got = toxicity.toxicity(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(got) == 930
+    assert np.mean([x.predicted == int(x.doc_id % 3 == 0) for x in got if x.held_out]) > 0.9
+
+
 # -- op5, op6 ------------------------------------------------------------------------------------------------------------
 
 
@@ -475,6 +534,35 @@ def test_scan_recall_and_order(spark):
     assert adaptive_scan.nearest(few.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_an_id(spark):
+    v = [[1.0, 0.0, 0.1], [1.0, 0.02, 0.1], [0.0, 1.0, 0.0], [0.0, 0.0, 0.0]]
+    rows = [(1, v[0], 1), (1, None, 1), (1, v[3], 1), (1, v[2], 1), (2, v[1], 1), (2, v[1], None), (3, v[2], 1), (50, v[0], 1), (50, v[2], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(tuple(r) for r in pq_dedup.near_vectors(df).collect())
+    assert got == [(1, 0, 1, True), (1, 0, 1, True), (1, 1, 1, True), (1, 2, 1, True), (2, 0, 2, True), (2, 2, 1, False), (3, 1, 1, False), (50, 0, 50, True), (50, 2, 1, False)]
+    near = [(r.rank, r.vec_id) for r in adaptive_scan.nearest(df).orderBy("rank").collect()]
+    assert near == [(1, 1), (2, 3), (3, 2)]
+
+
+def test_recall_far_beyond_the_sample(spark):
+    """Nothing of a result comes from the sample: it is a tenth of the rows, and no query's neighbours need be in it."""
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((40, 32))
+    x = centres[rng.integers(0, 40, 4_000)] + 0.6 * rng.standard_normal((4_000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = {}
+    for r in adaptive_scan.nearest(df, sample=400).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+        assert abs(r.score - u[r.query_id] @ u[r.vec_id]) < 1e-12
+    hits = 0
+    for q in range(0, 4_000, 50):
+        s = u @ u[q]
+        s[q] = -2
+        hits += len(found[q] & set(np.argsort(-s, kind="stable")[:5].tolist()))
+    assert hits / (5 * 80) >= 0.95
+
+
 def test_every_length_is_searched(spark, monkeypatch):
     n = 1030
     df = spark.createDataFrame([(50 * i, [1.0] * (i + 1), 1) for i in range(n)], "vec_id long, embedding array<float>, label int")
