@@ -1,18 +1,19 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of words, trained on trusted text.
 
-Runs of one to three words are counted and joined in tables that grow with the corpus: counts combine where they are read,
-probabilities are put together by joins, and what documents ask for is joined to the finished table and summed by text.
-Words are open: one never seen has the probability of its spelling under a model of characters.
-
-In that model characters are mapped to a closed alphabet of 64 symbols, so that the model has at most 64**ORDER entries however large
-the corpus: that bound is what lets it be broadcast.  Everything before it is counted and joined in
-shards: n-gram counts are summed where they are read, then by n-gram; counts of counts, context totals and continuation
-counts are aggregates of the sharded count table, and joins by context put probabilities and back-off weights together.
+Pairs of words are counted, their contexts and continuations summed, and the pairs that documents have are looked up in
+tables that grow with the corpus.  Counting and looking up are joins of shards: a task sums what it has read, sorts it, packs
+it by shard (a pair costs a few bytes) and sends it there; a shard's task puts the packs together, or answers them.  A word that
+makes up much of the text is spread over many shards, so that none grows with it.  Words are open: one never seen has the
+probability of its spelling under a model of characters.
+
+In that model characters are mapped to a closed alphabet of 64 symbols, so that it has at most 64**ORDER entries however large
+the corpus: that bound is what lets it be broadcast.  Scripts that the alphabet lacks are told apart by their words.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import batches, texts_of
-from .common import BITMAP_BITS, discard, keep_one, only, saved, ship
-from .dart_minhash import mixed
+from .common import discard, keep_one, only, saved, ship
+from .dart_minhash import mixed, text_hashes
 
 #: Longest n-gram and bits of a symbol: 64**4 = 16.8 million entries of 4 bytes at most.
 ORDER, BITS = 4, 6
@@ -37,12 +38,18 @@ LEAST_DOCS = 20
 FOLDS = 5
 #: The symbols after blank (0) and unknown (1), lower case; the rest of 64 are classes.
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzäöüßéèêëàâáíîïóôúùûñç.,;:'\"-()"
-#: The most frequent runs of words, which every task holds (16 bytes each); all others are joined.
-HOT_RUNS = 1 << 20
+#: Words and pairs that are written that often at least, the most frequent of them, are held by every task (12 bytes each);
+#: all others are looked up in their shards.
+HELD_COUNT, HELD_RUNS = 8, 1 << 20
+#: Bits of the bitmap of all others, which stops most words and pairs that the model doesn't have: 16 MB, always.
+TAIL_BITS = 1 << 27
 #: Words, and fingerprints of texts, that a worker remembers.
 MEMO = 250_000
-#: What stands before and behind a text's words.
-START, END = 1, 2
+#: Words that a task counts before it packs them, words of the trusted text to a shard, least and most shards, and shards that
+#: a frequent word is spread over.
+FLUSH, SHARD_WORDS, SHARDS, SPREAD = 2_000_000, 4_000_000, (8, 16_384), 64
+#: A word is its 40-bit hash; these stand before and behind a text's words.
+WORD_SHIFT, START, END = 24, 1, 2
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _DIGIT, _UPPER, _OTHER_LETTER, _MARK = (2 + len(SYMBOLS) + k for k in range(4))
 assert _MARK < 1 << BITS
@@ -100,9 +107,10 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         total = np.zeros(1 << (BITS * ORDER), np.int32)  # the closed alphabet bounds it: 64 MB
         for whole in it:
             for b in batches(whole):
-                for t in texts_of(b.column(0)):
-                    if t:
-                        np.add.at(total, grams(symbols(t)), 1)
+                codes = [grams(symbols(t)) for t in texts_of(b.column(0)) if t]
+                if codes:
+                    g, n = np.unique(np.concatenate(codes), return_counts=True)
+                    total[g] += n.astype(np.int32)
                 if total.max() > 1 << 30:
                     at = np.flatnonzero(total)
                     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["g", "n"])
@@ -206,10 +214,72 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text)
 
 
-def word_key(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """One 64-bit key of a run of three words; 0 stands for the words that a shorter run doesn't have."""
-    with np.errstate(over="ignore"):
-        return mixed(mixed(mixed(a.view(np.uint64)) + b.view(np.uint64)) + c.view(np.uint64)).view(np.int64)
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns as bytes: each byte's place of a column together, so that what is alike or zero costs little."""
+    import zstandard
+
+    head = struct.pack("<B", len(columns)) + b"".join(struct.pack("<I2s", len(c), c.dtype.str[1:].encode()) for c in columns)
+    return zstandard.compress(head + b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns), 1)
+
+
+def unpack(raw: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    raw = zstandard.decompress(raw)
+    at, out = 1 + 6 * raw[0], []
+    for k in range(raw[0]):
+        n, kind = struct.unpack_from("<I2s", raw, 1 + 6 * k)
+        dtype = np.dtype("<" + kind.decode())
+        planes = np.frombuffer(raw, np.uint8, n * dtype.itemsize, at).reshape(dtype.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(dtype) if n else np.zeros(0, dtype))
+        at += n * dtype.itemsize
+    return out
+
+
+def joined(packs: list[bytes], columns: int) -> list[np.ndarray]:
+    got = [unpack(x) for x in packs if x is not None]
+    return [np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in range(columns)]
+
+
+def run_key(b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """One 64-bit key of a pair of words; a word alone is a pair with 0 before it."""
+    return mixed(mixed(b.view(np.uint64)) + c.view(np.uint64)).view(np.int64)
+
+
+def found_in(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key stands in the sorted ones, and whether it does."""
+    if not len(known):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return at, known[at] == keys
+
+
+@dataclass
+class Places:
+    """Which shard has a word, or a pair by one of its words: that word's home, or one of SPREAD from there on, chosen by the
+    other word, if it is among the frequent ones."""
+
+    shards: int
+    frequent: np.ndarray
+
+    def home(self, w: np.ndarray) -> np.ndarray:
+        return (mixed(w.view(np.uint64)) % np.uint64(self.shards)).astype(np.int64)
+
+    def of(self, w: np.ndarray, other: np.ndarray) -> np.ndarray:
+        out = self.home(w)
+        _, spread = found_in(w, self.frequent)
+        out[spread] = (out[spread] + (mixed(other[spread].view(np.uint64)) % np.uint64(min(SPREAD, self.shards))).astype(np.int64)) % self.shards
+        return out
+
+
+def by_shard(shard: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Each shard's part of the columns, in their order."""
+    if not len(shard):
+        return
+    order = np.argsort(shard, kind="stable")
+    here, first = np.unique(shard[order], return_index=True)
+    for k, at in zip(here.tolist(), np.split(order, first[1:]), strict=True):
+        yield k, [c[at] for c in columns]
 
 
 class Words(dict):
@@ -239,189 +309,393 @@ class Words(dict):
         start = np.concatenate([[0], np.cumsum(size + ORDER - 1)[:-1]])
         cum = np.concatenate([[0.0], np.cumsum(lp, dtype=np.float64)])
         for w, x in zip(new, (cum[start + size + 1] - cum[start]).tolist(), strict=True):
-            self[w] = (xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) - (1 << 63), x)
+            self[w] = (max(3, xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) >> WORD_SHIFT), x)
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the text's words behind two START and before END, and base log probabilities without the START."""
+        """Hashes of the text's words between START and END, and base log probabilities of all but START."""
         ws = tokens(text)
         self.know(set(ws))
         got = [self[w] for w in ws]
         got.append(self[""])
-        return np.array([START, START, *(x[0] for x in got)], np.int64), np.array([x[1] for x in got])
+        return np.array([START, *(x[0] for x in got)], np.int64), np.array([x[1] for x in got])
 
 
-def word_counts(docs: DataFrame, chars: Model) -> DataFrame:
-    """(a, b, c long, n long, base double) of all runs of three words; sums combine before the shuffle."""
+def _worded(it: Iterator[pa.RecordBatch], words: Words, column: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for whole in it:
+        for b in batches(whole, 1_000_000):
+            for t in texts_of(b.column(column)):
+                if t and not t.isspace():
+                    yield words.of(t)
+
+
+def frequent_words(docs: DataFrame, chars: Model, shards: int) -> np.ndarray:
+    """Words that would fill a quarter of a shard or more, of a sixteenth of the texts: this only decides where words are kept."""
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(chars)
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(held.value.dense())
-        for whole in it:
-            for b in batches(whole, 1_000_000):
-                got = [words.of(t) for t in texts_of(b.column(0)) if t and not t.isspace()]
-                if got:
-                    parts = [np.concatenate([h[k : len(h) - 2 + k] for h, _ in got]) for k in range(3)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, parts), pa.array(np.concatenate([x for _, x in got]))], ["a", "b", "c", "base"])
+        for h, _ in _worded(it, words):
+            w, n = np.unique(h, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n)], ["w", "n"])
 
-    return docs.select("text").mapInArrow(rows, "a long, b long, c long, base double").groupBy("a", "b", "c").agg(F.count("*").alias("n"), F.max("base").alias("base"))
+    n = docs.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).select("text").mapInArrow(rows, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    n = saved(n, "words-frequent")
+    total = n.agg(F.sum("n")).first()[0] or 0
+    got = n.where(F.col("n") * (4 * shards) > total).select("w").collect()  # at most 4 * shards words
+    discard(n)
+    return np.sort(np.array([r["w"] for r in got], np.int64))
 
 
-def word_weights(t3: DataFrame) -> tuple[DataFrame, float]:
-    """(key long, w double, n long), one row per run of one to three words, and the log weight of the spelling.
+_PARTS = "shard int, pairs binary, words binary, frequent array<struct<w:bigint,total:bigint,n1:bigint,n2:bigint,n3:bigint,base:double>>, hist array<bigint>"
 
-    Interpolated modified Kneser-Ney of words, whose lowest order backs off to the model of characters, so that a word never
-    seen has a probability too.  The log probability of a word is a sum of independent terms: its spelling, what
-    each run that ends in it adds to the order below, and the back-off weights of the runs before it.  So a text's is the sum
-    of w over all its runs, and runs that the model doesn't have add nothing: one join looks all orders up.
-    """
-    t2 = saved(t3.groupBy("b", "c").agg(F.count("*").alias("n"), F.max("base").alias("base")), "words-2")
-    t1 = saved(t2.groupBy("c").agg(F.count("*").alias("n"), F.max("base").alias("base")), "words-1")
 
-    def off(t: DataFrame) -> DataFrame:
-        cc = {r["n"]: r["c"] for r in t.where("n <= 4").groupBy("n").agg(F.count("*").alias("c")).collect()}
-        d = discounts([cc.get(j, 0) for j in (1, 2, 3, 4)])
-        return t.withColumn("d", F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2]))
-
-    def contexts(t: DataFrame, *by: str) -> DataFrame:
-        return t.groupBy(*by).agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("weight"))
-
-    t3, t2, t1 = off(t3), off(t2), off(t1)
-    whole = contexts(t1).first()
-    zero = F.lit(0).cast("long")
-    p1 = t1.select("c", "n", "base", ((F.col("n") - F.col("d")) / whole["total"] + whole["weight"] * F.exp("base")).alias("p"))
-    s2, s3 = contexts(t2, "b"), contexts(t3, "a", "b")
-    share = (F.col("n") - F.col("d")) / F.col("total")
-    p2 = t2.drop("base").join(s2, "b").join(p1.select("c", F.col("p").alias("low")), "c").select("b", "c", "n", (share + F.col("weight") * F.col("low")).alias("p"), (F.col("weight") * F.col("low")).alias("low"))
-    p2 = saved(p2, "words-p2")
-    p3 = t3.drop("base").join(s3, ["a", "b"]).join(p2.select("b", "c", F.col("p").alias("low")), ["b", "c"]).select("a", "b", "c", "n", (share + F.col("weight") * F.col("low")).alias("p"), (F.col("weight") * F.col("low")).alias("low"))
-    gain = F.log(F.col("p") / F.col("low")).alias("w")
-    parts = [
-        p3.select("a", "b", "c", gain, "n"),
-        p2.select(zero.alias("a"), "b", "c", gain, "n"),
-        p1.select(zero.alias("a"), zero.alias("b"), "c", (F.log("p") - F.log(F.lit(whole["weight"])) - F.col("base")).alias("w"), "n"),
-        s3.select(zero.alias("a"), F.col("a").alias("b"), F.col("b").alias("c"), F.log("weight").alias("w"), F.col("total").alias("n")),
-        s2.select(zero.alias("a"), zero.alias("b"), F.col("b").alias("c"), F.log("weight").alias("w"), F.col("total").alias("n")),
-    ]
-    every = parts[0]
-    for x in parts[1:]:
-        every = every.unionByName(x)
+def _shard_row(shard: int, pairs: bytes, words: bytes, frequent: list[dict], hist: np.ndarray) -> pa.Table:
+    kind = pa.list_(pa.struct([("w", pa.int64()), ("total", pa.int64()), ("n1", pa.int64()), ("n2", pa.int64()), ("n3", pa.int64()), ("base", pa.float64())]))
+    cols = [pa.array([shard], pa.int32()), pa.array([pairs], pa.binary()), pa.array([words], pa.binary()), pa.array([frequent], kind), pa.array([hist.tolist()], pa.list_(pa.int64()))]
+    return pa.table(cols, names=["shard", "pairs", "words", "frequent", "hist"])
+
+
+def grouped(w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(w, first place, total, how many n are 1, 2 and more) of each run of equal words."""
+    u, first = np.unique(w, return_index=True)
+    if not len(u):
+        return u, first, *[np.zeros(0, np.int64)] * 4
+    return u, first, *(np.add.reduceat(x.astype(np.int64), first) for x in (n, n == 1, n == 2, n > 2))
+
+
+def _counts_of(n: np.ndarray, written: np.ndarray) -> np.ndarray:
+    """How many n are 1, 2, 3, 4, all of them; then how many of *written* lie from each power of two to the next."""
+    first = [int((n == k).sum()) for k in (1, 2, 3, 4)] + [len(n)]
+    return np.array(first + np.bincount(np.log2(np.maximum(written, 1)).astype(int), minlength=48)[:48].tolist(), np.int64)
+
+
+def pair_counts(docs: DataFrame, chars: Model, places: Places) -> DataFrame:
+    """One row a shard: its pairs (b, c, n) in order of b, by b's place, and its words (w, base)."""
+    ship(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(chars)
+
+    def packed(h: list[np.ndarray], base: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        x = np.concatenate(h)
+        lp = np.concatenate([y for b in base for y in ([0.0], b)])
+        u, first, inv = np.unique(x, return_index=True, return_inverse=True)
+        pair = (inv[:-1].astype(np.int64) * len(u) + inv[1:])[x[:-1] != END]
+        pair, n = np.unique(pair, return_counts=True)
+        b, c = u[pair // len(u)], u[pair % len(u)]
+        words = dict(by_shard(places.home(u), u, lp[first].astype(np.float32)))
+        pairs = dict(by_shard(places.of(b, c), b, c, n.astype(np.int64)))
+        none = [np.zeros(0, np.int64)] * 3
+        for k in sorted(words.keys() | pairs.keys()):
+            p, w = pairs.get(k, none), words.get(k, [np.zeros(0, np.int64), np.zeros(0, np.float32)])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(np.diff(p[0], prepend=0), p[1], p[2])], pa.binary()), pa.array([pack(*w)], pa.binary())], ["shard", "pairs", "words"])
+
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, h, base, size = Words(held.value.dense()), [], [], 0
+        for x, lp in _worded(it, words):
+            h.append(x)
+            base.append(lp)
+            size += len(x)
+            if size >= FLUSH:
+                yield from packed(h, base)
+                h, base, size = [], [], 0
+        if h:
+            yield from packed(h, base)
+
+    def one(key: tuple, t: pa.Table) -> pa.Table:
+        parts = [unpack(x) for x in t["pairs"].to_pylist()]
+        b, c, n = np.concatenate([np.cumsum(p[0]) for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+        order = np.lexsort((c, b))
+        b, c, n = b[order], c[order], n[order]
+        new = np.concatenate([[True], (b[1:] != b[:-1]) | (c[1:] != c[:-1])]) if len(b) else np.zeros(0, bool)
+        n = np.add.reduceat(n, np.flatnonzero(new)) if len(b) else n
+        b, c = b[new], c[new]
+        w, base = joined(t["words"].to_pylist(), 2)
+        w, first = np.unique(w, return_index=True)
+        u, _, total, n1, n2, n3 = grouped(b, n)
+        _, here = found_in(u, places.frequent)
+        frequent = [dict(zip(("w", "total", "n1", "n2", "n3"), x, strict=True), base=None) for x in zip(*(y[here].tolist() for y in (u, total, n1, n2, n3)), strict=True)]
+        return _shard_row(key[0].as_py(), pack(np.diff(b, prepend=0), c, n), pack(w, base[first]), frequent, _counts_of(n, n))
+
+    return docs.select("text").mapInArrow(rows, "shard int, pairs binary, words binary").groupBy("shard").applyInArrow(one, _PARTS)
+
+
+def continuations(counts: DataFrame, d: tuple[float, float, float], places: Places) -> DataFrame:
+    """One row a shard: its pairs (c, b, r, n) in order of c, by c's place, and its words (w, base, log weight, total).
+
+    r is the pair's discounted share over the back-off weight of b: (n - d) over the sum of b's discounts."""
+    frequent = counts.select(F.explode("frequent").alias("f")).groupBy("f.w").agg(*(F.sum(f"f.{k}").alias(k) for k in ("total", "n1", "n2", "n3"))).collect()  # at most 4 * shards words
+    frequent = sorted((r["w"], r["total"], r["n1"], r["n2"], r["n3"]) for r in frequent)
+    known = [np.array([r[k] for r in frequent], np.int64) for k in range(5)]
+    off = np.array([0.0, *d])
+    ship(counts.sparkSession)
+
+    def go(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for shard, pairs, words in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                b, c, n = unpack(pairs)
+                b = np.cumsum(b)
+                u, first, total, *ns = grouped(b, n)
+                at, here = found_in(u, known[0])
+                total[here] = known[1][at[here]]
+                for k in range(3):
+                    ns[k][here] = known[2 + k][at[here]]
+                left = sum(x * y for x, y in zip(ns, d, strict=True)) if len(u) else np.zeros(0)
+                size = np.diff(np.append(first, len(b)))
+                r = ((n - off[np.minimum(n, 3)]) / np.repeat(left, size)).astype(np.float32)
+                # a frequent word's weight is told by its home, where it may have no pair
+                at_home = places.home(known[0]) == shard
+                u = np.concatenate([u[~here], known[0][at_home]])
+                total = np.concatenate([total[~here], known[1][at_home]])
+                left = np.concatenate([left[~here], sum(x[at_home] * y for x, y in zip(known[2:], d, strict=True))])
+                weight = np.log(left / np.maximum(total, 1)).astype(np.float32)
+                w, base = unpack(words)
+                told = {k: x for k, x in by_shard(places.home(u), u, weight, total)}
+                sent = {k: x for k, x in by_shard(places.of(c, b), c, b, r, n)}
+                for k in sorted(told.keys() | sent.keys() | {shard}):
+                    p = sent.get(k, [c[:0], b[:0], r[:0], n[:0]])
+                    x = told.get(k, [u[:0], weight[:0], total[:0]])
+                    v = (w, base) if k == shard else (w[:0], base[:0])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(*p)], pa.binary()), pa.array([pack(*x)], pa.binary()), pa.array([pack(*v)], pa.binary())], ["shard", "pairs", "told", "words"])
+
+    def one(key: tuple, t: pa.Table) -> pa.Table:
+        shard = key[0].as_py()
+        c, b, r, n = joined(t["pairs"].to_pylist(), 4)
+        order = np.lexsort((b, c))
+        c, b, r, n = c[order], b[order], r[order], n[order]
+        w, base = joined(t["words"].to_pylist(), 2)
+        order = np.argsort(w)
+        w, base = w[order], base[order].astype(np.float32)
+        weight, total = np.zeros(len(w), np.float32), np.zeros(len(w), np.int64)
+        tw, tweight, ttotal = joined(t["told"].to_pylist(), 3)
+        at, ok = found_in(tw, w)
+        weight[at[ok]], total[at[ok]] = tweight[ok], ttotal[ok]
+        u, _, many, *_ = grouped(c, np.ones(len(c), np.int64))
+        _, spread = found_in(u, places.frequent)
+        seen = [{"w": x, "total": y, "n1": 0, "n2": 0, "n3": 0, "base": None} for x, y in zip(u[spread].tolist(), many[spread].tolist(), strict=True)]
+        _, spread_home = found_in(w, places.frequent)
+        seen += [{"w": x, "total": 0, "n1": 0, "n2": 0, "n3": 0, "base": y} for x, y in zip(w[spread_home].tolist(), base[spread_home].tolist(), strict=True)]
+        return _shard_row(shard, pack(np.diff(c, prepend=0), b, r, n), pack(w, base, weight, total), seen, _counts_of(many[~spread], total))
+
+    return counts.select("shard", "pairs", "words").mapInArrow(go, "shard int, pairs binary, told binary, words binary").groupBy("shard").applyInArrow(one, _PARTS)
 
-    def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            yield pa.RecordBatch.from_arrays([pa.array(word_key(*(b.column(k).to_numpy() for k in range(3)))), b.column(3), b.column(4)], ["key", "w", "n"])
 
-    out = saved(every.groupBy("a", "b", "c").agg(F.sum("w").alias("w"), F.max("n").alias("n")).mapInArrow(keyed, "key long, w double, n long"), "words-w")
-    for x in (t2, t1, p2):
-        discard(x)
-    return out, float(np.log(whole["weight"]))
+@dataclass
+class Scale:
+    """What a shard needs besides its own rows to turn them into log probabilities."""
+
+    d: tuple[float, float, float]
+    total: int
+    weight: float
+    frequent: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def shard_values(pairs: bytes, words: bytes, scale: Scale) -> tuple[np.ndarray, ...]:
+    """(c, b, gain, n) of a shard's pairs and (w, value, total) of its words.
+
+    The log probability of a text is a sum of independent terms: the spellings of its words, the log weight that each of them
+    backs off to it with, a value for each word that the model has and a gain for each pair that it has.  A word's value is
+    what it adds to its spelling, and its log weight as a context of what follows it."""
+    c, b, r, n = unpack(pairs)
+    c = np.cumsum(c)
+    w, base, weight, total = unpack(words)
+    off = np.array([0.0, *scale.d])
+
+    def p(many: np.ndarray, spelling: np.ndarray) -> np.ndarray:
+        return (many - off[np.minimum(many, 3)]) / scale.total + scale.weight * np.exp(spelling.astype(np.float64))
+
+    u, first, many, *_ = grouped(c, np.ones(len(c), np.int64))
+    at, ok = found_in(u, w)
+    spelling = np.where(ok, base[at] if len(w) else 0.0, 0.0).astype(np.float64)
+    fw, fmany, fbase = scale.frequent
+    at, ok = found_in(u, fw)
+    many[ok], spelling[ok] = fmany[at[ok]], fbase[at[ok]]
+    gain = np.log1p(r.astype(np.float64) / np.repeat(p(many, spelling), np.diff(np.append(first, len(c)))))
+    all_many = np.zeros(len(w), np.int64)
+    at, ok = found_in(w, u)
+    all_many[ok] = many[at[ok]]
+    at, ok = found_in(w, fw)
+    all_many[ok] = fmany[at[ok]]
+    predicted = np.log(p(all_many, base)) - np.log(scale.weight) - base
+    return c, b, gain, n, w, np.where(all_many > 0, predicted, 0.0) + weight, np.maximum(total, (w == END) * (1 << 40))
 
 
 @dataclass
 class WordModel:
-    """What a task holds of the model of words, all of fixed size: the model of characters, the most frequent runs, and a
-    bitmap of the others' keys.  The others themselves stay in a table that grows with the corpus, and are joined."""
+    """What a task holds of the model of words, all of fixed size: the model of characters, the most frequent words and pairs,
+    and a bitmap of the others' keys.  The others themselves stay in shards that grow with the corpus."""
 
     chars: Model
-    spelling: float
+    places: Places
+    scale: Scale
     keys: np.ndarray
-    weights: np.ndarray
+    values: np.ndarray
     bits: np.ndarray
 
 
-def train_words(trusted: DataFrame, hot: int | None = None) -> tuple[WordModel, DataFrame] | None:
-    """The model of trusted documents' whole texts, and (key, w) of the runs that aren't among its *hot* most frequent ones."""
+def _sums(table: DataFrame) -> np.ndarray:
+    got = table.select(F.posexplode("hist").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()  # at most 53 rows
+    out = np.zeros(53, np.int64)
+    for r in got:
+        out[r["k"]] = r["n"]
+    return out
+
+
+def train_words(trusted: DataFrame, held: int | None = None, shards: int | None = None, least: int = HELD_COUNT) -> tuple[WordModel, DataFrame] | None:
+    """The model of trusted documents' whole texts, and its shards (shard, pairs, words).  At most *held* words and pairs, such
+    that are written *least* times or more, are held by every task."""
     chars = train(trusted)
     if chars is None:
         return None
-    ship(trusted.sparkSession)
-    counts = saved(word_counts(trusted, chars), "words-3")
-    table, spelling = word_weights(counts)
+    spark = trusted.sparkSession
+    ship(spark)
+    if shards is None:
+        size = trusted.agg(F.sum(F.length("text"))).first()[0] or 0
+        shards = min(max(SHARDS[0], size // 5 // SHARD_WORDS), SHARDS[1])
+    places = Places(shards, frequent_words(trusted, chars, shards))
+    counts = saved(pair_counts(trusted, chars, places), "words-counts")
+    hist = _sums(counts)
+    if not hist[4]:
+        return None
+    table = saved(continuations(counts, discounts(hist[:4].tolist()), places), "words-shards")
     discard(counts)
-    # the least count of a frequent run: as many runs as fit, all of the same count or none
-    hist = table.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("runs")).collect()  # at most 100,000 rows
-    least, room = 100_001, HOT_RUNS if hot is None else hot
-    for r in sorted(hist, key=lambda r: -r["n"]):
-        if (room := room - r["runs"]) < 0:
-            break
-        least = r["n"]
-    got = table.where(F.col("n") >= least).select("key", "w").toArrow()
-    keys, weights = got["key"].to_numpy(), got["w"].to_numpy()
-    at = np.argsort(keys)
-    tail = table.where(F.col("n") < least).select("key", "w")
-    place = F.pmod("key", F.lit(BITMAP_BITS)) + 1
-    bits = np.zeros(BITMAP_BITS // 8, np.uint8)
-    for r in tail.select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("bit")).groupBy("k").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
-        part = np.frombuffer(r["bits"], np.uint8)  # 8 MB in all
+    frequent = table.select(F.explode("frequent").alias("f")).groupBy("f.w").agg(F.sum("f.total").alias("n"), F.max("f.base").alias("base")).collect()
+    frequent = sorted((r["w"], r["n"], r["base"] or 0.0) for r in frequent)
+    written = _sums(table)
+    many = written[:5]
+    more = np.array([r[1] for r in frequent], np.int64)
+    for k in range(4):
+        many[k] += (more == k + 1).sum()
+    many[4] += (more > 0).sum()
+    d = discounts(many[:4].tolist())
+    left = many[0] * d[0] + many[1] * d[1] + (many[4] - many[0] - many[1]) * d[2]
+    scale = Scale(d, int(hist[4]), float(left / hist[4]), (np.array([r[0] for r in frequent], np.int64), more, np.array([r[2] for r in frequent], np.float64)))
+    room = HELD_RUNS if held is None else held
+    while least < 1 << 40 and (hist + written)[5 + int(np.log2(least)) :].sum() > room:
+        least *= 2
+
+    def runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for pairs, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                c, b, gain, n, w, value, total = shard_values(pairs, words, scale)
+                keys = np.concatenate([run_key(b, c), run_key(np.zeros(len(w), np.int64), w)])
+                for at in range(0, len(keys), 100_000):
+                    part = slice(at, at + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(np.concatenate([gain, value])[part].astype(np.float32)), pa.array(np.concatenate([n, total])[part])], ["key", "value", "n"])
+
+    every = table.select("pairs", "words").mapInArrow(runs, "key long, value float, n long")
+    if held == 0:
+        least = 1 << 62
+    got = every.where(F.col("n") >= least).select("key", "value").toArrow()  # bounded by HELD_RUNS
+    keys, values = got["key"].to_numpy(), got["value"].to_numpy().astype(np.float64)
+    order = np.argsort(keys)
+    place = F.pmod("key", F.lit(TAIL_BITS)) + 1
+    tail = every.where(F.col("n") < least).select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("bit"))
+    bits = np.zeros(TAIL_BITS // 8, np.uint8)
+    for r in tail.groupBy("k").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+        part = np.frombuffer(r["bits"], np.uint8)  # 16 MB in all
         bits[(r["k"] - 1) * len(part) : r["k"] * len(part)] = part
-    return WordModel(chars, spelling, keys[at], weights[at], bits), tail
+    return WordModel(chars, places, scale, keys[order], values[order], bits), table
 
 
 def fingerprint(text: str = "text") -> list[F.Column]:
     """Two independent hashes of the text: what a score belongs to."""
-    return [F.when(F.col(text).isNotNull(), F.xxhash64(*x)).alias(name) for x, name in (((F.col(text),), "_h1"), ((F.lit(7), F.col(text)), "_h2"))]
+    return [F.when(F.col(text).isNotNull(), x).alias(name) for x, name in zip(text_hashes(text), ("_h1", "_h2"), strict=True)]
 
 
-def text_scores(docs: DataFrame, model: WordModel, tail: DataFrame) -> DataFrame:
+def text_scores(docs: DataFrame, model: WordModel, table: DataFrame) -> DataFrame:
     """(_h1, _h2, log_ppl) of each different text with words.
 
-    A task adds up spellings and frequent runs, and asks the tail for the other runs that the bitmap lets pass; answers are
-    summed by text.  A text that is asked for by several tasks has all its sums as many times, and the same mean.
+    A task adds up spellings and what it holds of a block of texts, and packs for each shard the other words and pairs that the
+    bitmap lets pass, with the number of the text; the shard answers with sums by text, and these are put together by
+    block.  A shard's rows are read one after the other behind the shard itself: a task holds one shard and one pack.
     """
     spark = docs.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(model)
     number = held._jbroadcast.id() if held._jbroadcast is not None else id(held)
+    names = ["shard", "block", "asked", "own"]
+
+    def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         words = keep_one(("words", number), lambda: Words(m.chars.dense()))
+        block = TaskContext.get().partitionId() << 32
+        log_weight = float(np.log(m.scale.weight))
         seen: set[tuple[int, int]] = set()
         for whole in it:
-            for b in batches(whole, 1_000_000):
-                ids, own, asked, times = [], [], [], []
-                for h1, h2, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2)), strict=True):
+            for batch in batches(whole, 4_000_000):
+                h, ids, own = [], [], []
+                for h1, h2, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), strict=True):
                     if not t or t.isspace() or (h1, h2) in seen:
                         continue
                     if len(seen) > MEMO:
                         seen.clear()
                     seen.add((h1, h2))
-                    h, base = words.of(t)
-                    a, b_, c, none = h[:-2], h[1:-1], h[2:], np.zeros(len(h) - 2, np.int64)
-                    # runs that end in a word, and runs of one and two words before a word: each run once an occurrence
-                    keys = np.concatenate([word_key(a, b_, c), word_key(none, a, b_), word_key(none[:1], b_[-1:], c[-1:]), word_key(none, none, b_), word_key(none[:1], none[:1], c[-1:])])
-                    total = base.sum() + len(base) * m.spelling
-                    if len(m.keys):
-                        at = np.minimum(np.searchsorted(m.keys, keys), len(m.keys) - 1)
-                        hit = m.keys[at] == keys
-                        total += m.weights[at[hit]].sum()
-                        keys = keys[~hit]
-                    bit = (keys & (BITMAP_BITS - 1)).astype(np.int64)
-                    keys, n = np.unique(keys[(m.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1], return_counts=True)
-                    ids.append((h1, h2, 1 + len(keys)))
-                    # the text's own row is dealt out by its hash
-                    asked += [np.array([h1]), keys]
-                    times += [np.array([0]), n]
-                    own.append((float(total), len(base)))
+                    x, base = words.of(t)
+                    h.append(x)
+                    ids.append((h1, h2))
+                    own.append((base.sum() + len(base) * log_weight, len(base)))
                 if not ids:
                     continue
-                size = np.array([x[2] for x in ids])
-                first = np.concatenate([[0], np.cumsum(size)[:-1]])
-                score, count = np.zeros(size.sum()), np.zeros(size.sum(), np.int64)
-                score[first], count[first] = [x[0] for x in own], [x[1] for x in own]
-                hs = [np.repeat(np.array([x[k] for x in ids], np.int64), size) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, [*hs, np.concatenate(asked), np.concatenate(times).astype(np.int64), score, count])], ["_h1", "_h2", "key", "n", "score", "words"])
-
-    terms = docs.select(*fingerprint(), "text").mapInArrow(rows, "_h1 long, _h2 long, key long, n long, score double, words long")
-    met = terms.join(tail, "key", "left")
-    sums = met.groupBy("_h1", "_h2").agg(F.sum(F.col("score") + F.col("n") * F.coalesce("w", F.lit(0.0))).alias("score"), F.sum("words").alias("words"))
-    return sums.select("_h1", "_h2", (-F.col("score") / F.col("words")).alias("log_ppl"))
+                block += 1
+                x = np.concatenate(h)
+                text = np.repeat(np.arange(len(h)), list(map(len, h)))
+                inside = x[:-1] != END
+                b = np.concatenate([x[:-1][inside], np.zeros(len(x), np.int64)])
+                c = np.concatenate([x[1:][inside], x])
+                text = np.concatenate([text[1:][inside], text])
+                keys = run_key(b, c)
+                at, hit = found_in(keys, m.keys)
+                score = np.array([o[0] for o in own])
+                score += np.bincount(text[hit], m.values[at[hit]], len(h)) if hit.any() else 0.0
+                bit = keys & (TAIL_BITS - 1)
+                ok = ~hit & ((m.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1)
+                b, c, text = b[ok], c[ok], text[ok].astype(np.uint16 if len(h) < 1 << 16 else np.int64)
+                order = np.argsort(c, kind="stable")
+                b, c, text = b[order], c[order], text[order]
+                shard = np.where(b == 0, m.places.home(c), m.places.of(c, b))
+                mine = pack(np.array([i[0] for i in ids], np.int64), np.array([i[1] for i in ids], np.int64), score, np.array([o[1] for o in own], np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([block % m.places.shards], pa.int32()), pa.array([block]), pa.array([None], pa.binary()), pa.array([mine], pa.binary())], names)
+                for k, (pc, pb, pt) in by_shard(shard, c, b, text):
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block]), pa.array([pack(np.diff(pc, prepend=0), pb, pt)], pa.binary()), pa.array([None], pa.binary())], names)
+
+    def answer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        keys, values, loaded = np.zeros(0, np.int64), np.zeros(0), -1
+        for batch in it:
+            for shard, block, asked, own in zip(*(batch.column(k) for k in range(4)), strict=True):
+                shard, block, asked, own = shard.as_py(), block.as_py(), asked.as_py(), own.as_py()
+                if block < 0:
+                    c, b, gain, _, w, value, _ = shard_values(asked, own, m.scale)
+                    keys, values = np.concatenate([run_key(b, c), run_key(np.zeros(len(w), np.int64), w)]), np.concatenate([gain, value])
+                    order = np.argsort(keys)
+                    keys, values, loaded = keys[order], values[order], shard
+                    continue
+                sums = None
+                if asked is not None:
+                    c, b, text = unpack(asked)
+                    at, hit = found_in(run_key(b, np.cumsum(c)), keys if loaded == shard else keys[:0])
+                    found, place = np.unique(text[hit], return_inverse=True)
+                    if not len(found):
+                        continue
+                    sums = pack(found, np.bincount(place, values[at[hit]]).astype(np.float32))
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block]), pa.array([sums], pa.binary()), pa.array([own], pa.binary())], names)
 
+    def together(key: tuple, t: pa.Table) -> pa.Table:
+        h1, h2, score, n = unpack(next(x for x in t["own"].to_pylist() if x is not None))
+        score = score.copy()
+        for _, sums in sorted((s, x) for s, x in zip(t["shard"].to_pylist(), t["asked"].to_pylist(), strict=True) if x is not None):
+            text, part = unpack(sums)
+            score[text.astype(np.int64)] += part
+        return pa.table({"_h1": pa.array(h1), "_h2": pa.array(h2), "log_ppl": pa.array(-score / n)})
 
-def perplexities(docs: DataFrame, model: WordModel, tail: DataFrame, keep: list[str], name: str = "log_ppl") -> DataFrame:
-    """The columns of keep, with *name* double, the log perplexity: mean negative log probability of the whole text's words; null without words."""
-    found = text_scores(docs, model, tail).withColumnRenamed("log_ppl", name)
-    return docs.select(*keep, *fingerprint()).join(found, ["_h1", "_h2"], "left").select(*keep, name)
+    kind = "shard int, block long, asked binary, own binary"
+    asked = docs.select(*fingerprint(), "text").mapInArrow(ask, kind)
+    shards = table.select("shard", F.lit(-1).cast("long").alias("block"), F.col("pairs").alias("asked"), F.col("words").alias("own"))
+    met = shards.unionByName(asked).repartition(model.places.shards, "shard").sortWithinPartitions("shard", "block").mapInArrow(answer, kind)
+    # a text that several tasks have read has the same score from each
+    return met.groupBy("block").applyInArrow(together, "_h1 long, _h2 long, log_ppl double").groupBy("_h1", "_h2").agg(F.min("log_ppl").alias("log_ppl"))
 
 
 def thresholds(held_out: DataFrame, quantile: float = QUANTILE, least: int = LEAST_DOCS, slack: float = SLACK) -> dict[str | None, float]:
@@ -443,45 +717,45 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Trusted are documents that labels calls of quality 1 and not toxic.  A fifth of them, by crc32 of doc_id, sets the
     thresholds of each language; the others train.  Null and wordless texts have no perplexity and are not kept; where no
-    trusted text exists everything else is kept.  Repeated rows give repeated rows.
+    trusted text exists everything else is kept.  A perplexity that equals the threshold is kept.  Repeated rows give repeated
+    rows, of a repeated doc_id each row is judged by its own text; an empty table gives none, and other columns aren't read.
     """
     own = docs.select("doc_id", "text", "lang")
-    prepared = prepare(docs, labels)
+    prepared = prepare(own, labels)
     if prepared is None:
         none = F.lit(None).cast("double")
         return own.select("doc_id", "lang", none.alias("perplexity"), none.alias("threshold"), (F.trim(F.coalesce("text", F.lit(""))) != "").alias("keep"))
-    model, tail, limit = prepared
-    rows = perplexities(own, model, tail, ["doc_id", "lang"])
+    found, limit = prepared
+    rows = own.select("doc_id", "lang", *fingerprint()).join(found, ["_h1", "_h2"], "left")
     keep = F.coalesce(F.col("log_ppl") <= F.coalesce(limit, F.col("log_ppl")), F.lit(False))
     return rows.select("doc_id", "lang", F.exp("log_ppl").alias("perplexity"), F.exp(limit).alias("threshold"), keep.alias("keep"))
 
 
-def prepare(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> tuple[WordModel, DataFrame, F.Column] | None:
-    """The model, its table of less frequent runs and, by the column lang, the greatest log perplexity that is kept (null where nothing sets one)."""
+def prepare(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> tuple[DataFrame, F.Column] | None:
+    """(_h1, _h2, log_ppl) of all texts with words and, by the column lang, the greatest log perplexity that is kept (null where
+    nothing sets one); None without trusted text."""
     good = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 AND t = 0").select("doc_id")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
-    trusted = docs.select("doc_id", "text", "lang")
-    train_on, hold_out = (only(trusted.where(x), good.where(x), "doc_id") for x in (fold != 0, fold == 0))
-    train_on = saved(train_on, "words-trusted")
+    train_on = saved(only(docs.where(fold != 0).select("doc_id", "text"), good.where(fold != 0), "doc_id").select("text"), "words-trusted")
     trained = train_words(train_on)
     discard(train_on)
     if trained is None:
         return None
-    hold_out = saved(hold_out, "words-held-out")
-    cut = thresholds(perplexities(hold_out, *trained, ["lang"]), quantile, slack=slack)
-    discard(hold_out)
+    found = saved(text_scores(docs, *trained), "words-scores")
+    discard(trained[1])
+    held_out = docs.where(fold == 0).select("doc_id", "lang", *fingerprint()).join(good.where(fold == 0), "doc_id").join(found, ["_h1", "_h2"])
+    cut = thresholds(held_out.select("lang", "log_ppl"), quantile, slack=slack)
     limit = F.lit(cut.pop("", None)).cast("double")
     for lang, x in cut.items():
         limit = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(x)).otherwise(limit)
-    return *trained, limit
+    return found, limit
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, all their columns, that quality() keeps."""
-    prepared = prepare(docs, labels)
+    prepared = prepare(docs.select("doc_id", "text", "lang"), labels)
     if prepared is None:
         return docs.where(F.trim(F.coalesce("text", F.lit(""))) != "")
-    model, tail, limit = prepared
-    own = "_log_ppl_of_text"  # the documents may have any other column
-    rows = perplexities(docs, model, tail, docs.columns, name=own)
-    return rows.where(F.col(own) <= F.coalesce(limit, F.col(own))).select(*docs.columns)
+    found, limit = prepared
+    rows = docs.select(F.struct("*").alias("doc"), "lang", *fingerprint()).join(found, ["_h1", "_h2"])
+    return rows.where(F.col("log_ppl") <= F.coalesce(limit, F.col("log_ppl"))).select("doc.*")
