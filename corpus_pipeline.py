@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm import bpe, dart_minhash, mixing, ngram_quality, toxicity
@@ -20,37 +20,55 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below 0.5.  One pass: the score is computed beside the document's columns."""
+    """Documents whose score is below 0.5.  One pass: the score is computed beside the document's columns.
+
+    Null and empty texts stay, as nothing in them is toxic; repeated rows share one decision; without labelled rows of both
+    classes, and of an empty table, all rows stay.  Other columns may have any name."""
     model = toxicity.fit(docs, _labels(spark, sf_dir))
     if model is None:
         return docs
-    own = "_evidence_of_text"  # the documents may have any other column
+    own = "_evidence_of_text"
+    while own in docs.columns:
+        own += "_"
     rows = toxicity.scored(docs, model, docs.columns, name=own)
     return rows.where(F.col(own) < model.threshold).select(*docs.columns)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality operator keeps."""
+    """Documents that the quality operator keeps.
+
+    Null, empty and wordless texts go; a perplexity that equals the threshold stays; repeated rows share one decision; where
+    no trusted text exists every text with words stays; an empty table stays empty.  Other columns may have any name."""
     return ngram_quality.kept(docs, _labels(spark, sf_dir))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: that of the smallest doc_id; documents without doc_id stay."""
-    rows = dart_minhash.near_duplicates(docs)
-    gone = rows.where("doc_id IS NOT NULL AND NOT keep").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each class of near-duplicates: a text of the smallest doc_id.
+
+    Rows without a doc_id or a text stay.  Rows of one doc_id with different texts are judged each by its own text; of rows
+    with the same doc_id and text one stays.  Other columns may have any name; an empty table stays empty."""
+    return dart_minhash.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id", "source").agg(F.max("copies").alias("_copies"))
-    taken = taken.withColumnRenamed("doc_id", "_doc").withColumnRenamed("source", "_source")
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Each row as often as the mix takes it: not at all, once or twice.
+
+    The mix decides for rows, not doc_ids: rows alike in doc_id, source and text are taken as often, all together, as the mix
+    takes all of them.  Null and empty texts have no words and may be taken or not; a null source is a source.  Other columns
+    may have any name; an empty table stays empty."""
+    named = [x for c in ("doc_id", "source", "text") for x in (F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit("")))]
+    key = F.xxhash64(*named)
+    mixed = mixing.mix(docs.select(key.alias("row"), "source", "text"), key="row")
+    taken = mixed.groupBy("row").agg(F.sum("copies").alias("total"), F.count("*").alias("alike"))
+    rows = docs.select(F.struct("*").alias("doc"), key.alias("row")).withColumn("place", F.row_number().over(Window.partitionBy("row").orderBy("row")))
+    copies = F.floor(F.col("total") / F.col("alike")) + F.when(F.col("place") <= F.col("total") % F.col("alike"), 1).otherwise(0)
+    met = rows.join(taken, "row").withColumn("copies", copies).where("copies > 0")
+    return met.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))).select("doc.*")
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of each text's ids and of what they decode to."""
+    """Digests of each text's ids and of what they decode to, one row for every row: null is an empty text, rows taken twice
+    are two rows, an empty table gives none, and other columns aren't read."""
     return bpe.bpe_round_trip(docs)
 
 
