@@ -6,7 +6,7 @@ it by shard (a pair costs a few bytes) and sends it there; a shard's task puts t
 makes up much of the text is spread over many shards, so that none grows with it.  Words are open: one never seen has the
 probability of its spelling under a model of characters.
 
-In that model characters are mapped to a closed alphabet of 64 symbols, so that it has at most 64**ORDER entries however large
+In that model characters are mapped to a closed alphabet of 64 symbols, so that it has 64**ORDER entries however large
 the corpus: that bound is what lets it be broadcast.  Scripts that the alphabet lacks are told apart by their words.
 """
 
@@ -15,11 +15,11 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import batches, texts_of
@@ -44,10 +44,10 @@ HELD_COUNT, HELD_RUNS = 8, 1 << 20
 #: Bits of the bitmap of all others, which stops most words and pairs that the model doesn't have: 16 MB, always.
 TAIL_BITS = 1 << 27
 #: Words, and fingerprints of texts, that a worker remembers.
-MEMO = 250_000
+MEMO = 150_000
 #: Words that a task counts before it packs them, words of the trusted text to a shard, least and most shards, and shards that
 #: a frequent word is spread over.
-FLUSH, SHARD_WORDS, SHARDS, SPREAD = 2_000_000, 4_000_000, (8, 16_384), 64
+FLUSH, SHARD_WORDS, SHARDS, SPREAD = 1_000_000, 4_000_000, (8, 16_384), 64
 #: A word is its 40-bit hash; these stand before and behind a text's words.
 WORD_SHIFT, START, END = 24, 1, 2
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -328,13 +328,26 @@ def _worded(it: Iterator[pa.RecordBatch], words: Words, column: int = 0) -> Iter
                     yield words.of(t)
 
 
-def frequent_words(docs: DataFrame, chars: Model, shards: int) -> np.ndarray:
+class Spelling:
+    """The model of characters as tasks get it; a worker makes one memory of words of it, whatever passes use it."""
+
+    def __init__(self, spark: SparkSession, chars: Model):
+        self.held = spark.sparkContext.broadcast(chars.dense())  # 64 MB
+        self.number = self.held._jbroadcast.id() if self.held._jbroadcast is not None else id(self)
+
+    def words(self) -> Words:
+        return keep_one(("words", self.number), lambda: Words(self.held.value))
+
+    def __getstate__(self) -> dict:
+        return {"held": self.held, "number": self.number}
+
+
+def frequent_words(docs: DataFrame, spelling: Spelling, shards: int) -> np.ndarray:
     """Words that would fill a quarter of a shard or more, of a sixteenth of the texts: this only decides where words are kept."""
     ship(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(chars)
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(held.value.dense())
+        words = spelling.words()
         for h, _ in _worded(it, words):
             w, n = np.unique(h, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n)], ["w", "n"])
@@ -370,10 +383,9 @@ def _counts_of(n: np.ndarray, written: np.ndarray) -> np.ndarray:
     return np.array(first + np.bincount(np.log2(np.maximum(written, 1)).astype(int), minlength=48)[:48].tolist(), np.int64)
 
 
-def pair_counts(docs: DataFrame, chars: Model, places: Places) -> DataFrame:
+def pair_counts(docs: DataFrame, spelling: Spelling, places: Places) -> DataFrame:
     """One row a shard: its pairs (b, c, n) in order of b, by b's place, and its words (w, base)."""
     ship(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(chars)
 
     def packed(h: list[np.ndarray], base: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         x = np.concatenate(h)
@@ -390,7 +402,7 @@ def pair_counts(docs: DataFrame, chars: Model, places: Places) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(np.diff(p[0], prepend=0), p[1], p[2])], pa.binary()), pa.array([pack(*w)], pa.binary())], ["shard", "pairs", "words"])
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, h, base, size = Words(held.value.dense()), [], [], 0
+        words, h, base, size = spelling.words(), [], [], 0
         for x, lp in _worded(it, words):
             h.append(x)
             base.append(lp)
@@ -524,7 +536,7 @@ class WordModel:
     """What a task holds of the model of words, all of fixed size: the model of characters, the most frequent words and pairs,
     and a bitmap of the others' keys.  The others themselves stay in shards that grow with the corpus."""
 
-    chars: Model
+    spelling: Spelling | None
     places: Places
     scale: Scale
     keys: np.ndarray
@@ -551,8 +563,9 @@ def train_words(trusted: DataFrame, held: int | None = None, shards: int | None
     if shards is None:
         size = trusted.agg(F.sum(F.length("text"))).first()[0] or 0
         shards = min(max(SHARDS[0], size // 5 // SHARD_WORDS), SHARDS[1])
-    places = Places(shards, frequent_words(trusted, chars, shards))
-    counts = saved(pair_counts(trusted, chars, places), "words-counts")
+    spelling = Spelling(spark, chars)
+    places = Places(shards, frequent_words(trusted, spelling, shards))
+    counts = saved(pair_counts(trusted, spelling, places), "words-counts")
     hist = _sums(counts)
     if not hist[4]:
         return None
@@ -594,7 +607,7 @@ def train_words(trusted: DataFrame, held: int | None = None, shards: int | None
     for r in tail.groupBy("k").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
         part = np.frombuffer(r["bits"], np.uint8)  # 16 MB in all
         bits[(r["k"] - 1) * len(part) : r["k"] * len(part)] = part
-    return WordModel(chars, places, scale, keys[order], values[order], bits), table
+    return WordModel(spelling, places, scale, keys[order], values[order], bits), table
 
 
 def fingerprint(text: str = "text") -> list[F.Column]:
@@ -611,20 +624,20 @@ def text_scores(docs: DataFrame, model: WordModel, table: DataFrame) -> DataFram
     """
     spark = docs.sparkSession
     ship(spark)
-    held = spark.sparkContext.broadcast(model)
-    number = held._jbroadcast.id() if held._jbroadcast is not None else id(held)
+    spelling = model.spelling
+    held = spark.sparkContext.broadcast(replace(model, spelling=None))  # a broadcast can't hold another
     names = ["shard", "block", "asked", "own"]
 
     def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         m = held.value
-        words = keep_one(("words", number), lambda: Words(m.chars.dense()))
+        words = spelling.words()
         block = TaskContext.get().partitionId() << 32
         log_weight = float(np.log(m.scale.weight))
         seen: set[tuple[int, int]] = set()
         for whole in it:
-            for batch in batches(whole, 4_000_000):
+            for batch in batches(whole, 2_000_000):
                 h, ids, own = [], [], []
                 for h1, h2, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), strict=True):
                     if not t or t.isspace() or (h1, h2) in seen:
