@@ -332,11 +332,11 @@ class Spelling:
     """The model of characters as tasks get it; a worker makes one memory of words of it, whatever passes use it."""
 
     def __init__(self, spark: SparkSession, chars: Model):
-        self.held = spark.sparkContext.broadcast(chars.dense())  # 64 MB
+        self.held = spark.sparkContext.broadcast(chars)  # what was observed; dense only in a worker
         self.number = self.held._jbroadcast.id() if self.held._jbroadcast is not None else id(self)
 
     def words(self) -> Words:
-        return keep_one(("words", self.number), lambda: Words(self.held.value))
+        return keep_one(("words", self.number), lambda: Words(self.held.value.dense()))
 
     def __getstate__(self) -> dict:
         return {"held": self.held, "number": self.number}

@@ -367,7 +367,7 @@ def test_words_equal_plain_kneser_ney(spark, held, shards, spread, monkeypatch):
         monkeypatch.setattr(ngram_quality, "frequent_words", lambda *_: frequent)
     model, table = ngram_quality.train_words(docs(spark, texts).repartition(3), held=held, shards=shards, least=1)
     assert held is None or len(model.keys) <= held
-    chars = model.spelling.held.value.reshape(-1, 64)
+    chars = model.spelling.held.value.dense().reshape(-1, 64)
     grams = {k: {} for k in (1, 2)}
     for t in texts:
         s = ["<", *ngram_quality.tokens(t), ">"]
