@@ -76,11 +76,17 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Remove what saved() wrote.  Call it only when nothing reads df any more."""
+def discard(df: DataFrame, release: bool = False) -> None:
+    """Remove what saved() wrote.  Call it only when nothing reads df any more.
+
+    Shuffle files of ended jobs go when the driver collects its garbage; with *release* it is asked to, as a chain of large
+    jobs would otherwise keep the files of all its steps."""
     path = getattr(df, "_larkspur_path", None)
     if path:
         spark = df.sparkSession
+        if release:
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 

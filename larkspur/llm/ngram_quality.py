@@ -47,9 +47,11 @@ TAIL_BITS = 1 << 27
 MEMO = 150_000
 #: Words that a task counts before it packs them, words of the trusted text to a shard, least and most shards, and shards that
 #: a frequent word is spread over.
-FLUSH, SHARD_WORDS, SHARDS, SPREAD = 1_000_000, 4_000_000, (8, 16_384), 64
+FLUSH, SHARD_WORDS, SHARDS, SPREAD = 1_000_000, 2_000_000, (8, 16_384), 64
 #: A word is its 40-bit hash; these stand before and behind a text's words.
 WORD_SHIFT, START, END = 24, 1, 2
+#: A shard is asked by 40 bits of a key: of its some million keys another one has them once in some hundred thousand times.
+KEY_SHIFT = 24
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _DIGIT, _UPPER, _OTHER_LETTER, _MARK = (2 + len(SYMBOLS) + k for k in range(4))
 assert _MARK < 1 << BITS
@@ -414,6 +416,7 @@ def pair_counts(docs: DataFrame, spelling: Spelling, places: Places) -> DataFram
             yield from packed(h, base)
 
     def one(key: tuple, t: pa.Table) -> pa.Table:
+        keep_one("no words", lambda: None)
         parts = [unpack(x) for x in t["pairs"].to_pylist()]
         b, c, n = np.concatenate([np.cumsum(p[0]) for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
         order = np.lexsort((c, b))
@@ -570,7 +573,7 @@ def train_words(trusted: DataFrame, held: int | None = None, shards: int | None
     if not hist[4]:
         return None
     table = saved(continuations(counts, discounts(hist[:4].tolist()), places), "words-shards")
-    discard(counts)
+    discard(counts, release=True)
     frequent = table.select(F.explode("frequent").alias("f")).groupBy("f.w").agg(F.sum("f.total").alias("n"), F.max("f.base").alias("base")).collect()
     frequent = sorted((r["w"], r["n"], r["base"] or 0.0) for r in frequent)
     written = _sums(table)
@@ -664,35 +667,39 @@ def text_scores(docs: DataFrame, model: WordModel, table: DataFrame) -> DataFram
                 score += np.bincount(text[hit], m.values[at[hit]], len(h)) if hit.any() else 0.0
                 bit = keys & (TAIL_BITS - 1)
                 ok = ~hit & ((m.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1)
-                b, c, text = b[ok], c[ok], text[ok].astype(np.uint16 if len(h) < 1 << 16 else np.int64)
-                order = np.argsort(c, kind="stable")
-                b, c, text = b[order], c[order], text[order]
+                b, c, text = b[ok], c[ok], text[ok]
+                order = np.argsort(text, kind="stable")
+                b, c, text, short = b[order], c[order], text[order], keys[ok][order].view(np.uint64) >> np.uint64(KEY_SHIFT)
                 shard = np.where(b == 0, m.places.home(c), m.places.of(c, b))
                 mine = pack(np.array([i[0] for i in ids], np.int64), np.array([i[1] for i in ids], np.int64), score, np.array([o[1] for o in own], np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array([block % m.places.shards], pa.int32()), pa.array([block]), pa.array([None], pa.binary()), pa.array([mine], pa.binary())], names)
-                for k, (pc, pb, pt) in by_shard(shard, c, b, text):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block]), pa.array([pack(np.diff(pc, prepend=0), pb, pt)], pa.binary()), pa.array([None], pa.binary())], names)
+                for k, (asks, texts) in by_shard(shard, short, text):
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block]), pa.array([pack(asks, np.diff(texts, prepend=0))], pa.binary()), pa.array([None], pa.binary())], names)
 
     def answer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        keys, values, loaded = np.zeros(0, np.int64), np.zeros(0), -1
+        keep_one("no words", lambda: None)  # the memory of words isn't needed any more
+        none = np.zeros(0, np.uint64)
+        keys, values, loaded = none, np.zeros(0), -1
         for batch in it:
             for shard, block, asked, own in zip(*(batch.column(k) for k in range(4)), strict=True):
                 shard, block, asked, own = shard.as_py(), block.as_py(), asked.as_py(), own.as_py()
                 if block < 0:
                     c, b, gain, _, w, value, _ = shard_values(asked, own, m.scale)
-                    keys, values = np.concatenate([run_key(b, c), run_key(np.zeros(len(w), np.int64), w)]), np.concatenate([gain, value])
+                    keys = np.concatenate([run_key(b, c), run_key(np.zeros(len(w), np.int64), w)]).view(np.uint64) >> np.uint64(KEY_SHIFT)
+                    values = np.concatenate([gain, value]).astype(np.float32)
+                    del c, b, gain, w, value
                     order = np.argsort(keys)
                     keys, values, loaded = keys[order], values[order], shard
                     continue
                 sums = None
                 if asked is not None:
-                    c, b, text = unpack(asked)
-                    at, hit = found_in(run_key(b, np.cumsum(c)), keys if loaded == shard else keys[:0])
-                    found, place = np.unique(text[hit], return_inverse=True)
+                    asks, steps = unpack(asked)
+                    at, hit = found_in(asks, keys if loaded == shard else none)
+                    found, place = np.unique(np.cumsum(steps)[hit], return_inverse=True)
                     if not len(found):
                         continue
-                    sums = pack(found, np.bincount(place, values[at[hit]]).astype(np.float32))
+                    sums = pack(np.diff(found, prepend=0), np.bincount(place, values[at[hit]]).astype(np.float32))
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block]), pa.array([sums], pa.binary()), pa.array([own], pa.binary())], names)
 
     def together(key: tuple, t: pa.Table) -> pa.Table:
@@ -700,7 +707,7 @@ def text_scores(docs: DataFrame, model: WordModel, table: DataFrame) -> DataFram
         score = score.copy()
         for _, sums in sorted((s, x) for s, x in zip(t["shard"].to_pylist(), t["asked"].to_pylist(), strict=True) if x is not None):
             text, part = unpack(sums)
-            score[text.astype(np.int64)] += part
+            score[np.cumsum(text)] += part
         return pa.table({"_h1": pa.array(h1), "_h2": pa.array(h2), "log_ppl": pa.array(-score / n)})
 
     kind = "shard int, block long, asked binary, own binary"
@@ -751,7 +758,7 @@ def prepare(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slac
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     train_on = saved(only(docs.where(fold != 0).select("doc_id", "text"), good.where(fold != 0), "doc_id").select("text"), "words-trusted")
     trained = train_words(train_on)
-    discard(train_on)
+    discard(train_on, release=True)
     if trained is None:
         return None
     found = saved(text_scores(docs, *trained), "words-scores")
