@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,23 +25,42 @@ def sign(token: Column) -> Column:
     return F.when(F.conv(F.substring(F.sha2(token, 256), 16, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
 
 
-def sparse(rows: DataFrame, key: str, weighted: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(key, bucket, x float): the normalised vector of array<struct<token, weight>>, without zero components.
+#: Tokens whose bucket and sign a worker remembers.
+MEMO = 500_000
+
+
+def encoded(rows: DataFrame, key: str, weighted: str, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(key, vec array<float>): the normalised vector of array<struct<token, weight>>, zero without tokens.
+
+    A vector hangs on its row only, so rows are encoded where they are read: no shuffle.  Float32 sums in the tokens' order,
+    norm and quotients as in single precision of double sums."""
+    kind = dict(rows.dtypes)[key]
 
-    Equal tokens are summed before they are hashed, so SHA-256 runs once a distinct token and row."""
-    t = rows.select(key, F.explode(weighted).alias("w")).select(key, F.col("w.token").alias("token"), F.col("w.weight").alias("weight"))
-    t = t.groupBy(key, "token").agg(F.sum("weight").alias("weight"))
-    b = t.groupBy(key, bucket(F.col("token"), dimensions).alias("bucket")).agg(F.sum(sign(F.col("token")) * F.col("weight")).cast("float").alias("v")).where("v <> 0")
-    from pyspark.sql import Window
+    def go(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, float]] = {}
+        for b in it:
+            lists = b.column(1)
+            flat = lists.flatten()
+            names, weight = flat.field("token").to_pylist(), flat.field("weight").to_numpy(zero_copy_only=False)
+            if len(known) > MEMO:
+                known.clear()
+            for t in set(names) - known.keys():
+                h = hashlib.sha256(t.encode()).digest()
+                known[t] = (int.from_bytes(h[:4], "big", signed=True) % dimensions, -1.0 if h[7] & 1 else 1.0)
+            got = np.array([known[t] for t in names]).reshape(-1, 2)
+            row = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            v = np.zeros((b.num_rows, dimensions), np.float32)
+            np.add.at(v, (row, got[:, 0].astype(np.int64)), (got[:, 1] * weight).astype(np.float32))
+            norm = np.sqrt((v * v).astype(np.float64).sum(1)).astype(np.float32)
+            unit = (v.astype(np.float64) / np.where(norm > 0, norm, 1).astype(np.float64)[:, None]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * dimensions, pa.int32()), pa.array(unit.ravel()))], ["key", "vec"])
 
-    norm = F.sqrt(F.sum((F.col("v") * F.col("v")).cast("double")).over(Window.partitionBy(key))).cast("float")
-    return b.select(key, "bucket", (F.col("v").cast("double") / norm.cast("double")).cast("float").alias("x"))
+    return rows.select(F.col(key).alias("key"), F.coalesce(weighted, F.array().cast("array<struct<token:string,weight:double>>")).alias("w")).mapInArrow(go, f"key {kind}, vec array<float>").withColumnRenamed("key", key)
 
 
-def dense(rows: DataFrame, key: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(key, vec array<float>) from sparse()."""
-    m = rows.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "x"))).alias("m"))
-    return m.select(key, F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0).cast("float"))).alias("vec"))
+def sparse(rows: DataFrame, key: str, weighted: str, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(key, bucket, x float): encoded() without zero components."""
+    return encoded(rows, key, weighted, dimensions).select(key, F.posexplode("vec").alias("bucket", "x")).where("x <> 0")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -62,3 +87,21 @@ def centroid(rows: DataFrame, vector: str, *by: str) -> DataFrame:
 def cosine_parts(a: Column, b: Column) -> Column:
     """array<struct<bucket, product>> of a pair: what each bucket adds to the cosine of unit vectors."""
     return F.filter(F.transform(F.zip_with(a, b, lambda x, y: (x * y).cast("double")), lambda p, k: F.struct(k.alias("bucket"), p.alias("product"))), lambda s: s["product"] != 0)
+
+
+def decomposition(pairs: DataFrame, a: str, b: str, first: int) -> DataFrame:
+    """pairs with what makes up their cosine: score (the sum of all buckets' products), the *first* largest products'
+    sum as covered, the rest as residual, shared buckets and those with products below zero (collisions of signs)."""
+    p = pairs.withColumn("_p", cosine_parts(F.col(a), F.col(b)))
+    products = F.transform("_p", lambda s: s["product"])
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    top = F.slice(F.sort_array(F.transform(products, lambda v: F.struct(F.abs(v).alias("m"), v.alias("v"))), asc=False), 1, first)
+    p = p.withColumn("score", total(products)).withColumn("covered", total(F.transform(top, lambda s: s["v"])))
+    return p.withColumn("residual", F.col("score") - F.col("covered")).withColumn("shared", F.size("_p")).withColumn("opposed", F.size(F.filter(products, lambda v: v < 0))).drop("_p")
+
+
+def centroid_cosine(rows: DataFrame, vector: str, by: str) -> DataFrame:
+    """rows with near: the cosine of each vector with the mean of its group."""
+    mean = centroid(rows, vector, by).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "mean"))), lambda s: s["mean"]).alias("_c"))
+    v = F.transform(vector, lambda x: x.cast("double"))
+    return rows.join(mean, by).withColumn("near", dot(v, F.col("_c")) / F.sqrt(dot(v, v) * dot(F.col("_c"), F.col("_c")))).drop("_c")

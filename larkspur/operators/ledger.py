@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a record's payload at most.
 MAX_PAYLOAD = 1 << 20
+#: Sequences to a block of a prefix digest.
+DIGEST_BLOCK = 1_024
 
 
 def effective(ledger: DataFrame, *scope: str) -> DataFrame:
@@ -124,10 +126,14 @@ def eligibility(**codes: Column) -> Column:
 
 
 def prefix_digest(ledger: DataFrame, *scope: str) -> DataFrame:
-    """(scope, n, digest): SHA-256 over '<seq>:<payload digest>' lines in order."""
+    """(scope, n, digest): SHA-256 over '<block>:<digest>' lines in order, where a block's digest is that over the
+    '<seq>:<payload digest>' lines of DIGEST_BLOCK sequences.  No row holds more than a block, or than one line a block."""
     line = F.concat(F.col("seq").cast("string"), F.lit(":"), F.sha2("payload", 256), F.lit("\n"))
-    t = ledger.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))).alias("x"))
-    return t.select(*scope, F.size("x").alias("n"), F.sha2(F.array_join(F.transform("x", lambda s: s["line"]), ""), 256).alias("digest"))
+    joined = lambda x: F.sha2(F.array_join(F.transform(x, lambda s: s["line"]), ""), 256)
+    blocks = ledger.groupBy(*scope, F.expr(f"seq div {DIGEST_BLOCK}").alias("_block")).agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))).alias("_x"))
+    blocks = blocks.select(*scope, "_block", F.size("_x").cast("long").alias("_n"), F.concat(F.col("_block").cast("string"), F.lit(":"), joined(F.col("_x")), F.lit("\n")).alias("line"))
+    whole = blocks.groupBy(*scope).agg(F.sum("_n").alias("n"), F.array_sort(F.collect_list(F.struct("_block", "line"))).alias("_x"))
+    return whole.select(*scope, "n", joined(F.col("_x")).alias("digest"))
 
 
 def live_texts(finishes: DataFrame, ever: DataFrame, *scope: str) -> DataFrame:
@@ -171,7 +177,11 @@ def fold_validate(ledger: DataFrame) -> DataFrame:
     """(scope, seq, event_id, violation) in strict order of each execution: duplicate ids, attempts that never began, ordinals
     used twice, work after an attempt's end, a start that isn't first.
 
-    State is that of one execution, so executions, not scopes, are the groups: none is larger than its own history."""
+    An event id is used once in a scope: a later row with it is a duplicate in whatever execution it stands.  All other state is
+    that of one execution, so executions, not scopes, are the groups: none is larger than its own history."""
+    first = F.min("seq").over(Window.partitionBy("scope", "event_id"))
+    every = ledger.select("scope", "seq", "event_id", "kind", "execution", "attempt", "ordinal").withColumn("_first", first)
+    twice = every.where("seq > _first").select("scope", "seq", "event_id", F.lit("DUPLICATE_EVENT").alias("violation"))
 
     def go(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq", kind="stable")
@@ -202,7 +212,8 @@ def fold_validate(ledger: DataFrame) -> DataFrame:
                 ended.add(r.attempt)
         return pd.DataFrame(out, columns=["scope", "seq", "event_id", "violation"])
 
-    return ledger.select("scope", "seq", "event_id", "kind", "execution", "attempt", "ordinal").groupBy("scope", "execution").applyInPandas(go, "scope string, seq long, event_id string, violation string")
+    rest = every.where("seq = _first").drop("_first").groupBy("scope", "execution").applyInPandas(go, "scope string, seq long, event_id string, violation string")
+    return twice.unionByName(rest)
 
 
 def attempt_join(hits: DataFrame, samples: DataFrame, attempts: DataFrame, cutoff: Column) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text, vectors
+from .blocks import meet
 
-#: Queries that are sent to all tasks at once; more are searched in several passes over the vectors.
-MAX_QUERIES = 20_000
+#: Queries that are sent to all tasks at once; more are searched in blocks of queries and vectors.
+MAX_QUERIES, QUERY_BLOCK, VECTOR_BLOCK = 20_000, 8_192, 65_536
 
 
 def atoms(rows: DataFrame, content: str = "text", order: str | None = None, aliases: str | None = None) -> DataFrame:
@@ -25,96 +26,113 @@ def atoms(rows: DataFrame, content: str = "text", order: str | None = None, alia
     return own.groupBy("atom_id").agg(F.first("content").alias("content"), merged.alias("aliases"), F.min("seq").alias("seq"))
 
 
-def encoded(rows: DataFrame, key: str, content: Column, lexicon: text.Lexicon | None = text.Lexicon(), dimensions: int = vectors.DIMENSIONS) -> DataFrame:
-    """(key, vec): dense unit vectors; without a lexicon the raw tokens count.  A text without tokens has a zero vector."""
+def encoded(rows: DataFrame, key: str, content: Column, lexicon: text.Lexicon | None = text.Lexicon(), dimensions: int = vectors.DIMENSIONS, aliases: Column | None = None) -> DataFrame:
+    """(key, vec): dense unit vectors; without a lexicon the raw tokens count.  A text without tokens has a zero vector.
+
+    With *aliases* the content's tokens and expansions come first, then those of the aliases at their lower weights."""
+    pair = lambda w: lambda t: F.struct(t.alias("token"), F.lit(w).alias("weight"))
     if lexicon is None:
-        w = F.transform(text.tokens(content), lambda t: F.struct(t.alias("token"), F.lit(1.0).alias("weight")))
+        own = text.searchable(content, aliases) if aliases is not None else content
+        w = F.transform(text.tokens(own), pair(1.0))
+    elif aliases is not None:
+        w = F.transform(text.weighted_atom(content, aliases, lexicon), lambda s: F.struct(s["token"].alias("token"), s["weight"].alias("weight")))
     else:
         norm = text.normalized(content, lexicon)
         w = text.weighted(norm, text.expansions(norm, lexicon))
-    own = rows.select(key, w.alias("w"))
-    some = vectors.dense(vectors.sparse(own, key, "w", dimensions), key, dimensions)
-    zero = F.array_repeat(F.lit(0.0).cast("float"), dimensions)
-    return own.select(key).join(some, key, "left").select(key, F.coalesce("vec", zero).alias("vec"))
+    return vectors.encoded(rows.select(key, w.alias("w")), key, "w", dimensions)
+
+
+def known_only(stored: DataFrame, atom_rows: DataFrame) -> DataFrame:
+    """Vectors whose atom exists: orphans are no results."""
+    return stored.join(atom_rows.select("atom_id"), "atom_id", "left_semi")
 
 
 def scan(stored: DataFrame, queries: DataFrame, k: int, threshold: float | None = 0.0, digits: int | None = None, atom: str = "atom_id") -> DataFrame:
     """(query_id, rank, atom_id, score) of the k best atoms of each query.
 
     stored: (atom_id, vec), several rows an atom allowed (its best counts); queries: (query_id, vec).  Scores are cosines
-    with float32 products summed in index order as float64; NaN never passes; ties go to the smaller atom_id.  Each task
-    keeps the k best atoms of each query, so that k rows a task and query are shuffled, not one for each pair.  With
+    with float32 products summed in index order as float64; NaN never passes; ties go to the smaller atom_id.  With
     *digits*, scores are rounded before they are ranked.  threshold None: no threshold.
+
+    Up to MAX_QUERIES queries are broadcast; more meet the vectors in blocks, and none of them reach the driver.  Either
+    way a task keeps the k best atoms of each query, so that k rows a task and query are shuffled, not one for each pair.
     """
     if k < 1:
         raise ValueError("k must be positive")
-    n = queries.count()
-    passes = max(1, -(-n // MAX_QUERIES))
-    parts = [_pass(stored, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == j) if passes > 1 else queries, k, threshold, digits, atom) for j in range(passes)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    kinds = dict(stored.dtypes)[atom], dict(queries.dtypes)["query_id"]
+    schema = f"query_id {kinds[1]}, `{atom}` {kinds[0]}, score double"
+    stored, queries = stored.select(atom, "vec"), queries.select("query_id", "vec")
+    if queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES:
+        held = stored.sparkSession.sparkContext.broadcast(queries.toArrow())
+
+        def go(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                t = _best(held.value, pa.Table.from_batches([b]), k, threshold, digits, atom)
+                yield from t.to_batches()
+
+        out = stored.mapInArrow(go, schema)
+    else:
+        out = meet(queries, stored, [], F.col("query_id"), F.col(atom), lambda q, v: _best(q, v, k, threshold, digits, atom), schema, QUERY_BLOCK, VECTOR_BLOCK)
     best = out.groupBy("query_id", atom).agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), atom))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", atom, "score")
 
 
-def _pass(stored: DataFrame, queries: DataFrame, k: int, threshold: float | None, digits: int | None, atom: str) -> DataFrame:
-    got = queries.select("query_id", "vec").toArrow()
-    names = got["query_id"]
-    q = np.array(got["vec"].to_pylist(), np.float32).reshape(len(names), -1)
-    kinds = dict(stored.dtypes)[atom], dict(queries.dtypes)["query_id"]
-    held = stored.sparkSession.sparkContext.broadcast((names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names, q))  # at most MAX_QUERIES
-
-    def norms(x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        for d in range(x.shape[1]):
-            total += (x[:, d] * x[:, d]).astype(np.float64)
-        return np.sqrt(total)
-
-    def go(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = held.value
-        qn = norms(q)
-        for b in it:
-            if not b.num_rows or not len(q):
-                continue
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float32, copy=False)
-            if x.shape[1] != q.shape[1]:
-                raise ValueError("vector dimensions differ")
-            xn, xid = norms(x), b.column(0)
-            order = np.argsort(np.argsort(np.array(xid.to_pylist(), dtype=object), kind="stable"), kind="stable")
-            rows, cols, values = [], [], []
-            for at in range(0, len(q), 64):
-                part = q[at : at + 64]
-                s = np.zeros((len(part), len(x)))
-                for d in range(x.shape[1]):
-                    s += (part[:, d : d + 1] * x[None, :, d]).astype(np.float64)
-                m = qn[at : at + 64, None] * xn[None]
-                s = np.divide(s, m, out=np.zeros_like(s), where=m != 0)
-                if digits is not None:
-                    s = np.round(s, digits)
-                for i in range(len(part)):
-                    ok = np.flatnonzero(s[i] >= threshold) if threshold is not None else np.flatnonzero(~np.isnan(s[i]))
-                    ok = ok[np.lexsort((order[ok], -s[i][ok]))]
-                    seen: set = set()
-                    for j in ok.tolist():
-                        a = xid[j].as_py()
-                        if a not in seen:
-                            seen.add(a)
-                            rows.append(at + i)
-                            cols.append(j)
-                            values.append(float(s[i, j]))
-                            if len(seen) == k:
-                                break
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(rows, pa.int64())), xid.take(pa.array(cols, pa.int64())), pa.array(values, pa.float64())], ["query_id", atom, "score"])
-
-    return stored.select(atom, "vec").mapInArrow(go, f"query_id {kinds[1]}, `{atom}` {kinds[0]}, score double")
+def _matrix(t: pa.Table) -> np.ndarray:
+    v = t["vec"].combine_chunks() if isinstance(t["vec"], pa.ChunkedArray) else t["vec"]
+    if isinstance(v, pa.ChunkedArray):
+        v = pa.concat_arrays(v.chunks)
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1).astype(np.float32, copy=False)
+
+
+def _norms(x: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        total += (x[:, d] * x[:, d]).astype(np.float64)
+    return np.sqrt(total)
+
+
+def _best(queries: pa.Table, stored: pa.Table, k: int, threshold: float | None, digits: int | None, atom: str) -> pa.Table:
+    """The k best atoms of *stored* for each query: 64 queries at a time against all vectors, one dimension after the other."""
+    names, ids = queries["query_id"].combine_chunks(), stored[atom].combine_chunks()
+    picked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if queries.num_rows and stored.num_rows:
+        q, x = _matrix(queries), _matrix(stored)
+        if x.shape[1] != q.shape[1]:
+            raise ValueError("vector dimensions differ")
+        qn, xn = _norms(q), _norms(x)
+        _, first, place = np.unique(np.array(ids.to_pylist(), dtype=object), return_index=True, return_inverse=True)
+        by_id = np.argsort(place, kind="stable")
+        starts = np.searchsorted(place[by_id], np.arange(len(first)))
+        cols = np.ascontiguousarray(x.T)
+        for at in range(0, len(q), 64):
+            part = q[at : at + 64]
+            s = np.zeros((len(part), len(x)))
+            for d in range(len(cols)):
+                s += part[:, d : d + 1] * cols[d]
+            m = qn[at : at + 64, None] * xn[None]
+            s = np.divide(s, m, out=np.zeros_like(s), where=m != 0)
+            if digits is not None:
+                s = np.round(s, digits)
+            s[np.isnan(s)] = -np.inf
+            best = np.maximum.reduceat(s[:, by_id], starts, axis=1) if len(first) < len(x) else s[:, by_id]
+            least = np.partition(best, max(0, best.shape[1] - k), axis=1)[:, max(0, best.shape[1] - k)]
+            floor = np.maximum(least, -np.inf if threshold is None else threshold)
+            i, j = np.nonzero((best >= floor[:, None]) & (best > -np.inf))
+            order = np.lexsort((j, -best[i, j], i))
+            i, j = i[order], j[order]
+            turn = np.arange(len(i)) - np.searchsorted(i, i)
+            i, j = i[turn < k], j[turn < k]
+            picked.append((i + at, first[j], best[i, j]))
+    rows = [np.concatenate([p[n] for p in picked]) if picked else np.zeros(0) for n in range(3)]
+    return pa.table([names.take(pa.array(rows[0], pa.int64())), ids.take(pa.array(rows[1], pa.int64())), pa.array(rows[2], pa.float64())], names=["query_id", atom, "score"])
 
 
 def recall(atom_rows: DataFrame, queries: DataFrame, k: int = 10, threshold: float | None = 0.0, lexicon: text.Lexicon | None = text.Lexicon(), digits: int | None = None) -> DataFrame:
-    """Recall of query texts (query_id, text) over atoms (atom_id, content).  A query that is blank once normalised finds nothing."""
+    """Recall of query texts (query_id, text) over atoms (atom_id, content, aliases if any).  A query that is blank once normalised finds nothing."""
     asked = queries.where(F.trim(text.normalized(F.col("text"), lexicon) if lexicon else F.col("text")) != "")
-    return scan(encoded(atom_rows, "atom_id", F.col("content"), lexicon), encoded(asked, "query_id", F.col("text"), lexicon), k, threshold, digits)
+    aliases = F.col("aliases") if "aliases" in atom_rows.columns else None
+    return scan(encoded(atom_rows, "atom_id", F.col("content"), lexicon, aliases=aliases), encoded(asked, "query_id", F.col("text"), lexicon), k, threshold, digits)
 
 
 class Query:
@@ -141,9 +159,8 @@ class Query:
 
 
 def adjustments(feedback: DataFrame) -> DataFrame:
-    """(query_key, atom_id, delta) summed in log order."""
-    total = F.aggregate(F.array_sort(F.collect_list(F.struct("seq", "delta"))), F.lit(0.0), lambda s, e: s + e["delta"])
-    return feedback.groupBy("query_key", "atom_id").agg(total.alias("delta"))
+    """(query_key, atom_id, delta): exact decimal sums, which no order changes and which combine before the shuffle."""
+    return feedback.groupBy("query_key", "atom_id").agg(F.sum(F.col("delta").cast("decimal(28,18)")).cast("double").alias("delta"))
 
 
 def rerank(scored: DataFrame, deltas: DataFrame, k: int, threshold: float, pool: int = 4) -> DataFrame:

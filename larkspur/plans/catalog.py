@@ -261,7 +261,7 @@ def sequence_gaps(spark, d):
     return ledger.sequence_findings(t, "user_id").select("user_id", "event_id", "finding", "step")
 
 
-@query(oracle.LEDGER + "SELECT user_id, count(*) AS n, sha256(string_agg(seq || ':' || sha256(payload) || chr(10), '' ORDER BY seq)) AS digest FROM ledger GROUP BY user_id")
+@query(oracle.LEDGER + ", b AS (SELECT user_id, seq // 1024 AS block, count(*) AS n, sha256(string_agg(seq || ':' || sha256(payload) || chr(10), '' ORDER BY seq)) AS d FROM ledger GROUP BY ALL) SELECT user_id, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(block || ':' || d || chr(10), '' ORDER BY block)) AS digest FROM b GROUP BY user_id")
 def prefix_digest(spark, d):
     return ledger.prefix_digest(ledger_of(spark, d), "user_id").withColumn("n", F.col("n").cast("long"))
 

@@ -14,19 +14,21 @@ WINDOWS, SILENCE, DIMENSIONS = 8, 0.01, 16
 
 
 def parse_wav(raw: bytes) -> tuple[int, int, int, np.ndarray]:
-    """(sample rate, channels, bits, samples from -1 to 1 averaged over channels) of PCM with 1-2 channels, 8 or 16 bits."""
+    """(sample rate, channels, bits, samples from -1 to 1 averaged over channels) of plain PCM with 1-2 channels, 8 or 16 bits; cut chunks and other formats are errors."""
     if len(raw) < 12 or raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
     at, fmt, data = 12, None, None
     while at + 8 <= len(raw):
         name, size = raw[at : at + 4], struct.unpack_from("<I", raw, at + 4)[0]
         body = raw[at + 8 : at + 8 + size]
+        if len(body) < size:
+            raise ValueError("truncated WAV chunk")
         if name == b"fmt ":
             fmt = struct.unpack_from("<HHIIHH", body)
         elif name == b"data":
             data = body
         at += 8 + size + size % 2
-    if fmt is None or data is None or fmt[0] not in (1, 0xFFFE) or fmt[1] not in (1, 2) or fmt[5] not in (8, 16):
+    if fmt is None or data is None or fmt[0] != 1 or fmt[1] not in (1, 2) or fmt[5] not in (8, 16):
         raise ValueError("unsupported WAV format")
     _, channels, rate, _, _, bits = fmt
     width = bits // 8 * channels
