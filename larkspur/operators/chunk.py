@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,62 +15,78 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Policy:
-    max_bytes: int = 2_000
-    overlap_bytes: int = 200
-    heading: str = r"^(?:#{1,6} .+|CHAPTER .+|[A-Z][A-Z ]{3,60})$"
+    """A line that is a heading, whole; bytes of a chunk with its overlap at most; bytes repeated from the chunk before at most."""
 
+    max_bytes: int = 2_048
+    overlap_bytes: int = 0
+    heading: str = r"CHAPTER [IVXLC]+\."
 
-def split_text(text: str, policy: Policy) -> list[tuple[int, int, int]]:
-    """(section, start, end) of chunks, in characters.
 
-    Headings begin sections; blank lines end paragraphs; paragraphs are packed until the next would pass the limit; one
-    that is too long is cut at its last blank that fits, else at the limit.  A chunk after the first of its section
-    begins at a word's start within the overlap before it."""
+def _paragraphs(text: str, policy: Policy) -> list[tuple[int, int, int]]:
+    """(section, start, end) of runs of lines that aren't blank, without white space at either end."""
     heading = re.compile(policy.heading)
-    paragraphs: list[tuple[int, int, int]] = []
+    out: list[tuple[int, int, int]] = []
     section, at, begin = 0, 0, None
-    for line in text.splitlines(keepends=True):
-        end = at + len(line)
-        if heading.match(line.rstrip("\r\n")):
-            if begin is not None:
-                paragraphs.append((section, begin, at))
-            section, begin = section + 1, at
-        elif not line.strip():
-            if begin is not None:
-                paragraphs.append((section, begin, at))
+    for line in text.split("\n"):
+        is_heading = heading.fullmatch(line) is not None
+        if begin is not None and (is_heading or not line.strip()):
+            out.append((section, begin, at))
             begin = None
-        elif begin is None:
+        section += is_heading
+        if line.strip() and begin is None:
             begin = at
-        at = end
+        at += len(line) + 1
     if begin is not None:
-        paragraphs.append((section, begin, at))
+        out.append((section, begin, len(text)))
+    trimmed = ((s, b + len(text[b:e]) - len(text[b:e].lstrip()), b + len(text[b:e].rstrip())) for s, b, e in out)
+    return [(s, b, e) for s, b, e in trimmed if e > b]
+
+
+def _pieces(text: str, start: int, end: int, limit: int) -> list[tuple[int, int]]:
+    """Parts of a paragraph that is too long, cut at the last white space that fits, else between characters."""
+    out = []
+    while len(text[start:end].encode()) > limit:
+        fits = start + max(1, len(text[start:end].encode()[:limit].decode(errors="ignore")))
+        space = next((k for k in range(fits, start, -1) if text[k : k + 1].isspace()), None)
+        while space is None and fits > start + 1 and (unicodedata.combining(text[fits]) or text[fits] in "\u200d\ufe0f"):
+            fits -= 1
+        cut = fits if space is None else space
+        out.append((start, start + len(text[start:cut].rstrip())))
+        start = cut + len(text[cut:end]) - len(text[cut:end].lstrip())
+    return [*out, (start, end)] if end > start else out
+
+
+def split_text(text: str, policy: Policy) -> list[tuple[int, int, int]]:
+    """(section, start, end) of chunks, in characters.
+
+    Headings begin sections; blank lines end paragraphs; paragraphs of a section are packed until the next would pass the
+    limit.  One that passes it alone is cut, and its parts are chunks of their own: the chunk before it is closed, and the
+    one behind it begins anew.  A chunk after the first of its section begins at a word's start within the overlap before
+    it; the limit holds with the overlap."""
+    limit = policy.max_bytes - policy.overlap_bytes
     size = lambda a, b: len(text[a:b].encode())
-    pieces: list[tuple[int, int, int]] = []
-    for s, a, b in paragraphs:
-        while size(a, b) > policy.max_bytes:
-            cut = a + len(text[a:b].encode()[: policy.max_bytes].decode(errors="ignore"))
-            cut = max(cut, a + 1)
-            blank = max(text.rfind(" ", a + 1, cut), text.rfind("\n", a + 1, cut))
-            cut = blank + 1 if blank > a else cut
-            pieces.append((s, a, cut))
-            a = cut
-        if text[a:b].strip():
-            pieces.append((s, a, b))
     out: list[tuple[int, int, int]] = []
-    for s, a, b in pieces:
-        if out and out[-1][0] == s and size(out[-1][1], b) <= policy.max_bytes:
-            out[-1] = (s, out[-1][1], b)
-        else:
-            out.append((s, a, b))
+    current: tuple[int, int, int] | None = None
+    for s, a, b in _paragraphs(text, policy):
+        if current and current[0] == s and size(a, b) <= limit and size(current[1], b) <= limit:
+            current = (s, current[1], b)
+            continue
+        if current:
+            out.append(current)
+        current = (s, a, b)
+        if size(a, b) > limit:
+            out += [(s, p, q) for p, q in _pieces(text, a, b, limit)]
+            current = None
+    if current:
+        out.append(current)
     final = []
     for k, (s, a, b) in enumerate(out):
         if k and out[k - 1][0] == s and policy.overlap_bytes:
-            room = min(policy.overlap_bytes, policy.max_bytes - size(a, b))
             lo = a
-            while lo > out[k - 1][1] and room > 0 and size(lo - 1, a) <= room:
+            while lo > out[k - 1][1] and size(lo - 1, a) <= policy.overlap_bytes:
                 lo -= 1
-            blank = text.find(" ", lo, a)
-            a = blank + 1 if 0 <= blank < a - 1 and lo > out[k - 1][1] else lo if lo == out[k - 1][1] else a
+            words = [p for p in range(lo, a) if not text[p].isspace() and (p == out[k - 1][1] or text[p - 1].isspace())]
+            a = words[0] if words else a
         final.append((s, a, b))
     return final
 

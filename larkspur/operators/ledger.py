@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 #: Bytes of a record's payload at most.
 MAX_PAYLOAD = 1 << 20
-#: Sequences to a block of a prefix digest.
-DIGEST_BLOCK = 1_024
 
 
 def effective(ledger: DataFrame, *scope: str) -> DataFrame:
@@ -125,17 +123,6 @@ def eligibility(**codes: Column) -> Column:
     return F.array_compact(F.array(*(F.when(c, n) for n, c in codes.items())))
 
 
-def prefix_digest(ledger: DataFrame, *scope: str) -> DataFrame:
-    """(scope, n, digest): SHA-256 over '<block>:<digest>' lines in order, where a block's digest is that over the
-    '<seq>:<payload digest>' lines of DIGEST_BLOCK sequences.  No row holds more than a block, or than one line a block."""
-    line = F.concat(F.col("seq").cast("string"), F.lit(":"), F.sha2("payload", 256), F.lit("\n"))
-    joined = lambda x: F.sha2(F.array_join(F.transform(x, lambda s: s["line"]), ""), 256)
-    blocks = ledger.groupBy(*scope, F.expr(f"seq div {DIGEST_BLOCK}").alias("_block")).agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))).alias("_x"))
-    blocks = blocks.select(*scope, "_block", F.size("_x").cast("long").alias("_n"), F.concat(F.col("_block").cast("string"), F.lit(":"), joined(F.col("_x")), F.lit("\n")).alias("line"))
-    whole = blocks.groupBy(*scope).agg(F.sum("_n").alias("n"), F.array_sort(F.collect_list(F.struct("_block", "line"))).alias("_x"))
-    return whole.select(*scope, "n", joined(F.col("_x")).alias("digest"))
-
-
 def live_texts(finishes: DataFrame, ever: DataFrame, *scope: str) -> DataFrame:
     """(scope, atom_id, state): LIVE atoms are texts of effective finishes, RETIRED those once projected and no longer."""
     live = finishes.select(*scope, "atom_id").distinct().withColumn("_live", F.lit(True))
@@ -224,7 +211,7 @@ def attempt_join(hits: DataFrame, samples: DataFrame, attempts: DataFrame, cutof
     return t.withColumn("status", F.when(F.col("seq") > cutoff, "BEYOND_CUTOFF").when(F.col("_s").isNull(), "NO_SAMPLE").when(F.col("_a").isNull(), "ATTEMPT_NOT_IN_SAMPLE").when(~F.col("_finish").eqNullSafe(F.col("event_id")), "FINISH_MISMATCH").otherwise("JOINED")).drop("_s", "_a", "_finish")
 
 
-def parse_framed(lines: DataFrame, column: str = "value") -> DataFrame:
+def parse_framed(lines: DataFrame, column: str = "value", keep: str | None = None) -> DataFrame:
     """Framed ledger lines 'MXL1 seq length sha256 payload' (tabs) as (seq, payload, finding); finding null where all holds."""
     p = F.split(column, "\t", 5)
     get = lambda k: F.get(p, F.lit(k))
@@ -235,7 +222,7 @@ def parse_framed(lines: DataFrame, column: str = "value") -> DataFrame:
         .when(F.octet_length(payload) > MAX_PAYLOAD, "OVERSIZED_RECORD")
         .when(F.sha2(payload, 256) != get(3), "DIGEST_MISMATCH")
     )
-    return lines.select(F.expr("try_cast(split(" + column + ", '\t', 5)[1] AS BIGINT)").alias("seq"), payload.alias("payload"), finding.alias("finding"))
+    return lines.select(*([keep] if keep else []), F.expr("try_cast(split(" + column + ", '\t', 5)[1] AS BIGINT)").alias("seq"), payload.alias("payload"), finding.alias("finding"))
 
 
 def framed(seq: Column, payload: Column) -> Column:

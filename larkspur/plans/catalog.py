@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text, vectors
-from ..operators import compare, cost, fusion, ledger, metrics, recall, stats
+from ..operators import compare, cost, experience, fusion, ledger, metrics, recall, stats
 from . import oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -261,9 +261,9 @@ def sequence_gaps(spark, d):
     return ledger.sequence_findings(t, "user_id").select("user_id", "event_id", "finding", "step")
 
 
-@query(oracle.LEDGER + ", b AS (SELECT user_id, seq // 1024 AS block, count(*) AS n, sha256(string_agg(seq || ':' || sha256(payload) || chr(10), '' ORDER BY seq)) AS d FROM ledger GROUP BY ALL) SELECT user_id, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(block || ':' || d || chr(10), '' ORDER BY block)) AS digest FROM b GROUP BY user_id")
+@query(oracle.LEDGER + "SELECT user_id, count(*) AS n, sha256(string_agg(seq || ':' || sha256(payload) || chr(10), '' ORDER BY seq)) AS digest FROM ledger GROUP BY user_id")
 def prefix_digest(spark, d):
-    return ledger.prefix_digest(ledger_of(spark, d), "user_id").withColumn("n", F.col("n").cast("long"))
+    return experience.digest(ledger_of(spark, d), "user_id")
 
 
 @query(oracle.LEDGER + ", eff AS (SELECT * FROM ledger l WHERE NOT EXISTS (SELECT 1 FROM ledger s WHERE s.user_id = l.user_id AND s.supersedes = l.event_id)) SELECT DISTINCT user_id, kind AS atom_id, CASE WHEN kind IN (SELECT kind FROM eff e WHERE e.user_id = ledger.user_id AND e.seq % 2 = 0) THEN 'LIVE' ELSE 'RETIRED' END AS state FROM ledger")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import content_id
@@ -17,6 +17,16 @@ from ..operators import ledger as _ledger
 VERSIONS = ("0.1", "0.2", "0.3", "0.4")
 
 
+def _in_order(t: DataFrame) -> DataFrame:
+    """t with seq, which orders rows as their files' names, and the places in a file, go: it is the rank of the file and then
+    the row's number in it, whatever Spark packs into one task."""
+    t = t.withColumn("_file", F.col("_metadata.file_path")).withColumn("_at", F.col("_metadata.file_block_start")).withColumn("_n", F.monotonically_increasing_id())
+    blocks = t.groupBy("_file", "_at").agg(F.min("_n").alias("_first"))
+    # as many rows as blocks of files
+    blocks = blocks.withColumn("_place", F.row_number().over(Window.orderBy("_file", "_at")))
+    return t.join(F.broadcast(blocks), ["_file", "_at"]).withColumn("seq", F.col("_place") * F.lit(1 << 40) + F.col("_n") - F.col("_first")).drop("_file", "_at", "_n", "_first", "_place")
+
+
 def _text(c: Column) -> Column:
     return F.decode(F.unbase64(c), "UTF-8")
 
@@ -25,7 +35,7 @@ def read_atom_log(spark: SparkSession, path: str) -> DataFrame:
     """(id, type, content, aliases, weight, created_at, seq) of a tab-separated log: 5 or 6 fields, Base64 content and
     comma-separated Base64 aliases.  Blank lines are skipped, other malformed lines are an error.  seq orders the lines of a
     file; a log of several files goes on in the order of their names."""
-    rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("seq")).where(F.trim("value") != "")
+    rows = _in_order(spark.read.text(path)).where(F.trim("value") != "")
     p = F.split("value", "\t", -1)
     n = F.size(p)
     bad = F.raise_error(F.concat(F.lit("malformed atom line: "), F.substring("value", 1, 80)))
@@ -96,10 +106,13 @@ def write_vectors(vectors: DataFrame, path: str, dimensions: int) -> None:
 
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
-    """Feedback JSON lines with seq; a missing queryKey is the query.  Signals must agree with their deltas' signs."""
+    """Feedback JSON lines with seq; a missing queryKey is the query.  A line whose signal disagrees with its delta's sign, or that
+    is invalid otherwise, is an error."""
     t = spark.read.schema("query string, queryKey string, atomId string, signal string, delta double, createdAt timestamp").json(path, mode="FAILFAST")
-    t = t.select("query", F.coalesce("queryKey", "query").alias("query_key"), F.col("atomId").alias("atom_id"), "signal", "delta", F.col("createdAt").alias("created_at"), F.monotonically_increasing_id().alias("seq"))
-    return t.where(valid_feedback())
+    t = t.select("query", F.coalesce("queryKey", "query").alias("query_key"), F.col("atomId").alias("atom_id"), "signal", "delta", F.col("createdAt").alias("created_at"), "_metadata")
+    t = _in_order(t).drop("_metadata")
+    bad = F.raise_error(F.concat(F.lit("invalid feedback for atom "), F.coalesce("atom_id", F.lit("null")))).cast("string")
+    return t.withColumn("signal", F.when(F.coalesce(valid_feedback(), F.lit(False)), F.col("signal")).otherwise(bad))
 
 
 def valid_feedback() -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ledger import append_status
 
+#: Scopes of a batch that are named in the filter on the ledger.
+MAX_SCOPES = 1_000
 EVENT = "scope string, seq long, event_id string, kind string, payload string, recorded_at timestamp"
 
 
@@ -19,13 +21,18 @@ def events(spark: SparkSession, path: str, schema: str = EVENT, per_trigger: int
 def append_once(stream: DataFrame, ledger_path: str, conflict_path: str, checkpoint: str) -> StreamingQuery:
     """Append events that are new to the ledger; an id with another payload goes to *conflict_path*.
 
-    A batch that is run again finds its own rows stored and appends nothing, so each event is stored once."""
+    A batch that is run again finds its own rows stored and appends nothing, so each event is stored once; its conflicts
+    stand in a folder of the batch, which running it again replaces.  Only the scopes of a batch are read from the ledger,
+    which is kept by scope."""
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
         schema = df.schema
         try:
             stored = spark.read.schema(schema).parquet(ledger_path)
+            scopes = [r["scope"] for r in df.select("scope").distinct().limit(MAX_SCOPES + 1).collect()]
+            if len(scopes) <= MAX_SCOPES:
+                stored = stored.where(F.col("scope").isin(scopes))  # prunes partitions; many scopes are left to the join
             stored.limit(1).count()
         except Exception as e:  # the ledger doesn't exist before its first batch
             if "PATH_NOT_FOUND" not in str(e):
@@ -35,8 +42,8 @@ def append_once(stream: DataFrame, ledger_path: str, conflict_path: str, checkpo
         first = df.groupBy("scope", "event_id").agg(F.min_by(F.struct(*df.columns), "seq").alias("r")).select("r.*")
         again = df.join(first.select("scope", "event_id", F.col("payload").alias("_p")), ["scope", "event_id"]).where("payload <> _p").drop("_p")
         marked = append_status(first, stored)
-        marked.where("status = 'CONFLICT'").drop("status").unionByName(again).write.mode("append").parquet(conflict_path)
-        marked.where("status = 'APPENDED'").drop("status").select(*df.columns).write.mode("append").parquet(ledger_path)
+        marked.where("status = 'CONFLICT'").drop("status").unionByName(again).write.mode("overwrite").parquet(f"{conflict_path}/batch={number}")
+        marked.where("status = 'APPENDED'").drop("status").select(*df.columns).write.mode("append").partitionBy("scope").parquet(ledger_path)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

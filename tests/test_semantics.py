@@ -195,7 +195,7 @@ def test_constant_arm_and_routes(spark):
 
 def test_chunks_cover_the_text():
     t = "# One\nalpha beta gamma\n\n" + "delta " * 500 + "\n\n# Two\nomega\n"
-    p = chunk.Policy(max_bytes=300, overlap_bytes=40)
+    p = chunk.Policy(max_bytes=300, overlap_bytes=40, heading=r"# .+")
     got = chunk.split_text(t, p)
     assert all(len(t[a:b].encode()) <= 300 for _, a, b in got)
     assert all(any(a <= k < b for _, a, b in got) for k, c in enumerate(t) if not c.isspace())
