@@ -31,3 +31,25 @@ def vector_findings(vectors: DataFrame, dimensions: int) -> DataFrame:
 
 def summary(findings: DataFrame) -> DataFrame:
     return findings.groupBy("severity", "category").agg(F.count("*").alias("n"))
+
+
+def feedback_findings(feedback: DataFrame) -> DataFrame:
+    """(seq, category, severity) of feedback rows that are no valid events."""
+    from ..sources.stores import valid_feedback
+
+    return feedback.where(~F.coalesce(valid_feedback(), F.lit(False))).select("seq", F.lit("FEEDBACK_LOG_CORRUPT").alias("category"), F.lit("ERROR").alias("severity"))
+
+
+def ledger_findings(ledger: DataFrame) -> DataFrame:
+    """(scope, seq, event_id, category, severity) of all scopes: gaps and repeats of the sequence, event ids that come again with
+    another payload, corrections of nothing and records of executions that never began."""
+    from .ledger import sequence_findings
+
+    order = sequence_findings(ledger, "scope").select("scope", "seq", "event_id", F.col("finding").alias("category"))
+    first = ledger.groupBy("scope", "event_id").agg(F.min_by("payload", "seq").alias("_p"), F.min("seq").alias("_s"))
+    again = ledger.join(first, ["scope", "event_id"]).where((F.col("seq") > F.col("_s")) & (F.col("payload") != F.col("_p"))).select("scope", "seq", "event_id", F.lit("CONFLICTING_DUPLICATE_EVENT").alias("category"))
+    target = ledger.select("scope", F.col("event_id").alias("supersedes")).distinct()
+    dangling = ledger.where("supersedes IS NOT NULL").join(target, ["scope", "supersedes"], "left_anti").select("scope", "seq", "event_id", F.lit("DANGLING_REFERENCE").alias("category"))
+    begun = ledger.where("kind = 'EXECUTION_STARTED'").groupBy("scope", "execution").agg(F.min("seq").alias("_b"))
+    early = ledger.where("kind <> 'EXECUTION_STARTED'").join(begun, ["scope", "execution"], "left").where(F.col("_b").isNull() | (F.col("seq") < F.col("_b"))).select("scope", "seq", "event_id", F.lit("INVALID_ORDER").alias("category"))
+    return order.unionByName(again).unionByName(dangling).unionByName(early).withColumn("severity", F.lit("ERROR"))

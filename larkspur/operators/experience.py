@@ -150,6 +150,11 @@ def digest(ledger: DataFrame, *scope: str) -> DataFrame:
     kinds = dict(ledger.dtypes)
     t = ledger.select(*scope, "seq", F.sha2("payload", 256).alias("_d"))
 
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    names = [*scope, "n", "digest"]
+    types = [*(to_arrow_type(t.schema[c].dataType) for c in scope), pa.int64(), pa.string()]
+
     def go(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, n, h, out = None, 0, hashlib.sha256(), []
         for b in it:
@@ -163,12 +168,7 @@ def digest(ledger: DataFrame, *scope: str) -> DataFrame:
                 n += 1
         if key is not None:
             out.append((*key, n, h.hexdigest()))
-        names = [*scope, "n", "digest"]
-        kind = [t.schema[c].dataType for c in scope]
         if out:
-            from pyspark.sql.pandas.types import to_arrow_type
-
-            types = [*(to_arrow_type(k) for k in kind), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], types[k]) for k in range(len(names))], names)
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in scope), "n long", "digest string"])

@@ -222,7 +222,7 @@ def parse_framed(lines: DataFrame, column: str = "value", keep: str | None = Non
         .when(F.octet_length(payload) > MAX_PAYLOAD, "OVERSIZED_RECORD")
         .when(F.sha2(payload, 256) != get(3), "DIGEST_MISMATCH")
     )
-    return lines.select(*([keep] if keep else []), F.expr("try_cast(split(" + column + ", '\t', 5)[1] AS BIGINT)").alias("seq"), payload.alias("payload"), finding.alias("finding"))
+    return lines.select(*([keep] if keep else []), F.expr("try_cast(get(split(" + column + ", '\t', 5), 1) AS BIGINT)").alias("seq"), payload.alias("payload"), finding.alias("finding"))
 
 
 def framed(seq: Column, payload: Column) -> Column:

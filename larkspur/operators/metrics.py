@@ -21,7 +21,11 @@ def per_query(ranked: DataFrame, relevant: DataFrame, ks: Sequence[int] = (1, 3,
 
     Precision divides by k however few results there are and counts repeats; recall counts distinct labels."""
     n = relevant.select("query_id", "label").distinct().groupBy("query_id").agg(F.count("*").alias("n_relevant"))
-    j = judged(ranked, relevant)
+    return from_judged(judged(ranked, relevant), n, ks)
+
+
+def from_judged(j: DataFrame, n: DataFrame, ks: Sequence[int] = (1, 3, 5)) -> DataFrame:
+    """The same from j (query_id, rank, label, rel) and n (query_id, n_relevant)."""
     aggs = []
     for k in ks:
         top = (F.col("rank") <= k) & (F.col("rel") == 1)
@@ -46,8 +50,12 @@ def averages(per: DataFrame, *by: str) -> DataFrame:
 
 def ranking_change(before: DataFrame, after: DataFrame, relevant: DataFrame) -> DataFrame:
     """(query_id, before_rank, after_rank, change): IMPROVED / DEGRADED / MAINTAINED by the first relevant rank."""
-    first = lambda r, n: judged(r, relevant).groupBy("query_id").agg(F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias(n))
-    q = relevant.select("query_id").distinct()
+    return change_of_judged(judged(before, relevant), judged(after, relevant), relevant.select("query_id").distinct())
+
+
+def change_of_judged(before: DataFrame, after: DataFrame, q: DataFrame) -> DataFrame:
+    """The same from rankings with rel and the queries that count."""
+    first = lambda r, n: r.groupBy("query_id").agg(F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias(n))
     t = q.join(first(before, "before_rank"), "query_id", "left").join(first(after, "after_rank"), "query_id", "left")
     far = F.lit(2147483647)
     b, a = F.coalesce("before_rank", far), F.coalesce("after_rank", far)

@@ -70,9 +70,18 @@ def scan(stored: DataFrame, queries: DataFrame, k: int, threshold: float | None
                 t = _best(held.value, pa.Table.from_batches([b]), k, threshold, digits, atom)
                 yield from t.to_batches()
 
-        out = stored.mapInArrow(go, schema)
-    else:
-        out = meet(queries, stored, [], F.col("query_id"), F.col(atom), lambda q, v: _best(q, v, k, threshold, digits, atom), schema, QUERY_BLOCK, VECTOR_BLOCK)
+        return _ranked(stored.mapInArrow(go, schema), k, atom)
+    return blocked(stored, queries, k, threshold, digits, atom)
+
+
+def blocked(stored: DataFrame, queries: DataFrame, k: int, threshold: float | None = 0.0, digits: int | None = None, atom: str = "atom_id", query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
+    """scan() for any number of queries: blocks of them meet blocks of vectors, each pair of blocks in a task of its own."""
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, `{atom}` {dict(stored.dtypes)[atom]}, score double"
+    out = meet(queries.select("query_id", "vec"), stored.select(atom, "vec"), [], F.col("query_id"), F.col(atom), lambda q, v: _best(q, v, k, threshold, digits, atom), schema, query_block, vector_block)
+    return _ranked(out, k, atom)
+
+
+def _ranked(out: DataFrame, k: int, atom: str) -> DataFrame:
     best = out.groupBy("query_id", atom).agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), atom))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", atom, "score")

@@ -78,20 +78,24 @@ def sparse(table: str, key: str, col: str, _lexicon) -> str:
     return "WITH " + _vec("", f"SELECT {key} AS id, unnest({tokens(col)}) AS token, 1.0::DOUBLE AS weight FROM {table}")
 
 
-def _weighted(source: str) -> str:
+def _weighted(source: str, own: float = 1.0, expansion: float = 0.25) -> str:
     """Weighted tokens of (id, text)."""
     return (
-        f"SELECT id, unnest({tokens('norm')}) AS token, 1.0::DOUBLE AS weight FROM (SELECT id, {normalized('text')} AS norm FROM ({source})) "
-        f"UNION ALL SELECT id, unnest({tokens(joined('exp'))}), 0.25::DOUBLE FROM (SELECT id, {distinct_in_order('fnd')} AS exp FROM (SELECT id, {_found('norm', _t.SYNONYMS)} AS fnd FROM (SELECT id, {normalized('text')} AS norm FROM ({source}))))"
+        f"SELECT id, unnest({tokens('norm')}) AS token, {own}::DOUBLE AS weight FROM (SELECT id, {normalized('text')} AS norm FROM ({source})) "
+        f"UNION ALL SELECT id, unnest({tokens(joined('exp'))}), {expansion}::DOUBLE FROM (SELECT id, {distinct_in_order('fnd')} AS exp FROM (SELECT id, {_found('norm', _t.SYNONYMS)} AS fnd FROM (SELECT id, {normalized('text')} AS norm FROM ({source}))))"
     )
 
 
-def recall(k: int, threshold: float) -> str:
-    a = f"SELECT {content_id('text')} AS id, text FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)"
-    q = f"SELECT item_id AS id, text FROM benchmark WHERE {normalized('text')} <> ''"
+def recall(k: int, threshold: float, where: str = "TRUE", aliases: str | None = None, asked: str = "text") -> str:
+    """Recall over documents that hold *where*; *aliases*: (text, alias) rows, each alias a text at lower weights."""
+    a = f"SELECT {content_id('text')} AS id, text FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL AND {where})"
+    q = f"SELECT item_id AS id, {asked} AS text FROM benchmark WHERE {normalized('text')} <> ''"
+    weighted = _weighted(a)
+    if aliases:
+        weighted += " UNION ALL " + _weighted(f"SELECT {content_id('text')} AS id, alias AS text FROM ({aliases})", 0.25, 0.0625)
     return (
         "WITH "
-        + _vec("a", _weighted(a))
+        + _vec("a", weighted)
         + ", "
         + _vec("q", _weighted(q))
         + ", norms AS (SELECT id, sqrt(sum(CAST(x * x AS DOUBLE))) AS m FROM avec GROUP BY id), qnorms AS (SELECT id, sqrt(sum(CAST(x * x AS DOUBLE))) AS m FROM qvec GROUP BY id), "
@@ -256,3 +260,18 @@ STRESS = (
     "(SELECT query_id, min(rank) AS fr, max(score) AS fs, count(*) FILTER (rank <= 3 AND score > 0) AS found FROM (SELECT k.query_id, k.score, row_number() OVER (PARTITION BY k.query_id ORDER BY k.rank) AS rank, "
     "a.label = b.label AS rel FROM knn k JOIN embeddings a ON a.vec_id = k.query_id JOIN embeddings b ON b.vec_id = k.atom_id WHERE k.rank <= 6 AND k.query_id <> k.atom_id) WHERE rel AND rank <= 5 GROUP BY 1) USING (query_id)"
 )
+
+
+def spoiled_sweep(grid, k: int) -> str:
+    return (
+        f", sp AS (SELECT query_id, rank, CASE WHEN query_id % 5 = 0 AND rank = 4 THEN score + 0.5 ELSE score END AS score FROM knn WHERE rank <= {k}), g AS (SELECT unnest([{', '.join(f'{g}::DOUBLE' for g in grid)}]) AS threshold), "
+        "n AS (SELECT query_id, threshold, count(*) FILTER (score >= threshold) AS n, coalesce(max(rank) FILTER (score >= threshold), 0) AS last FROM sp, g GROUP BY ALL), "
+        "f AS (SELECT query_id, threshold, CASE WHEN last <> n THEN 'NOT_A_PREFIX' WHEN n > lag(n) OVER (PARTITION BY query_id ORDER BY threshold) THEN 'NOT_MONOTONIC' END AS finding FROM n) SELECT * FROM f WHERE finding IS NOT NULL"
+    )
+
+
+KEY_STRATEGIES = (
+    PHRASED.removesuffix(" ").replace("n AS (SELECT *,", "two AS (SELECT query_id, 0 AS side, text FROM q UNION ALL SELECT query_id, 1, CASE query_id % 3 WHEN 0 THEN 'of the ' || text || ' !' WHEN 1 THEN text || ' zebra' ELSE upper(text) || ' cache' END FROM q), n AS (SELECT *,", 1).replace("AS norm FROM q)", "AS norm FROM two)", 1).replace("expanded AS (SELECT query_id, text,", "expanded AS (SELECT query_id, side, text,", 1)
+    + f", k AS (SELECT query_id, side, text, CASE WHEN trim(norm) = '' THEN text ELSE 'normalized:' || norm END AS nk, {lexical_key()} AS lk FROM expanded) "
+    "SELECT a.query_id AS id, a.text = b.text AS exact_match, a.nk = b.nk AS normalized_match, a.lk = b.lk AS lexical_match FROM k a JOIN k b USING (query_id) WHERE a.side = 0 AND b.side = 1"
+)

@@ -42,7 +42,7 @@ def decode_payload(payload: Column) -> Column:
     or not in canonical form) or UNSUPPORTED_SCHEMA."""
     e = F.from_json(payload, PAYLOAD)
     again = F.to_json(e)
-    finding = F.when(e["kind"].isNull() | ~e["kind"].isin(KINDS), "MALFORMED_RECORD").when(e["schema"].isNull() | (e["schema"] != 1), "UNSUPPORTED_SCHEMA").when(again != payload, "MALFORMED_RECORD")
+    finding = F.when(e["kind"].isNull() | ~e["kind"].isin(KINDS) | (again != payload), "MALFORMED_RECORD").when(e["schema"].isNull() | (e["schema"] != 1), "UNSUPPORTED_SCHEMA")
     return F.struct(e.alias("event"), finding.alias("finding"))
 
 
@@ -135,7 +135,7 @@ def index_findings(index: DataFrame, segment_bytes: int, dimensions: int) -> Dat
     """(line, category, severity) of a vector index (line, value) 'id<TAB>offset' against its segment's size."""
     frame = 4 * dimensions
     p = F.split("value", "\t", -1)
-    offset = F.expr("try_cast(split(value, '\t', -1)[1] AS BIGINT)")
+    offset = F.expr("try_cast(get(split(value, '\t', -1), 1) AS BIGINT)")
     own = index.select("line", F.get(p, F.lit(0)).alias("id"), offset.alias("offset"), ((F.size(p) == 2) & offset.isNotNull() & (F.get(p, F.lit(0)) != "")).alias("ok"))
     same = lambda c: F.row_number().over(Window.partitionBy("ok", c).orderBy("line")) > 1
     own = own.withColumn("_id", same("id")).withColumn("_at", same("offset"))
