@@ -41,16 +41,18 @@ def encoded(rows: DataFrame, key: str, weighted: str, dimensions: int = DIMENSIO
         for b in it:
             lists = b.column(1)
             flat = lists.flatten()
-            names, weight = flat.field("token").to_pylist(), flat.field("weight").to_numpy(zero_copy_only=False)
+            coded, weight = flat.field("token").dictionary_encode(), flat.field("weight").to_numpy(zero_copy_only=False)
+            names = coded.dictionary.to_pylist()
             if len(known) > MEMO:
                 known.clear()
-            for t in set(names) - known.keys():
-                h = hashlib.sha256(t.encode()).digest()
-                known[t] = (int.from_bytes(h[:4], "big", signed=True) % dimensions, -1.0 if h[7] & 1 else 1.0)
-            got = np.array([known[t] for t in names]).reshape(-1, 2)
+            for t in names:
+                if t not in known:
+                    h = hashlib.sha256(t.encode()).digest()
+                    known[t] = (int.from_bytes(h[:4], "big", signed=True) % dimensions, -1.0 if h[7] & 1 else 1.0)
+            got = np.array([known[t] for t in names]).reshape(-1, 2)[coded.indices.to_numpy(zero_copy_only=False)]
             row = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
             v = np.zeros((b.num_rows, dimensions), np.float32)
-            np.add.at(v, (row, got[:, 0].astype(np.int64)), (got[:, 1] * weight).astype(np.float32))
+            np.add.at(v.reshape(-1), row * dimensions + got[:, 0].astype(np.int64), (got[:, 1] * weight).astype(np.float32))
             norm = np.sqrt((v * v).astype(np.float64).sum(1)).astype(np.float32)
             unit = (v.astype(np.float64) / np.where(norm > 0, norm, 1).astype(np.float64)[:, None]).astype(np.float32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * dimensions, pa.int32()), pa.array(unit.ravel()))], ["key", "vec"])

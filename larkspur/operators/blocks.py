@@ -9,6 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows of a scan, dealt out anew if they stand in fewer partitions than there are cores: a small file with one row group
+    would be one task.  Large tables have more splits than that and stay as they are."""
+    plan = rows._jdf.queryExecution().executedPlan()
+    if "Exchange" in plan.toString():
+        return rows
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if plan.execute().getNumPartitions() < n else rows
+
+
 def meet(left: DataFrame, right: DataFrame, group: Sequence[str], left_by: Column, right_by: Column, go: Callable[[pa.Table, pa.Table], pa.Table], schema: str, left_block: int, right_block: int) -> DataFrame:
     """go(left rows, right rows) for all pairs of blocks of a group that both sides have.
 

@@ -33,13 +33,20 @@ def encoded(rows: DataFrame, key: str, content: Column, lexicon: text.Lexicon |
     pair = lambda w: lambda t: F.struct(t.alias("token"), F.lit(w).alias("weight"))
     if lexicon is None:
         own = text.searchable(content, aliases) if aliases is not None else content
-        w = F.transform(text.tokens(own), pair(1.0))
-    elif aliases is not None:
-        w = F.transform(text.weighted_atom(content, aliases, lexicon), lambda s: F.struct(s["token"].alias("token"), s["weight"].alias("weight")))
-    else:
-        norm = text.normalized(content, lexicon)
-        w = text.weighted(norm, text.expansions(norm, lexicon))
-    return vectors.encoded(rows.select(key, w.alias("w")), key, "w", dimensions)
+        return vectors.encoded(rows.select(key, F.transform(text.tokens(own), pair(1.0)).alias("w")), key, "w", dimensions)
+    # each step is a projection of its own, so that what the next uses several times is computed once
+    al = F.coalesce(aliases, F.array().cast("array<string>")) if aliases is not None else F.array().cast("array<string>")
+    first, second = text.alias_weights()
+    t = rows.select(key, text.normalized_tokens(content, lexicon).alias("_t"), F.transform(al, lambda a: text.normalized(a, lexicon)).alias("_a"))
+    t = t.select(key, "_t", F.array_join("_t", " ").alias("_n"), "_a")
+    exp = lambda n: F.flatten(F.transform(text.expansions(n, lexicon), text.tokens))
+    w = F.concat(
+        F.transform("_t", pair(text.ORIGINAL_WEIGHT)),
+        F.transform(exp(F.col("_n")), pair(text.EXPANSION_WEIGHT)),
+        F.transform(F.flatten(F.transform("_a", text.tokens)), pair(float(first))),
+        F.transform(F.flatten(F.transform("_a", exp)), pair(float(second))),
+    )
+    return vectors.encoded(t.select(key, w.alias("w")), key, "w", dimensions)
 
 
 def known_only(stored: DataFrame, atom_rows: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, text, vectors
 from ..operators import compare, cost, experience, fusion, ledger, metrics, recall, stats
+from ..operators.blocks import spread
 from . import oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,7 +41,7 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 @query(f"SELECT doc_id, len(tok) AS n_tokens, len(list_distinct(tok)) AS n_distinct FROM (SELECT doc_id, {oracle.tokens('text')} AS tok FROM documents)")
 def tokenize_counts(spark, d):
     t = text.tokens(F.col("text"))
-    return read(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
+    return spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 
 def phrased(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +81,7 @@ def atom_ids_dedup(spark, d):
 @query(oracle.sparse("documents", "doc_id", "text", None) + "SELECT id AS doc_id, bucket, round(x, 6) AS x FROM vec")
 def hash_encode_buckets(spark, d):
     w = F.transform(text.tokens(F.col("text")), lambda t: F.struct(t.alias("token"), F.lit(1.0).alias("weight")))
-    rows = read(spark, d, "documents").select("doc_id", w.alias("w"))
+    rows = spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", w.alias("w"))
     return vectors.sparse(rows, "doc_id", "w").select("doc_id", "bucket", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
@@ -441,7 +442,7 @@ def referential_audit(spark, d):
 def chunk_documents(spark, d):
     from ..operators import chunk
 
-    return chunk.chunks(read(spark, d, "documents"))
+    return chunk.chunks(spread(read(spark, d, "documents").select("doc_id", "text")))
 
 
 @query()
