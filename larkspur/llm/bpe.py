@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_one, ship
+from .common import keep_one, lean, ship
 
 #: Units that a worker's memo holds; at twice that (about 120 MB) the half that was not asked for lately goes.
 MEMO_UNITS = 220_000
@@ -291,6 +291,7 @@ def texts_of(column: pa.Array) -> list[str]:
 
 def batches(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about that many bytes, so that very long texts don't meet in memory."""
+    lean()
     if batch.num_rows:
         n = max(1, int(batch.num_rows * chars / max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, n):

@@ -12,6 +12,7 @@ from collections.abc import Callable, Hashable, Iterable, Iterator
 from itertools import chain, islice
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,19 @@ def ship(spark: SparkSession) -> None:
     sc._larkspur_shipped = True
 
 
+_LEAN: list[bool] = []
+
+
+def lean() -> None:
+    """From now on this worker gives blocks of a megabyte and more back to the system as soon as they are freed: workers live
+    on from stage to stage, and by default keep what the largest one needed."""
+    if not _LEAN:
+        _LEAN.append(True)
+        if mallopt := getattr(ctypes.CDLL(None), "mallopt", None):
+            mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+            mallopt(-1, 1 << 22)  # M_TRIM_THRESHOLD
+
+
 _KEPT: dict[Hashable, Any] = {}
 
 
@@ -45,6 +59,7 @@ def keep_one(key: Hashable, make: Callable[[], Any]) -> Any:
     if key not in _KEPT:
         _KEPT.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
         if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
             trim(0)
         _KEPT[key] = make()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import batches, texts_of
-from .common import discard, keep_one, only, saved, ship
+from .common import discard, keep_one, lean, only, saved, ship
 from .dart_minhash import mixed, text_hashes
 
 #: Longest n-gram and bits of a symbol: 64**4 = 16.8 million entries of 4 bytes at most.
@@ -44,7 +44,7 @@ HELD_COUNT, HELD_RUNS = 8, 1 << 20
 #: Bits of the bitmap of all others, which stops most words and pairs that the model doesn't have: 16 MB, always.
 TAIL_BITS = 1 << 27
 #: Words, and fingerprints of texts, that a worker remembers.
-MEMO = 150_000
+MEMO = 100_000
 #: Words that a task counts before it packs them, words of the trusted text to a shard, least and most shards, and shards that
 #: a frequent word is spread over.
 FLUSH, SHARD_WORDS, SHARDS, SPREAD = 1_000_000, 2_000_000, (8, 16_384), 64
@@ -640,7 +640,7 @@ def text_scores(docs: DataFrame, model: WordModel, table: DataFrame) -> DataFram
         log_weight = float(np.log(m.scale.weight))
         seen: set[tuple[int, int]] = set()
         for whole in it:
-            for batch in batches(whole, 2_000_000):
+            for batch in batches(whole, 1_000_000):
                 h, ids, own = [], [], []
                 for h1, h2, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), strict=True):
                     if not t or t.isspace() or (h1, h2) in seen:
@@ -678,6 +678,7 @@ def text_scores(docs: DataFrame, model: WordModel, table: DataFrame) -> DataFram
 
     def answer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
+        lean()
         keep_one("no words", lambda: None)  # the memory of words isn't needed any more
         none = np.zeros(0, np.uint64)
         keys, values, loaded = none, np.zeros(0), -1

@@ -39,7 +39,7 @@ CARRIER = b" carrier::window::0123456789 "
 #: Stands before a dictionary's content, whose first bytes no match can reach.
 PAD = bytes(range(16))
 #: Windows whose evidence a worker keeps.
-MEMO = 250_000
+MEMO = 150_000
 #: Longer words are compared by overlapping parts of this length.
 PART = 32
 STEEPNESS = 25.0
@@ -192,7 +192,7 @@ def _windows(sample: DataFrame, of) -> DataFrame:
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
-            for b in batches(whole, 1_000_000):
+            for b in batches(whole, 250_000):
                 ws, ys, ks = [], [], []
                 for t, y in zip(texts_of(b.column(0)), b.column(1).to_pylist(), strict=True):
                     for found in of(bare_words(t), y):
@@ -209,7 +209,7 @@ def _samples(sample: DataFrame, shown) -> list[bytes]:
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
-            for b in batches(whole, 1_000_000):
+            for b in batches(whole, 250_000):
                 out = []
                 for t in texts_of(b.column(0)):
                     ws = shown(bare_words(t))
