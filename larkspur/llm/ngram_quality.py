@@ -404,6 +404,7 @@ def pair_counts(docs: DataFrame, spelling: Spelling, places: Places) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(np.diff(p[0], prepend=0), p[1], p[2])], pa.binary()), pa.array([pack(*w)], pa.binary())], ["shard", "pairs", "words"])
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         words, h, base, size = spelling.words(), [], [], 0
         for x, lp in _worded(it, words):
             h.append(x)
@@ -634,6 +635,7 @@ def text_scores(docs: DataFrame, model: WordModel, table: DataFrame) -> DataFram
     def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        lean()
         m = held.value
         words = spelling.words()
         block = TaskContext.get().partitionId() << 32

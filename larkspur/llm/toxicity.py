@@ -39,7 +39,7 @@ CARRIER = b" carrier::window::0123456789 "
 #: Stands before a dictionary's content, whose first bytes no match can reach.
 PAD = bytes(range(16))
 #: Windows whose evidence a worker keeps.
-MEMO = 150_000
+MEMO = 250_000
 #: Longer words are compared by overlapping parts of this length.
 PART = 32
 STEEPNESS = 25.0
@@ -71,6 +71,21 @@ class Model:
     phrase_words: frozenset[str] = frozenset()
 
 
+class Tags(dict):
+    """word -> itself without marks if it is a phrase's, '' if it is marks only, else None"""
+
+    def __init__(self, phrase_words: frozenset[str]):
+        super().__init__()
+        self.phrase_words = phrase_words
+
+    def __missing__(self, word: str) -> str | None:
+        if len(self) > MEMO:
+            self.clear()
+        w = bare(word)
+        out = self[word] = w if not w or w in self.phrase_words else None
+        return out
+
+
 class Scorer(dict):
     """window -> evidence"""
 
@@ -84,6 +99,7 @@ class Scorer(dict):
 
         self.toxic, self.ordinary = compressor(model.toxic).compress, compressor(model.ordinary).compress
         self.phrase_words = model.phrase_words
+        self.tags = Tags(model.phrase_words)
 
     def __missing__(self, word: str) -> float:
         if len(self) > MEMO:
@@ -98,11 +114,12 @@ class Scorer(dict):
         return out
 
     def evidence(self, text: str) -> float:
-        out = max(map(self.__getitem__, words(text)), default=-1.0)
+        ws = words(text)
+        out = max(map(self.__getitem__, ws), default=-1.0)
         if self.phrase_words:
-            ws = bare_words(text)
-            at = [k for k, w in enumerate(ws) if w in self.phrase_words]
-            out = max([out, *(self[f"{ws[k]} {ws[k + 1]}"] for k, n in zip(at, at[1:], strict=False) if n == k + 1)])
+            # the words of phrases and, as None, all others; words without letters or digits don't count
+            tags = [t for t in map(self.tags.__getitem__, ws) if t != ""]
+            out = max([out, *(self[f"{a} {b}"] for a, b in zip(tags, tags[1:], strict=False) if a and b)])
         return out
 
 
