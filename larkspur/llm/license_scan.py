@@ -38,7 +38,22 @@ SENTENCES = [
     ("cc0-short", "This work is dedicated to the public domain under CC0 1.0."),
     ("mpl-form", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("rights", "All rights reserved."),
+    ("gpl2-redistribute", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("lgpl21-redistribute", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("lgpl3-redistribute", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("agpl3-redistribute", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("zlib-grant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("boost-grant", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"),
+    ("ccby-international", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("ccbysa-international", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("ccbync-international", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("ccbysa-short", "Licensed under CC BY-SA 4.0."),
+    ("epl2-terms", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
 ]
+#: Identifiers that a line 'SPDX-License-Identifier:' may name, alone or joined by OR, AND and WITH.
+SPDX = ["0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib"]
 #: Licence, then the ordered identifiers that show it.  Of rules that fit at one place the longest counts.
 RULES = [
     ("Apache-2.0", ["apache-header", "apache-copy"]),
@@ -61,7 +76,25 @@ RULES = [
     ("CC0-1.0", ["cc0-short"]),
     ("MPL-2.0", ["mpl-form"]),
     ("all-rights-reserved", ["rights"]),
+    ("MIT", ["mit-grant", "mit-notice"]),
+    ("GPL-2.0", ["gpl2-redistribute"]),
+    ("LGPL-2.1", ["lgpl21-redistribute"]),
+    ("LGPL-3.0", ["lgpl3-redistribute"]),
+    ("AGPL-3.0", ["agpl3-redistribute"]),
+    ("ISC", ["isc-grant"]),
+    ("Unlicense", ["unlicense"]),
+    ("Zlib", ["zlib-grant"]),
+    ("BSL-1.0", ["boost-grant"]),
+    ("CC-BY-4.0", ["ccby-international"]),
+    ("CC-BY-SA-4.0", ["ccbysa-international"]),
+    ("CC-BY-SA-4.0", ["ccbysa-short"]),
+    ("CC-BY-NC-4.0", ["ccbync-international"]),
+    ("EPL-2.0", ["epl2-terms"]),
 ]
+_EXPRESSION = re.compile(r"spdx-license-identifier:[ \t]*([a-z0-9.+\-() \t]+)")
+_NAME = re.compile(r"[a-z0-9][a-z0-9.+\-]*")
+#: Licence of an identifier: its own name, without the suffix that says which versions hold, for the licences that rules name so.
+_FAMILIES = {x.lower(): re.sub(r"-(?:only|or-later)$", "", x) for x in SPDX}
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-/][a-z0-9]+)*")
 
 
@@ -112,6 +145,13 @@ class Known:
                 upto = best[1]
         return out
 
+    def expressions(self, text: str) -> list[str]:
+        """Licences that SPDX lines name, whatever joins them; unknown names count for nothing."""
+        low = text.lower()
+        if "spdx-license-identifier:" not in low:
+            return []
+        return [_FAMILIES[n] for m in _EXPRESSION.finditer(low) for n in _NAME.findall(m[1]) if n in _FAMILIES]
+
     def licences(self, ids: list[str]) -> list[str]:
         """From left to right, the longest rule that the sequence goes on with; other identifiers are passed over."""
         out, k = [], 0
@@ -134,7 +174,7 @@ def starts_sentence(low: str, at: int) -> bool:
 def ends_sentence(low: str, end: int) -> bool:
     """Marks, then white space, a line's end or the text's."""
     k = end
-    while k < len(low) and low[k] in ".!?:;)\"'":
+    while k < len(low) and low[k] in ".!?:;)/\"'":
         k += 1
     return k == len(low) or low[k] in "\n\r" or (k > end and low[k].isspace())
 
@@ -142,8 +182,8 @@ def ends_sentence(low: str, end: int) -> bool:
 def scan_licences(docs: DataFrame, sentences: list[tuple[str, str]] | None = None, rules: list[tuple[str, list[str]]] | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, sentence_ids array<string>, licences array<string>, n_licences) of every row; whole texts.
 
-    sentence_ids has the known sentences in order, licences the distinct licences in order of their names.  Null and
-    empty texts have empty arrays.  Repeated rows give repeated rows.  No shuffle: a document is read by one task.
+    sentence_ids has the known sentences in order, licences the distinct licences in order of their names: those of rules and
+    those that SPDX lines name.  An empty table gives no rows, and other columns aren't read.  Null and empty texts have empty arrays.  Repeated rows give repeated rows.  No shuffle: a document is read by one task.
     """
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
@@ -153,8 +193,9 @@ def scan_licences(docs: DataFrame, sentences: list[tuple[str, str]] | None = Non
         known = Known(*tables)
         for whole in it:
             for b in batches(whole):
-                found = [[name for _, name in known.sentences(t)] for t in texts_of(b.column(1))]
-                got = [sorted(set(known.licences(x))) for x in found]
+                texts = list(texts_of(b.column(1)))
+                found = [[name for _, name in known.sentences(t)] for t in texts]
+                got = [sorted({*known.licences(x), *known.expressions(t)}) for x, t in zip(found, texts, strict=True)]
                 strings = pa.list_(pa.string())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, strings), pa.array(got, strings), pa.array(list(map(len, got)), pa.int32())], ["key", "sentence_ids", "licences", "n_licences"])
 

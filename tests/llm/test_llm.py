@@ -620,6 +620,59 @@ def test_licences(spark):
 # -- pipeline ------------------------------------------------------------------------------------------------------------
 
 
+def test_more_licences(spark):
+    by = {n: x for n, x in license_scan.SENTENCES}
+    texts = [by["isc-grant"], f"# {by['agpl3-redistribute']}", by["mit-grant"] + "\n\n" + by["mit-notice"] + "\nOther words.", "// SPDX-License-Identifier: MIT OR Apache-2.0", "SPDX-License-Identifier: (LGPL-2.1-or-later AND BSD-3-Clause)", "SPDX-License-Identifier: Nonsense-1.0", "no spdx line", by["gpl2-redistribute"].replace(" modify", "\nmodify"), ""]
+    rows = list(enumerate(texts)) + [(0, texts[0])]
+    got = sorted((r.doc_id, r.licences) for r in license_scan.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = [["ISC"], ["ISC"], ["AGPL-3.0"], ["MIT"], ["Apache-2.0", "MIT"], ["BSD-3-Clause", "LGPL-2.1"], [], [], ["GPL-2.0"], []]
+    assert [x for _, x in got] == want
+    # every rule by itself is found by its own sentences, and every sentence is one that a rule or a line needs
+    for name, ids in license_scan.RULES:
+        known = license_scan.Known(license_scan.SENTENCES, license_scan.RULES)
+        assert known.licences([n for _, n in known.sentences("\n\n".join(by[i] for i in ids))]) == [name], (name, ids)
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Repeated doc_ids and rows, nulls, and columns with the names that stages use themselves."""
+    import corpus_pipeline
+
+    a, b = "one two three four five six seven", "red green blue white black grey pink"
+    rows = [(1, a, "en", "s", 0), (1, a, "en", "s", 0), (2, a, "en", "s", 0), (2, b, "en", None, 0), (None, b, "en", "t", 0), (3, None, "en", "s", 0), (4, "", "en", "s", 0)]
+    clash = ["_source", "_doc", "_copies", "_copy", "row", "doc", "copies", "place", "_h1", "_evidence_of_text", "id", "fp", "keep", "turn", "size"]
+    df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("x") for c in clash})
+    spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns, name
+        assert out.count() <= 2 * len(rows)
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0, name
+    assert corpus_pipeline.to_tokens(spark, df, str(tmp_path)).count() == len(rows)
+    near = sorted((str(r.doc_id), str(r.text)) for r in corpus_pipeline.drop_near_copies(spark, df, str(tmp_path)).collect())
+    assert near == [("1", a), ("2", b), ("3", "None"), ("4", ""), ("None", b)]
+
+
+def test_mix_of_repeated_rows_is_the_mix(spark, corpus):
+    """The stage takes as many words as the operator says, where all rows share one doc_id and many are alike."""
+    import corpus_pipeline
+
+    r, text = corpus
+    rows = [(7, text(r.randint(1, 30)) if k % 3 else "same words here", "en", r.choice(["a", "b", None]), 0) for k in range(120)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = corpus_pipeline.mix_sources(spark, df, "").withColumn("n", mixing.sizes(df)).groupBy("source").agg(F.sum("n").alias("n")).collect()
+    want = mixing.source_targets(df.groupBy("source").agg(F.sum(mixing.sizes(df)).alias("source_size"))).collect()
+    target = {x.source: x.target for x in want}
+    for x in got:
+        assert abs(x.n - target[x.source]) <= 30, x
+    text_of = {}
+    for x in corpus_pipeline.mix_sources(spark, df, "").collect():
+        text_of[x.source, x.text] = text_of.get((x.source, x.text), 0) + 1
+    have = {}
+    for x in rows:
+        have[x[3], x[1]] = have.get((x[3], x[1]), 0) + 1
+    assert all(n <= 2 * have[k] for k, n in text_of.items())
+
+
 def test_pipeline(spark, corpus, tmp_path, library):
     import corpus_pipeline
 
