@@ -298,8 +298,9 @@ def _classes(docs: DataFrame, similarity: float, n_bands: int, rows: int, counte
     text_class = of(first.select(F.col("node").alias("id"), "fp", "text_id"), label)
     least = text_class.groupBy("component").agg(F.min("text_id").alias("class_id"))
     known = text_class.join(least, "component").select("fp", "text_id", "class_id")
-    out = sig.select("id", "h1", "h2", "fp").join(known, "fp", "left")
-    free = F.col("id").isNull() | F.col("fp").isNull()
-    out = out.select("id", "h1", "h2", "fp", F.when(free, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(free, F.col("id")).otherwise(F.col("text_id")).alias("text_id"))
-    turn = F.row_number().over(Window.partitionBy("id", "class_id", F.col("fp").isNull()).orderBy("h1", "h2"))
-    return out.withColumn("turn", turn).withColumn("keep", free | ((F.col("id") == F.col("class_id")) & (F.col("turn") == 1))).drop("turn")
+    # rows without a doc_id or a text have no class to look up: they pass by the join and the window, however many they are
+    every, free = sig.select("id", "h1", "h2", "fp"), F.col("id").isNull() | F.col("fp").isNull()
+    alone = every.where(free).select("*", F.col("id").alias("class_id"), F.col("id").alias("text_id"), F.lit(True).alias("keep"))
+    turn = F.row_number().over(Window.partitionBy("id", "class_id").orderBy("h1", "h2"))
+    found = every.where(~free).join(known, "fp").select("id", "h1", "h2", "fp", "class_id", "text_id").withColumn("turn", turn)
+    return found.select("id", "h1", "h2", "fp", "class_id", "text_id", ((F.col("id") == F.col("class_id")) & (F.col("turn") == 1)).alias("keep")).unionByName(alone)
