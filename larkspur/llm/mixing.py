@@ -25,6 +25,8 @@ MOST = 2.0
 WORD = r"[^\x20\x09-\x0D]+"
 #: Undecided documents that one task balances at a time.
 BLOCK = 2_000
+#: Rows that one row of unrolled() makes at a time.
+RUN = 100_000
 _EPS = 1e-9
 
 
@@ -94,7 +96,7 @@ def decide(seed: str, last: bool, names: list[str]) -> Callable[[tuple, pa.Table
     """The flight of one block, with the landing in the last round; draws hang on seed, source and block."""
 
     def go(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by([("row", "ascending"), ("size", "ascending")])
+        group = group.sort_by([("row", "ascending"), ("size", "ascending"), ("place", "ascending")])
         size = [float(x) for x in group["size"].to_pylist()]
         p = flight(size, group["p"].to_pylist(), random.Random(f"{seed}/{key[0].as_py()}/{key[1].as_py()}"))
         p = landing(size, p) if last else p
@@ -103,10 +105,17 @@ def decide(seed: str, last: bool, names: list[str]) -> Callable[[tuple, pa.Table
     return go
 
 
+def unrolled(counts: DataFrame) -> DataFrame:
+    """counts (n rows alike) as rows again, each with its place from 0, in runs of RUN so that no array grows with n."""
+    runs = counts.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))))
+    first = F.col("run") * RUN
+    return runs.withColumn("place", F.explode(F.sequence(first, F.least(first + RUN, F.col("n")) - 1))).drop("n", "run")
+
+
 def balanced(docs: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
-    """docs (row long, source, size long, p double) with p decided, 0 or 1.
+    """docs (row long, place long, source, size long, p double) with p decided, 0 or 1.
 
-    Each round deals the undecided documents of a source to blocks by hash and lets three at most of each block go on, so
+    Rows are told apart by row and place, so a key of any number of rows is dealt to as many blocks as other rows.  Each round deals the undecided documents of a source to blocks by hash and lets three at most of each block go on, so
     a source with any part of all rows costs as many tasks as it has blocks, and rounds are few: their number grows with
     the logarithm of the rows, with *block* as base.
     """
@@ -119,7 +128,7 @@ def balanced(docs: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
         count = docs.where("p > 0 AND p < 1").groupBy("source").agg(F.count("*").alias("n"))
         last = not count.where(F.col("n") > block).limit(1).count()
         whole = docs.where("NOT (p > 0 AND p < 1)")
-        part = docs.where("p > 0 AND p < 1").join(count.withColumnRenamed("source", "s").withColumn("blocks", F.ceil(F.col("n") / block)), F.col("source").eqNullSafe(F.col("s"))).withColumn("block", F.pmod(F.xxhash64("row", F.lit(seed + turn)), F.col("blocks"))).select(*names, "block")
+        part = docs.where("p > 0 AND p < 1").join(count.withColumnRenamed("source", "s").withColumn("blocks", F.ceil(F.col("n") / block)), F.col("source").eqNullSafe(F.col("s"))).withColumn("block", F.pmod(F.xxhash64("row", "place", F.lit(seed + turn)), F.col("blocks"))).select(*names, "block")
 
         moved = part.groupBy("source", "block").applyInArrow(decide(f"{seed}/{turn}", last, names), schema)
         docs = saved(whole.unionByName(moved), "mix")
@@ -134,16 +143,17 @@ def balanced(docs: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 0, block: int = BLOCK, key: str = "doc_id") -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) of every row: how often the mix takes it.
 
-    Null and empty texts have no words and may be taken or not; they count for nothing.  Rows with the same doc_id are
-    rows of their own.  A source without words has target 0.  Reruns over the same rows agree: blocks and draws hang on
-    doc_id and seed.  An empty table gives an empty result.
+    Null and empty texts have no words and may be taken or not; they count for nothing.  Rows with the same doc_id, or
+    without one, are rows of their own: those alike in doc_id, source and size are counted and numbered, so that a hot doc_id
+    is dealt to many blocks.  A source without words has target 0.  Reruns over the same rows agree: blocks and draws hang on
+    doc_id, number and seed.  An empty table gives an empty result.
     """
     own = docs.select(F.col(key).alias("row"), "source", sizes(docs).alias("size"))
-    own = saved(own, "mix-sizes")
+    own = saved(unrolled(own.groupBy("row", "source", "size").agg(F.count("*").alias("n"))), "mix-sizes")
     per_source = source_targets(own.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     per_source = saved(per_source.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), "mix-sources")
     held = per_source.withColumnRenamed("source", "s")
-    with_p = own.join(held, F.col("source").eqNullSafe(F.col("s"))).select("row", "source", "size", (F.col("ratio") - F.floor("ratio")).alias("p"))
+    with_p = own.join(held, F.col("source").eqNullSafe(F.col("s"))).select("row", "place", "source", "size", (F.col("ratio") - F.floor("ratio")).alias("p"))
     with_p = with_p.withColumn("p", F.when(F.col("p") < _EPS, 0.0).when(F.col("p") > 1 - _EPS, 1.0).otherwise(F.col("p")))
     chosen = balanced(with_p, seed, block)
     out = chosen.join(held, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", (F.floor("ratio") + F.col("p")).cast("int"))
