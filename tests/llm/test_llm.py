@@ -208,6 +208,15 @@ def test_near_duplicates_of_repeated_doc_ids(spark):
     assert dart_minhash.one_of_each(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_many_rows_without_doc_id_or_text(spark):
+    """They stay, each a class of its own, and so do rows alike in all columns."""
+    rows = [(None, "one two three four five six", "en", "s", 0)] * 40 + [(None, None, "en", "s", 0)] * 40 + [(k % 5, None, "en", "s", 0) for k in range(40)] + [(9, "", "en", "s", 0)] * 3
+    got = [(x.doc_id, x.class_id, x.keep) for x in dart_minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()]
+    assert got.count((None, None, True)) == 80 and all(got.count((k, k, True)) == 8 for k in range(5))
+    assert sorted(g for g in got if g[0] == 9) == [(9, 9, False), (9, 9, False), (9, 9, True)]
+    assert dart_minhash.one_of_each(spark.createDataFrame(rows, DOCS)).count() == 121
+
+
 def test_darts_estimate_weighted_jaccard():
     rng = np.random.default_rng(5)
     off = []
@@ -289,6 +298,31 @@ def test_mix(spark, corpus):
     assert {x.taken for x in mixing.mix(docs(spark, ["", None, " "])).collect()} == {0}
 
 
+def test_mix_of_a_hot_doc_id(spark, corpus, monkeypatch):
+    """Rows of one doc_id, and rows without any, are dealt to blocks like others and all come back."""
+    monkeypatch.setattr(mixing, "RUN", 7)
+    r, text = corpus
+    rows = [(None if k % 3 else 5, text(r.randint(1, 20)) if k % 2 else "same words here", "en", "s" if k % 4 else None, 0) for k in range(900)]
+    df = spark.createDataFrame(rows, DOCS)
+    seen = []
+    real = mixing.decide
+
+    def spy(seed, last, names):
+        seen.append(names)
+        return real(seed, last, names)
+
+    monkeypatch.setattr(mixing, "decide", spy)
+    got = mixing.mix(df, block=40).collect()
+    assert sorted((str(x.doc_id), str(x.source), x.size) for x in got) == sorted((str(a), str(s), len(t.split())) for a, t, _, s, _ in rows)
+    taken, target = {}, {}
+    for x in got:
+        taken[x.source], target[x.source] = taken.get(x.source, 0) + x.taken, x.target
+    assert len(seen) > 1 and all(abs(taken[s] - target[s]) <= 20 for s in taken)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(7), block=40).collect()))
+    counts = spark.createDataFrame([(1, 1), (2, 7), (3, 8), (4, 30)], "row long, n long")
+    assert sorted((x.row, x.place) for x in mixing.unrolled(counts).collect()) == [(k, j) for k, n in ((1, 1), (2, 7), (3, 8), (4, 30)) for j in range(n)]
+
+
 def test_flight_keeps_totals():
     r = random.Random(4)
     size, p = [float(r.randint(0, 50)) for _ in range(500)], [0.37] * 500
