@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import adaptive_scan, bpe, dart_minhash, license_scan, mixing, ngram_quality, pq_dedup, token_files, toxicity, url_filter
+from . import adaptive_scan, bpe, dart_minhash, divergence, itemsets, license_scan, line_dedup, mixing, ngram_quality, pq_dedup, token_files, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +64,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op12_closed_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itemsets.basket_rules(table(spark, sf_dir, "sale_lines"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_dart_minhash": op1_dart_minhash,
     "op2_token_files": op2_token_files,
@@ -74,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_license_scan": op10_license_scan,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_closed_itemsets": op12_closed_itemsets,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -122,5 +139,59 @@ WITH cut AS (
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict
 FROM judged
+""",
+    "op11_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
+), k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), shared AS (
+  SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), judged AS (SELECT k.*, shared.key IS NOT NULL AND k.doc_id <> last AS gone FROM k LEFT JOIN shared USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+""",
+    "op12_closed_itemsets": r"""
+WITH RECURSIVE b AS (SELECT DISTINCT sale_id, item_id FROM sale_lines WHERE flag IS DISTINCT FROM 'returned' AND sale_id IS NOT NULL AND item_id IS NOT NULL),
+t AS (SELECT count(DISTINCT sale_id) AS n_b FROM b),
+one AS (SELECT item_id AS c, count(*) AS s FROM b GROUP BY 1),
+f AS (SELECT sale_id, item_id FROM b JOIN one ON item_id = c, t WHERE s >= 12 AND s * 10000 >= n_b),
+o AS (
+  SELECT [item_id] AS z, sale_id FROM f
+  UNION ALL
+  SELECT z, sale_id FROM (
+    SELECT list_append(z, item_id) AS z, o.sale_id, count(*) OVER (PARTITION BY list_append(z, item_id)) AS s FROM o JOIN f ON f.sale_id = o.sale_id AND f.item_id > z[-1]
+  ), t WHERE s >= 12 AND s * 10000 >= n_b
+), every AS (SELECT z, count(*) AS support FROM o GROUP BY z),
+less AS (SELECT list_filter(z, lambda x: x <> c) AS z, support AS above FROM (SELECT z, support, unnest(z) AS c FROM every)),
+closed AS (SELECT z, support FROM every WHERE NOT EXISTS (SELECT 1 FROM less WHERE less.z = every.z AND above = support)),
+r AS (
+  SELECT x.z, c, every.support AS a, s FROM (SELECT z, support, unnest(z) AS c FROM closed WHERE len(z) >= 2) x
+  JOIN every ON every.z = list_filter(x.z, lambda y: y <> c) JOIN one USING (c), t WHERE 100 * x.support >= 30 * every.support AND x.support * n_b > every.support * s
+), g AS (
+  SELECT z, count(*) AS n, arg_min(c, [a, c]) AS best, string_agg(c || ':' || a || ':' || s, ';' ORDER BY c) AS said FROM r GROUP BY z
+)
+SELECT array_to_string(closed.z, ',') AS items, len(closed.z) AS n_items, support, coalesce(n, 0) AS n_rules, best AS best_item, sha256(coalesce(said, '')) AS rules_sha256
+FROM closed LEFT JOIN g ON g.z = closed.z
+""",
+    "op13_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), v AS (SELECT lang, term, count(*) AS total FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN v USING (lang, term) GROUP BY ALL),
+filled AS (SELECT g.lang, g.source, v.term, coalesce(n, 0) AS n, total FROM g JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+p AS (
+  SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER s + count(*) OVER s) AS p, 1 + (1000000000::HUGEINT * (total + 1)) // (sum(total) OVER s + count(*) OVER s) AS q
+  FROM filled WINDOW s AS (PARTITION BY lang, source)
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), f AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN pair ON pair.lang = x.lang AND pair.source = x.source AND pair.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM f)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
 """,
 }
