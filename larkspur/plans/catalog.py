@@ -520,4 +520,4 @@ def judgment_labels(spark, d):
 
 
 # the other queries register themselves here
-from . import histories, rankings  # noqa: E402, F401
+from . import histories, ledgers, rankings  # noqa: E402, F401
