@@ -39,7 +39,7 @@ SCALE = 1_000_000_000
 #: Bytes of text that are cut into terms at once.
 SLICE = 1 << 20
 #: Terms by source that a task sums up before it sends them.
-HELD = 400_000
+HELD = 800_000
 #: Pairs of occurrences that a task computes at once.
 PAIRS = 1 << 19
 
@@ -206,9 +206,9 @@ def _meetings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _p(n: Column, total: Column, kept: Column) -> Column:
     """1 + floor(SCALE (n + 1) / (total + kept)); null where nothing is kept."""
-    over = (n + 1).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)")
-    under = F.when(kept > 0, total + kept).cast("decimal(20,0)")
-    return F.call_function("div", over, under) + 1
+    under = F.when(kept > 0, total + kept)
+    wide = F.call_function("div", (n + 1).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)"), under.cast("decimal(20,0)"))
+    return F.when(n < (1 << 63) // SCALE - 1, F.call_function("div", (n + 1) * SCALE, under)).otherwise(wide) + 1
 
 
 def _f_of(p: str, q: str) -> Column:
@@ -221,10 +221,18 @@ def term_counts(docs: DataFrame, min_documents: int = 3, lang: str = "lang", sou
     ship(docs.sparkSession)
     rows = docs.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(to) for c, to in ((lang, "lang"), (source, "source"), (text, "text"))))
     sent = rows.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(_combine, _SENT)
-    runs = sent.repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "document")
+    runs = _sorted(sent, "source", "document")
     return saved(runs.mapInArrow(_runs(min_documents), _COUNTS), "term-counts")
 
 
+def _sorted(rows: DataFrame, *then: str) -> DataFrame:
+    """rows dealt out by (lang, term) and sorted by it, then by *then*.  The hash of both goes first, so that most comparisons
+    are of one number, not of strings that begin alike."""
+    columns = rows.columns
+    keyed = rows.withColumn("at", F.xxhash64("lang", "term"))
+    return keyed.repartition("at").sortWithinPartitions("at", "lang", "term", *then).select(*columns)
+
+
 def divergence(docs: DataFrame, min_documents: int = 3, top: int = 200, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """Rows lang, source, part ('pair' or 'term'), item, value long, rank int.
 
@@ -268,7 +276,7 @@ def divergence(docs: DataFrame, min_documents: int = 3, top: int = 200, lang: st
         F.sum(F.col("n") * (_f_of("x", "p") - _f_of("x", "least"))).alias("after"),
     )
     one = saved(one, "one-source")
-    runs = priced.select("lang", "term", "g", "p", "least").repartition("lang", "term").sortWithinPartitions("lang", "term")
+    runs = _sorted(priced.select("lang", "term", "g", "p", "least"))
     both = runs.mapInArrow(_meetings, "a long, b long, value long").groupBy("a", "b").agg(F.sum("value").alias("both"))
 
     side = lambda s: groups.select("lang", *(F.col(c).alias(f"{c}_{s}") for c in ("g", "source", "least")), *(["kept"] if s == "a" else []))
