@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import validation
+from ..operators import projection, validation
+from ..sources import snapshots
 from .catalog import query, read
+from .histories import _ENTRIES, _HISTORY, _KIND
 
 #: Records of executions in both dialects, with planted faults of every kind: the first record of most executions starts it,
 #: one in 31 names another task, one in 97 takes the id of the record before it, a quarter are corrections.
@@ -64,3 +67,69 @@ _CATEGORY = "CASE " + " ".join(f"WHEN violation IN ({', '.join(repr(v) for v, c
 def ledger_validation(spark, d):
     """Every record of every execution, judged in order; refused ones leave no trace."""
     return validation.validate(records(spark, d))
+
+
+# -- projection ------------------------------------------------------------------------------------------------------------------
+
+#: A ledger a user: sequences without gaps, two executions in each.
+_SCOPED = (
+    f"WITH h AS (SELECT 's' || user_id AS scope, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, 'e' || event_id AS event_id, {_KIND} AS kind, 'x' || user_id || '-' || (event_id % 2) AS execution, "
+    "CASE WHEN event_type IN ('click', 'purchase', 'view') THEN 'a' || (event_id % 4) END AS attempt, CASE WHEN event_type = 'signup' THEN 'summary ' || (event_id % 4) END AS summary, "
+    "CASE WHEN event_type = 'purchase' THEN 'solution ' || (event_id % 6) END AS solution, CASE WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN 'lesson' END AS lesson, event_type || '|' || event_id AS payload FROM events) "
+)
+_LOG = _ENTRIES.replace(_HISTORY, _SCOPED) + (
+    ", log AS (SELECT scope, seq, CASE entry WHEN 'RETIRE' THEN 0 ELSE 1 END AS place, entry, atom_id, execution, attempt, event_id, NULL AS digest FROM entries "
+    "UNION ALL SELECT scope, seq, 2, 'COVER', NULL, NULL, NULL, NULL, sha256(payload) FROM h) "
+)
+
+
+def scoped(spark: SparkSession, d: str) -> DataFrame:
+    read(spark, d, "events").createOrReplaceTempView("larkspur_records")
+    return spark.sql(_SCOPED.replace("FROM events", "FROM larkspur_records") + "SELECT * FROM h")
+
+
+def maintained(spark: SparkSession, h: DataFrame, *cuts: int) -> projection.Projection:
+    """A projection that was advanced to each of the sequences, one after the other."""
+    p = projection.Projection(spark, snapshots.scratch(spark, "projection"))
+    for k in cuts:
+        p.advance(h.where(F.col("seq") <= k))
+    return p
+
+
+@query(_LOG + "SELECT * FROM log")
+def projection_maintained(spark, d):
+    """The log of a projection that was brought up in three steps, against that of the whole history."""
+    return maintained(spark, scoped(spark, d), 20, 45, 1 << 40).log().drop("text")
+
+
+_LINES = (
+    _LOG
+    + ", p AS (SELECT scope, seq, entry = 'COVER' AS cover, CASE WHEN entry = 'COVER' THEN 'COVER|' || seq || '|' || digest ELSE entry || '|' || seq || '|' || atom_id || '|' || scope || '/' || execution || '/' || attempt || '/' || event_id END AS payload, entry, atom_id FROM log "
+    "UNION ALL SELECT DISTINCT scope, 0, false, 'HEADER|1|summary-text-v1|128|' || scope, 'HEADER', NULL FROM h), "
+    "l AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY seq, cover, payload) AS line FROM p), b AS (SELECT *, line % 9 = 0 AS bad FROM l), "
+    "c AS (SELECT *, count(*) FILTER (cover AND NOT bad) OVER (PARTITION BY scope ORDER BY line) AS covers, max(line) FILTER (cover AND NOT bad) OVER (PARTITION BY scope) AS last FROM b) "
+)
+
+
+@query(
+    _LINES
+    + "SELECT scope, line, entry, CASE WHEN entry <> 'HEADER' THEN seq END AS seq, atom_id, CASE WHEN bad THEN 'MALFORMED_LINE' WHEN entry <> 'HEADER' AND line > coalesce(last, 0) THEN 'UNCOVERED_TAIL' WHEN entry <> 'HEADER' AND seq <> covers + CASE WHEN cover THEN 0 ELSE 1 END THEN 'COVER_OUT_OF_ORDER' END AS finding FROM c"
+)
+def projection_lines(spark, d):
+    """The log as framed lines, of which every ninth lost a digit of its digest, and read again."""
+    lines = projection.framed_log(maintained(spark, scoped(spark, d), 1 << 40).log())
+    spoiled = F.regexp_replace("value", r"^(MXP1\t\d+\t\d+\t)[0-9a-f]", "$1")
+    t = projection.read_framed_log(lines.withColumn("value", F.when(F.col("line") % 9 == 0, spoiled).otherwise(F.col("value"))))
+    return t.select("scope", "line", "entry", "seq", "atom_id", "finding")
+
+
+@query(
+    _SCOPED
+    + "SELECT scope, least(max(seq), 60) AS covered, max(seq) AS head, CASE WHEN scope LIKE '%7' THEN 'INCOMPATIBLE' WHEN max(seq) > 60 THEN 'STALE' ELSE 'CURRENT' END AS status, CASE WHEN scope LIKE '%7' THEN 'DIFFERENT_LEDGER' ELSE '' END AS problems FROM h GROUP BY scope"
+)
+def projection_status(spark, d):
+    """A projection up to sequence 60, against a ledger of which the scopes that end in 7 were changed."""
+    h = scoped(spark, d)
+    p = maintained(spark, h, 30, 60)
+    changed = h.withColumn("payload", F.when((F.col("seq") == 3) & F.col("scope").endswith("7"), F.lit("another")).otherwise(F.col("payload")))
+    return p.status(changed).withColumn("problems", F.array_join("problems", ","))
