@@ -219,3 +219,76 @@ def known_feedback(feedback: DataFrame, atoms: DataFrame) -> tuple[DataFrame, Da
     """Events that name a stored atom, and those that don't."""
     ids = atoms.select(F.col("id").alias("atom_id")).distinct()
     return feedback.join(ids, "atom_id", "left_semi"), feedback.join(ids, "atom_id", "left_anti")
+
+
+# -- segments by byte ranges -----------------------------------------------------------------------------------------------------
+
+
+def read_segments(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """Lines of segment files, by byte ranges: a large segment is many tasks, and no task holds more than a line and a chunk."""
+    from .datasources import register
+
+    register(spark)
+    r = spark.read.format("larkspur_segments")
+    return (r.option("range", range_bytes) if range_bytes else r).load(path)
+
+
+def scan_ledger(lines: DataFrame, scope: str | None = None, blocks: int | None = None) -> DataFrame:
+    """(path, offset, seq, payload, findings, in_prefix) of lines as read_segments() gives them.
+
+    A line is examined by itself: size, five fields, marker, sequence, length, digest, UTF-8, payload and its canonical form,
+    and *scope* if given.  Its sequence is held against the highest of the lines before it since the last one without a usable
+    sequence: DUPLICATE_SEQUENCE, SEQUENCE_GAP.  A torn last line is a TORN_TAIL, which is a warning, and no record.
+
+    The records of a segment are its longest valid prefix: lines before the first finding, up to the first that the state of
+    its execution refuses (its violation's category is then a finding); later lines are only examined by themselves.  What hangs
+    on earlier lines is a running value over blocks of a file, so that one segment is as many tasks as it has blocks.  Offsets
+    order lines; numbering them would need a pass of its own."""
+    from ..operators import validation
+    from ..operators.prefix import Running, running
+    from .snapshots import scratch
+
+    # fields are cut from bytes, so that a payload that is no UTF-8 still has a length and a digest
+    p = F.col("_p")
+    get = lambda k: F.get(p, F.lit(k))
+    t = lines.withColumn("_p", F.split(F.decode("line", "ISO-8859-1"), "\t", -1))
+    t = t.select("path", "offset", "torn", "oversized", (F.size(p) == 5).alias("_fields"), (get(0) == "MXL1").alias("_magic"), get(1).alias("_seq"), get(2).alias("_length"), get(3).alias("_digest"), F.encode(get(4), "ISO-8859-1").alias("_raw"))
+    framed = ~F.col("torn") & ~F.col("oversized") & F.col("_fields") & F.col("_magic")
+    seq = F.when(framed & F.col("_seq").rlike(r"^[1-9]\d{0,18}$"), F.expr("try_cast(_seq AS BIGINT)"))
+    t = t.withColumns({"framed": framed, "seq": seq, "payload": F.when(F.is_valid_utf8(F.col("_raw")), F.col("_raw").cast("string"))})
+    own = F.array(
+        F.when(F.col("torn"), "TORN_TAIL").when(F.col("oversized"), "OVERSIZED_RECORD").when(F.col("seq").isNull(), "MALFORMED_RECORD"),
+        F.when(F.col("framed") & ((F.col("_length") != F.length("_raw").cast("string")) | F.col("payload").isNull()), "MALFORMED_RECORD"),
+        F.when(F.col("framed") & (F.col("_digest") != F.sha2("_raw", 256)), "DIGEST_MISMATCH"),
+    )
+    t = t.withColumns({"own": own, "decoded": F.when(F.col("framed"), decode_payload(F.col("payload")))})
+    # examined once: what follows reads it several times
+    where = scratch(lines.sparkSession, "segment-lines")
+    t.select("path", "offset", "torn", "framed", "seq", "payload", "own", "decoded.event", "decoded.finding").write.parquet(where)
+    t = lines.sparkSession.read.parquet(where)
+
+    places = t.select("path", "offset", "seq", (~F.col("torn") & F.col("seq").isNull()).cast("long").alias("_reset"))
+    places = running(places, ["path"], ["offset"], [Running("_resets", "sum", F.col("_reset"), False)], blocks).withColumn("_resets", F.coalesce("_resets", F.lit(0)))
+    places = running(places, ["path", "_resets"], ["offset"], [Running("_high", "max", F.col("seq"), False)], blocks)
+    before = F.coalesce("_high", F.when(F.col("_resets") == 0, 0))
+    order = F.when(F.col("seq") <= before, "DUPLICATE_SEQUENCE").when(F.col("seq") > before + 1, "SEQUENCE_GAP")
+    order = places.select("path", "offset", order.alias("_order")).where("_order IS NOT NULL")
+
+    scoped = F.when(F.col("framed") & F.col("finding").isNull() & (F.col("event.scope") != F.lit(scope)), "SCOPE_ID_MISMATCH")
+    findings = F.array_distinct(F.array_compact(F.concat(F.slice("own", 1, 1), F.array("_order"), F.slice("own", 2, 2), F.array(F.when(F.col("payload").isNotNull(), F.col("finding")), scoped))))
+    t = t.join(order, ["path", "offset"], "left").select("path", "offset", "seq", "payload", "event", findings.alias("findings"))
+    stop = t.where(F.size("findings") > 0).groupBy("path").agg(F.min("offset").alias("_stop"))
+    t = t.join(stop, "path", "left").withColumn("_sound", F.coalesce(F.col("offset") < F.col("_stop"), F.lit(True)))
+    # the prefix is judged file by file: a file is a scope of its own here
+    shared = ["event_id", "kind", "execution", "task", "attempt", "ordinal", "previous", "accepted", "supersedes"]
+    records = t.where("_sound").select(F.col("path").alias("scope"), "seq", F.coalesce("event.revision", F.lit(1)).alias("revision"), *(F.col(f"event.{c}").alias(c) for c in shared))
+    refused = validation.validate(records).groupBy("scope").agg(F.min_by(F.struct("seq", "category"), "seq").alias("r")).select(F.col("scope").alias("path"), F.col("r.seq").alias("_refused"), F.col("r.category").alias("_category"))
+    t = t.join(refused, "path", "left")
+    return t.select(
+        "path",
+        "offset",
+        "seq",
+        "payload",
+        F.when(F.col("_sound") & (F.col("seq") == F.col("_refused")), F.array("_category")).otherwise(F.col("findings")).alias("findings"),
+        (F.col("_sound") & F.coalesce(F.col("seq") < F.col("_refused"), F.lit(True))).alias("in_prefix"),
+    )
