@@ -28,10 +28,8 @@ from .dart_minhash import mixed, text_hashes
 
 #: Longest n-gram and bits of a symbol: 64**4 = 16.8 million entries of 4 bytes at most.
 ORDER, BITS = 4, 6
-#: A document is kept if its perplexity is at most this quantile of trusted held-out documents of its language ...
-QUANTILE = 0.995
-#: ... times this.
-SLACK = 1.10
+#: A document is kept if its perplexity is at most this quantile of trusted held-out documents of its language.
+QUANTILE = 0.999
 #: Languages with fewer trusted held-out documents use the quantile over all languages.
 LEAST_DOCS = 20
 #: Of trusted documents those of this fold (crc32 of doc_id) set the thresholds; the others train.
@@ -45,9 +43,9 @@ HELD_COUNT, HELD_RUNS = 8, 1 << 20
 TAIL_BITS = 1 << 27
 #: Words, and fingerprints of texts, that a worker remembers.
 MEMO = 100_000
-#: Words that a task counts before it packs them, words of the trusted text to a shard, least and most shards, and shards that
-#: a frequent word is spread over.
-FLUSH, SHARD_WORDS, SHARDS, SPREAD = 1_000_000, 2_000_000, (8, 16_384), 64
+#: Words that a task counts before it packs them, words of the trusted text to a shard, least shards (there is no most: their
+#: number follows the text), and shards that a frequent word is spread over.
+FLUSH, SHARD_WORDS, SHARDS, SPREAD = 1_000_000, 2_000_000, 8, 64
 #: A word is its 40-bit hash; these stand before and behind a text's words.
 WORD_SHIFT, START, END = 24, 1, 2
 #: A shard is asked by 40 bits of a key: of its some million keys another one has them once in some hundred thousand times.
@@ -566,7 +564,7 @@ def train_words(trusted: DataFrame, held: int | None = None, shards: int | None
     ship(spark)
     if shards is None:
         size = trusted.agg(F.sum(F.length("text"))).first()[0] or 0
-        shards = min(max(SHARDS[0], size // 5 // SHARD_WORDS), SHARDS[1])
+        shards = max(SHARDS, size // 5 // SHARD_WORDS)
     spelling = Spelling(spark, chars)
     places = Places(shards, frequent_words(trusted, spelling, shards))
     counts = saved(pair_counts(trusted, spelling, places), "words-counts")
@@ -721,7 +719,7 @@ def text_scores(docs: DataFrame, model: WordModel, table: DataFrame) -> DataFram
     return met.groupBy("block").applyInArrow(together, "_h1 long, _h2 long, log_ppl double").groupBy("_h1", "_h2").agg(F.min("log_ppl").alias("log_ppl"))
 
 
-def thresholds(held_out: DataFrame, quantile: float = QUANTILE, least: int = LEAST_DOCS, slack: float = SLACK) -> dict[str | None, float]:
+def thresholds(held_out: DataFrame, quantile: float = QUANTILE, least: int = LEAST_DOCS) -> dict[str | None, float]:
     """Language -> greatest log perplexity that is kept; the key '' has that over all languages.
 
     Perplexities are counted in bins of a ten-thousandth, so the quantile is exact to that and the same in every run."""
@@ -732,7 +730,7 @@ def thresholds(held_out: DataFrame, quantile: float = QUANTILE, least: int = LEA
     w = Window.partitionBy("lang")
     cum = both.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
     cut = cum.where(F.col("upto") >= F.col("all") * quantile).groupBy("lang").agg(F.min("bin").alias("bin"), F.first("all").alias("n"))
-    return {r["lang"]: r["bin"] / 10_000 + float(np.log(slack)) for r in cut.where((F.col("n") >= least) | (F.col("lang") == "")).collect()}
+    return {r["lang"]: r["bin"] / 10_000 for r in cut.where((F.col("n") >= least) | (F.col("lang") == "")).collect()}
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -741,7 +739,8 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Trusted are documents that labels calls of quality 1 and not toxic.  A fifth of them, by crc32 of doc_id, sets the
     thresholds of each language; the others train.  Null and wordless texts have no perplexity and are not kept; where no
     trusted text exists everything else is kept.  A perplexity that equals the threshold is kept.  Repeated rows give repeated
-    rows, of a repeated doc_id each row is judged by its own text; an empty table gives none, and other columns aren't read.
+    rows, of a repeated doc_id each row is judged by its own text; very long texts are read whole; an empty table gives none, and
+    other columns aren't read.
     """
     own = docs.select("doc_id", "text", "lang")
     prepared = prepare(own, labels)
@@ -754,7 +753,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select("doc_id", "lang", F.exp("log_ppl").alias("perplexity"), F.exp(limit).alias("threshold"), keep.alias("keep"))
 
 
-def prepare(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> tuple[DataFrame, F.Column] | None:
+def prepare(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> tuple[DataFrame, F.Column] | None:
     """(_h1, _h2, log_ppl) of all texts with words and, by the column lang, the greatest log perplexity that is kept (null where
     nothing sets one); None without trusted text."""
     good = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 AND t = 0").select("doc_id")
@@ -767,7 +766,7 @@ def prepare(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slac
     found = saved(text_scores(docs, *trained), "words-scores")
     discard(trained[1])
     held_out = docs.where(fold == 0).select("doc_id", "lang", *fingerprint()).join(good.where(fold == 0), "doc_id").join(found, ["_h1", "_h2"])
-    cut = thresholds(held_out.select("lang", "log_ppl"), quantile, slack=slack)
+    cut = thresholds(held_out.select("lang", "log_ppl"), quantile)
     limit = F.lit(cut.pop("", None)).cast("double")
     for lang, x in cut.items():
         limit = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(x)).otherwise(limit)
