@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .bpe import batches, texts_of
 from .common import discard, keep_one, saved, ship
@@ -265,7 +266,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str], text: str = "text", n
     """The columns of keep, with *name* double, the evidence of the whole text."""
     ship(docs.sparkSession)
     own = docs.select(*keep, F.col(text).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1]) + f", {name} double"
+    schema = StructType([*own.schema.fields[:-1], StructField(name, DoubleType())])
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = keep_one(("toxicity", model.toxic, model.ordinary, model.phrase_words), lambda: Scorer(model))
@@ -281,7 +282,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None, fit
     """(doc_id, held_out, score, predicted, evidence) of every row of docs.
 
     Null, empty and wordless texts have evidence -1 and a score near 0.  Repeated rows give repeated rows.  Without
-    labelled rows of both classes every score is 0.  Labels, lang, source and doc_id enter no score.
+    labelled rows of both classes every score is 0; an empty table gives no rows.  Very long texts are scored whole, word by
+    word, with a memo of bounded size.  Labels, lang, source and doc_id enter no score; other columns aren't read.
     """
     if model is None and not fitted:
         model = fit(docs, labels)
