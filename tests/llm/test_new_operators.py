@@ -225,3 +225,53 @@ def test_divergence_long_texts_and_flushes(spark, monkeypatch):
             for r in b.to_pylist():
                 total[r["a"], r["b"]] += r["value"]
         assert total == exact
+
+
+# -- stages and files with odd columns and ids ---------------------------------------------------------------------------------------
+
+
+def test_toxicity_stage_with_a_fitted_model_and_any_column_name(spark, monkeypatch):
+    import corpus_pipeline
+    from larkspur.llm import toxicity
+
+    model = toxicity.Model(b" zhulker vorpsnik ", b" plain words of ordinary texts ", 0.1)
+    monkeypatch.setattr(toxicity, "fit", lambda docs, labels: model)
+    monkeypatch.setattr(corpus_pipeline, "_labels", lambda spark, sf_dir: None)
+    rows = [(1, "plain words", "x", "y", 1), (2, "a zhulker here", "x", "y", 2), (None, None, None, None, None), (3, "", "x", "y", 3), (1, "plain words", "x", "y", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, _text string, evidence long")
+    df = df.toDF("doc_id", "text", "a.b", "_text", "evidence").selectExpr("*", "struct(doc_id AS `c.d`) AS doc")
+    out = corpus_pipeline.drop_toxic(spark, df, "")
+    assert out.columns == df.columns and out.schema["doc"].dataType == df.schema["doc"].dataType
+    assert sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "1", "3", "None"]
+    assert {r["a.b"] for r in out.collect()} == {"x", None}
+    assert corpus_pipeline.drop_toxic(spark, df.limit(0), "").count() == 0
+
+
+def test_token_files_deal_out_one_doc_id(spark, tmp_path):
+    from larkspur.llm import bpe, token_files
+
+    try:
+        vocab = bpe.vocabulary()
+    except Exception as e:
+        pytest.skip(str(e))
+    rows = [(7, f"text number {k}") for k in range(400)] + [(k, "alone") for k in (1, 2, 9)]
+    path = str(tmp_path / "orc")
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, vocab, partitions=4)
+    t = spark.read.schema(token_files.SCHEMA).orc(path)
+    sizes = [r["count"] for r in t.groupBy("part").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 200
+    got = token_files.read_tokens(spark, path).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [1, 2, *[7] * 400, 9]
+    at = 0
+    for r in got:
+        assert r["start"] == at and len(r["ids"]) == r["n_tokens"]
+        at += r["n_tokens"]
+
+
+def test_quality_thresholds_are_the_quantile(spark):
+    from larkspur.llm import ngram_quality
+
+    values = [k / 1000 for k in range(1, 2001)]
+    t = spark.createDataFrame([("en", v) for v in values] + [("fr", 5.0)], "lang string, log_ppl double")
+    cut = ngram_quality.thresholds(t, 0.9)
+    assert abs(cut["en"] - 1.8) < 2e-4 and set(cut) == {"en", ""}
