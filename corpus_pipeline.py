@@ -27,11 +27,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, _labels(spark, sf_dir))
     if model is None:
         return docs
-    own = "_evidence_of_text"
-    while own in docs.columns:
-        own += "_"
-    rows = toxicity.scored(docs, model, docs.columns, name=own)
-    return rows.where(F.col(own) < model.threshold).select(*docs.columns)
+    # the row travels in one struct, so that no name of its columns can clash
+    rows = toxicity.scored(docs.select(F.struct("*").alias("doc"), "text"), model, ["doc"])
+    return rows.where(F.col("evidence") < model.threshold).select("doc.*")
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +58,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = F.xxhash64(*named)
     mixed = mixing.mix(docs.select(key.alias("row"), "source", "text"), key="row")
     taken = mixed.groupBy("row").agg(F.sum("copies").alias("total"), F.count("*").alias("alike"))
-    rows = docs.select(F.struct("*").alias("doc"), key.alias("row")).withColumn("place", F.row_number().over(Window.partitionBy("row").orderBy("row")))
+    # rows alike may differ in other columns: which of them is taken is the same in every run
+    other = [F.col(f"`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "source", "text") and "map<" not in kind]
+    rows = docs.select(F.struct("*").alias("doc"), key.alias("row"), (F.xxhash64(*other) if other else F.lit(0)).alias("other"))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("row").orderBy("other")))
     copies = F.floor(F.col("total") / F.col("alike")) + F.when(F.col("place") <= F.col("total") % F.col("alike"), 1).otherwise(0)
     met = rows.join(taken, "row").withColumn("copies", copies).where("copies > 0")
     return met.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))).select("doc.*")
