@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import Running, running
+
 # Usage kinds in order.
 KINDS = ["INPUT_TOKENS", "CACHED_INPUT_TOKENS", "OUTPUT_TOKENS", "REASONING_TOKENS", "REQUESTS", "TOOL_CALLS"]
 
@@ -102,10 +104,9 @@ def time_totals(intervals: DataFrame, *by: str, start: str = "started_at", end:
     """(by, effort, wall, active) in seconds: summed, from first to last, and the union of intervals, where touching ones merge."""
     s, e = F.unix_micros(F.col(start).cast("timestamp")), F.unix_micros(F.col(end).cast("timestamp"))
     t = intervals.select(*by, s.alias("s"), e.alias("e"))
-    w = Window.partitionBy(*by).orderBy("s", "e")
-    before = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    t = running(t, by, ["s", "e"], [Running("before", "max", F.col("e"), False)])
     # an interval adds what lies beyond all earlier ones
-    t = t.withColumn("added", F.greatest(F.lit(0), F.col("e") - F.greatest("s", F.coalesce(before, F.col("s")))))
+    t = t.withColumn("added", F.greatest(F.lit(0), F.col("e") - F.greatest("s", F.coalesce("before", "s"))))
     return t.groupBy(*by).agg((F.sum(F.col("e") - F.col("s")) / 1e6).alias("effort"), ((F.max("e") - F.min("s")) / 1e6).alias("wall"), (F.sum("added") / 1e6).alias("active"))
 
 

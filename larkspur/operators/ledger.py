@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import Running, running
 
 #: Bytes of a record's payload at most.
 MAX_PAYLOAD = 1 << 20
@@ -27,15 +28,15 @@ def up_to_sequence(ledger: DataFrame, seq: int | Column) -> DataFrame:
 
 def recorded_prefix(ledger: DataFrame, at: Column, *scope: str) -> DataFrame:
     """The longest prefix of each scope recorded up to *at*: it stops at the first later event, whatever follows."""
-    w = Window.partitionBy(*scope).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return ledger.withColumn("_high", F.max("recorded_at").over(w)).where(F.col("_high") <= at).drop("_high")
+    high = Running("_high", "max", F.col("recorded_at"))
+    return running(ledger, scope, ["seq"], [high]).where(F.col("_high") <= at).drop("_high")
 
 
 def sequence_findings(ledger: DataFrame, *scope: str) -> DataFrame:
     """Rows where the sequence doesn't follow the one before: SEQUENCE_GAP or DUPLICATE_SEQUENCE."""
-    w = Window.partitionBy(*scope).orderBy("seq", "event_id")
-    step = F.col("seq") - F.lag("seq").over(w)
-    return ledger.withColumn("step", step).where((F.col("step") != 1) & F.col("step").isNotNull()).select(*scope, "seq", "event_id", F.when(F.col("step") == 0, "DUPLICATE_SEQUENCE").otherwise("SEQUENCE_GAP").alias("finding"), "step")
+    # in this order the one before is the highest before
+    t = running(ledger, scope, ["seq", "event_id"], [Running("_before", "max", F.col("seq"), False)])
+    return t.withColumn("step", F.col("seq") - F.col("_before")).where((F.col("step") != 1) & F.col("step").isNotNull()).select(*scope, "seq", "event_id", F.when(F.col("step") == 0, "DUPLICATE_SEQUENCE").otherwise("SEQUENCE_GAP").alias("finding"), "step")
 
 
 def history_page(ledger: DataFrame, after: int, high: int, size: int) -> DataFrame:
@@ -91,9 +92,10 @@ def acceptance(status: Column, origin: Column, result: Column, dims: Column) ->
 
 
 def success_ordinal(samples: DataFrame, *group: str, start: str = "start_seq") -> DataFrame:
-    """Place of each SUCCESS among those of its group, by start sequence; null for others."""
-    w = Window.partitionBy(*group, F.col("label") == "SUCCESS").orderBy(start)
-    return samples.withColumn("success_ordinal", F.when(F.col("label") == "SUCCESS", F.row_number().over(w)))
+    """Place of each SUCCESS among those of its group, by start sequence; null for others.  A running count in blocks."""
+    success = F.col("label") == "SUCCESS"
+    t = running(samples, group, [start], [Running("success_ordinal", "sum", F.when(success, 1).otherwise(0))])
+    return t.withColumn("success_ordinal", F.when(success, F.col("success_ordinal").cast("int")))
 
 
 def sample_reasons(status: Column, outcome: Column, origin: Column, result: Column, gates: Column) -> Column:

@@ -166,12 +166,12 @@ def normalized_stress(equivalent: Column, key_matched: Column, moved: Column) ->
     )
 
 
-def stress_decision(cases: DataFrame) -> DataFrame:
-    """One row of cases (relationship, key_matched, moved): any distinct pair with one key is a risk; a pass needs every
+def stress_decision(cases: DataFrame, *by: str) -> DataFrame:
+    """One row, or one for each group, of cases (relationship, key_matched, moved): any distinct pair with one key is a risk; a pass needs every
     equivalent pair to share its key and one of them to move."""
     equal = F.col("relationship") == "EQUIVALENT"
-    g = cases.agg(F.bool_or((F.col("relationship") == "DISTINCT") & F.col("key_matched")).alias("risk"), F.bool_and(~equal | F.col("key_matched")).alias("shared"), F.bool_or(equal & F.col("moved")).alias("moved"))
-    return g.select(F.when(F.col("risk"), "NORMALIZED_STRESS_RISK").when(F.col("shared") & F.col("moved"), "NORMALIZED_STRESS_PASS").otherwise("INCONCLUSIVE").alias("decision"))
+    g = cases.groupBy(*by).agg(F.bool_or((F.col("relationship") == "DISTINCT") & F.col("key_matched")).alias("risk"), F.bool_and(~equal | F.col("key_matched")).alias("shared"), F.bool_or(equal & F.col("moved")).alias("moved"))
+    return g.select(*by, F.when(F.col("risk"), "NORMALIZED_STRESS_RISK").when(F.col("shared") & F.col("moved"), "NORMALIZED_STRESS_PASS").otherwise("INCONCLUSIVE").alias("decision"))
 
 
 def book_failure(ranked: DataFrame, judgments: DataFrame, queries: DataFrame) -> DataFrame:

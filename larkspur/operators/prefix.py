@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block, about, and blocks at most.
-BLOCK_ROWS, MAX_BLOCKS = 250_000, 4_096
+#: Rows of a block, about, blocks at most, and the estimated bytes below which rows aren't counted: they are one block.
+BLOCK_ROWS, MAX_BLOCKS, SMALL = 250_000, 4_096, 32 << 20
 
 
 @dataclass(frozen=True)
@@ -39,6 +39,8 @@ class Running:
 def bounds(rows: DataFrame, order: str, blocks: int | None = None) -> list:
     """Values of *order* that cut the rows into about equal blocks: quantiles, so one pass and a bounded number of values."""
     if blocks is None:
+        if int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL:
+            return []
         blocks = min(MAX_BLOCKS, max(1, -(-rows.count() // BLOCK_ROWS)))
     if blocks == 1:
         return []

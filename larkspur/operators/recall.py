@@ -108,6 +108,19 @@ def _norms(x: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def _cosines(q: np.ndarray, cols: np.ndarray, qn: np.ndarray, xn: np.ndarray, digits: int | None) -> np.ndarray:
+    """Cosines of queries with vectors given by columns, one dimension after the other; -inf for NaN."""
+    s = np.zeros((len(q), cols.shape[1]))
+    for d in range(len(cols)):
+        s += q[:, d : d + 1] * cols[d]
+    m = qn[:, None] * xn[None]
+    s = np.divide(s, m, out=np.zeros_like(s), where=m != 0)
+    if digits is not None:
+        s = np.round(s, digits)
+    s[np.isnan(s)] = -np.inf
+    return s
+
+
 def _best(queries: pa.Table, stored: pa.Table, k: int, threshold: float | None, digits: int | None, atom: str) -> pa.Table:
     """The k best atoms of *stored* for each query: 64 queries at a time against all vectors, one dimension after the other."""
     names, ids = queries["query_id"].combine_chunks(), stored[atom].combine_chunks()
@@ -123,14 +136,7 @@ def _best(queries: pa.Table, stored: pa.Table, k: int, threshold: float | None,
         cols = np.ascontiguousarray(x.T)
         for at in range(0, len(q), 64):
             part = q[at : at + 64]
-            s = np.zeros((len(part), len(x)))
-            for d in range(len(cols)):
-                s += part[:, d : d + 1] * cols[d]
-            m = qn[at : at + 64, None] * xn[None]
-            s = np.divide(s, m, out=np.zeros_like(s), where=m != 0)
-            if digits is not None:
-                s = np.round(s, digits)
-            s[np.isnan(s)] = -np.inf
+            s = _cosines(part, cols, qn[at : at + 64], xn, digits)
             best = np.maximum.reduceat(s[:, by_id], starts, axis=1) if len(first) < len(x) else s[:, by_id]
             least = np.partition(best, max(0, best.shape[1] - k), axis=1)[:, max(0, best.shape[1] - k)]
             floor = np.maximum(least, -np.inf if threshold is None else threshold)
@@ -144,6 +150,59 @@ def _best(queries: pa.Table, stored: pa.Table, k: int, threshold: float | None,
     return pa.table([names.take(pa.array(rows[0], pa.int64())), ids.take(pa.array(rows[1], pa.int64())), pa.array(rows[2], pa.float64())], names=["query_id", atom, "score"])
 
 
+def ranks(stored: DataFrame, queries: DataFrame, wanted: DataFrame, digits: int | None = None, atom: str = "atom_id", query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
+    """wanted (query_id, atom) with score and rank among all of stored, by counting what is better; null where the atom has no
+    vector or the score is NaN.  Arguments and scores as in scan() without a threshold; ties go to the smaller atom.
+
+    Queries with the scores that they want meet blocks of vectors, and a task returns one number for each wanted atom of its
+    queries: how many atoms of the block are better.  No pair leaves a task."""
+    kinds = dict(stored.dtypes)[atom], dict(queries.dtypes)["query_id"]
+    stored, queries = stored.select(atom, "vec"), queries.select("query_id", "vec")
+    asked = wanted.select("query_id", atom).distinct()
+    pairs = asked.join(queries, "query_id").join(stored.select(atom, F.col("vec").alias("own")), atom).select("query_id", atom, "vec", "own")
+
+    def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            t = pa.Table.from_batches([b])
+            q, x = _matrix(t.select([0, 2])), _matrix(t.select(["own"]).rename_columns(["vec"]))
+            s = np.zeros(len(q))
+            for d in range(q.shape[1]):
+                s += q[:, d] * x[:, d]
+            m = _norms(q) * _norms(x)
+            s = np.divide(s, m, out=np.zeros_like(s), where=m != 0)
+            s = s if digits is None else np.round(s, digits)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, mask=np.isnan(s))], ["query_id", atom, "score"])
+
+    scores = pairs.mapInArrow(score, f"query_id {kinds[1]}, `{atom}` {kinds[0]}, score double").groupBy("query_id", atom).agg(F.max("score").alias("score")).where("score IS NOT NULL")
+    known = queries.join(scores.groupBy("query_id").agg(F.collect_list(atom).alias("atoms"), F.collect_list("score").alias("scores")), "query_id")
+
+    def go(asking: pa.Table, have: pa.Table) -> pa.Table:
+        out: tuple[list, list, list] = ([], [], [])
+        if asking.num_rows and have.num_rows:
+            q, x = _matrix(asking.select(["vec"])), _matrix(have.select(["vec"]))
+            qn, xn, cols = _norms(q), _norms(x), np.ascontiguousarray(x.T)
+            ids = np.array(have[atom].to_pylist(), dtype=object)
+            every, place = np.unique(ids, return_inverse=True)
+            by_id = np.argsort(place, kind="stable")
+            starts = np.searchsorted(place[by_id], np.arange(len(every)))
+            names, atoms, marks = (asking[c].to_pylist() for c in ("query_id", "atoms", "scores"))
+            for at in range(0, len(q), 64):
+                s = _cosines(q[at : at + 64], cols, qn[at : at + 64], xn, digits)
+                best = np.maximum.reduceat(s[:, by_id], starts, axis=1)
+                for k, row in enumerate(best, at):
+                    for a, mark in zip(atoms[k], marks[k], strict=True):
+                        before = int(np.searchsorted(every, a))
+                        out[0].append(names[k])
+                        out[1].append(a)
+                        out[2].append(int((row > mark).sum() + (row[:before] == mark).sum()))
+        types = asking["query_id"].type, have[atom].type
+        return pa.table([pa.array(out[0], types[0]), pa.array(out[1], types[1]), pa.array(out[2], pa.int64())], names=["query_id", atom, "n"])
+
+    better = meet(known, stored, [], F.col("query_id"), F.col(atom), go, f"query_id {kinds[1]}, `{atom}` {kinds[0]}, n long", query_block, vector_block)
+    n = better.groupBy("query_id", atom).agg((F.sum("n") + 1).alias("rank"))
+    return wanted.join(scores, ["query_id", atom], "left").join(n, ["query_id", atom], "left")
+
+
 def recall(atom_rows: DataFrame, queries: DataFrame, k: int = 10, threshold: float | None = 0.0, lexicon: text.Lexicon | None = text.Lexicon(), digits: int | None = None) -> DataFrame:
     """Recall of query texts (query_id, text) over atoms (atom_id, content, aliases if any).  A query that is blank once normalised finds nothing."""
     asked = queries.where(F.trim(text.normalized(F.col("text"), lexicon) if lexicon else F.col("text")) != "")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit, experience, fusion, generate, ledger, metrics, recall, stats
+from ..operators.prefix import Running, running
 
 
 def timed(run: Callable[[], DataFrame], repeats: int) -> tuple[int, list[int]]:
@@ -85,8 +86,8 @@ def import_kind(findings: DataFrame, stored_before: int, seeded: int) -> str:
 def worksheet(pairs: DataFrame, seed: str) -> DataFrame:
     """pairs (pair_id, ...) in a blind order: numbered by the hash of seed and pair, without rank, score or stratum."""
     order = F.sha2(F.concat_ws(":", F.lit(seed), F.col("pair_id").cast("string")), 256)
-    t = pairs.drop("rank", "score", "stratum").withColumn("_o", order)
-    return t.sort("_o").withColumn("line", F.expr("row_number() OVER (ORDER BY _o)")).drop("_o")  # a worksheet is read by people
+    t = pairs.drop("rank", "score", "stratum").withColumn("_o", order).withColumn("_n", F.conv(F.substring("_o", 1, 15), 16, 10).cast("long"))
+    return running(t, [], ["_n", "_o"], [Running("line", "sum", F.lit(1))]).drop("_o", "_n")
 
 
 def expansion_ab(atoms: DataFrame, queries: DataFrame, expanded: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
@@ -130,9 +131,12 @@ def execution_flow(spark: SparkSession, n: int, seed: int = 42, page: int = 5) -
 
 
 def scale_steps(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(step, key, text): 25, 50 and 100 per cent of the rows, in the order of the keys, and 4 and 16 replicas of all."""
+    """(step, key, text): 25, 50 and 100 per cent of the rows, in the order of the keys (a number or time), and 4 and 16 replicas
+    of all.  Places are running counts in blocks, so that nothing is sorted as a whole."""
     n = rows.count()
-    parts = [rows.orderBy(key).limit(-(-n * p // 100)).select(F.lit(f"{p}%").alias("step"), F.col(key), F.col(text)) for p in (25, 50, 100)]
+    placed = running(rows, [], [key], [Running("_place", "sum", F.lit(1).cast("long"))])
+    steps = F.array_compact(F.array(*(F.when(F.col("_place") <= -(-n * p // 100), F.lit(f"{p}%")) for p in (25, 50, 100))))
+    parts = [placed.select(F.explode(steps).alias("step"), F.col(key), F.col(text))]
     parts += [generate.replicas(rows.select(key, text), m, text).select(F.lit(f"x{m}").alias("step"), F.col(key), F.col(text)) for m in (4, 16)]
     out = parts[0]
     for p in parts[1:]:

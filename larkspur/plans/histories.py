@@ -62,7 +62,7 @@ def view_findings(spark, d):
     h = history(spark, d)
     k = F.substring("execution", 2, 9).cast("int") % 4
     v = experience.replay(h).where(k != 2).withColumn("events", F.when(k == 1, F.col("events") + 1).otherwise(F.col("events")))
-    return experience.verify_views(v, h).where("finding <> 'ORDINAL_REPEATED'")
+    return experience.verify_views(v, h)
 
 
 @query(_HISTORY.replace("WITH", "WITH RECURSIVE", 1) + ", w AS (SELECT event_id, event_id AS cur, 0 AS later FROM h UNION ALL SELECT w.event_id, n.event_id, w.later + 1 FROM w JOIN h n ON n.supersedes = w.cur) SELECT h.scope, event_id, arg_max(cur, later) AS latest, max(later) AS later FROM w JOIN h USING (event_id) GROUP BY ALL")
@@ -162,13 +162,13 @@ def segment_scan(spark, d):
     return segments.scan_lines(t).drop("payload")
 
 
-@query("WITH i AS (SELECT event_id AS line, CASE event_id % 11 WHEN 3 THEN NULL ELSE 'v' || (event_id - CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END) END AS id, event_id * 512 + CASE WHEN event_id % 17 = 0 THEN 4 ELSE 0 END - CASE WHEN event_id % 19 = 0 AND event_id > 0 THEN 512 ELSE 0 END AS off FROM events WHERE event_id < 900), k AS (SELECT *, row_number() OVER (PARTITION BY id IS NOT NULL, id ORDER BY line) > 1 AS di, row_number() OVER (PARTITION BY id IS NOT NULL, off ORDER BY line) > 1 AS dof FROM i), u AS (SELECT line, unnest(CASE WHEN id IS NULL THEN ['VECTOR_INDEX_MALFORMED'] ELSE list_filter([CASE WHEN off < 0 OR off + 512 > 409600 THEN 'VECTOR_OFFSET_OUT_OF_BOUNDS' END, CASE WHEN off % 512 <> 0 THEN 'VECTOR_OFFSET_MISALIGNED' END, CASE WHEN di THEN 'DUPLICATE_VECTOR_INDEX_ID' END, CASE WHEN dof THEN 'DUPLICATE_VECTOR_OFFSET' END], lambda x: x IS NOT NULL) END) AS category FROM k) SELECT line, category, CASE WHEN category = 'DUPLICATE_VECTOR_INDEX_ID' THEN 'INFO' ELSE 'ERROR' END AS severity FROM u")
+@query("WITH i AS (SELECT event_id AS line, CASE event_id % 11 WHEN 3 THEN NULL ELSE 'v' || (event_id - CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END) END AS id, event_id * 512 + CASE WHEN event_id % 17 = 0 THEN 4 ELSE 0 END - CASE WHEN event_id % 19 = 0 AND event_id > 0 THEN 512 ELSE 0 END AS off FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY id IS NOT NULL, id ORDER BY line) > 1 AS di, row_number() OVER (PARTITION BY id IS NOT NULL, off ORDER BY line) > 1 AS dof FROM i), u AS (SELECT line, unnest(CASE WHEN id IS NULL THEN ['VECTOR_INDEX_MALFORMED'] ELSE list_filter([CASE WHEN off < 0 OR off + 512 > 4096000 THEN 'VECTOR_OFFSET_OUT_OF_BOUNDS' END, CASE WHEN off % 512 <> 0 THEN 'VECTOR_OFFSET_MISALIGNED' END, CASE WHEN di THEN 'DUPLICATE_VECTOR_INDEX_ID' END, CASE WHEN dof THEN 'DUPLICATE_VECTOR_OFFSET' END], lambda x: x IS NOT NULL) END) AS category FROM k) SELECT line, category, CASE WHEN category = 'DUPLICATE_VECTOR_INDEX_ID' THEN 'INFO' ELSE 'ERROR' END AS severity FROM u")
 def index_findings(spark, d):
     e = F.col("event_id")
     offset = e * 512 + F.when(e % 17 == 0, 4).otherwise(0) - F.when((e % 19 == 0) & (e > 0), 512).otherwise(0)
     name = F.concat(F.lit("v"), (e - F.when(e % 13 == 0, 1).otherwise(0)).cast("string"))
     value = F.when(e % 11 == 3, F.lit("nonsense")).otherwise(F.concat_ws("\t", name, offset.cast("string")))
-    return segments.index_findings(read(spark, d, "events").where("event_id < 900").select(e.alias("line"), value.alias("value")), 409_600, 128)
+    return segments.index_findings(read(spark, d, "events").select(e.alias("line"), value.alias("value")), 4_096_000, 128)
 
 
 @query(_HISTORY + ", g AS (SELECT scope, seq, event_id, CASE WHEN seq - lag(seq) OVER w = 0 THEN 'DUPLICATE_SEQUENCE' ELSE 'SEQUENCE_GAP' END AS category, seq - lag(seq) OVER w AS step FROM h WINDOW w AS (PARTITION BY scope ORDER BY seq, event_id)), b AS (SELECT scope, execution, min(seq) AS b FROM h WHERE kind = 'EXECUTION_STARTED' GROUP BY ALL) SELECT scope, seq, event_id, category, 'ERROR' AS severity FROM g WHERE step <> 1 UNION ALL SELECT h.scope, h.seq, h.event_id, 'INVALID_ORDER', 'ERROR' FROM h LEFT JOIN b USING (scope, execution) WHERE kind <> 'EXECUTION_STARTED' AND (b.b IS NULL OR h.seq < b.b) UNION ALL SELECT scope, seq, event_id, 'DANGLING_REFERENCE', 'ERROR' FROM h WHERE supersedes IS NOT NULL AND seq % 2 = 0")
@@ -232,10 +232,10 @@ def pareto_within_tolerance(spark, d):
     return compare.pareto(candidates(spark, d), "s_suppkey", ["s_nationkey"], _TOL, "ok")
 
 
-@query("WITH n AS (SELECT s_suppkey, s_nationkey % 3 AS scope, s_suppkey % 4 AS policy FROM supplier WHERE s_suppkey <= 60) SELECT l.s_suppkey AS left_ref, r.s_suppkey AS right_ref, 'NOT_COMPARABLE' AS conclusion, array_to_string(list_filter([CASE WHEN l.scope <> r.scope THEN 'scope' END, CASE WHEN l.policy <> r.policy THEN 'policy' END], lambda x: x IS NOT NULL), ',') AS mismatches FROM n l JOIN n r ON l.s_suppkey < r.s_suppkey AND (l.scope <> r.scope OR l.policy <> r.policy)")
+@query("WITH n AS (SELECT s_suppkey, s_nationkey % 3 AS scope, s_suppkey % 4 AS policy, s_nationkey % 5 AS comparison FROM supplier) SELECT l.comparison, l.s_suppkey AS left_ref, r.s_suppkey AS right_ref, 'NOT_COMPARABLE' AS conclusion, array_to_string(list_filter([CASE WHEN l.scope <> r.scope THEN 'scope' END, CASE WHEN l.policy <> r.policy THEN 'policy' END], lambda x: x IS NOT NULL), ',') AS mismatches FROM n l JOIN n r ON l.comparison = r.comparison AND l.s_suppkey < r.s_suppkey AND (l.scope <> r.scope OR l.policy <> r.policy)")
 def not_comparable(spark, d):
-    t = read(spark, d, "supplier").where("s_suppkey <= 60").select("s_suppkey", (F.col("s_nationkey") % 3).alias("scope"), (F.col("s_suppkey") % 4).alias("policy"))
-    return compare.comparability(t, "s_suppkey", ["scope", "policy"]).withColumn("mismatches", F.array_join("mismatches", ","))
+    t = read(spark, d, "supplier").select("s_suppkey", (F.col("s_nationkey") % 3).alias("scope"), (F.col("s_suppkey") % 4).alias("policy"), (F.col("s_nationkey") % 5).alias("comparison"))
+    return compare.comparability(t, "s_suppkey", ["scope", "policy"], "comparison").withColumn("mismatches", F.array_join("mismatches", ","))
 
 
 @query(oracle.EXECUTIONS + "SELECT o_orderkey, array_to_string(list_filter([CASE WHEN status <> 'VALIDATED_ACCEPTED' THEN 'NOT_VALIDATED_ACCEPTED' WHEN o_orderkey % 6 = 0 THEN 'CUTOFF_UNDERIVABLE' END, CASE o_custkey % 4 WHEN 0 THEN 'GATE_MISSING' WHEN 1 THEN 'GATE_FAIL' WHEN 2 THEN 'GATE_UNKNOWN' END], lambda x: x IS NOT NULL), ',') AS codes FROM exec")
@@ -252,16 +252,17 @@ def objective_readings(spark, d):
     return g.select("l_orderkey", compare.reading(F.col("v"), F.col("u"), F.col("m")).alias("r")).select("l_orderkey", "r.value", "r.gap")
 
 
-_BILL = "WITH u0 AS (SELECT l_orderkey AS stage, k AS kind, CAST(CASE k WHEN 'IN' THEN l_quantity ELSE l_linenumber * 5 END AS BIGINT) AS value, CASE WHEN l_returnflag = 'R' THEN 'ESTIMATED' WHEN l_returnflag = 'A' AND l_linestatus = 'F' AND k = 'CACHE' AND l_suppkey % 3 = 0 THEN 'UNKNOWN' ELSE 'REPORTED' END AS provenance FROM lineitem, (VALUES ('IN'), ('CACHE')) t(k) WHERE l_linenumber = 1 AND NOT (k = 'CACHE' AND l_suppkey % 7 = 0)), u AS (SELECT stage, kind, min(value) AS value, min(provenance) AS provenance FROM u0 GROUP BY ALL) "
+_BILL = "WITH u0 AS (SELECT l_orderkey * 10 + l_linenumber AS stage, k AS kind, CAST(CASE k WHEN 'IN' THEN l_quantity ELSE l_linenumber * 5 END AS BIGINT) AS value, CASE WHEN l_returnflag = 'R' THEN 'ESTIMATED' WHEN l_returnflag = 'A' AND l_linestatus = 'F' AND k = 'CACHE' AND l_suppkey % 3 = 0 THEN 'UNKNOWN' ELSE 'REPORTED' END AS provenance FROM lineitem, (VALUES ('IN'), ('CACHE')) t(k) WHERE NOT (k = 'CACHE' AND l_suppkey % 7 = 0)), u AS (SELECT stage, kind, min(value) AS value, min(provenance) AS provenance FROM u0 GROUP BY ALL) "
 
 
-@query(_BILL + ", s AS (SELECT DISTINCT l_orderkey AS stage FROM lineitem WHERE l_linenumber = 1), l AS (SELECT s.stage, k AS kind, u.value, u.provenance FROM s CROSS JOIN (VALUES ('IN'), ('CACHE')) t(k) LEFT JOIN u ON u.stage = s.stage AND u.kind = t.k), c AS (SELECT stage, value AS inc, provenance AS p FROM l WHERE kind = 'CACHE') SELECT stage, kind, CASE WHEN kind = 'CACHE' AND provenance IN ('REPORTED', 'ESTIMATED') THEN value WHEN kind = 'IN' AND provenance IS NOT NULL AND p IN ('REPORTED', 'ESTIMATED') AND value >= inc THEN value - inc END AS billable, CASE WHEN kind = 'IN' AND p = 'ESTIMATED' THEN 'ESTIMATED' ELSE provenance END AS provenance, CASE WHEN provenance IS NULL THEN 'MISSING_USAGE' WHEN provenance = 'UNKNOWN' THEN 'UNKNOWN_USAGE' WHEN kind = 'IN' AND coalesce(p, 'UNKNOWN') = 'UNKNOWN' THEN 'INCLUDED_UNMEASURED' WHEN kind = 'IN' AND value < inc THEN 'INCONSISTENT_USAGE' ELSE 'BILLED' END AS state FROM l JOIN c USING (stage)")
+@query(_BILL + ", s AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS stage FROM lineitem), l AS (SELECT s.stage, k AS kind, u.value, u.provenance FROM s CROSS JOIN (VALUES ('IN'), ('CACHE')) t(k) LEFT JOIN u ON u.stage = s.stage AND u.kind = t.k), c AS (SELECT stage, value AS inc, provenance AS p FROM l WHERE kind = 'CACHE') SELECT stage, kind, CASE WHEN kind = 'CACHE' AND provenance IN ('REPORTED', 'ESTIMATED') THEN value WHEN kind = 'IN' AND provenance IS NOT NULL AND p IN ('REPORTED', 'ESTIMATED') AND value >= inc THEN value - inc END AS billable, CASE WHEN kind = 'IN' AND p = 'ESTIMATED' THEN 'ESTIMATED' ELSE provenance END AS provenance, CASE WHEN provenance IS NULL THEN 'MISSING_USAGE' WHEN provenance = 'UNKNOWN' THEN 'UNKNOWN_USAGE' WHEN kind = 'IN' AND coalesce(p, 'UNKNOWN') = 'UNKNOWN' THEN 'INCLUDED_UNMEASURED' WHEN kind = 'IN' AND value < inc THEN 'INCONSISTENT_USAGE' ELSE 'BILLED' END AS state FROM l JOIN c USING (stage)")
 def billable_usage(spark, d):
-    li = read(spark, d, "lineitem").where("l_linenumber = 1").withColumn("kind", F.explode(F.array(F.lit("IN"), F.lit("CACHE"))))
+    stage = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("stage")
+    li = read(spark, d, "lineitem").withColumn("kind", F.explode(F.array(F.lit("IN"), F.lit("CACHE"))))
     prov = F.when(F.col("l_returnflag") == "R", "ESTIMATED").when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F") & (F.col("kind") == "CACHE") & (F.col("l_suppkey") % 3 == 0), "UNKNOWN").otherwise("REPORTED")
     value = F.when(F.col("kind") == "IN", F.col("l_quantity")).otherwise(F.col("l_linenumber") * 5).cast("long")
-    u = li.where(~((F.col("kind") == "CACHE") & (F.col("l_suppkey") % 7 == 0))).select(F.col("l_orderkey").alias("stage"), "kind", value.alias("value"), prov.alias("provenance")).groupBy("stage", "kind").agg(F.min("value").alias("value"), F.min("provenance").alias("provenance"))
-    lines = li.select(F.col("l_orderkey").alias("stage"), "kind", F.lit(1.0).alias("price"), F.lit(1000).alias("unit_size"), F.when(F.col("kind") == "CACHE", "IN").alias("included_in")).distinct()
+    u = li.where(~((F.col("kind") == "CACHE") & (F.col("l_suppkey") % 7 == 0))).select(stage, "kind", value.alias("value"), prov.alias("provenance")).groupBy("stage", "kind").agg(F.min("value").alias("value"), F.min("provenance").alias("provenance"))
+    lines = li.select(stage, "kind", F.lit(1.0).alias("price"), F.lit(1000).alias("unit_size"), F.when(F.col("kind") == "CACHE", "IN").alias("included_in")).distinct()
     return cost.billable(u, lines, "stage").select("stage", "kind", "billable", "provenance", "state")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, text, vectors
 from ..operators import chunk, fusion, judging, metrics, recall, stats
+from ..operators.prefix import Running, running
 from ..sources import segments, speech, stores
 from . import drivers, oracle
 from .catalog import arms, feedback_of, knn, per_query, query, read, reranked
@@ -53,18 +54,18 @@ def centroid_nearness(spark, d):
     return vectors.centroid_cosine(read(spark, d, "embeddings"), "embedding", "label").select("vec_id", F.round("near", 6).alias("near"))
 
 
-_WANTED = ", w AS (SELECT vec_id AS query_id, (vec_id * 7 + 3) % (SELECT count(*) FROM embeddings) AS label FROM embeddings WHERE vec_id % 10 = 0) "
+_WANTED = ", w AS (SELECT vec_id AS query_id, (vec_id * 7 + 3) % (SELECT count(*) FROM embeddings) AS label FROM embeddings) "
 
 
 @query(oracle.KNN + _WANTED + "SELECT w.query_id, w.label, k.score, k.rank FROM w JOIN knn k ON k.query_id = w.query_id AND k.atom_id = w.label")
 def full_corpus_ranks(spark, d):
-    """Where a wanted item stands among all, for a tenth of the queries."""
+    """Where a wanted item stands among all, for every query."""
     e = read(spark, d, "embeddings")
     n = e.count()
-    asked = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
-    scored = recall.scan(e.select(F.col("vec_id").alias("atom_id"), F.col("embedding").alias("vec")), asked, n, None, 6).withColumnRenamed("atom_id", "label")
-    wanted = asked.select("query_id", ((F.col("query_id") * 7 + 3) % n).alias("label"))
-    return judging.full_rank(scored, wanted).select("query_id", "label", "score", "rank")
+    asked = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    wanted = e.select(F.col("vec_id").alias("query_id"), ((F.col("vec_id") * 7 + 3) % n).alias("atom_id"))
+    t = recall.ranks(e.select(F.col("vec_id").alias("atom_id"), F.col("embedding").alias("vec")), asked, wanted, 6)
+    return t.select("query_id", F.col("atom_id").alias("label"), "score", "rank")
 
 
 @query(oracle.KNN + ", w AS (SELECT vec_id AS query_id, unnest([vec_id, (vec_id + 1) % (SELECT count(*) FROM embeddings)]) AS label FROM embeddings) SELECT query_id, label FROM w WHERE NOT EXISTS (SELECT 1 FROM knn WHERE rank <= 5 AND knn.query_id = w.query_id AND knn.atom_id = w.label)")
@@ -117,9 +118,9 @@ def speech_group_metrics(spark, d):
     return t.select("grouping", "value", "queries", *(F.round(c, 9).alias(c) for c in ("avg_hit_at_3", "avg_r_at_5", "mrr")))
 
 
-@query(oracle.KNN + ", h AS (SELECT query_id, atom_id AS key, rank FROM knn WHERE rank <= 10 AND query_id % 4 = 0), b AS (SELECT *, key % 9 = 0 AS hub, row_number() OVER (PARTITION BY query_id ORDER BY rank, key) AS b FROM h), s1 AS (SELECT *, CASE WHEN b = 1 THEN 'TOP1' WHEN rank <= 3 THEN 'TOP3' END AS st FROM b), u AS (SELECT *, CASE WHEN st IS NULL AND hub AND row_number() OVER (PARTITION BY query_id, st IS NULL AND hub ORDER BY rank, key) = 1 THEN 'HUB' ELSE st END AS s2 FROM s1), v AS (SELECT *, row_number() OVER (PARTITION BY query_id, s2 IS NULL ORDER BY sha256('seed:' || query_id || ':' || key)) AS drawn FROM u), w AS (SELECT query_id, key, CASE WHEN s2 IS NULL AND drawn <= 2 THEN 'SAMPLE' ELSE s2 END AS stratum, rank FROM v) SELECT * FROM w WHERE stratum IS NOT NULL")
+@query(oracle.KNN + ", h AS (SELECT query_id, atom_id AS key, rank FROM knn WHERE rank <= 10), b AS (SELECT *, key % 9 = 0 AS hub, row_number() OVER (PARTITION BY query_id ORDER BY rank, key) AS b FROM h), s1 AS (SELECT *, CASE WHEN b = 1 THEN 'TOP1' WHEN rank <= 3 THEN 'TOP3' END AS st FROM b), u AS (SELECT *, CASE WHEN st IS NULL AND hub AND row_number() OVER (PARTITION BY query_id, st IS NULL AND hub ORDER BY rank, key) = 1 THEN 'HUB' ELSE st END AS s2 FROM s1), v AS (SELECT *, row_number() OVER (PARTITION BY query_id, s2 IS NULL ORDER BY sha256('seed:' || query_id || ':' || key)) AS drawn FROM u), w AS (SELECT query_id, key, CASE WHEN s2 IS NULL AND drawn <= 2 THEN 'SAMPLE' ELSE s2 END AS stratum, rank FROM v) SELECT * FROM w WHERE stratum IS NOT NULL")
 def judgment_strata(spark, d):
-    h = knn(spark, d, 10).where("query_id % 4 = 0").select("query_id", F.col("atom_id").alias("key"), "rank")
+    h = knn(spark, d, 10).select("query_id", F.col("atom_id").alias("key"), "rank")
     hubs = read(spark, d, "embeddings").where("vec_id % 9 = 0").select(F.col("vec_id").alias("key"))
     return judging.strata(h, hubs, 2, "seed")
 
@@ -158,11 +159,7 @@ def stress_decisions(spark, d):
     """The decision over the cases of each language."""
     k = F.col("doc_id")
     t = read(spark, d, "documents").where("lang IS NOT NULL").select("lang", F.when(k % 3 == 0, "EQUIVALENT").otherwise("DISTINCT").alias("relationship"), F.when(k % 3 == 0, k % 91 != 6).otherwise(k % 97 == 5).alias("key_matched"), (k % 5 == 0).alias("moved"))
-    out = None
-    for (x,) in sorted(t.select("lang").distinct().collect()):  # as many as there are languages
-        row = metrics.stress_decision(t.where(F.col("lang") == x)).select(F.lit(x).alias("lang"), "decision")
-        out = row if out is None else out.unionByName(row)
-    return out
+    return metrics.stress_decision(t, "lang")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 THEN 'BOTH_SUCCEED' WHEN doc_id % 2 = 0 THEN 'TRANSCRIPT_ONLY' WHEN doc_id % 3 = 0 THEN 'ACOUSTIC_ONLY' ELSE 'BOTH_FAIL' END AS outcome, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 THEN CASE WHEN doc_id % 5 = 0 THEN 'BOTH_SUCCEED_RETAINED' ELSE 'LOST_BOTH_SUCCEED' END WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 5 = 0 THEN 'RECOVERED_ACOUSTIC_MISS' ELSE 'LOST_TRANSCRIPT_WIN' END WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 5 = 0 THEN 'RECOVERED_TRANSCRIPT_MISS' ELSE 'LOST_ACOUSTIC_WIN' END ELSE CASE WHEN doc_id % 5 = 0 THEN 'RECOVERED_BOTH_MISS' ELSE 'BOTH_MISS_RETAINED' END END AS disagreement FROM documents")
@@ -186,14 +183,17 @@ def ranking_diagnostics(spark, d):
     return t.withColumn("mean_score", F.round("mean_score", 6)).withColumn("top_gap", F.round("top_gap", 6))
 
 
-@query(oracle.PER_QUERY + ", m AS (SELECT avg(rr) AS mrr, avg(hit_at_1) AS hit, avg(r_at_5) AS r FROM per_query) SELECT 'mrr' AS name, TRUE AS ok UNION ALL SELECT 'hit', FALSE UNION ALL SELECT 'recall', r >= 0 FROM m UNION ALL SELECT 'absent', FALSE")
+@query(
+    oracle.PER_QUERY
+    + ", m AS (SELECT avg(rr) AS mrr, avg(hit_at_1) AS hit, avg(r_at_5) AS recall, avg(p_at_1) AS precision FROM per_query), v AS (SELECT 'mrr' AS name, mrr AS value, abs(mrr - 0.75) <= 0.2 AS ok FROM m UNION ALL SELECT 'hit', hit, hit >= 0.95 - 0.01 FROM m UNION ALL SELECT 'recall', recall, recall >= 0.05 FROM m UNION ALL SELECT 'precision', precision, abs(precision - 0.1) <= 0.05 FROM m UNION ALL SELECT 'absent', NULL, FALSE) SELECT name, round(value, 9) AS value, ok FROM v"
+)
 def protected_baseline(spark, d):
-    """A metric that holds exactly, one below its minimum, one above, and one that was not measured."""
+    """The averages of all queries against expected values, exact within a tolerance or at least; one was never measured."""
     a = metrics.averages(per_query(spark, d))
-    got = a.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(c).alias("value")) for n, c in (("mrr", "mrr"), ("hit", "avg_hit_at_1"), ("recall", "avg_r_at_5"))))).alias("m")).select("m.*")
-    exact = a.first()["mrr"]  # one row
-    want = spark.createDataFrame([("mrr", "EXACT", exact, 1e-9), ("hit", "MINIMUM", 1.5, 0.0), ("recall", "MINIMUM", 0.0, 0.0), ("absent", "MINIMUM", 0.0, 0.0)], "name string, mode string, expected double, tolerance double")
-    return metrics.baseline_check(got, want).select("name", "ok")
+    names = (("mrr", "mrr"), ("hit", "avg_hit_at_1"), ("recall", "avg_r_at_5"), ("precision", "avg_p_at_1"))
+    got = a.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(c).alias("value")) for n, c in names))).alias("m")).select("m.*")
+    want = [("mrr", "EXACT", 0.75, 0.2), ("hit", "MINIMUM", 0.95, 0.01), ("recall", "MINIMUM", 0.05, 0.0), ("precision", "EXACT", 0.1, 0.05), ("absent", "MINIMUM", 0.0, 0.0)]
+    return metrics.baseline_check(got, spark.createDataFrame(want, "name string, mode string, expected double, tolerance double")).select("name", F.round("value", 9).alias("value"), "ok")
 
 
 @query("SELECT event_type, count(*) AS n, CAST(min(floor(value)) AS BIGINT) AS min, CAST(max(floor(value)) AS BIGINT) AS max, CAST(floor(sum(floor(value)) / count(*)) AS BIGINT) AS avg, CAST(sum(event_id % 100) AS BIGINT) AS scanned FROM events GROUP BY 1")
@@ -267,10 +267,21 @@ def metadata_filters(spark, d):
     return read(spark, d, "documents").select("doc_id", F.array_join(f, ",").alias("failed"))
 
 
-@query(f"SELECT '{text.fingerprint()}' AS fingerprint, sha256('{'|'.join(text.STOP_WORDS)}') AS words")
+_LINES = (
+    f"list_concat(list_transform(list_sort({text.STOP_WORDS!r}), lambda w: 'stop' || chr(9) || w), list_sort({['plural|' + k + '|' + v for k, v in text.PLURALS.items()]!r}), {['synonym|' + k + '|' + ','.join(v) for k, v in text.SYNONYMS]!r})"
+)
+
+
+@query(
+    f"WITH w AS (SELECT lang, unnest({oracle.tokens('text')}) AS w FROM documents), m AS (SELECT lang, list_sort(list(DISTINCT w)) AS met FROM w WHERE list_contains({text.STOP_WORDS!r}, w) GROUP BY lang), f AS (SELECT sha256(replace(array_to_string({_LINES}, chr(10)), '|', chr(9))) AS fingerprint) "
+    "SELECT lang, fingerprint, len(met) AS n_words, sha256(array_to_string(met, '|')) AS words FROM m, f"
+)
 def lexicon_fingerprint(spark, d):
-    """The identity of the lexical configuration is fixed; beside it the stop words' own digest."""
-    return spark.range(1).select(F.lit(text.fingerprint()).alias("fingerprint"), F.sha2(F.lit("|".join(text.STOP_WORDS)), 256).alias("words"))
+    """The identity of the lexical configuration, beside the stop words that each language's documents contain."""
+    stop = F.array(*map(F.lit, text.STOP_WORDS))
+    w = read(spark, d, "documents").select("lang", F.explode(F.array_distinct(F.array_intersect(text.tokens(F.col("text")), stop))).alias("w"))
+    met = w.groupBy("lang").agg(F.array_sort(F.collect_set("w")).alias("met"))
+    return met.select("lang", F.lit(text.fingerprint()).alias("fingerprint"), F.size("met").cast("long").alias("n_words"), F.sha2(F.array_join("met", "|"), 256).alias("words"))
 
 
 _PATHS = "SELECT doc_id, '/data/' || CASE doc_id % 4 WHEN 0 THEN 'F0' || (doc_id % 9) WHEN 1 THEN 'MC1' || (doc_id % 9) WHEN 2 THEN 'x/M12' ELSE 'nobody' END || '/Session1/' || CASE doc_id % 5 WHEN 0 THEN 'sentences' WHEN 1 THEN 'single_words' WHEN 2 THEN 'passage' WHEN 3 THEN 'Prompts' ELSE 'wav' END || '/' || doc_id || '.wav' AS path FROM documents"
@@ -319,7 +330,7 @@ def chunk_neighbours(spark, d):
 @query("WITH n AS (SELECT count(*) AS n FROM documents), o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents) SELECT s.step, count(*) AS rows, max(r) AS last FROM o, n, (VALUES ('25%', 25), ('50%', 50), ('100%', 100)) s(step, p) WHERE r <= (n * p + 99) // 100 GROUP BY 1 UNION ALL SELECT 'x' || m, count(*) * m, max(r) FROM o, (VALUES (4), (16)) t(m) GROUP BY m")
 def scale_steps(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text")
-    at = docs.select("doc_id", F.expr("row_number() OVER (ORDER BY doc_id)").alias("r"))
+    at = running(docs.select("doc_id"), [], ["doc_id"], [Running("r", "sum", F.lit(1))])
     return drivers.scale_steps(docs, "doc_id").join(at, "doc_id").groupBy("step").agg(F.count("*").alias("rows"), F.max("r").cast("long").alias("last"))
 
 
@@ -335,11 +346,11 @@ def blind_worksheet(spark, d):
     return drivers.worksheet(read(spark, d, "pages").select(F.col("page_id").alias("pair_id"), F.lit(1).alias("rank")), "blind")
 
 
-@query(oracle.KNN + ", j AS (SELECT k.query_id, k.rank, k.atom_id, k.score FROM knn k WHERE k.rank <= 3 AND k.query_id % 2 = 0) SELECT query_id, count(*) AS results, round(sum(score), 6) AS total FROM j GROUP BY 1")
+@query(oracle.KNN + ", j AS (SELECT k.query_id, k.rank, k.atom_id, k.score FROM knn k WHERE k.rank <= 3) SELECT query_id, count(*) AS results, round(sum(score), 6) AS total FROM j GROUP BY 1")
 def blocked_scan(spark, d):
     """The scan in blocks of queries and vectors, as for more queries than are broadcast."""
     e = read(spark, d, "embeddings").where("embedding IS NOT NULL")
-    q = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
     v = e.select(F.col("vec_id").alias("atom_id"), F.col("embedding").alias("vec"))
     got = recall.blocked(v, q, 3, None, 6, query_block=64, vector_block=128)
     return got.groupBy("query_id").agg(F.count("*").alias("results"), F.round(F.sum("score"), 6).alias("total"))
