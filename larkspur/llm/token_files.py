@@ -29,8 +29,9 @@ SCHEMA = "doc_id long, part int, place long, start_in_part long, n_tokens long,
 def write_tokens(docs: DataFrame, path: str, vocab: str | None = None, end_id: int = END_ID, partitions: int | None = None) -> None:
     """Encode whole texts and write them to ORC files at *path*, ascending by doc_id over files and inside each.
 
-    Range partitioning by doc_id and a hash of the text deals the texts out, so a hot source or group of copies spreads like
-    any rows, and so do different texts of one doc_id, which are ordered by that hash; rows alike in both share a file.
+    Range partitioning by doc_id and a row's place in docs deals the texts out, so a hot source or group of copies spreads
+    like any rows, and so do the rows of one doc_id, which stand in the order of docs over files and of their texts in
+    each.  The place is a number that needs no text, so that finding the ranges reads doc_ids only.
     Null text: only the end id.  A null doc_id comes first.  An empty table gives no documents.  A very long text is one
     row; other columns aren't read and may have any name.  Integer columns of ORC are run-length encoded by the writer;
     stripes, row index and Bloom filter follow ORC above.
@@ -54,9 +55,9 @@ def write_tokens(docs: DataFrame, path: str, vocab: str | None = None, end_id: i
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([part] * k, pa.int32()), pa.array(np.arange(place, place + k)), pa.array(start + upto - n), pa.array(n), lists], ["doc_id", "part", "place", "start_in_part", "n_tokens", "ids"])
                 start, place = start + int(upto[-1]), place + k
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    dealt = own.repartitionByRange(partitions, "doc_id", "h") if partitions else own.repartitionByRange("doc_id", "h")
-    dealt.sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text").mapInArrow(rows, SCHEMA).write.options(**ORC).orc(path)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("place"))
+    dealt = own.repartitionByRange(partitions, "doc_id", "place") if partitions else own.repartitionByRange("doc_id", "place")
+    dealt.sortWithinPartitions("doc_id", "text").select("doc_id", "text").mapInArrow(rows, SCHEMA).write.options(**ORC).orc(path)
 
 
 def starts(spark: SparkSession, path: str) -> DataFrame:
