@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import content_id, reference_key
 from ..functions.text import projection_text
+from . import digests
+from .digests import Chain
 from .ledger import effective
 
 
@@ -176,20 +178,24 @@ def digest(ledger: DataFrame, *scope: str) -> DataFrame:
     return dealt.mapInArrow(go, schema)
 
 
-def export_page(ledger: DataFrame, size: int, cursor: dict | None = None, cutoff: int | None = None) -> tuple[DataFrame, dict | None]:
+def export_page(ledger: DataFrame, size: int, cursor: dict | None = None, cutoff: int | None = None, chain: Chain | None = None) -> tuple[DataFrame, dict | None]:
     """((execution, start_seq) of one page of a scope's executions by start sequence, the cursor of the next page or None).
 
     The first page fixes the cutoff, by default the ledger's end, and the digest of the history up to it; later pages are
-    refused if that history is another.  Pages are keysets on the start sequence, not offsets."""
+    refused if that history is another.  Pages are keysets on the start sequence, not offsets.  With a *chain* the digest rests
+    on its stored blocks, and of the history only records of the open block are hashed; without, all blocks are."""
     if size < 1:
         raise ValueError("page size must be positive")
     end = ledger.agg(F.max("seq")).first()[0] or 0
     at = cursor["cutoff"] if cursor else end if cutoff is None else cutoff
     if at > end:
-        raise ValueError("the cutoff is beyond the end of this ledger")
+        raise ValueError(f"no record has sequence {at}; the last is {end}")
     past = ledger.where(F.col("seq") <= at)
-    row = digest(past).first()
-    now = row["digest"] if row else hashlib.sha256().hexdigest()
+    if chain:
+        now = chain.at(ledger, at)
+    else:
+        row = digests.root(digests.blocks(past)).first()
+        now = row["digest"] if row else None
     if cursor and cursor["digest"] != now:
         raise ValueError("the cursor was issued for another history")
     starts = past.groupBy("execution").agg(F.min("seq").alias("start_seq")).where(F.col("start_seq") > (cursor["after"] if cursor else 0))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import audit, compare, cost, experience, ledger
-from ..sources import segments
+from ..operators import audit, compare, cost, digests, experience, ledger
+from ..sources import segments, snapshots
 from . import oracle
 from .catalog import executions, query, read
 
@@ -123,9 +123,22 @@ def experience_hits(spark, d):
 @query(_HISTORY + ", s AS (SELECT execution, min(seq) AS start_seq FROM h WHERE seq <= 900 GROUP BY 1) SELECT execution, start_seq FROM s ORDER BY start_seq LIMIT 7 OFFSET 7")
 def export_pages(spark, d):
     """The second page of seven executions as of sequence 900."""
+    h, chain = history(spark, d), digests.Chain(spark, snapshots.scratch(spark, "digests"), 64)
+    _, cursor = experience.export_page(h, 7, cutoff=900, chain=chain)
+    return experience.export_page(h, 7, cursor, chain=chain)[0]
+
+
+@query(
+    _HISTORY
+    + ", b AS (SELECT scope, (seq - 1) // 64 AS b1, c, count(*) AS n, sha256(string_agg(seq || ':' || sha256(payload) || chr(10), '' ORDER BY seq)) AS d FROM h, (VALUES (700), (1099511627776)) t(c) WHERE seq <= c GROUP BY ALL), "
+    "b2 AS (SELECT scope, c, b1 // 64 AS b2, sum(n) AS n, sha256(string_agg(b1 || ':' || d || chr(10), '' ORDER BY b1)) AS d FROM b GROUP BY ALL), b3 AS (SELECT scope, c, b2 // 64 AS b3, sum(n) AS n, sha256(string_agg(b2 || ':' || d || chr(10), '' ORDER BY b2)) AS d FROM b2 GROUP BY ALL) "
+    "SELECT scope, c AS cutoff, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(b3 || ':' || d || chr(10), '' ORDER BY b3)) AS digest FROM b3 GROUP BY ALL"
+)
+def digest_tree(spark, d):
+    """Digests by blocks of every scope, of its beginning and of the whole."""
     h = history(spark, d)
-    _, cursor = experience.export_page(h, 7, cutoff=900)
-    return experience.export_page(h, 7, cursor)[0]
+    t = h.withColumn("cutoff", F.explode(F.array(F.lit(700).cast("long"), F.lit(1 << 40)))).where("seq <= cutoff")
+    return digests.root(digests.blocks(t, "scope", "cutoff", fan=64), "scope", "cutoff", fan=64)
 
 
 @query(oracle.EXECUTIONS + f", l AS (SELECT o_orderkey, {oracle.LABEL} AS label, status FROM exec) SELECT CAST(o_orderkey AS VARCHAR) AS execution, v AS violation FROM (SELECT o_orderkey, unnest(list_filter([CASE WHEN label <> 'UNLABELED' AND o_orderkey % 3 = 0 THEN 'LABELED_DESPITE_REASONS' END, CASE WHEN label = 'UNLABELED' AND o_orderkey % 3 <> 0 THEN 'UNLABELED_WITHOUT_REASON' END, CASE WHEN label = 'SUCCESS' THEN 'ORDINAL_MISPLACED' END], lambda x: x IS NOT NULL)) AS v FROM l)")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import projection, validation
-from ..sources import snapshots
+from ..operators import graph, ledger, projection, validation
+from ..sources import datasources, segments, snapshots
 from .catalog import query, read
 from .histories import _ENTRIES, _HISTORY, _KIND
 
@@ -133,3 +133,57 @@ def projection_status(spark, d):
     p = maintained(spark, h, 30, 60)
     changed = h.withColumn("payload", F.when((F.col("seq") == 3) & F.col("scope").endswith("7"), F.lit("another")).otherwise(F.col("payload")))
     return p.status(changed).withColumn("problems", F.array_join("problems", ","))
+
+
+# -- files -----------------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "WITH l AS (SELECT 'f' || (event_id % 5) AS segment, event_id // 5 AS line FROM events), v AS (SELECT *, CASE line % 50 WHEN 20 THEN line + 5 WHEN 30 THEN line ELSE line + 1 END AS seq, line % 50 = 49 AS cut FROM l), "
+    "s AS (SELECT *, coalesce(max(seq) OVER (PARTITION BY segment ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS high FROM v), "
+    "f AS (SELECT segment, line, seq, array_to_string(list_filter([CASE WHEN seq <= high THEN 'DUPLICATE_SEQUENCE' WHEN seq > high + 1 THEN 'SEQUENCE_GAP' END, CASE WHEN cut THEN 'MALFORMED_RECORD' END, CASE WHEN cut THEN 'DIGEST_MISMATCH' END], lambda x: x IS NOT NULL), ',') AS findings FROM s) "
+    "SELECT segment, seq, findings, count(*) FILTER (findings <> '') OVER (PARTITION BY segment ORDER BY line) = 0 AS in_prefix FROM f"
+)
+def segment_files(spark, d):
+    """Five segments written as files and read by ranges of 128 kB; a gap, a repeat and a spoiled line in every fifty."""
+    path, line = snapshots.scratch(spark, "segments"), F.expr("event_id div 5")
+    seq = F.when(line % 50 == 20, line + 5).when(line % 50 == 30, line).otherwise(line + 1)
+    name = F.col("event_id").cast("string")
+    fields = {"kind": F.lit("EXECUTION_STARTED"), "scope": F.lit("s"), "task": F.lit("t"), "execution": F.concat(F.lit("x"), name), "event_id": F.concat(F.lit("e"), name), "revision": F.lit(1)}
+    value = ledger.framed(seq, segments.encode_payload(fields))
+    value = F.when(line % 50 == 49, F.concat(value, F.lit("x"))).otherwise(value)
+    t = read(spark, d, "events").select(F.concat(F.lit("f"), (F.col("event_id") % 5).cast("string")).alias("segment"), line.alias("line"), value.alias("value"))
+    t.repartition("segment").sortWithinPartitions("segment", "line").drop("line").write.partitionBy("segment").text(path)
+    got = segments.scan_ledger(segments.read_segments(spark, path, 131_072), "s", 4)
+    return got.select(F.regexp_extract("path", "segment=([^/]*)/", 1).alias("segment"), "seq", F.array_join("findings", ",").alias("findings"), "in_prefix")
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS atom_id, len(embedding) AS dimensions, round(CAST(list_min(embedding) AS DOUBLE), 6) AS lo, round(CAST(list_max(embedding) AS DOUBLE), 6) AS hi, 1 AS versions FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64")
+def vector_frames(spark, d):
+    """Vectors written as frames with their index, and read back by its offsets."""
+    path = snapshots.scratch(spark, "frames")
+    datasources.register(spark)
+    e = read(spark, d, "embeddings").where("size(embedding) = 64").select(F.col("vec_id").cast("string").alias("atom_id"), F.col("embedding").alias("vec"))
+    e.write.format("larkspur_frames").option("dimensions", 64).mode("append").save(path)
+    t = spark.read.format("larkspur_frames").option("dimensions", 64).option("range", 4_096).load(path)
+    size = lambda c: F.round(c.cast("double"), 6)
+    t = t.groupBy("atom_id").agg(F.first(F.size("vec")).alias("dimensions"), F.first(size(F.array_min("vec"))).alias("lo"), F.first(size(F.array_max("vec"))).alias("hi"), F.count("*").cast("int").alias("versions"))
+    return t.select("atom_id", "dimensions", "lo", "hi", "versions")
+
+
+# -- links -----------------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "WITH RECURSIVE k AS (SELECT doc_id AS id, CASE WHEN doc_id % 40 > 0 THEN (doc_id * doc_id + 7) % (SELECT count(*) + 3 FROM documents) END AS u FROM documents), l AS (SELECT k.id, o.id AS up FROM k LEFT JOIN k o ON o.id = k.u), "
+    "reach AS (SELECT id, up AS z FROM l WHERE up IS NOT NULL UNION SELECT r.id, l.up FROM reach r JOIN l ON l.id = r.z WHERE l.up IS NOT NULL), "
+    "ring AS (SELECT id FROM reach WHERE id = z), lab AS (SELECT ring.id, min(z) AS cycle, count(*) AS length FROM ring JOIN reach USING (id) GROUP BY 1), "
+    "c AS (SELECT r.id, any_value(lab.cycle) AS cycle, any_value(length) AS length FROM reach r JOIN lab ON lab.id = r.z GROUP BY 1), "
+    "e AS (SELECT l.id, coalesce(r.z, l.id) AS root FROM l LEFT JOIN (SELECT reach.id, z FROM reach JOIN l x ON x.id = z WHERE x.up IS NULL) r ON r.id = l.id), n AS (SELECT id, count(*) AS depth FROM reach GROUP BY 1) "
+    "SELECT l.id, CASE WHEN cycle IS NULL THEN e.root END AS root, CASE WHEN cycle IS NULL THEN coalesce(depth, 0) END AS depth, cycle, ring.id IS NOT NULL AS on_cycle, length FROM l LEFT JOIN c USING (id) LEFT JOIN ring ON ring.id = l.id LEFT JOIN e ON e.id = l.id LEFT JOIN n ON n.id = l.id"
+)
+def link_ends(spark, d):
+    """Where links between documents end, and the cycles that they run into."""
+    t = read(spark, d, "documents").select("doc_id")
+    k = F.col("doc_id")
+    return graph.ends(t.select(k.alias("id"), F.when(k % 40 > 0, (k * k + 7) % (t.count() + 3)).alias("up")))

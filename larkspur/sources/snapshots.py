@@ -31,6 +31,7 @@ class Folder:
         self._fs = self._path().getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _path(self, *names: str):
+        """A path below the folder; without names the folder itself."""
         return self._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *names]))
 
     def names(self, *below: str) -> list[str]:
