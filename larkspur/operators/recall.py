@@ -121,8 +121,10 @@ def _cosines(q: np.ndarray, cols: np.ndarray, qn: np.ndarray, xn: np.ndarray, di
     return s
 
 
-def _best(queries: pa.Table, stored: pa.Table, k: int, threshold: float | None, digits: int | None, atom: str) -> pa.Table:
-    """The k best atoms of *stored* for each query: 64 queries at a time against all vectors, one dimension after the other."""
+def _best(queries: pa.Table, stored: pa.Table, k: int, threshold: float | None, digits: int | None, atom: str, tally: dict[str, int] | None = None) -> pa.Table:
+    """The k best atoms of *stored* for each query: 64 queries at a time against all vectors, one dimension after the other.
+
+    tally: gets the vectors that were scanned for a query, and the atoms that passed the threshold, summed over queries."""
     names, ids = queries["query_id"].combine_chunks(), stored[atom].combine_chunks()
     picked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if queries.num_rows and stored.num_rows:
@@ -138,6 +140,9 @@ def _best(queries: pa.Table, stored: pa.Table, k: int, threshold: float | None,
             part = q[at : at + 64]
             s = _cosines(part, cols, qn[at : at + 64], xn, digits)
             best = np.maximum.reduceat(s[:, by_id], starts, axis=1) if len(first) < len(x) else s[:, by_id]
+            if tally is not None:
+                tally["scanned"] = tally.get("scanned", 0) + s.size
+                tally["offered"] = tally.get("offered", 0) + int((best >= (-np.finfo(float).max if threshold is None else threshold)).sum())
             least = np.partition(best, max(0, best.shape[1] - k), axis=1)[:, max(0, best.shape[1] - k)]
             floor = np.maximum(least, -np.inf if threshold is None else threshold)
             i, j = np.nonzero((best >= floor[:, None]) & (best > -np.inf))

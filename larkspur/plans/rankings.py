@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ids, text, vectors
-from ..operators import chunk, fusion, judging, metrics, recall, stats
+from ..operators import chunk, fusion, index, judging, metrics, recall, stats
 from ..operators.prefix import Running, running
 from ..sources import segments, speech, stores
 from . import drivers, oracle
@@ -355,3 +355,29 @@ def blocked_scan(spark, d):
     got = recall.blocked(v, q, 3, None, 6, query_block=64, vector_block=128)
     return got.groupBy("query_id").agg(F.count("*").alias("results"), F.round(F.sum("score"), 6).alias("total"))
 
+
+
+# -- indexes -------------------------------------------------------------------------------------------------------------------
+
+
+@query(oracle.KNN + "SELECT arm, (SELECT count(*) FROM knn) AS scanned, (SELECT count(*) FROM knn WHERE score >= 0.3) AS offered, (SELECT count(*) FROM knn WHERE score >= 0.3 AND rank <= 5) AS retained FROM (VALUES ('exact'), ('blocked')) t(arm)")
+def scan_counters(spark, d):
+    """What a scan compares, lets pass and returns, counted where it runs, as one block and as many."""
+    e = read(spark, d, "embeddings").where("embedding IS NOT NULL")
+    q, v = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("atom_id"), F.col("embedding").alias("vec"))
+    arms = {"exact": index.Exact(v, 6), "blocked": index.Blocked(v, 6, 100, 150)}
+    counts = {name: arm.counted(q, 5, 0.3)[1] for name, arm in arms.items()}
+    return spark.createDataFrame([(name, c["scanned"], c["offered"], c["retained"]) for name, c in counts.items()], "arm string, scanned long, offered long, retained long")
+
+
+@query(oracle.RERANKED + "SELECT arm, query_id, atom_id, rank FROM reranked, (VALUES ('exact'), ('blocked')) t(arm)")
+def index_feedback(spark, d):
+    """Feedback wrapped around both scans: the same rows from either."""
+    out = None
+    e = read(spark, d, "embeddings")
+    v = e.select(F.col("vec_id").alias("atom_id"), F.col("embedding").alias("vec"))
+    q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"), F.concat(F.lit("k"), (F.col("vec_id") % 16).cast("string")).alias("query_key"))
+    for name, inner in (("exact", index.Exact(v, 6)), ("blocked", index.Blocked(v, 6, 100, 150))):
+        got = index.WithFeedback(inner, feedback_of(spark, d)).search(q, 5, 0.1).select(F.lit(name).alias("arm"), "query_id", "atom_id", "rank")
+        out = got if out is None else out.unionByName(got)
+    return out
