@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.snapshots import kept
 from .prefix import Running, running
 
 #: Bytes of a record's payload at most.
@@ -57,7 +58,7 @@ def revision_roots(ledger: DataFrame, rounds: int = 40) -> DataFrame:
     for _ in range(rounds):
         hop = t.select(F.col("event_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
         new = t.join(hop, "up", "left").select("event_id", F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.coalesce("up2", "up") != F.col("up")).alias("moved"))
-        new = new.checkpoint() if ledger.sparkSession.sparkContext.getCheckpointDir() else new.cache()
+        new = kept(new, "revisions")
         more = new.where("moved").limit(1).count()
         t = new.drop("moved")
         if not more:

@@ -181,8 +181,15 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_samples(samples: DataFrame, path: str) -> None:
-    """Speech samples, appended."""
-    samples.withColumn("seq", F.monotonically_increasing_id()).write.mode("append").parquet(path)
+    """Speech samples, appended: seq goes on behind what is stored, so that it orders all appends.  One writer at a time."""
+    spark = samples.sparkSession
+    try:
+        last = spark.read.schema("seq long").parquet(path).agg(F.max("seq")).first()[0]
+    except Exception as e:  # nothing is stored yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        last = None
+    samples.withColumn("seq", F.monotonically_increasing_id() + F.lit(0 if last is None else last + 1)).write.mode("append").parquet(path)
 
 
 def read_samples(spark: SparkSession, path: str, sample_id: str | None = None) -> DataFrame:
@@ -196,11 +203,35 @@ def has_samples(spark: SparkSession, path: str) -> bool:
 
 
 def read_properties(spark: SparkSession, path: str) -> DataFrame:
-    """(key, value) of 'key=value' lines; lines that begin with # or ! are comments, and the last of a key's values counts."""
-    t = spark.read.format("binaryFile").load(path).select("path", F.posexplode(F.split(F.decode("content", "UTF-8"), r"\r?\n")).alias("line", "value"))
-    t = t.where((F.trim("value") != "") & ~F.trim("value").rlike("^[#!]"))
-    cut = F.regexp_extract("value", r"^\s*([^=:\s]+)\s*[=:]?\s*(.*)$", 1), F.regexp_extract("value", r"^\s*([^=:\s]+)\s*[=:]?\s*(.*)$", 2)
-    return t.select("path", "line", cut[0].alias("key"), cut[1].alias("value")).groupBy("key").agg(F.max_by("value", F.struct("path", "line")).alias("value"))
+    r"""(key, value) of properties files; of a key's values the last counts.
+
+    Lines end in \n, \r or both.  A line that ends in an odd number of backslashes goes on in the next, whose leading blanks
+    are dropped.  Lines whose first character is # or ! are comments, which don't go on.  A key ends at the first blank, = or : that
+    isn't escaped; escapes are \t, \n, \r, \f and \uXXXX, and any other character after a backslash stands for itself."""
+    t = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"))
+    # comments and empty lines go first, then lines are joined
+    t = t.select("path", F.regexp_replace("text", r"\r\n?", "\n").alias("text"))
+    t = t.select("path", F.regexp_replace("text", r"(?m)(?<!(?<!\\)\\\n)^[ \t\f]*[#!][^\n]*(\n|\z)", "").alias("text"))
+    t = t.select("path", F.regexp_replace("text", r"(?<!\\)((?:\\\\)*)\\\n[ \t\f]*", "$1").alias("text"))
+    t = t.select("path", F.posexplode(F.split("text", "\n")).alias("line", "value")).where(F.regexp_replace("value", r"[ \t\f]", "") != "")
+    cut = r"^[ \t\f]*((?:\\.|[^\\ \t\f=:])*)[ \t\f]*[=:]?[ \t\f]*(.*)$"
+    part = lambda k: _unescaped(F.regexp_extract("value", cut, k))
+    return t.select("path", "line", part(1).alias("key"), part(2).alias("value")).groupBy("key").agg(F.max_by("value", F.struct("path", "line")).alias("value"))
+
+
+def _unescaped(c: Column) -> Column:
+    """Escapes of a properties file: pieces between backslash pairs are told apart, then each escape is read."""
+    pieces = F.regexp_extract_all(c, F.lit(r"(?s)(\\u[0-9a-fA-F]{4}|\\.|[^\\]+|\\)"), F.lit(1))
+    code = lambda x: F.decode(F.unhex(F.substring(x, 3, 4)), "UTF-16BE")
+    known = {"\\t": "\t", "\\n": "\n", "\\r": "\r", "\\f": "\f"}
+
+    def one(x: Column) -> Column:
+        out = F.when(~x.startswith("\\"), x).when(x.rlike(r"^\\u[0-9a-fA-F]{4}$"), code(x))
+        for k, v in known.items():
+            out = out.when(x == k, v)
+        return out.otherwise(F.substring(x, 2, 1))
+
+    return F.array_join(F.transform(pieces, one), "")
 
 
 def fingerprint_of(rows: list[str]) -> str:

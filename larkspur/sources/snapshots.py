@@ -6,7 +6,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's default for spark.checkpoint.dir: reported by the session even where nobody set it.
 _UNSET = {None, "", "/tmp/checkpoints"}
@@ -23,6 +23,13 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/larkspur-{tag}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table in a scratch folder: its lineage ends there, and lost executors cost one stage."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Folder:
     """The few file operations that a commit needs, by Hadoop's file system of the path."""
 

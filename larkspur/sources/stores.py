@@ -22,9 +22,9 @@ def _in_order(t: DataFrame) -> DataFrame:
     the row's number in it, whatever Spark packs into one task."""
     t = t.withColumn("_file", F.col("_metadata.file_path")).withColumn("_at", F.col("_metadata.file_block_start")).withColumn("_n", F.monotonically_increasing_id())
     blocks = t.groupBy("_file", "_at").agg(F.min("_n").alias("_first"))
-    # as many rows as blocks of files
+    # as many rows as blocks of files; whether they are broadcast is up to their size
     blocks = blocks.withColumn("_place", F.row_number().over(Window.orderBy("_file", "_at")))
-    return t.join(F.broadcast(blocks), ["_file", "_at"]).withColumn("seq", F.col("_place") * F.lit(1 << 40) + F.col("_n") - F.col("_first")).drop("_file", "_at", "_n", "_first", "_place")
+    return t.join(blocks, ["_file", "_at"]).withColumn("seq", F.col("_place") * F.lit(1 << 40) + F.col("_n") - F.col("_first")).drop("_file", "_at", "_n", "_first", "_place")
 
 
 def _text(c: Column) -> Column:
