@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import audit, compare, cost, digests, experience, ledger
+from ..operators import audit, compare, cost, digests, experience, ledger, recall
 from ..sources import segments, snapshots
 from . import oracle
 from .catalog import executions, query, read
@@ -109,14 +109,22 @@ def projection_states(spark, d):
     return experience.atom_states(experience.projection_entries(history(spark, d)))
 
 
-@query(_LIVE + ", q AS (SELECT item_id AS query_id FROM benchmark), s AS (SELECT query_id, atom_id, round(CAST('0x' || substr(sha256(query_id || atom_id), 1, 2) AS INT) / 256, 6) AS score FROM q, (SELECT DISTINCT atom_id FROM entries)), r AS (SELECT query_id, atom_id, score, scope || '/' || execution || '/' || attempt || '/' || event_id AS ref FROM s JOIN refs USING (atom_id)), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, atom_id, ref) AS rank FROM r) SELECT query_id, rank, ref, atom_id, score FROM k WHERE rank <= 20")
+_ASKED = "text || ' summary ' || (item_id % 4) || ' solution ' || (item_id % 6)"
+
+
+@query(
+    _LIVE
+    + ", "
+    + oracle.scored("ta", asked=_ASKED)
+    + "hit AS (SELECT query_id, atom_id, score, scope || '/' || execution || '/' || attempt || '/' || event_id AS ref FROM scored JOIN refs USING (atom_id) WHERE score >= 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, atom_id, ref) AS rank FROM hit) SELECT query_id, rank, ref, atom_id, score FROM k WHERE rank <= 20"
+)
 def experience_hits(spark, d):
-    """Atoms of any text, retired ones too, expanded to the refs that live."""
-    e = experience.projection_entries(history(spark, d))
-    refs = experience.projected(e).select("atom_id", ids.reference_key(*map(F.col, ("scope", "execution", "attempt", "event_id"))).alias("ref"))
-    h = F.conv(F.substring(F.sha2(F.concat(F.col("item_id").cast("string"), "atom_id"), 256), 1, 2), 16, 10).cast("int")
-    q = F.broadcast(read(spark, d, "benchmark").select("item_id"))  # the benchmark's items, some thousands
-    scored = e.select("atom_id").distinct().crossJoin(q).select(F.col("item_id").alias("query_id"), "atom_id", F.round(h / 256, 6).alias("score"))
+    """Recall over the texts of live atoms, expanded to the refs that they stand for: 20 atoms have 20 refs at least."""
+    live = experience.projected(experience.projection_entries(history(spark, d)))
+    refs = live.select("atom_id", ids.reference_key(*map(F.col, ("scope", "execution", "attempt", "event_id"))).alias("ref"))
+    k = F.col("item_id")
+    asked = read(spark, d, "benchmark").select(k.alias("query_id"), F.concat("text", F.lit(" summary "), (k % 4).cast("string"), F.lit(" solution "), (k % 6).cast("string")).alias("text"))
+    scored = recall.recall(live.select("atom_id", F.col("text").alias("content")).distinct(), asked, 20, 0.0, digits=6)
     return experience.recall_experiences(scored, refs, 20)
 
 

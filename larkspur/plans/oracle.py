@@ -88,22 +88,29 @@ def _weighted(source: str, own: float = 1.0, expansion: float = 0.25) -> str:
 
 def recall(k: int, threshold: float, where: str = "TRUE", aliases: str | None = None, asked: str = "text") -> str:
     """Recall over documents that hold *where*; *aliases*: (text, alias) rows, each alias a text at lower weights."""
-    a = f"SELECT {content_id('text')} AS id, text FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL AND {where})"
+    return (
+        "WITH "
+        + scored(f"documents WHERE text IS NOT NULL AND {where}", aliases, asked)
+        + f"r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, atom_id) AS rank FROM scored WHERE score >= {threshold}) "
+        f"SELECT query_id, rank, atom_id, score FROM r WHERE rank <= {k}"
+    )
+
+
+def scored(corpus: str, aliases: str | None = None, asked: str = "text") -> str:
+    """The part of a WITH up to scored (query_id, atom_id, score): benchmark's queries against the texts of *corpus*."""
+    a = f"SELECT {content_id('text')} AS id, text FROM (SELECT DISTINCT text FROM {corpus})"
     q = f"SELECT item_id AS id, {asked} AS text FROM benchmark WHERE {normalized('text')} <> ''"
     weighted = _weighted(a)
     if aliases:
         weighted += " UNION ALL " + _weighted(f"SELECT {content_id('text')} AS id, alias AS text FROM ({aliases})", 0.25, 0.0625)
     return (
-        "WITH "
-        + _vec("a", weighted)
+        _vec("a", weighted)
         + ", "
         + _vec("q", _weighted(q))
         + ", norms AS (SELECT id, sqrt(sum(CAST(x * x AS DOUBLE))) AS m FROM avec GROUP BY id), qnorms AS (SELECT id, sqrt(sum(CAST(x * x AS DOUBLE))) AS m FROM qvec GROUP BY id), "
         "dots AS (SELECT q.id AS query_id, a.id AS atom_id, sum(CAST(q.x * a.x AS DOUBLE)) AS dot FROM qvec q JOIN avec a USING (bucket) GROUP BY ALL), "
         f"every AS (SELECT q.id AS query_id, a.id AS atom_id FROM (SELECT DISTINCT id FROM ({q})) q, (SELECT DISTINCT id FROM ({a})) a), "
         "scored AS (SELECT e.query_id, e.atom_id, round(coalesce(d.dot / (qn.m * an.m), 0), 6) AS score FROM every e LEFT JOIN dots d USING (query_id, atom_id) LEFT JOIN norms an ON an.id = e.atom_id LEFT JOIN qnorms qn ON qn.id = e.query_id), "
-        f"r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, atom_id) AS rank FROM scored WHERE score >= {threshold}) "
-        f"SELECT query_id, rank, atom_id, score FROM r WHERE rank <= {k}"
     )
 
 

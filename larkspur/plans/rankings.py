@@ -381,3 +381,68 @@ def index_feedback(spark, d):
         got = index.WithFeedback(inner, feedback_of(spark, d)).search(q, 5, 0.1).select(F.lit(name).alias("arm"), "query_id", "atom_id", "rank")
         out = got if out is None else out.unionByName(got)
     return out
+
+
+# -- speech and stores, end to end -------------------------------------------------------------------------------------------------
+
+_SPEECH = (
+    oracle.KNN
+    + ", c AS (SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN 'ORPHAN_VECTOR' WHEN vec_id % 7 = 0 THEN 'INCOMPATIBLE_DIMENSIONS' WHEN label % 3 <> 0 OR vec_id % 5 = 0 THEN 'METADATA_FILTERED' ELSE 'SCORED' END AS status, CASE WHEN label % 3 <> 0 THEN 'CONDITION' END AS f1, CASE WHEN vec_id % 5 = 0 THEN 'LANGUAGE' END AS f2 FROM embeddings) "
+)
+
+
+def _speech(spark, d):
+    v = F.col("vec_id")
+    e = read(spark, d, "embeddings").withColumn("sample_id", v.cast("string"))
+    samples = e.where("vec_id % 11 <> 0").select("sample_id", F.concat(F.lit("c"), (F.col("label") % 3).cast("string")).alias("condition"), F.when(v % 5 == 0, "fr").otherwise("en").alias("language"))
+    # a vector of each sample is older and turned around: the last one counts
+    old = e.select("sample_id", F.lit(0).alias("seq"), F.transform("embedding", lambda x: -x).alias("vec"))
+    now = e.select("sample_id", F.lit(1).alias("seq"), F.when(v % 7 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")).alias("vec"))
+    queries = e.select(v.alias("query_id"), F.col("embedding").alias("vec"))
+    return speech.search(queries, samples, old.unionByName(now), 4, 64, None, 6, CONDITION=("condition", "c0"), LANGUAGE=("language", "en"), SPEAKER=("condition", None))
+
+
+@query(_SPEECH + ", r AS (SELECT query_id, CAST(atom_id AS VARCHAR) AS sample_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(atom_id AS VARCHAR)) AS rank FROM knn JOIN c ON c.vec_id = atom_id WHERE status = 'SCORED') SELECT query_id, rank, sample_id, score FROM r WHERE rank <= 4")
+def speech_search(spark, d):
+    """The four best samples for each audio query, among those that pass all filters."""
+    return _speech(spark, d)[0]
+
+
+@query(_SPEECH + "SELECT CAST(vec_id AS VARCHAR) AS sample_id, status, CASE WHEN status = 'METADATA_FILTERED' THEN concat_ws(',', f1, f2) ELSE '' END AS failed FROM c")
+def speech_candidates(spark, d):
+    """What becomes of every stored vector on the way."""
+    return _speech(spark, d)[1].withColumn("failed", F.array_join("failed", ","))
+
+
+@query(
+    "WITH s AS (SELECT vec_id, CASE label % 4 WHEN 0 THEN 'CONTROL' WHEN 1 THEN 'DYSARTHRIC' WHEN 2 THEN 'UNKNOWN' ELSE 'MILD' END AS condition, vec_id % 10 = 0 AS skipped, vec_id % 10 <> 0 AND vec_id % 9 = 0 AS failed FROM embeddings), "
+    "g AS (SELECT 'ALL' AS grouping, '' AS value, * FROM s UNION ALL SELECT 'condition', condition, * FROM s UNION ALL SELECT 'dimensions', CASE WHEN failed THEN 'NONE' ELSE '16' END, * FROM s) "
+    "SELECT grouping, value, count(*) AS samples, count(*) FILTER (skipped) AS skipped, count(*) FILTER (NOT skipped AND NOT failed) AS encoded, count(*) FILTER (failed) AS failed, CASE WHEN count(*) FILTER (failed) > 0 THEN 'TOO_SHORT_OR_SILENT=' || count(*) FILTER (failed) ELSE '' END AS failures FROM g GROUP BY ALL"
+)
+def feature_coverage(spark, d):
+    """Samples of which a tenth is encoded already and a ninth is too short."""
+    v = F.col("vec_id")
+    e = read(spark, d, "embeddings")
+    condition = F.when(F.col("label") % 4 == 0, "CONTROL").when(F.col("label") % 4 == 1, "DYSARTHRIC").when(F.col("label") % 4 == 3, "MILD")
+    wave = F.transform("embedding", lambda x: x.cast("double"))
+    samples = e.select(v.cast("string").alias("sample_id"), F.when(v % 9 == 0, F.slice(wave, 1, 5)).otherwise(wave).alias("samples"), F.lit(16).alias("sample_rate"), condition.alias("condition"))
+    existing = e.where("vec_id % 10 = 0").select(v.cast("string").alias("sample_id"), F.slice("embedding", 1, 16).alias("vec"))
+    return speech.encode_job(samples, existing, "condition")[1]
+
+
+@query(
+    f"WITH a AS (SELECT doc_id, {oracle.content_id('text')} AS id, text FROM documents WHERE text IS NOT NULL), b AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'wrong' ELSE id END AS id, CASE WHEN doc_id % 23 = 0 THEN ' ' ELSE text END AS text FROM a), "
+    f"v AS (SELECT id, doc_id FROM b WHERE doc_id % 13 <> 0), f AS (SELECT 'BLANK_CONTENT' AS category FROM b WHERE trim(text) = '' UNION ALL SELECT 'ID_MISMATCH' FROM b WHERE id <> {oracle.content_id('text')} "
+    "UNION ALL SELECT 'DUPLICATE_ID' FROM b GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'DIMENSION_MISMATCH' FROM v WHERE doc_id % 19 = 0 UNION ALL SELECT 'ZERO_VECTOR' FROM v WHERE doc_id % 19 <> 0 AND doc_id % 29 = 0 "
+    "UNION ALL SELECT 'ATOM_WITHOUT_VECTOR' FROM (SELECT DISTINCT id FROM b) x WHERE id NOT IN (SELECT id FROM v) UNION ALL SELECT 'FEEDBACK_LOG_CORRUPT' FROM events WHERE event_id % 31 = 0) "
+    "SELECT category, CASE category WHEN 'DUPLICATE_ID' THEN 'INFO' WHEN 'ZERO_VECTOR' THEN 'WARNING' ELSE 'ERROR' END AS severity, count(*) AS n FROM f GROUP BY category"
+)
+def store_integrity(spark, d):
+    """All findings over one store whose atoms, vectors and feedback were spoiled."""
+    k = F.col("doc_id")
+    t = read(spark, d, "documents").where("text IS NOT NULL").select(k, F.when(k % 17 == 0, "wrong").otherwise(ids.content_id(F.col("text"))).alias("id"), F.when(k % 23 == 0, " ").otherwise(F.col("text")).alias("content"))
+    one = lambda n, x: F.array_repeat(F.lit(x).cast("float"), n)
+    vec = t.where("doc_id % 13 <> 0").select(F.col("id").alias("atom_id"), F.when(k % 19 == 0, one(3, 1.0)).when(k % 29 == 0, one(4, 0.0)).otherwise(one(4, 1.0)).alias("vec"))
+    e = F.col("event_id")
+    feedback = read(spark, d, "events").select(e.alias("seq"), F.lit("q").alias("query"), F.lit("a").alias("atom_id"), F.lit("POSITIVE").alias("signal"), F.when(e % 31 == 0, -1.0).otherwise(1.0).alias("delta"))
+    return drivers.integrity(t.select("id", "content"), vec, feedback, 4)

@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import fusion, recall
+from .snapshots import kept
+
 WINDOWS, SILENCE, DIMENSIONS = 8, 0.01, 16
 
 
@@ -130,3 +133,37 @@ def encode_missing(samples: DataFrame, existing: DataFrame, dimensions: int = DI
 def to_atoms(samples: DataFrame) -> DataFrame:
     """Transcripts as atoms; the sample's id is the atom's."""
     return samples.where("transcript IS NOT NULL").select(F.col("sample_id").alias("atom_id"), F.col("transcript").alias("content"))
+
+
+def encode_job(samples: DataFrame, existing: DataFrame, *by: str, dimensions: int = DIMENSIONS) -> tuple[DataFrame, DataFrame]:
+    """(features, coverage): features of samples (sample_id, samples, sample_rate and the columns of *by*) that have none yet, encoded
+    once and kept as a table, and what became of all samples in each group.
+
+    coverage: (grouping, value, samples, skipped, encoded, failed, failures): for ALL, each column of *by* and the dimensions of
+    the vectors; failures are 'reason=count' in the order of reasons."""
+    new = kept(encode_missing(samples, existing, dimensions), "features")
+    have = existing.select("sample_id", F.size("vec").alias("_dims")).groupBy("sample_id").agg(F.max("_dims").alias("_dims"))
+    t = samples.select("sample_id", *by).join(have, "sample_id", "left").join(new.select("sample_id", "failure", F.when(F.col("failure").isNull(), F.size("vec")).alias("_new")), "sample_id", "left")
+    t = t.withColumn("_size", F.coalesce("_dims", "_new").cast("string"))
+    group = lambda name, value: F.struct(F.lit(name).alias("grouping"), F.coalesce(value.cast("string"), F.lit("UNKNOWN")).alias("value"))
+    keys = F.array(group("ALL", F.lit("")), *(group(c, F.col(c)) for c in by), group("dimensions", F.coalesce("_size", F.lit("NONE"))))
+    each = t.select(F.explode(keys).alias("g"), "failure", F.col("_dims").isNotNull().alias("skipped"), F.col("_new").isNotNull().alias("encoded")).select("g.*", "failure", "skipped", "encoded")
+    by_reason = each.groupBy("grouping", "value", "failure").agg(F.count("*").alias("n"), F.count_if("skipped").alias("skipped"), F.count_if("encoded").alias("encoded"))
+    said = F.array_join(F.array_sort(F.collect_list(F.when(F.col("failure").isNotNull(), F.concat_ws("=", "failure", F.col("n").cast("string"))))), ",")
+    failed = F.sum(F.when(F.col("failure").isNotNull(), F.col("n")).otherwise(0))
+    return new, by_reason.groupBy("grouping", "value").agg(F.sum("n").alias("samples"), F.sum("skipped").alias("skipped"), F.sum("encoded").alias("encoded"), failed.alias("failed"), said.alias("failures"))
+
+
+def search(queries: DataFrame, samples: DataFrame, features: DataFrame, k: int, dimensions: int = DIMENSIONS, threshold: float | None = None, digits: int | None = None, **filters: tuple[str, str | None]) -> tuple[DataFrame, DataFrame]:
+    """(ranking, candidates) of audio queries (query_id, vec) over the last features of samples.
+
+    filters: name to (column of samples, wanted value; None passes all).  candidates: (sample_id, status, failed) of every stored
+    vector: ORPHAN_VECTOR, INCOMPATIBLE_DIMENSIONS, METADATA_FILTERED (with the filters it fails) or SCORED.  ranking: (query_id,
+    rank, sample_id, score) of the k best that are scored; nothing else enters the scan."""
+    failed = fusion.failed_filters(**{n: (F.col(c).cast("string"), v) for n, (c, v) in filters.items()})
+    known = samples.select("sample_id", F.lit(True).alias("_known"), failed.alias("failed"))
+    t = last_vectors(features).select("sample_id", "vec").join(known, "sample_id", "left")
+    status = fusion.candidate_status(F.col("_known"), F.size("vec"), F.lit(dimensions), F.coalesce("failed", F.array().cast("array<string>")))
+    t = t.withColumn("status", status)
+    ranking = recall.scan(t.where("status = 'SCORED'").select("sample_id", "vec"), queries, k, threshold, digits, "sample_id")
+    return ranking, t.select("sample_id", "status", F.when(F.col("status") == "METADATA_FILTERED", F.col("failed")).otherwise(F.array().cast("array<string>")).alias("failed"))
