@@ -27,9 +27,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, _labels(spark, sf_dir))
     if model is None:
         return docs
-    # the row travels in one struct, so that no name of its columns can clash
-    rows = toxicity.scored(docs.select(F.struct("*").alias("doc"), "text"), model, ["doc"])
-    return rows.where(F.col("evidence") < model.threshold).select("doc.*")
+    # columns go by their places, so that no name can clash
+    rows = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    rows = toxicity.scored(rows, model, rows.columns, text=f"c{docs.columns.index('text')}")
+    return rows.where(F.col("evidence") < model.threshold).drop("evidence").toDF(*docs.columns)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
