@@ -30,6 +30,8 @@ from .dart_minhash import mixed, text_hashes
 ORDER, BITS = 4, 6
 #: A document is kept if its perplexity is at most this quantile of trusted held-out documents of its language.
 QUANTILE = 0.999
+#: Quantiles beyond this one are estimated from the tail above it.
+TAIL = 0.9
 #: Languages with fewer trusted held-out documents use the quantile over all languages.
 LEAST_DOCS = 20
 #: Of trusted documents those of this fold (crc32 of doc_id) set the thresholds; the others train.
@@ -722,15 +724,23 @@ def text_scores(docs: DataFrame, model: WordModel, table: DataFrame) -> DataFram
 def thresholds(held_out: DataFrame, quantile: float = QUANTILE, least: int = LEAST_DOCS) -> dict[str | None, float]:
     """Language -> greatest log perplexity that is kept; the key '' has that over all languages.
 
-    Perplexities are counted in bins of a ten-thousandth, so the quantile is exact to that and the same in every run."""
+    Up to TAIL the quantile is the sample's.  A quantile beyond it is estimated from the tail above TAIL, as no sample of some
+    hundred documents has a document at its 0.999 quantile: log perplexities above the threshold u of TAIL exceed it by b
+    on average, and with an exponential tail (a Pareto tail of perplexity) the quantile q is u + b ln((1 - TAIL) / (1 - q)).
+    The estimator is the same at every size.  Perplexities are counted in bins of a ten-thousandth, so that it is exact to
+    that and the same in every run."""
     bins = held_out.where("log_ppl IS NOT NULL").groupBy("lang", F.ceil(F.col("log_ppl") * 10_000).alias("bin")).agg(F.count("*").alias("n"))
     both = bins.unionByName(bins.groupBy("bin").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "bin", "n"))
     from pyspark.sql import Window
 
+    level = min(quantile, TAIL)
     w = Window.partitionBy("lang")
     cum = both.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
-    cut = cum.where(F.col("upto") >= F.col("all") * quantile).groupBy("lang").agg(F.min("bin").alias("bin"), F.first("all").alias("n"))
-    return {r["lang"]: r["bin"] / 10_000 for r in cut.where((F.col("n") >= least) | (F.col("lang") == "")).collect()}
+    cum = cum.withColumn("u", F.min(F.when(F.col("upto") >= F.col("all") * level, F.col("bin"))).over(w))
+    over = F.col("bin") > F.col("u")
+    cut = cum.groupBy("lang").agg(F.first("u").alias("u"), F.first("all").alias("n"), F.sum(F.when(over, (F.col("bin") - F.col("u")) * F.col("n"))).alias("excess"), F.sum(F.when(over, F.col("n"))).alias("above"))
+    further = float(np.log((1 - level) / (1 - quantile)))
+    return {r["lang"]: (r["u"] + (r["excess"] / r["above"] * further if r["above"] else 0.0)) / 10_000 for r in cut.where((F.col("n") >= least) | (F.col("lang") == "")).collect()}
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
