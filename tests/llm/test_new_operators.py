@@ -275,3 +275,9 @@ def test_quality_thresholds_are_the_quantile(spark):
     t = spark.createDataFrame([("en", v) for v in values] + [("fr", 5.0)], "lang string, log_ppl double")
     cut = ngram_quality.thresholds(t, 0.9)
     assert abs(cut["en"] - 1.8) < 2e-4 and set(cut) == {"en", ""}
+    # beyond the tail's start: an exponential tail has its own quantile again
+    import math
+
+    t = spark.createDataFrame([("en", -math.log(1 - (k + 0.5) / 4000)) for k in range(4000)], "lang string, log_ppl double")
+    assert abs(ngram_quality.thresholds(t, 0.999)["en"] - math.log(1000)) < 0.05
+    assert ngram_quality.thresholds(spark.createDataFrame([("en", 1.5)] * 30, "lang string, log_ppl double"), 0.999)["en"] == 1.5
