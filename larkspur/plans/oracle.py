@@ -222,7 +222,7 @@ PRICED = (
 )
 INTERVALS = (
     "WITH i AS (SELECT l_suppkey, epoch_us(l_shipdate) AS s, epoch_us(l_shipdate) + CAST(l_quantity * 3600e6 AS BIGINT) AS e FROM lineitem), "
-    "o AS (SELECT *, max(e) OVER (PARTITION BY l_suppkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM i), "
+    "o AS (SELECT *, max(e) OVER (PARTITION BY l_suppkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT DISTINCT l_suppkey, s, e FROM i) u), "
     "g AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM o), "
     "a AS (SELECT l_suppkey, island, max(e) - min(s) AS len FROM g GROUP BY ALL) "
     "SELECT l_suppkey, sum(e - s) / 1e6 AS effort, (max(e) - min(s)) / 1e6 AS wall, (SELECT sum(len) / 1e6 FROM a WHERE a.l_suppkey = i.l_suppkey) AS active FROM i GROUP BY l_suppkey"
