@@ -106,7 +106,7 @@ def _counted(stored: DataFrame, queries: DataFrame, k: int, threshold: float | N
     path = scratch(stored.sparkSession, "scan")
     out.write.parquet(path)
     t = stored.sparkSession.read.parquet(path)
-    result = recall._ranked(t.where("scanned IS NULL").select("query_id", "atom_id", "score"), k, "atom_id")
+    result = recall._ranked(t.where("scanned IS NULL").select("query_id", "atom_id", "score"), k, "atom_id", True)
     row = t.agg(F.coalesce(F.sum("scanned"), F.lit(0)).alias("scanned"), F.coalesce(F.sum("offered"), F.lit(0)).alias("offered"), F.count_if(F.col("scanned").isNull()).alias("kept")).first()
     return result, row.asDict() | {"retained": result.count()}
 
