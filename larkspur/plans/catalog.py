@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, text, vectors
 from ..operators import compare, cost, experience, fusion, ledger, metrics, recall, stats
 from ..operators.blocks import spread
+from ..sources.snapshots import kept
 from . import oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,8 +121,14 @@ def feedback_of(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.concat(F.lit("k"), (F.col("user_id") % 16).cast("string")).alias("query_key"), (F.col("event_id") % F.col("n")).alias("atom_id"), delta.alias("delta"), F.col("event_id").alias("seq"))
 
 
-def reranked(spark: SparkSession, d: str) -> DataFrame:
-    pool = knn(spark, d, 20).withColumn("query_key", F.concat(F.lit("k"), (F.col("query_id") % 16).cast("string")))
+def pooled(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 best of every embedding as a written table, for queries that use a scan more than once."""
+    return kept(knn(spark, d, 20), "knn")
+
+
+def reranked(spark: SparkSession, d: str, best: DataFrame | None = None) -> DataFrame:
+    """best: the 20 best of every query, where they are at hand."""
+    pool = (knn(spark, d, 20) if best is None else best).withColumn("query_key", F.concat(F.lit("k"), (F.col("query_id") % 16).cast("string")))
     return recall.rerank(pool, recall.adjustments(feedback_of(spark, d)), 5, 0.1)
 
 
@@ -161,8 +168,8 @@ def judged(spark: SparkSession, d: str, ranked: DataFrame) -> DataFrame:
     return t.withColumn("rel", F.when((F.col("_q") == F.col("_a")) & (F.col("query_id") != F.col("label")), 1).otherwise(0)).drop("_q", "_a")
 
 
-def ranking(spark: SparkSession, d: str) -> DataFrame:
-    return knn(spark, d, 6).where("query_id <> atom_id").withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY rank)")).where("rank <= 5").select("query_id", "rank", F.col("atom_id").alias("label"), "score")
+def ranking(spark: SparkSession, d: str, best: DataFrame | None = None) -> DataFrame:
+    return (knn(spark, d, 6) if best is None else best.where("rank <= 6")).where("query_id <> atom_id").withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY rank)")).where("rank <= 5").select("query_id", "rank", F.col("atom_id").alias("label"), "score")
 
 
 def per_query(spark: SparkSession, d: str) -> DataFrame:
@@ -186,8 +193,9 @@ def eval_averages(spark, d):
 
 @query(oracle.CHANGE)
 def eval_compare(spark, d):
-    after = reranked(spark, d).where("query_id <> atom_id").withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY rank)")).select("query_id", "rank", F.col("atom_id").alias("label"))
-    return metrics.change_of_judged(judged(spark, d, ranking(spark, d)), judged(spark, d, after), n_relevant(spark, d).select("query_id"))
+    best = pooled(spark, d)
+    after = reranked(spark, d, best).where("query_id <> atom_id").withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY rank)")).select("query_id", "rank", F.col("atom_id").alias("label"))
+    return metrics.change_of_judged(judged(spark, d, ranking(spark, d, best)), judged(spark, d, after), n_relevant(spark, d).select("query_id"))
 
 
 @query(oracle.PER_QUERY + oracle.FAILURE)
@@ -220,7 +228,8 @@ def label_transitions(spark, d):
 
 @query(oracle.RERANKED + oracle.JACCARD)
 def topk_jaccard(spark, d):
-    return metrics.jaccard(knn(spark, d, 5), reranked(spark, d), 5).withColumn("jaccard", F.round("jaccard", 9))
+    best = pooled(spark, d)
+    return metrics.jaccard(best, reranked(spark, d, best), 5).withColumn("jaccard", F.round("jaccard", 9))
 
 
 @query("WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('seed-1:' || doc_id), doc_id) AS pick FROM documents) SELECT doc_id, lang, pick FROM r WHERE pick <= 5")
@@ -469,7 +478,7 @@ def topk_parity(spark, d):
     from . import experiments
 
     e = read(spark, d, "embeddings").where("embedding IS NOT NULL")
-    top = knn(spark, d, 3).select("query_id", "atom_id", "score")
+    top = kept(knn(spark, d, 3), "knn").select("query_id", "atom_id", "score")
     q, a = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select(F.col("vec_id").alias("atom_id"), F.col("embedding").alias("v"))
     again = top.join(q, "query_id").join(a, "atom_id").select("query_id", "atom_id", F.round(vectors.cosine(F.col("q"), F.col("v")), 6).alias("score"))
     odd = experiments.parity(top, again).where("side = 'LEFT'").groupBy("query_id").agg(F.count("*").alias("odd"))

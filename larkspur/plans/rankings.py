@@ -9,7 +9,7 @@ from ..operators import chunk, fusion, index, judging, metrics, recall, stats
 from ..operators.prefix import Running, running
 from ..sources import segments, speech, stores
 from . import drivers, oracle
-from .catalog import arms, feedback_of, knn, per_query, query, read, reranked
+from .catalog import arms, feedback_of, knn, per_query, pooled, query, read, reranked
 
 # -- recall --------------------------------------------------------------------------------------------------------------------
 
@@ -83,7 +83,8 @@ def term_overlap(spark, d):
 
 @query(oracle.RERANKED + ", j AS (SELECT coalesce(k.query_id, r.query_id) AS query_id, k.rank AS b, r.rank AS a FROM (SELECT * FROM knn WHERE rank <= 5) k FULL JOIN reranked r ON r.query_id = k.query_id AND r.atom_id = k.atom_id) SELECT query_id, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS kept, count(*) FILTER (b IS NULL) AS entered, count(*) FILTER (a IS NULL) AS left, count(*) FILTER (a <> b) AS moved FROM j GROUP BY 1")
 def ranking_shift(spark, d):
-    return judging.ranking_shift(knn(spark, d, 5), reranked(spark, d), 5)
+    best = pooled(spark, d)
+    return judging.ranking_shift(best, reranked(spark, d, best), 5)
 
 
 # -- judged rankings -----------------------------------------------------------------------------------------------------------
