@@ -24,6 +24,8 @@ from .common import keep_one, ship
 
 #: Units that a worker's memo holds; at twice that (about 120 MB) the half that was not asked for lately goes.
 MEMO_UNITS = 220_000
+#: Units that the library gets as one text.
+JOINED = 48
 #: Characters of a leaf.  Longer texts are halved until no part is longer.
 LEAF_CHARS = 32_768
 #: Tokens on either side of a join that the first window takes; it doubles until both sides agree.
@@ -62,6 +64,7 @@ class Encoder:
         self.older: dict[str, bytes] = {}
         self.tail = {c: self.whole(c) for c in ".,;:!?"}
         self._bytes: list[bytes] | None = None
+        self.begins: dict[str, np.ndarray] = {}
 
     def ids(self, text: str) -> list[int]:
         return self.lib.encode(text, add_special_tokens=False).ids
@@ -70,39 +73,43 @@ class Encoder:
         return np.array(self.ids(text), dtype="<u4").tobytes()
 
     def _learn(self, missing: set[str]) -> None:
-        """Ask the library for units that the memo lacks: plain words many at a time, others one by one."""
+        """Ask the library for units that the memo lacks, many at a time; those with characters that may be white space to it
+        one by one."""
         memo, words, lines, marked = self.memo, {}, {}, []
         for u in missing:
-            stem = u[:-1] if u[-1] in self.tail and len(u) > 1 else u
-            if stem.isalpha():
-                words[stem] = None
-            elif stem[0] == "\n" and stem[1:].isalpha():
+            stem = u[:-1] if u[-1] in self.tail and len(u) > 1 and ord(u[-2]) < PLAIN and u[-2].isalpha() else u
+            if stem[0] == "\n" and len(stem) > 1 and stem[1:].isprintable():
                 lines[stem] = None
+            elif stem.isprintable():  # neither LITERAL nor white space
+                words[stem] = None
             else:
                 memo[u] = self.whole(u[1:] if u[0] == LITERAL and BLANK.match(u, 1) else u if u[0] == "\n" else " " + u)
                 continue
             if stem is not u:
                 marked.append(u)
-        self._together([w for w in words if w not in memo], " ", 1)
-        self._together([w for w in lines if w not in memo], "", 2)
-        for u in marked:  # a plain word and a mark: a piece ends between them
-            memo[u] = memo[u[:-1]] + self.tail[u[-1]] if ord(u[-2]) < PLAIN else self.whole(u if u[0] == "\n" else " " + u)
-
-    def _together(self, units: list[str], before: str, pieces: int) -> None:
-        """Units of that many pieces each, encoded as one text."""
-        for at in range(0, len(units), 256):
-            part = units[at : at + 256]
-            e = self.lib.encode(before + before.join(part), add_special_tokens=False)
-            piece = np.array(e.word_ids, dtype="<i8")
-            first = np.flatnonzero(np.diff(piece, prepend=-1))
-            if len(first) == len(part) * pieces:
-                ids = np.array(e.ids, dtype="<u4").tobytes()
-                ends = [*(first[::pieces] * 4).tolist(), len(ids)]
+        self._together([w for w in words if w not in memo], " ")
+        self._together([w for w in lines if w not in memo], "\n")
+        for u in marked:  # a letter and a mark: a piece ends between them
+            memo[u] = memo[u[:-1]] + self.tail[u[-1]]
+
+    def _together(self, units: list[str], mark: str) -> None:
+        """Units encoded JOINED in a text, as short texts cost the library less a unit than long ones and than single units.  Each
+        begins with the mark, which none has elsewhere, and the library begins a piece there: so a token that begins
+        with it is the first of a unit."""
+        if mark not in self.begins:
+            self.begins[mark] = np.array([t[:1] == mark.encode() for t in self.table()])
+        begins = self.begins[mark]
+        for at in range(0, len(units), 64 * JOINED):
+            parts = [units[k : k + JOINED] for k in range(at, min(at + 64 * JOINED, len(units)), JOINED)]
+            texts = ["".join(p) if mark == "\n" else mark + mark.join(p) for p in parts]
+            for part, e in zip(parts, self.lib.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, dtype="<u4")
+                first, raw = np.flatnonzero(begins[ids]) * 4, ids.tobytes()
+                if len(first) != len(part) or first[0]:
+                    raise ValueError("the vocabulary joins tokens over white space")
+                ends = [*first.tolist(), len(raw)]
                 for k, w in enumerate(part):
-                    self.memo[w] = ids[ends[k] : ends[k + 1]]
-            else:  # the library knows other letters than Python
-                for w in part:
-                    self.memo[w] = self.whole(before + w)
+                    self.memo[w] = raw[ends[k] : ends[k + 1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)

@@ -281,3 +281,31 @@ def test_quality_thresholds_are_the_quantile(spark):
     t = spark.createDataFrame([("en", -math.log(1 - (k + 0.5) / 4000)) for k in range(4000)], "lang string, log_ppl double")
     assert abs(ngram_quality.thresholds(t, 0.999)["en"] - math.log(1000)) < 0.05
     assert ngram_quality.thresholds(spark.createDataFrame([("en", 1.5)] * 30, "lang string, log_ppl double"), 0.999)["en"] == 1.5
+
+
+def test_units_with_marks_and_digits_reach_the_library_together():
+    """Long and single texts cost the library more a unit than short joined ones: no unit that it may take together goes alone."""
+    from larkspur.llm import bpe
+
+    class Counted:
+        def __init__(self, lib):
+            self.lib, self.calls, self.longest = lib, 0, 0
+
+        def __getattr__(self, name):
+            return getattr(self.lib, name)
+
+        def encode(self, text, **kw):
+            self.calls += 1
+            return self.lib.encode(text, **kw)
+
+        def encode_batch_fast(self, texts, **kw):
+            self.longest = max([self.longest, *(len(t.split()) for t in texts)])
+            return self.lib.encode_batch_fast(texts, **kw)
+
+    e = bpe.Encoder(bpe.vocabulary())
+    texts = ["first " + " ".join(f"w{n}x##{n}" for n in range(k, k + 200)) + f"\nline{k}.\nv{k}\x1cz" for k in range(0, 600, 200)]
+    want = [e.whole(t) for t in texts]
+    e.lib = Counted(e.lib)
+    assert e.encode(texts) == want
+    assert e.lib.calls <= 2 * len(texts)  # a text's first unit, and the one with a control character
+    assert 0 < e.lib.longest <= bpe.JOINED
