@@ -105,8 +105,9 @@ class Encoder:
             for part, e in zip(parts, self.lib.encode_batch_fast(texts, add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, dtype="<u4")
                 first, raw = np.flatnonzero(begins[ids]) * 4, ids.tobytes()
-                if len(first) != len(part) or first[0]:
-                    raise ValueError("the vocabulary joins tokens over white space")
+                if len(first) != len(part) or first[0]:  # a vocabulary of another kind
+                    self.memo.update((w, self.whole(w if w[0] == mark else mark + w)) for w in part)
+                    continue
                 ends = [*first.tolist(), len(raw)]
                 for k, w in enumerate(part):
                     self.memo[w] = raw[ends[k] : ends[k + 1]]
