@@ -12,6 +12,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import string
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import keep_one, ship
 
-#: Units that a worker's memo holds; at twice that (about 120 MB) the half that was not asked for lately goes.
-MEMO_UNITS = 220_000
+#: Units that a worker's memo holds; at twice that (about 240 MB) the half that was not asked for lately goes.
+MEMO_UNITS = 440_000
 #: Units that the library gets as one text.
 JOINED = 48
 #: Characters of a leaf.  Longer texts are halved until no part is longer.
@@ -35,12 +37,21 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 BLANK = re.compile(f"[{WHITE}]")
 OTHER = "\t\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+#: The byte-level alphabet: the character that stands for each byte.
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LENT = [b for b in range(256) if b not in _OWN]
+BYTE_CHARS = [chr(b) if b in _OWN else chr(256 + _LENT.index(b)) for b in range(256)]
+#: Runs of marks whose ids are kept.
+MAX_MARKS = 10_000
 #: Begins the key of a unit that has its own white space.
 LITERAL = "\0"
 #: What a text must not have to be split at single blanks and line feeds.
 _ODD = ["  ", "\n\n", "\n ", " \n", *OTHER]
 #: Letters below this code point are letters in every version of Unicode that the libraries at hand know.
 PLAIN = 0x250
+LETTERS = "".join(c for c in map(chr, range(PLAIN)) if c.isalpha())
+#: A word: letters, which are one piece together with a blank before them, and the marks after them, which are pieces of their own.
+WORD = re.compile(f"(\n?)([{LETTERS}]+)([!-/:-@\\[-`{{-~]*)")
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -62,9 +73,11 @@ class Encoder:
         self.special = sorted((t.content for t in self.lib.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.tail = {c: self.whole(c) for c in ".,;:!?"}
+        self.tail = {c: self.whole(c) for c in ("\n", *".,;:!?")}
         self._bytes: list[bytes] | None = None
         self.begins: dict[str, np.ndarray] = {}
+        self.merge = self.lib.model.tokenize if self._pieces_by_class() else None
+        self.letters = {ord(c): "".join(BYTE_CHARS[b] for b in c.encode()) for c in LETTERS}
 
     def ids(self, text: str) -> list[int]:
         return self.lib.encode(text, add_special_tokens=False).ids
@@ -72,11 +85,51 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.ids(text), dtype="<u4").tobytes()
 
+    def _pieces_by_class(self) -> bool:
+        """Does the library cut texts of this vocabulary by its byte-level pattern only, so that letters are one piece, which the
+        model gets as it is?"""
+        pre, model = self.lib.pre_tokenizer, self.lib.model
+        if type(pre).__name__ != "ByteLevel" or not pre.use_regex or pre.add_prefix_space or self.lib.normalizer is not None:
+            return False
+        return type(model).__name__ == "BPE" and not model.dropout and not any(WORD.fullmatch(t.strip()) or not t.strip(string.punctuation) for t in self.special)
+
+    def _word(self, mark: str, letters: str) -> bytes:
+        """The ids of letters as the library's model merges them: the text around them needs no cutting."""
+        ids = [t.id for t in self.merge(mark + (letters if letters.isascii() else letters.translate(self.letters)))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _marks(self, marks: str) -> bytes:
+        if (ids := self.tail.get(marks)) is None:
+            ids = self.whole(marks)
+            if len(self.tail) < MAX_MARKS:
+                self.tail[marks] = ids
+        return ids
+
+    def _first(self, unit: str) -> bytes:
+        """A text's first unit, which has no blank before it."""
+        if self.merge and (m := WORD.fullmatch(unit)) and not m[1]:
+            return self._word("", m[2]) + (self._marks(m[3]) if m[3] else b"")
+        return self.whole(unit)
+
     def _learn(self, missing: set[str]) -> None:
-        """Ask the library for units that the memo lacks, many at a time; those with characters that may be white space to it
-        one by one."""
-        memo, words, lines, marked = self.memo, {}, {}, []
-        for u in missing:
+        """Ask the library for units that the memo lacks: words go to its model, others to the library many at a time, and those
+        with characters that may be white space to it one by one."""
+        memo, older, others = self.memo, self.older, missing
+        if self.merge:
+            others, word, fits, line, blank = [], self._word, WORD.fullmatch, self.tail["\n"], BYTE_CHARS[32]
+            for u in missing:
+                if not (m := fits(u)):
+                    others.append(u)
+                    continue
+                new, letters, marks = m.groups()
+                stem = new + letters
+                if (ids := memo.get(stem)) is None and (ids := older.get(stem)) is None:
+                    ids = line + word("", letters) if new else word(blank, letters)
+                    memo[stem] = ids
+                if marks:
+                    memo[u] = ids + self._marks(marks)
+        words, lines, marked = {}, {}, []
+        for u in others:
             stem = u[:-1] if u[-1] in self.tail and len(u) > 1 and ord(u[-2]) < PLAIN and u[-2].isalpha() else u
             if stem[0] == "\n" and len(stem) > 1 and stem[1:].isprintable():
                 lines[stem] = None
@@ -134,13 +187,12 @@ class Encoder:
         found = list(map(self.memo.get, units))
         if None in found:
             memo, older, holes = self.memo, self.older, []
-            for k, v in enumerate(found):
-                if v is None:
-                    u = units[k]
-                    if (v := older.get(u)) is None:
-                        holes.append(k)
-                    else:
-                        found[k] = memo[u] = v
+            for k in [k for k, v in enumerate(found) if v is None]:
+                u = units[k]
+                if (v := older.get(u)) is None:
+                    holes.append(k)
+                else:
+                    found[k] = memo[u] = v
             if holes:
                 self._learn({units[k] for k in holes})
                 for k in holes:
@@ -149,7 +201,7 @@ class Encoder:
 
     def _by_units(self, text: str) -> bytes:
         units = UNIT.findall(text)
-        first = b"" if BLANK.match(units[0]) else self.whole(units.pop(0))
+        first = b"" if BLANK.match(units[0]) else self._first(units.pop(0))
         return first + b"".join(self._values([u[1:] if u[0] == " " and len(u) > 1 and not BLANK.match(u[1]) else LITERAL + u for u in units]))
 
     def _plain(self, texts: list[str]) -> list[bytes]:
@@ -157,9 +209,9 @@ class Encoder:
         lists = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " \n"), " ")
         at = lists.offsets.to_numpy()
         coded = lists.values.dictionary_encode()
-        units, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
+        units, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().copy()  # to_pylist() costs several times as much
         codes[at[:-1]] = np.arange(len(units), len(units) + len(texts))  # a text's first unit has no blank before it
-        firsts = [self.whole(units[c]) if units[c] else b"" for c in coded.indices.to_numpy()[at[:-1]].tolist()]
+        firsts = [self._first(units[c]) if units[c] else b"" for c in coded.indices.to_numpy()[at[:-1]].tolist()]
         used = [u or "\n" for u in units]  # the empty unit stands at a text's start only
         values = self._values(used) + firsts
         size = np.fromiter(map(len, values), np.int32, len(values)) // 4
@@ -174,8 +226,7 @@ class Encoder:
     def table(self) -> list[bytes]:
         """The bytes of every id, by the byte-level alphabet of the file."""
         if self._bytes is None:
-            plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-            back = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in set(plain))}
+            back = {c: b for b, c in enumerate(BYTE_CHARS)}
             added = {i: t.content for i, t in self.lib.get_added_tokens_decoder().items()}
             self._bytes = [b""] * self.lib.get_vocab_size(with_added_tokens=True)
             for token, i in self.lib.get_vocab(with_added_tokens=True).items():

@@ -45,7 +45,7 @@ def write_tokens(docs: DataFrame, path: str, vocab: str | None = None, end_id: i
         enc, part, start, place = encoder(vocab), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], "<u4").tobytes()
         for whole in it:
-            for b in batches(whole, 4_000_000):
+            for b in batches(whole, 8_000_000):
                 got = enc.encode(texts_of(b.column(1)))
                 n = np.array([len(x) // 4 + 1 for x in got], "<i8")
                 upto = np.cumsum(n)
@@ -82,7 +82,7 @@ def token_digest(tokens: DataFrame) -> DataFrame:
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             lists = b.column(3)
-            at, ids = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
+            at, ids = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False).view("<u4")
             crc = [zlib.crc32(ids[at[k] : at[k + 1]].tobytes()) for k in range(len(lists))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 

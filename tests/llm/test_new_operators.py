@@ -309,3 +309,39 @@ def test_units_with_marks_and_digits_reach_the_library_together():
     assert e.encode(texts) == want
     assert e.lib.calls <= 2 * len(texts)  # a text's first unit, and the one with a control character
     assert 0 < e.lib.longest <= bpe.JOINED
+
+
+def test_words_reach_the_model_as_pieces():
+    """Texts cost the library more a word than the pieces that its model merges: words and the marks after them are no texts."""
+    from tokenizers import AddedToken, normalizers
+
+    from larkspur.llm import bpe
+
+    class Counted:
+        def __init__(self, lib):
+            self.lib, self.texts = lib, 0
+
+        def __getattr__(self, name):
+            return getattr(self.lib, name)
+
+        def encode_batch_fast(self, texts, **kw):
+            self.texts += len(texts)
+            return self.lib.encode_batch_fast(texts, **kw)
+
+    spell = lambda k: "".join("aeßñçxyÿzq"[int(c)] for c in str(k))
+    texts = ["First " + " ".join(f"W{spell(k)}{'' if k % 3 else '.#['}" for k in range(at, at + 300)) + f"\nLine{spell(at)}.\n" + spell(at) for at in range(0, 1500, 300)]
+    e = bpe.Encoder(bpe.vocabulary())
+    want = [e.whole(t) for t in texts]
+    e.lib = Counted(e.lib)
+    assert e.encode(texts) == want and e.lib.texts == 0
+    odd = ["it's we'll .a -b- a1 1a a.1 \u0119a a\u0301 \u00aax \u00b2x <|endoftext|> x<|endoftext|>y\n'tis\n9 a\\b] a`~ A\u00dfB!? \u01c5\u024f"]
+    assert e.encode(odd) == [e.whole(odd[0])]
+
+    # a library that changes letters, or cuts them, is asked as a whole
+    changed = bpe.Encoder(bpe.vocabulary())
+    changed.lib.normalizer = normalizers.Lowercase()
+    assert not changed._pieces_by_class()
+    cut = bpe.Encoder(bpe.vocabulary())
+    cut.lib.add_tokens([AddedToken("ine")])
+    cut.special.append("ine")
+    assert not cut._pieces_by_class()
